@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seepage.functions.text import LINE_BREAK, SPACE
+from seepage.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 _FLAT = f"{SPACE}*[\\n\\r]{SPACE}*"
@@ -26,7 +27,7 @@ def flat(column: str):
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample_id, text): pages, conversation turns and benchmark passages."""
-    pages = table(spark, sf_dir, "pages").select(
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
         F.concat(F.lit("p"), F.col("page_id")).alias("sample_id"), flat("html").alias("text")
     )
     turns = table(spark, sf_dir, "conversations").select(

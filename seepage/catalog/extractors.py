@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seepage.catalog import common
-from seepage.catalog.common import masked, table
+from seepage.catalog.common import masked
 from seepage.functions import patterns as P
 from seepage.functions.text import SPACE, WORD
 from seepage.operators import audit
 
 
 def _texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = common.documents(spark, sf_dir).select(
         F.concat(F.lit("d"), F.col("doc_id")).alias("sample_id"), "text"
     )
     return docs.unionByName(common.samples(spark, sf_dir))

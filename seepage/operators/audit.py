@@ -13,8 +13,8 @@ from seepage.operators.skew import lookup
 from seepage.session import fits_broadcast, materialise
 
 GRAM = 8  # characters of the anchor looked up for longer terms
-SEGMENT = 256  # characters per piece a line is cut into before taking grams
-KEYWORD_TERMS = 64  # up to here, testing every term on every line is cheaper
+SEGMENT = 65_536  # a longer line is cut into overlapping pieces before taking grams
+KEYWORD_TERMS = 200  # up to here, testing every term on every line is cheaper
 TERMS_PER_PASS = 2_000_000  # bound on the terms broadcast in one pass
 
 
@@ -100,20 +100,18 @@ def _hits_by_scan(terms: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def _hits_by_gram(terms: DataFrame, lines: DataFrame, lengths: list[int]) -> DataFrame:
-    """Look up the grams of each line among the first characters of the terms.
+def _hits_by_gram(terms: DataFrame, lines: DataFrame, length: int) -> DataFrame:
+    """Look up every gram of every line among the first characters of the terms.
 
-    Terms shorter than the gram are their own key. Work is linear in the
-    characters of the corpus, and only the matched terms leave the map side.
+    Work is linear in the characters of the corpus, the terms are the only
+    broadcast, and only matched terms leave the map side.
     """
-    keyed = terms.withColumn("_key", F.substring("term", 1, GRAM))
-    piece = rf"(?s)(?=(.{{1,{SEGMENT + GRAM - 1}}})).{{1,{SEGMENT}}}"
-    grams = (
-        lines.select("line", F.explode(F.regexp_extract_all("line", F.lit(piece), F.lit(1))).alias("_s"))
-        .select("line", "_s", F.explode(F.sequence(F.lit(1), F.length("_s"))).alias("_i"))
-        .select("line", "_s", "_i", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_l"))
-        .select("line", F.col("_s").substr(F.col("_i"), F.col("_l")).alias("_key"))
-    )
+    keyed = terms.withColumn("_key", F.substring("term", 1, length))
+    piece = rf"(?s)(?=(.{{1,{SEGMENT + length - 1}}})).{{1,{SEGMENT}}}"
+    gram = rf"(?s)(?=(.{{{length}}}))."
+    grams = lines.select(
+        "line", F.explode(F.regexp_extract_all("line", F.lit(piece), F.lit(1))).alias("_piece")
+    ).select("line", F.explode(F.regexp_extract_all("_piece", F.lit(gram), F.lit(1))).alias("_key"))
     return (
         grams.join(F.broadcast(keyed), "_key")
         .filter(F.contains(F.col("line"), F.col("term")))
@@ -130,27 +128,34 @@ def corpus_hits(
 ) -> DataFrame:
     """The ``term`` values that are a substring of some ``line``.
 
-    Few terms are tested directly. More terms go through the gram lookup; above
-    ``terms_per_pass`` they are split by hash into several passes over the
-    corpus so that each broadcast stays below that bound.
+    Few terms are tested directly. Beyond that, terms of at least ``GRAM``
+    characters go through the gram lookup, and shorter ones are their own gram,
+    one lookup per length. Above ``terms_per_pass`` the terms are split by hash
+    into several passes so that each broadcast stays below that bound.
     """
     terms = materialise(terms.select("term").filter(F.col("term") != "").distinct(), "terms")
+    key_length = F.least(F.length("term"), F.lit(GRAM))
     # one row per key length: at most GRAM rows
     sizes = {
         r["l"]: r["n"]
-        for r in terms.groupBy(F.least(F.length("term"), F.lit(GRAM)).alias("l"))
-        .agg(F.count("*").alias("n"))
-        .collect()
+        for r in terms.groupBy(key_length.alias("l")).agg(F.count("*").alias("n")).collect()
     }
-    total = sum(sizes.values())
-    if total <= keyword_terms:
+    if sum(sizes.values()) <= keyword_terms:
         return _hits_by_scan(terms, lines)
-    passes = -(-total // terms_per_pass)
-    hits = None
-    for i in range(passes):
-        part = terms.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == i) if passes > 1 else terms
-        found = _hits_by_gram(part, lines, sorted(sizes))
-        hits = found if hits is None else hits.unionByName(found)
+    parts = []
+    short = sum(n for length, n in sizes.items() if length < GRAM)
+    if 0 < short <= keyword_terms:
+        parts.append(_hits_by_scan(terms.filter(F.length("term") < GRAM), lines))
+    for length, n in sorted(sizes.items()):
+        if length < GRAM and short <= keyword_terms:
+            continue
+        passes = -(-n // terms_per_pass)
+        for i in range(passes):
+            chosen = F.pmod(F.xxhash64("term"), F.lit(passes)) == i
+            parts.append(_hits_by_gram(terms.filter((key_length == length) & chosen), lines, length))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
     return hits
 
 

@@ -72,3 +72,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads at most limit+1."""
     return df.limit(limit + 1).count() <= limit
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Repartition a bare scan that has fewer partitions than there are cores.
+
+    Files with many row groups are left as they are; a single-row-group file
+    would otherwise keep all text work on one core.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
