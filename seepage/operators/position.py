@@ -28,7 +28,7 @@ def running_totals(df: DataFrame, order: Sequence[str], measure: str | None = No
 
     ``order`` must identify a row; pass keys only and join wide data back.
     """
-    amount = F.col(measure).cast("bigint") if measure else F.lit(1).cast("bigint")
+    amount = F.col(measure) if measure else F.lit(1)
     placed = materialise(
         df.withColumn("_amount", amount)
         .repartitionByRange(*order)
