@@ -140,17 +140,27 @@ COUNTS = (
     + ", counts AS (SELECT ord, context, token, count(*) AS n FROM corpus GROUP BY ALL)"
 )
 
-DP_COUNTS = f"""contrib AS (SELECT source, ord, context, token, CAST(count(*) AS DOUBLE) AS v FROM corpus GROUP BY ALL),
-clipped AS (SELECT ord, context, token, v * least(1.0, {CLIP} / sqrt(sum(v * v) OVER (PARTITION BY source))) AS v FROM contrib),
-dp_counts AS (SELECT ord, context, token, greatest(0.0, sum(v) + {SIGMA * CLIP} *
-  sqrt(-2 * ln((CAST(CAST('0x' || substr(md5('{SEED}a:' || ord || ':' || context || ':' || token), 1, 12) AS BIGINT) AS DOUBLE) + 1) / 281474976710656.0)) *
-  cos(2 * pi() * ((CAST(CAST('0x' || substr(md5('{SEED}b:' || ord || ':' || context || ':' || token), 1, 12) AS BIGINT) AS DOUBLE) + 1) / 281474976710656.0))) AS n
-  FROM clipped GROUP BY ALL),
-small_clipped AS (SELECT token, v * least(1.0, {CLIP} / sqrt(sum(v * v) OVER (PARTITION BY source))) AS v FROM contrib WHERE ord = 1),
-small_dp AS (SELECT 1 AS ord, '' AS context, token, greatest(0.0, sum(v) + {SIGMA * CLIP} *
-  sqrt(-2 * ln((CAST(CAST('0x' || substr(md5('{SEED}a:1::' || token), 1, 12) AS BIGINT) AS DOUBLE) + 1) / 281474976710656.0)) *
-  cos(2 * pi() * ((CAST(CAST('0x' || substr(md5('{SEED}b:1::' || token), 1, 12) AS BIGINT) AS DOUBLE) + 1) / 281474976710656.0))) AS n
-  FROM small_clipped GROUP BY token)"""
+HEX = "CAST(CAST('0x' || substr(md5({t}), 1, 12) AS BIGINT) AS DOUBLE)"
+
+
+def gauss_sql(seed: int, key: str) -> str:
+    """The reproducible normal noise of a key."""
+    u = HEX.format(t=f"'{seed}a:' || {key}")
+    v = HEX.format(t=f"'{seed}b:' || {key}")
+    return f"(sqrt(-2 * ln(({u} + 1) / 281474976710656.0)) * cos(2 * pi() * (({v} + 1) / 281474976710656.0)))"
+
+
+def _noisy(name: str, kept: str) -> str:
+    """CTEs that end in ``name``: clipped by source, summed, noised, floored."""
+    noise = gauss_sql(SEED, "ord || ':' || context || ':' || token")
+    return f"""{name}_clipped AS (SELECT ord, context, token,
+  v * least(1.0, {CLIP} / sqrt(sum(v * v) OVER (PARTITION BY source))) AS v FROM contrib WHERE {kept}),
+{name}_sums AS (SELECT ord, context, token, sum(v) AS v FROM {name}_clipped GROUP BY ALL),
+{name} AS (SELECT ord, context, token, greatest(0.0, v + {SIGMA * CLIP} * {noise}) AS n FROM {name}_sums)"""
+
+
+CONTRIB = "contrib AS (SELECT source, ord, context, token, CAST(count(*) AS DOUBLE) AS v FROM corpus GROUP BY ALL)"
+DP_COUNTS = f"{CONTRIB}, {_noisy('dp_counts', 'true')}, {_noisy('small_dp', 'ord = 1')}"
 
 
 def _p(name: str, counts: str, wanted: str, order: int = 2) -> str:
