@@ -13,7 +13,7 @@ GROUPS = (
     "language_model",
     "private",
     "metrics",
-    # "files",
+    "files",
 )
 
 
