@@ -30,7 +30,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
         F.concat(F.lit("p"), F.col("page_id")).alias("sample_id"), flat("html").alias("text")
     )
-    turns = table(spark, sf_dir, "conversations").select(
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select(
         F.concat(F.lit("c"), F.col("conv_id"), F.lit(":"), F.col("turn")).alias("sample_id"),
         flat("text").alias("text"),
     )

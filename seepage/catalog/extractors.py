@@ -23,11 +23,16 @@ _TEXTS = f"""WITH {common.SAMPLES}, texts AS (
 
 
 def _report(df):
-    return df.filter(F.size("m") > 0).select(
-        "sample_id",
+    """Texts with a match. The condition sits inside the row so that matches
+    are computed once and not again for a filter."""
+    row = F.struct(
         F.size("m").cast("bigint").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct("m")), " | ").alias("matches"),
     )
+    kept = F.filter(F.array(row), lambda r: r["n_matches"] > 0)
+    return df.select("sample_id", F.explode(kept).alias("_r")).select(
+        "sample_id", "_r.n_matches", "_r.matches"
+    )
 
 
 def _query(find):

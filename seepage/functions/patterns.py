@@ -45,25 +45,40 @@ def _find(pattern: str, group: int = 0) -> Callable[[Column], Column]:
     return lambda text: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _first(alternatives: str) -> str:
+    """The characters a match can start with: one test rules out most places."""
+    return "".join(sorted({w[0].lower() for w in alternatives.split("|")}))
+
+
 def _keywords(alternatives: str) -> Callable[[Column], Column]:
     """Whole words; a keyword that starts with a symbol must follow a word."""
     plain = "|".join(w for w in alternatives.split("|") if w[0].isalnum())
     marked = "|".join(w for w in alternatives.split("|") if not w[0].isalnum())
     start = rf"(?<!{WORD})(?:{plain})" + (rf"|(?<={WORD})(?:{marked})" if marked else "")
-    return _find(rf"(?iu)(?:{start})(?!{WORD})")
+    return _find(rf"(?iu)(?=[{_first(alternatives)}])(?:{start})(?!{WORD})")
 
 
 _MAIL_CHARS = r"[\p{L}\p{N}_.%+-]"
-find_email = _find(
+_find_email = _find(
     rf"(?:(?<!{_MAIL_CHARS})|\G){_MAIL_CHARS}++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}"
 )
+
+
+def find_email(text: Column) -> Column:
+    """E-mail addresses; a text without an at sign is not searched."""
+    return F.when(F.contains(text, F.lit("@")), _find_email(text)).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+
 find_phone = _find(
-    rf"(?:\+?{DIGIT}{{1,3}}(?:{SPACE}|[.-])?)?(?:\(?{DIGIT}{{2,4}}\)?(?:{SPACE}|[.-])?)?"
+    rf"(?=[+(\p{{Nd}}])(?:\+?{DIGIT}{{1,3}}(?:{SPACE}|[.-])?)?(?:\(?{DIGIT}{{2,4}}\)?(?:{SPACE}|[.-])?)?"
     rf"{DIGIT}{{3,4}}(?:{SPACE}|[.-])?{DIGIT}{{4}}"
 )
-find_handle = _find(rf"(?<!{WORD})@{WORD}{{1,15}}+(?![\p{{L}}\p{{N}}_@.])")
+find_handle = _find(rf"@(?<!{WORD}@){WORD}{{1,15}}+(?![\p{{L}}\p{{N}}_@.])")
 find_address = _find(
-    rf"(?<!{WORD}){DIGIT}{{1,5}}{SPACE}+(?:[A-Z][a-z]+{SPACE})+(?:{STREET_WORDS})(?!{WORD})"
+    rf"(?={DIGIT})(?<!{WORD}){DIGIT}{{1,5}}{SPACE}+(?:[A-Z][a-z]+{SPACE})+(?:{STREET_WORDS})(?!{WORD})"
 )
 
 
@@ -73,19 +88,19 @@ def find_contact(text: Column) -> Column:
 
 find_news = _keywords(f"{NEWS_WORDS}|{TECH_WORDS}")
 find_tech = _keywords(TECH_WORDS)
-find_license = _find(rf"(?iu)({LICENSE_WORDS})", 1)
+find_license = _find(rf"(?iu)(?=[{_first(LICENSE_WORDS)}])({LICENSE_WORDS})", 1)
 find_url = _find(
-    rf"(?iu)(?<!{WORD})((?:https?|ftp|www)[.:/\\]?{WORD}++(?:[.:/\\]{WORD}++)*\.(?:{TOP_DOMAINS}))", 1
+    rf"(?iu)(?=[hfw])(?<!{WORD})((?:https?|ftp|www)[.:/\\]?{WORD}++(?:[.:/\\]{WORD}++)*\.(?:{TOP_DOMAINS}))", 1
 )
 find_promo = _keywords(PROMO_WORDS)
-find_code = _find(rf"def |class |function{SPACE}+|</?[a-z]+>")
+find_code = _find(rf"(?=[dcf<])(?:def |class |function{SPACE}+|</?[a-z]+>)")
 find_config = _find(rf"(?md)\[[^\]\n]*+\]|^[a-zA-Z0-9_]++{SPACE}*={SPACE}*.+$")
 find_faith = _keywords(FAITH_WORDS)
-find_quote = _find(rf"(?iu)({QUOTE_WORDS})", 1)
+find_quote = _find(rf"(?iu)(?=[{_first(QUOTE_WORDS)}])({QUOTE_WORDS})", 1)
 find_entropy = _find(r"[A-Za-z0-9+/=]{30,}")
 find_named_list = _find(rf"[A-Z][a-z]++(?:,{SPACE}*+[A-Z][a-z]++){{2,}}+")
 find_forum = _find(
-    rf"(?<!{WORD})(?:User talk:|Wikipedia:|Talk:|[Ww]iki(?!{WORD})|FAQ(?!{WORD}))"
+    rf"(?=[UWTwF])(?<!{WORD})(?:User talk:|Wikipedia:|Talk:|[Ww]iki(?!{WORD})|FAQ(?!{WORD}))"
 )
 find_log = _find(r"Traceback \(most recent call last\)|Exception|Error|\.log|\.trace")
 find_pseudonym = _find(rf"(?:aka|also known as|anno){SPACE}+[A-Z][a-z]+")
@@ -93,7 +108,7 @@ find_form = _find(r"(?s)<form.+?</form>|input type=")
 find_numbers = _find(rf"(?<!{DIGIT}){DIGIT}++(?:(?:{SPACE}|,){DIGIT}++)++")
 
 _NAME = r"\p{Lu}\p{Ll}++"
-find_name_runs = _find(rf"(?<!{WORD})({_NAME}(?: {_NAME}){{0,2}}+)", 1)
+find_name_runs = _find(rf"(?=\p{{Lu}})(?<!{WORD})({_NAME}(?: {_NAME}){{0,2}}+)", 1)
 
 
 @dataclass(frozen=True)

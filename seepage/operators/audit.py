@@ -14,7 +14,8 @@ from seepage.session import fits_broadcast, materialise
 
 GRAM = 8  # characters of the anchor looked up for longer terms
 SEGMENT = 65_536  # a longer line is cut into overlapping pieces before taking grams
-KEYWORD_TERMS = 200  # up to here, testing every term on every line is cheaper
+SHARED_ANCHOR_TERMS = 2_000  # terms of 4 to 7 characters that may share an anchor
+KEYWORD_TERMS = 100  # up to here, testing every term on every line is cheaper
 TERMS_PER_PASS = 2_000_000  # bound on the terms broadcast in one pass
 
 
@@ -100,26 +101,55 @@ def _hits_by_scan(terms: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def _hits_by_gram(terms: DataFrame, lines: DataFrame, length: int) -> DataFrame:
-    """Look up every gram of every line among the first characters of the terms.
+def _hits_by_gram(terms: DataFrame, lines: DataFrame, sizes: list[int]) -> DataFrame:
+    """Look up the start of every gram of every line among the terms' anchors.
 
-    Work is linear in the characters of the corpus, the terms are the only
-    broadcast, and only matched terms leave the map side.
+    A term's anchor is its first ``size`` characters, for the largest of
+    ``sizes`` that fits in it. One pass over the corpus serves all sizes; work
+    is linear in its characters, the terms are the only broadcast, and only
+    matched terms leave the map side.
     """
-    keyed = terms.withColumn("_key", F.substring("term", 1, length))
-    piece = rf"(?s)(?=(.{{1,{SEGMENT + length - 1}}})).{{1,{SEGMENT}}}"
-    gram = rf"(?s)(?=(.{{{length}}}))."
+    longest = max(sizes)
+    piece = rf"(?s)(?=(.{{1,{SEGMENT + longest - 1}}})).{{1,{SEGMENT}}}"
+    gram = rf"(?s)(?=(.{{1,{longest}}}))."
     grams = lines.select(
         "line", F.explode(F.regexp_extract_all("line", F.lit(piece), F.lit(1))).alias("_piece")
-    ).select("line", F.explode(F.regexp_extract_all("_piece", F.lit(gram), F.lit(1))).alias("_key"))
+    ).select("line", F.explode(F.regexp_extract_all("_piece", F.lit(gram), F.lit(1))).alias("_gram"))
+    for size in sizes:
+        larger = [s for s in sizes if s > size]
+        fits = F.length("term") >= size
+        if larger:
+            fits = fits & (F.length("term") < min(larger))
+        keyed = terms.filter(fits).select(
+            F.col("term").alias(f"_t{size}"),
+            F.xxhash64(F.substring("term", 1, size)).alias(f"_k{size}"),
+        )
+        # a 64-bit key makes the probe cheap; the final test rules out collisions
+        start = F.xxhash64(F.col("_gram") if size == longest else F.substring("_gram", 1, size))
+        grams = grams.join(F.broadcast(keyed), start == F.col(f"_k{size}"), "left")
+    anchored = F.array_compact(F.array(*[F.col(f"_t{size}") for size in sizes]))
     return (
-        grams.join(F.broadcast(keyed), "_key")
+        grams.filter(F.coalesce(*[F.col(f"_t{size}") for size in sizes]).isNotNull())
+        .select("line", F.explode(anchored).alias("term"))
         .filter(F.contains(F.col("line"), F.col("term")))
         .select("term")
         .distinct()
     )
 
 
+def anchor_sizes(counts: dict[int, int]) -> list[int]:
+    """Anchor sizes for term counts by length (lengths capped at ``GRAM``).
+
+    Terms of four to seven characters share a four-character anchor while there
+    are few of them; with many, each length is its own anchor, so that one
+    anchor never leads to a long list of terms to test.
+    """
+    middle = [length for length in counts if 4 <= length < GRAM]
+    if sum(counts[length] for length in middle) <= SHARED_ANCHOR_TERMS and middle:
+        middle = [4]
+    return sorted([length for length in counts if length < 4 or length == GRAM] + middle)
+
+
 def corpus_hits(
     terms: DataFrame,
     lines: DataFrame,
@@ -128,34 +158,24 @@ def corpus_hits(
 ) -> DataFrame:
     """The ``term`` values that are a substring of some ``line``.
 
-    Few terms are tested directly. Beyond that, terms of at least ``GRAM``
-    characters go through the gram lookup, and shorter ones are their own gram,
-    one lookup per length. Above ``terms_per_pass`` the terms are split by hash
-    into several passes so that each broadcast stays below that bound.
+    Few terms are tested directly, more go through the gram lookup. Above
+    ``terms_per_pass`` they are split by hash into several passes so that the
+    broadcasts of a pass stay near that bound.
     """
     terms = materialise(terms.select("term").filter(F.col("term") != "").distinct(), "terms")
-    key_length = F.least(F.length("term"), F.lit(GRAM))
-    # one row per key length: at most GRAM rows
-    sizes = {
-        r["l"]: r["n"]
-        for r in terms.groupBy(key_length.alias("l")).agg(F.count("*").alias("n")).collect()
-    }
-    if sum(sizes.values()) <= keyword_terms:
+    length = F.least(F.length("term"), F.lit(GRAM))
+    # one row per length: at most GRAM rows
+    counts = {r["l"]: r["n"] for r in terms.groupBy(length.alias("l")).agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    if total <= keyword_terms:
         return _hits_by_scan(terms, lines)
-    parts = []
-    short = sum(n for length, n in sizes.items() if length < GRAM)
-    if 0 < short <= keyword_terms:
-        parts.append(_hits_by_scan(terms.filter(F.length("term") < GRAM), lines))
-    for length, n in sorted(sizes.items()):
-        if length < GRAM and short <= keyword_terms:
-            continue
-        passes = -(-n // terms_per_pass)
-        for i in range(passes):
-            chosen = F.pmod(F.xxhash64("term"), F.lit(passes)) == i
-            parts.append(_hits_by_gram(terms.filter((key_length == length) & chosen), lines, length))
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
+    sizes = anchor_sizes(counts)
+    passes = -(-total // terms_per_pass)
+    hits = None
+    for i in range(passes):
+        chosen = terms.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == i) if passes > 1 else terms
+        found = _hits_by_gram(chosen, lines, sizes)
+        hits = found if hits is None else hits.unionByName(found)
     return hits
 
 

@@ -25,7 +25,7 @@ from pyspark.sql.types import IntegerType
 
 from seepage.operators.skew import top_per_group
 from seepage.operators.tokens import END, token_words
-from seepage.session import fits_broadcast, materialise
+from seepage.session import materialise
 
 GRAM_KEY = ["ord", "context", "token"]
 
@@ -34,15 +34,18 @@ def grams(df: DataFrame, order: int, keys: Sequence[str] = (), column: str = "te
     """Every gram of orders 1..order: (keys, at, ord, context, token)."""
     listed = df.select(*keys, token_words(F.col(column)).alias("_ws"))
     at = F.col("at")
+
+    def before(k: int) -> Column:
+        """The k-1 words before the current one; null where there are fewer."""
+        if k == 1:
+            return F.lit("")
+        if k == 2:
+            return F.when(at > 1, F.get("_ws", at - 2))
+        return F.when(at >= k, F.array_join(F.slice("_ws", F.greatest(at - (k - 1), F.lit(1)), F.lit(k - 1)), " "))
+
     options = F.array(
         *[
-            F.struct(
-                F.lit(k).alias("ord"),
-                F.when(
-                    at >= k,
-                    F.array_join(F.slice("_ws", F.greatest(at - (k - 1), F.lit(1)), F.lit(k - 1)), " "),
-                ).alias("context"),
-            )
+            F.struct(F.lit(k).alias("ord"), before(k).alias("context"))
             for k in range(1, order + 1)
         ]
     )
@@ -129,17 +132,20 @@ def model_table(lm: LanguageModel) -> DataFrame:
     return lm.counts.join(p, GRAM_KEY)
 
 
-def _losses(grams_of: DataFrame, wanted: DataFrame, lm: LanguageModel, key: str) -> DataFrame:
-    """(key, nll, predicted): summed loss over all words but the first."""
-    p = materialise(probabilities(lm, wanted.filter(F.col("ord") <= lm.order)), "gram-p")
+def _losses(own: DataFrame, wanted: DataFrame, lm: LanguageModel, key: str) -> DataFrame:
+    """(key, nll, predicted): summed loss over all words but the first.
+
+    A gram counts once per text before it meets its probability, so even a gram
+    that every text holds is one row per text.
+    """
+    p = probabilities(lm, wanted.filter(F.col("ord") <= lm.order))
     # word i is scored by the longest gram that fits before it
-    scored = grams_of.filter(
+    scored = own.filter(
         (F.col("at") > 1) & (F.col("ord") == F.least(F.col("at"), F.lit(lm.order)))
     )
     per_gram = scored.groupBy(key, *GRAM_KEY).agg(F.count("*").alias("_c"))
-    side = F.broadcast(p) if fits_broadcast(p) else p
     return (
-        per_gram.join(side, GRAM_KEY)
+        per_gram.join(p, GRAM_KEY)
         .groupBy(key)
         .agg(
             F.sum(-F.log("p") * F.col("_c")).alias("nll"), F.sum("_c").alias("predicted")
@@ -148,8 +154,9 @@ def _losses(grams_of: DataFrame, wanted: DataFrame, lm: LanguageModel, key: str)
 
 
 def _sample_grams(df: DataFrame, order: int, key: str) -> tuple[DataFrame, DataFrame]:
-    own = materialise(grams(df, order, [key]), "sample-grams")
-    return own, materialise(own.select(*GRAM_KEY).distinct(), "wanted-grams")
+    """Grams of each text, and the distinct ones whose probability is needed."""
+    own = grams(df, order, [key])
+    return own, own.select(*GRAM_KEY).distinct()
 
 
 def perplexity(df: DataFrame, lm: LanguageModel, key: str = "sample_id") -> DataFrame:
@@ -184,7 +191,8 @@ def score_matrix(
 
     Samples are cut into grams once and all models read that table.
     """
-    own, wanted = _sample_grams(df, max(m.order for m in models.values()), key)
+    own = materialise(grams(df, max(m.order for m in models.values()), [key]), "sample-grams")
+    wanted = materialise(own.select(*GRAM_KEY).distinct(), "wanted-grams")
     losses = None
     for name, lm in models.items():
         one = _losses(own, wanted, lm, key).withColumn("model", F.lit(name))

@@ -29,9 +29,7 @@ def clip_contributions(
     norms = summed.groupBy(unit).agg(
         F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"), F.count("*").alias("_n")
     )
-    norms = materialise(norms, "norms")
-    total = norms.agg(F.sum("_n")).first()[0] or 0
-    scaled = lookup(summed, norms, unit, "_n", ["_norm"], total)
+    scaled = lookup(summed, norms, unit, "_n", ["_norm"], summed.count())
     factor = F.when(F.col("_norm") > clip, F.lit(clip) / F.col("_norm")).otherwise(F.lit(1.0))
     return scaled.select(unit, *keys, (F.col("value") * factor).alias("value"))
 
