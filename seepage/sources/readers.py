@@ -59,15 +59,18 @@ def read_pii_csv(
     """One text column of a headed CSV. Rows with too many fields are skipped,
     short rows are padded with nulls, cells may hold line breaks."""
     names = list(columns or spark.read.option("header", True).csv(path).columns)
-    # a spare last column is filled only by over-long rows
-    schema = StructType([StructField(c, StringType()) for c in [*names, "_extra"]])
+    schema = StructType([StructField(c, StringType()) for c in [*names, "_corrupt_record"]])
     rows = (
         spark.read.schema(schema)
-        .options(header=True, multiLine=True, quote='"', escape='"', nullValue="\u0001", emptyValue="")
+        .options(header=True, multiLine=True, quote='"', escape='"')
         .csv(path)
     )
+    # a row with another field count keeps its raw form; only commas outside
+    # quotes separate fields
+    bare = F.regexp_replace("_corrupt_record", r'(?s)"(?:[^"]|"")*+"', "")
+    commas = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
     cell = F.col(f"`{column}`")
-    return rows.filter(F.col("_extra").isNull()).select(
+    return rows.filter(F.coalesce(commas < len(names), F.lit(True))).select(
         F.when(~cell.isin(MISSING), cell).alias("text")
     )
 
