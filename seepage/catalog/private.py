@@ -10,6 +10,7 @@ from seepage.operators import language_model as lm
 from seepage.operators import private
 
 CLIP, SIGMA, SEED = 100.0, 0.3, 11
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")  # the public key domain
 
 
 def _events(spark, sf_dir):
@@ -30,10 +31,8 @@ def _noisy(spark, sf_dir):
     events = _events(spark, sf_dir)
     keys = ["day", "event_type"]
     clipped = private.clip_contributions(events, "user_id", keys, F.col("value"), CLIP)
-    types = events.select("event_type").distinct().agg(F.collect_set("event_type").alias("t"))
-    days = events.select("day").distinct()
-    # a handful of event types, listed once per day
-    domain = days.join(F.broadcast(types)).select("day", F.explode("t").alias("event_type"))
+    types = F.array(*[F.lit(t) for t in EVENT_TYPES])
+    domain = events.select("day").distinct().select("day", F.explode(types).alias("event_type"))
     out = private.noisy_sum(clipped, keys, domain, SIGMA, CLIP, test_seed=SEED)
     return out.select(F.col("day").cast("string").alias("day"), "event_type", F.round("noisy", 6).alias("noisy"))
 

@@ -79,8 +79,8 @@ def corpus_bleu(df: DataFrame, hyp: str, ref: str, key: str = "pos") -> DataFram
     counts over the whole corpus, add-one smoothing from bigrams on."""
     pairs = df.select(key, words(F.col(hyp)).alias("hyp"), words(F.col(ref)).alias("ref"))
     overlap = _gram_table(pairs, key, (1, 2, 3, 4))
-    both = overlap.groupBy().agg(
-        *[F.sum(F.when(F.col("n") == n, F.col("both")).otherwise(0)).alias(f"m{n}") for n in range(1, 5)]
+    both = overlap.agg(
+        *[F.sum(F.when(F.col("n") == n, F.col("both"))).alias(f"m{n}") for n in range(1, 5)]
     )
     # each hypothesis counts at least one gram, as in the sentence-level sums
     sizes = pairs.agg(
@@ -88,8 +88,9 @@ def corpus_bleu(df: DataFrame, hyp: str, ref: str, key: str = "pos") -> DataFram
         F.sum(F.size("hyp")).alias("hyp_len"),
         F.sum(F.size("ref")).alias("ref_len"),
     )
-    # both sides are single rows
-    joined = both.join(F.broadcast(sizes))
+    # one row from each side, put side by side by a last sum
+    stacked = both.unionByName(sizes, allowMissingColumns=True)
+    joined = stacked.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in stacked.columns])
     logs = F.log(F.col("m1") / F.col("t1"))
     for n in (2, 3, 4):
         logs = logs + F.log((F.col(f"m{n}") + 1) / (F.col(f"t{n}") + 1))

@@ -23,27 +23,20 @@ def lookup(
 
     ``weight`` counts the rows of ``facts`` (or a like-shaped table) behind a
     key and ``total`` is its sum. Keys above total/2000 number at most 2000, so
-    they are broadcast; rows they match leave the shuffle join under a spread
-    key that matches nothing.
+    they are broadcast and the rows that hold them never enter the shuffle; nor
+    do rows without a key. Only the light keys are joined by shuffle.
     """
     floor = max(1, total // HEAVY_SHARE)
-    heavy = table.filter(F.col(weight) > floor).select(
-        F.col(key).alias("_hk"), F.struct(*values).alias("_hv")
-    )
-    light = table.filter(F.col(weight) <= floor).select(
-        F.col(key).cast("string").alias("_lk"), F.struct(*values).alias("_lv")
-    )
-    tagged = facts.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
-    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*facts.columns), F.lit(4096)).cast("string"))
-    tagged = tagged.withColumn(
-        "_jk", F.when(F.col("_hk").isNull(), F.col(key).cast("string")).otherwise(spread)
-    )
-    joined = tagged.join(light, F.col("_jk") == F.col("_lk"), "left").withColumn(
-        "_v", F.coalesce("_hv", "_lv")
-    )
+    payload = F.struct(*values).alias("_v")
+    heavy = F.broadcast(table.filter(F.col(weight) > floor).select(F.col(key).alias("_k"), payload))
+    light = table.filter(F.col(weight) <= floor).select(F.col(key).alias("_k"), payload)
+    same = F.col(key) == F.col("_k")
     if how == "inner":
-        joined = joined.filter(F.col("_v").isNotNull())
-    return joined.select(*facts.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
+        first = facts.join(heavy, same)
+    else:
+        first = facts.join(heavy, same, "left").filter(F.col("_k").isNotNull() | F.col(key).isNull())
+    rest = facts.filter(F.col(key).isNotNull()).join(heavy, same, "left_anti").join(light, same, how)
+    return first.unionByName(rest).select(*facts.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
 def top_per_group(

@@ -238,50 +238,54 @@ def random_starts(spark, count: int, span: int, seed: int) -> DataFrame:
     )
 
 
-def gather_windows(stream: DataFrame, windows: DataFrame, length: int, column: str) -> DataFrame:
+def _pages(first: Column, last: Column, page: int) -> Column:
+    """Numbers of the stream pages that the places first..last lie on."""
+    return F.explode(F.sequence(F.floor(first / page), F.floor(last / page)))
+
+
+def gather_windows(
+    df: DataFrame, places: DataFrame, windows: DataFrame, length: int, order: str, column: str
+) -> DataFrame:
     """(win_id, start, items): ``length`` consecutive stream items from each start.
 
-    Stream rows carry ``offset`` and an array. The range condition becomes an
-    equality on pages of the stream: rows are cut at page borders, windows list
-    the one or two pages they touch.
+    ``places`` holds (order, _size, offset) of every row. The range condition
+    becomes an equality on fixed-size pages of the stream, tested on sizes alone;
+    the arrays of ``df`` are read only for the rows that a window touches.
     """
     page = max(length, 1024)
-    last = F.col("offset") + F.size(column) - 1
-    paged = stream.filter(F.size(column) > 0).select(
-        "offset",
-        column,
-        F.explode(
-            F.sequence(F.floor(F.col("offset") / page), F.floor(last / page))
-        ).alias("_page"),
-    )
-    begin = F.greatest(F.col("offset"), F.col("_page") * page)
-    end = F.least(F.col("offset") + F.size(column), (F.col("_page") + 1) * page)
-    pieces = paged.select(
-        "_page",
-        begin.alias("_at"),
-        F.slice(column, (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int")).alias("_items"),
-    )
     wanted = windows.select(
-        "win_id",
-        "start",
-        F.explode(
-            F.sequence(F.floor(F.col("start") / page), F.floor((F.col("start") + length - 1) / page))
-        ).alias("_page"),
+        "win_id", "start", _pages(F.col("start"), F.col("start") + length - 1, page).alias("_page")
+    )
+    held = places.filter(F.col("_size") > 0).select(
+        order,
+        "_size",
+        "offset",
+        _pages(F.col("offset"), F.col("offset") + F.col("_size") - 1, page).alias("_page"),
     )
     if fits_broadcast(wanted):
         wanted = F.broadcast(wanted)
-    begin = F.greatest(F.col("start"), F.col("_at"))
-    end = F.least(F.col("start") + length, F.col("_at") + F.size("_items"))
-    parts = (
-        pieces.join(wanted, "_page")
+    begin = F.greatest(F.col("start"), F.col("offset"))
+    end = F.least(F.col("start") + length, F.col("offset") + F.col("_size"))
+    cuts = (
+        held.join(wanted, "_page")
         .filter(begin < end)
+        # two rows that share several pages meet once
+        .filter(F.col("_page") == F.floor(begin / page))
         .select(
+            order,
             "win_id",
             "start",
             begin.alias("_from"),
-            F.slice("_items", (begin - F.col("_at") + 1).cast("int"), (end - begin).cast("int")).alias("_part"),
+            (begin - F.col("offset") + 1).cast("int").alias("_at"),
+            (end - begin).cast("int").alias("_n"),
         )
     )
+    cuts = materialise(cuts, "window-cuts")
+    if fits_broadcast(cuts):
+        cuts = F.broadcast(cuts)
+    parts = df.select(order, column).join(cuts, order).select(
+        "win_id", "start", "_from", F.slice(column, F.col("_at"), F.col("_n")).alias("_part")
+    )
     return parts.groupBy("win_id", "start").agg(
         F.flatten(
             F.transform(F.sort_array(F.collect_list(F.struct("_from", "_part"))), lambda p: p["_part"])
@@ -289,12 +293,19 @@ def gather_windows(stream: DataFrame, windows: DataFrame, length: int, column: s
     )
 
 
+def _random_windows(
+    df: DataFrame, order: str, column: str, count: int, length: int, margin: int, seed: int
+) -> DataFrame:
+    sizes = df.select(order, F.size(column).alias("_size"))
+    places = running_totals(sizes, [order], "_size")
+    total = places.agg(F.max("n_measure")).first()[0] or 0
+    starts = random_starts(df.sparkSession, count, max(total - margin, 0), seed)
+    return gather_windows(df, places, starts, length, order, column)
+
+
 def random_blocks(df: DataFrame, order: str, block: int, n: int, seed: int) -> DataFrame:
     """(win_id, start, x, y): blocks at ``n`` random places of the stream."""
-    stream = materialise(with_offsets(df, order), "stream")
-    total = stream.agg(F.max("n_tokens")).first()[0] or 0
-    starts = random_starts(df.sparkSession, n, max(total - block, 0), seed)
-    windows = gather_windows(stream, starts, block + 1, "ids")
+    windows = _random_windows(df, order, "ids", n, block + 1, block, seed)
     return windows.select(
         "win_id", "start", F.slice("items", 1, block).alias("x"), F.slice("items", 2, block).alias("y")
     )
@@ -309,12 +320,10 @@ def random_word_windows(
     the first ``n`` kept.
     """
     listed = df.select(order, token_words(F.col(column)).alias("_words"))
-    stream = materialise(with_offsets(listed, order, "_words"), "words")
-    total = stream.agg(F.max("n_tokens")).first()[0] or 0
-    starts = random_starts(df.sparkSession, 2 * n, max(total - length - 1, 0), seed)
-    windows = gather_windows(stream, starts, length, "_words").filter(F.size("items") == length)
+    windows = _random_windows(listed, order, "_words", 2 * n, length, length + 1, seed)
     return (
-        windows.orderBy("win_id")
+        windows.filter(F.size("items") == length)
+        .orderBy("win_id")
         .limit(n)
         .select(
             F.col("win_id").alias("prompt_id"),

@@ -153,12 +153,15 @@ def read_ranked_report(spark: SparkSession, path: str, clean: bool = False) -> D
     placed = running_totals(flagged, LINE_ORDER, "_head").withColumn(
         "block_id", F.col("offset") + F.col("_head")
     )
-    body = F.sort_array(F.collect_list(F.when(F.col("_head") == 0, F.struct("pos", "text"))))
+    # lines before the first header of their file belong to no sample
+    starts = placed.filter(F.col("_head") == 1).groupBy("_file").agg(F.min("pos").alias("_start"))
+    starts = F.broadcast(starts) if fits_broadcast(starts) else starts
+    body = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"])
     blocks = (
-        placed.groupBy("_file", "block_id")
-        .agg(F.max("_head").alias("_started"), body.alias("_b"))
-        .filter((F.col("_started") == 1) & (F.size("_b") > 0))
-        .select("block_id", F.array_join(F.transform("_b", lambda p: p["text"]), " ").alias("text"))
+        placed.join(starts, "_file")
+        .filter((F.col("pos") > F.col("_start")) & (F.col("_head") == 0))
+        .groupBy("block_id")
+        .agg(F.array_join(body, " ").alias("text"))
     )
     if clean:
         blocks = blocks.groupBy("text").agg(F.min("block_id").alias("block_id")).select("block_id", "text")

@@ -67,11 +67,12 @@ def test_collate_pads_to_its_own_batch(spark):
 def test_windows_equal_slices_of_the_stream(spark):
     rng = random.Random(3)
     sizes = [rng.choice([0, 1, 3, 40, 2500]) for _ in range(30)]
-    df = tokens.with_offsets(stream(spark, sizes), "k")
+    df = stream(spark, sizes)
+    places = tokens.running_totals(df.select("k", F.size("ids").alias("_size")), ["k"], "_size")
     total = sum(sizes)
     starts = [(i, rng.randrange(total - 50)) for i in range(60)] + [(99, 0)]
     windows = spark.createDataFrame(starts, "win_id long, start long")
-    out = {r["win_id"]: r["items"] for r in tokens.gather_windows(df, windows, 50, "ids").collect()}
+    out = {r["win_id"]: r["items"] for r in tokens.gather_windows(df, places, windows, 50, "k", "ids").collect()}
     assert out == {i: list(range(s, s + 50)) for i, s in starts}
 
 
