@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seepage.operators import clean, sample, tokens
+from seepage.session import materialise
 
 
 def mail_lines(mails: DataFrame, key: str = "path") -> DataFrame:
@@ -25,7 +26,7 @@ def training_blocks(
 ) -> dict[str, DataFrame]:
     """Vocabulary, split ids and packed blocks of each split."""
     split = sample.split_by_position(lines, [order], share)
-    vocab = tokens.build_vocab(lines, max_vocab)
+    vocab = materialise(tokens.build_vocab(lines, max_vocab), "vocab")
     parts = {}
     for name in ("train", "val"):
         ids = tokens.encode(split.filter(F.col("split") == name), vocab, order)
