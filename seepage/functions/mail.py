@@ -22,7 +22,7 @@ def head(raw: Column) -> Column:
 
 def header(head_text: Column, name: str) -> Column:
     """First value of a header; folded lines keep their breaks; null if absent."""
-    pattern = rf"(?i)(?:^|\n){name}:[ \t]*([^\n]*(?:\n[ \t][^\n]*)*)"
+    pattern = rf"(?i)(?:^|\n){name}:[ \t]*([^\n]*+(?:\n[ \t][^\n]*+)*+)"
     return F.when(F.regexp_like(head_text, F.lit(pattern)), F.regexp_extract(head_text, pattern, 1))
 
 

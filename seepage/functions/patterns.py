@@ -77,11 +77,25 @@ find_phone = _find(
     rf"{DIGIT}{{3,4}}(?:{SPACE}|[.-])?{DIGIT}{{4}}"
 )
 find_handle = _find(rf"@(?<!{WORD}@){WORD}{{1,15}}+(?![\p{{L}}\p{{N}}_@.])")
-find_address = _find(
-    rf"(?={DIGIT})(?<!{WORD}){DIGIT}{{1,5}}{SPACE}+(?:[A-Z][a-z]+{SPACE})+(?:{STREET_WORDS})(?!{WORD})"
+# A long run is first taken whole and then cut at its last fitting place: a
+# repeated group that has to give back would recurse once per repeat.
+_find_address_runs = _find(
+    rf"(?={DIGIT})(?<!{WORD}){DIGIT}{{1,5}}{SPACE}++(?:[A-Z][a-z]++{SPACE})++(?:[A-Z][a-z]++(?!{WORD}))?+"
 )
 
 
+def _cut(runs: Column, pattern: str) -> Column:
+    """The leading part of each run that fits, without those that have none."""
+    parts = F.transform(runs, lambda r: F.regexp_extract(r, pattern, 1))
+    return F.filter(parts, lambda r: r != "")
+
+
+def find_address(text: Column) -> Column:
+    """Number, capitalised words, street word."""
+    last = rf"(?s)^({DIGIT}+{SPACE}+[A-Z][a-z]+{SPACE}(?:.*{SPACE})?(?:{STREET_WORDS}))(?!{WORD})"
+    return _cut(_find_address_runs(text), last)
+
+
 def find_contact(text: Column) -> Column:
     return F.concat(find_email(text), find_phone(text), find_handle(text), find_address(text))
 
@@ -89,9 +103,17 @@ def find_contact(text: Column) -> Column:
 find_news = _keywords(f"{NEWS_WORDS}|{TECH_WORDS}")
 find_tech = _keywords(TECH_WORDS)
 find_license = _find(rf"(?iu)(?=[{_first(LICENSE_WORDS)}])({LICENSE_WORDS})", 1)
-find_url = _find(
-    rf"(?iu)(?=[hfw])(?<!{WORD})((?:https?|ftp|www)[.:/\\]?{WORD}++(?:[.:/\\]{WORD}++)*\.(?:{TOP_DOMAINS}))", 1
-)
+_URL_START = r"(?:https?|ftp|www)[.:/\\]?"
+_find_url_runs = _find(rf"(?iu)(?=[hfw])(?<!{WORD}){_URL_START}{WORD}++(?:[.:/\\]{WORD}++)*+")
+
+
+def find_url(text: Column) -> Column:
+    """Prefix, at most one separator, word parts, up to the last known domain."""
+    return _cut(
+        _find_url_runs(text), rf"(?isu)^({_URL_START}{WORD}++.*\.(?:{TOP_DOMAINS}))"
+    )
+
+
 find_promo = _keywords(PROMO_WORDS)
 find_code = _find(rf"(?=[dcf<])(?:def |class |function{SPACE}+|</?[a-z]+>)")
 find_config = _find(rf"(?md)\[[^\]\n]*+\]|^[a-zA-Z0-9_]++{SPACE}*={SPACE}*.+$")

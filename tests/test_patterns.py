@@ -44,6 +44,8 @@ TEXTS = [
     "aka Bob also known as  Eve anno Domini Traceback (most recent call last) x.log y.trace IOError",
     "<form a>\n</form><form></form> <input type=x " + "A1b2" * 9 + " short=",
     "",
+    "www.com www.com.net httpscom.net https.com ftp.www.com/x www.a.com/www.b.xyz www.a.com/b.org/c",
+    "12 Main St. 7 Aa Street9 8 Bb Cc Street Dd Road x 9 Ee Rd Ff, 5  Gg Court\nHh 6 Street 10 Street Ave",
 ]
 
 
@@ -64,11 +66,11 @@ def test_contact_concatenates_in_order(spark):
 
 
 def test_long_hopeless_inputs_stay_fast(spark):
-    evil = ["https" + "a" * 5000, "a." * 5000, "1" * 20000, "Abc, " * 3000 + "x", "[" * 200]
+    evil = ["https" + "a" * 5000, "a." * 5000, "1" * 20000, "Abc, " * 3000 + "x", "[" * 200, "www" + ".a" * 30000, "12 " + "Abc " * 30000]
     df = spark.createDataFrame([(e,) for e in evil], "text string")
-    finders = [P.find_url, P.find_email, P.find_numbers, P.find_named_list, P.find_config]
+    finders = [P.find_url, P.find_email, P.find_numbers, P.find_named_list, P.find_config, P.find_address]
     row = df.select(*[F.sum(F.size(f(F.col("text")))).alias(str(i)) for i, f in enumerate(finders)]).first()
-    assert list(row) == [0, 0, 0, 1, 0]
+    assert list(row) == [0, 0, 0, 1, 0, 0]
 
 
 def test_register_adds_or_replaces():
