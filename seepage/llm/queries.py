@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm import mixing, quality_rules, sharding, url_filter
+from seepage.llm import bpe, html_extract, mixing, pivot_search, quality_model, quality_rules, sharding, simhash, url_filter
 from seepage.llm.common import table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 URL_RULES = (
     url_filter.Rule("allow", "com", "/"),
     url_filter.Rule("block", "example.com", "/en/"),
@@ -30,23 +33,67 @@ def op1_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "quality.*")
 
 
+def op5_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = pivot_search.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op6_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_model.score(docs, model)
+    return scored.select(
+        "doc_id",
+        quality_model.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    encoded = bpe.encode(docs, TOKENIZER).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(joined, 256).alias("ids_sha256"),
+        "ids",
+    )
+    return bpe.decode(encoded, TOKENIZER).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_lpt_sharding": op1_lpt_sharding,
+    "op2_simhash": op2_simhash,
+    "op3_consensus_paths": op3_consensus_paths,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pivot_search": op5_pivot_search,
     "op6_url_trie": op6_url_trie,
+    "op7_quality_model": op7_quality_model,
+    "op8_bpe": op8_bpe,
     "op10_mixing": op10_mixing,
 }
 
