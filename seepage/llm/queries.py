@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm import bpe, html_extract, mixing, pivot_search, quality_model, quality_rules, sharding, simhash, url_filter
+from seepage.llm import bpe, html_extract, mixing, pivot_search, quality_model, quality_rules, sharding, simhash, suffix_dedup, url_filter
 from seepage.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -81,6 +81,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, TOKENIZER).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
 
@@ -94,6 +105,7 @@ QUERIES = {
     "op6_url_trie": op6_url_trie,
     "op7_quality_model": op7_quality_model,
     "op8_bpe": op8_bpe,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
 }
 
