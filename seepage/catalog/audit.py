@@ -44,7 +44,7 @@ def _zero_filled(spark, sf_dir):
 
 def _totals(spark, sf_dir):
     counts = audit.zero_fill(
-        audit.leak_counts(_found(spark, sf_dir), examples=False), audit.category_table(spark)
+        audit.leak_counts(_found(spark, sf_dir)), audit.category_table(spark)
     )
     return audit.audit_totals(counts, samples(spark, sf_dir))
 
@@ -64,18 +64,15 @@ def _choose(spark, sf_dir):
     return rows[0].unionByName(rows[1])
 
 
+def _arriving(spark, sf_dir, name):
+    """A table whose files arrive as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}*.parquet")
+
+
 def _stream(spark, sf_dir):
-    """Pages arrive as a stream; counts equal those of a single run."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    stream = (
-        spark.readStream.schema(pages.schema)
-        .option("pathGlobFilter", "pages*.parquet")
-        .parquet(sf_dir)
-        .select(
-            F.concat(F.lit("p"), F.col("page_id")).alias("sample_id"),
-            common.flat("html").alias("text"),
-        )
-    )
+    """All samples arrive as streams; counts equal those of a single run."""
+    stream = common.samples(spark, sf_dir, lambda name: _arriving(spark, sf_dir, name))
     found = run_audit_stream(
         stream,
         documents(spark, sf_dir),
@@ -90,8 +87,9 @@ def _compare(spark, sf_dir):
     plain = samples(spark, sf_dir)
     private = plain.withColumn("text", F.regexp_replace("text", "[0-9]", "#"))
     lines = audit.corpus_lines(documents(spark, sf_dir))
+    names = common.names(spark, sf_dir)
     counts = [
-        audit.leak_counts(audit.found_in_corpus(audit.candidates(s), lines), examples=False)
+        audit.leak_counts(audit.found_in_corpus(audit.candidates(s, names=names), lines))
         for s in (plain, private)
     ]
     return audit.compare_plain_dp(*counts).withColumn("reduction", F.round("reduction", 6))
@@ -104,10 +102,7 @@ def _candidate_sql(source: str, named: bool = True) -> str:
     ]
     if named:
         parts.append(
-            rf"""SELECT sample_id, '{P.NAMES}' AS category, match FROM (
-  SELECT DISTINCT sample_id, unnest(regexp_extract_all(text,
-    '(?:^|[^\p{{L}}\p{{N}}_])(\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+){{0,2}})', 1)) AS match FROM {source})
-WHERE lower(split_part(match, ' ', 1)) IN (SELECT name FROM names)"""
+            f"SELECT sample_id, '{P.NAMES}' AS category, match FROM ({common.name_sql(source)})"
         )
     return "\nUNION ALL\n".join(parts)
 
@@ -115,22 +110,27 @@ WHERE lower(split_part(match, ' ', 1)) IN (SELECT name FROM names)"""
 def _with(source: str = "samples", named: bool = True) -> str:
     return f"""WITH {common.SAMPLES}, {common.NAMES}, {common.LINES},
 dp_samples AS (SELECT sample_id, regexp_replace(text, '[0-9]', '#', 'g') AS text FROM samples),
-page_samples AS (SELECT * FROM samples WHERE sample_id LIKE 'p%'),
 cands AS ({_candidate_sql(source, named)}),
 hits AS (SELECT term FROM (SELECT DISTINCT lower(match) AS term FROM cands) t
   WHERE EXISTS (SELECT 1 FROM lines WHERE contains(line, term))),
 found AS (SELECT * FROM cands WHERE lower(match) IN (SELECT term FROM hits))"""
 
 
-_COUNTS = """SELECT category, count(DISTINCT sample_id) AS unique_sample_count,
-  count(*) AS total_match_count,
-  array_to_string(list_sort(list_distinct(list(match))), '; ') AS examples
+_COUNTS = """SELECT category, count(DISTINCT sample_id) AS unique_sample_count, count(*) AS total_match_count
+FROM found GROUP BY category"""
+
+_EXAMPLES = """SELECT category, array_to_string(list_sort(list_distinct(list(match))), '; ') AS examples
 FROM found GROUP BY category"""
 
 _DIM = "(VALUES " + ", ".join(
     f"({i}, '{e.name}', {'true' if e.is_pii else 'false'})" for i, e in enumerate(P.DEFAULT)
 ) + ") dim(ord, category, is_pii)"
 
+SUMMARY_SQL = f"""{_with()}
+SELECT dim.category, coalesce(unique_sample_count, 0) AS first_count, coalesce(total_match_count, 0) AS second_count,
+  coalesce(examples, '') AS examples
+FROM {_DIM} LEFT JOIN ({_COUNTS}) c ON c.category = dim.category LEFT JOIN ({_EXAMPLES}) e ON e.category = dim.category"""
+
 QUERIES = {
     "a1_candidates": _candidates,
     "a2_found_in_corpus": _found,
@@ -150,7 +150,7 @@ ORACLES = {
     "a4_zero_fill": f"""{_with()}
 SELECT CAST(ord AS BIGINT) AS ord, dim.category, is_pii,
   coalesce(unique_sample_count, 0) AS unique_sample_count,
-  coalesce(total_match_count, 0) AS total_match_count, coalesce(examples, '') AS examples
+  coalesce(total_match_count, 0) AS total_match_count
 FROM {_DIM} LEFT JOIN ({_COUNTS}) c ON c.category = dim.category""",
     "a5_audit_totals": f"""{_with()}, counts AS (
   SELECT count(DISTINCT (category, sample_id)) AS s, count(*) AS m FROM found
@@ -158,7 +158,7 @@ FROM {_DIM} LEFT JOIN ({_COUNTS}) c ON c.category = dim.category""",
 SELECT 'Total Samples' AS metric, count(*) AS value FROM samples
 UNION ALL SELECT 'Total PII Sample Matches', s FROM counts
 UNION ALL SELECT 'Total PII Match Occurrences', m FROM counts""",
-    "a6_audit_stream": f"{_with('page_samples')} {_COUNTS}",
+    "a6_audit_stream": f"{_with()} {_COUNTS}",
     "a7_distinct_lookup": f"""{_with()}
 SELECT lower(match) AS term, count(*) AS n_candidates FROM cands GROUP BY 1""",
     "a8_choose_corpus": f"""WITH split AS (
@@ -170,7 +170,7 @@ FROM split GROUP BY sample_file""",
     "d5_compare_plain_dp": f"""SELECT coalesce(p.category, d.category) AS category,
   coalesce(p.n, 0) AS plain_matches, coalesce(d.n, 0) AS dp_matches,
   round((coalesce(p.n, 0) - coalesce(d.n, 0)) / CAST(nullif(coalesce(p.n, 0), 0) AS DOUBLE), 6) AS reduction
-FROM (SELECT category, count(*) AS n FROM ({_with("samples", False)} SELECT * FROM found) GROUP BY 1) p
-FULL JOIN (SELECT category, count(*) AS n FROM ({_with("dp_samples", False)} SELECT * FROM found) GROUP BY 1) d
+FROM (SELECT category, count(*) AS n FROM ({_with("samples")} SELECT * FROM found) GROUP BY 1) p
+FULL JOIN (SELECT category, count(*) AS n FROM ({_with("dp_samples")} SELECT * FROM found) GROUP BY 1) d
 ON p.category = d.category""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,18 +27,17 @@ def flat(column: str):
     return F.regexp_replace(F.col(column), _FLAT, " ")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample_id, text): pages, conversation turns and benchmark passages."""
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
-        F.concat(F.lit("p"), F.col("page_id")).alias("sample_id"), flat("html").alias("text")
-    )
-    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select(
-        F.concat(F.lit("c"), F.col("conv_id"), F.lit(":"), F.col("turn")).alias("sample_id"),
-        flat("text").alias("text"),
-    )
-    passages = table(spark, sf_dir, "benchmark").select(
-        F.concat(F.lit("b"), F.col("item_id")).alias("sample_id"), flat("text").alias("text")
+def samples(spark: SparkSession, sf_dir: str, read: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """(sample_id, text): pages, conversation turns and benchmark passages.
+
+    ``read`` gives a table by name; by default the whole table as it is.
+    """
+    read = read or (lambda name: spread(table(spark, sf_dir, name)))
+    pages = read("pages").select(F.concat(F.lit("p"), F.col("page_id")).alias("sample_id"), flat("html").alias("text"))
+    turns = read("conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id"), F.lit(":"), F.col("turn")).alias("sample_id"), flat("text").alias("text")
     )
+    passages = read("benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("sample_id"), flat("text").alias("text"))
     return pages.unionByName(turns).unionByName(passages)
 
 
@@ -59,6 +60,17 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = r"""names AS (
   SELECT DISTINCT lower(unnest(regexp_extract_all(text, '\p{Lu}\p{Ll}{3,}'))) AS name FROM benchmark)"""
 
+def name_sql(source: str) -> str:
+    """Title-case runs of (sample_id, text), cut before each word on the list."""
+    return rf"""SELECT DISTINCT sample_id, array_to_string(ws[pos:nxt - 1], ' ') AS match FROM (
+  SELECT sample_id, ws, pos, coalesce(lead(pos) OVER (PARTITION BY sample_id, run ORDER BY pos), len(ws) + 1) AS nxt
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS pos FROM (
+    SELECT sample_id, run, string_split(run, ' ') AS ws FROM (
+      SELECT DISTINCT sample_id, unnest(regexp_extract_all(text,
+        '(?:^|[^\p{{L}}\p{{N}}_])(\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*)', 1)) AS run FROM {source})))
+  WHERE lower(ws[pos]) IN (SELECT name FROM names))"""
+
+
 LINES = f"""lines AS (
   SELECT line FROM (SELECT unnest(string_split_regex(lower(text), '{LINE_BREAK}')) AS line FROM documents)
   WHERE line <> '')"""

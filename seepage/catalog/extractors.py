@@ -78,11 +78,8 @@ def _names_query(spark, sf_dir):
     return hits.groupBy("match").agg(F.count("*").cast("bigint").alias("n_samples"))
 
 
-_NAMES_SQL = rf"""{_TEXTS}, {common.NAMES}, runs AS (
-  SELECT DISTINCT sample_id, unnest(regexp_extract_all(text,
-    '(?:^|[^\p{{L}}\p{{N}}_])(\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+){{0,2}})', 1)) AS match FROM texts)
-SELECT match, count(*) AS n_samples FROM runs
-WHERE lower(split_part(match, ' ', 1)) IN (SELECT name FROM names) GROUP BY match"""
+_NAMES_SQL = f"""{_TEXTS}, {common.NAMES}
+SELECT match, count(*) AS n_samples FROM ({common.name_sql("texts")}) GROUP BY match"""
 
 
 def _registry_query(spark, sf_dir):

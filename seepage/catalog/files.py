@@ -9,10 +9,11 @@ from seepage.catalog import common
 from seepage.catalog.cleaning import ORACLES as CLEANING
 from seepage.catalog.cleaning import _mails, _strip_sql
 from seepage.catalog.common import documents, spread, table
+from seepage.catalog.tokens import WORDS as TOKEN_SQL
 from seepage.functions.text import SPACE
 from seepage.operators import audit, clean, sample, tokens
 from seepage.operators import language_model as lm
-from seepage.session import shared_path
+from seepage.session import materialise, shared_path
 from seepage.sources import readers, writers
 
 
@@ -155,9 +156,9 @@ def _samples(spark, sf_dir):
 def _token_table(spark, sf_dir):
     path = shared_path(spark, "tokens")
     split = sample.split_by_position(documents(spark, sf_dir), ["doc_id"])
-    writers.write_token_table(
-        split.select("doc_id", "split", F.transform(tokens.token_words(F.col("text")), lambda w: F.length(w)).alias("ids")), path
-    )
+    vocab = materialise(tokens.build_vocab(split), "vocab")
+    ids = tokens.encode(split, vocab, "doc_id")
+    writers.write_token_table(split.select("doc_id", "split").join(ids, "doc_id"), path)
     back = spark.read.parquet(path)
     return back.select("doc_id", "split", F.array_join("ids", ",").alias("ids"))
 
@@ -180,9 +181,10 @@ def _ranked_report(spark, sf_dir):
 
 def _summary(spark, sf_dir):
     path = shared_path(spark, "summary")
-    counts = audit_queries._zero_filled(spark, sf_dir)
+    found = materialise(audit_queries._found(spark, sf_dir), "found")
+    counts = audit.zero_fill(audit.leak_counts(found), audit.category_table(spark))
     totals = audit.audit_totals(counts, common.samples(spark, sf_dir))
-    writers.write_summary_csv(counts, totals, path)
+    writers.write_summary_csv(audit.with_examples(counts, found), totals, path)
     rows = spark.read.options(header=True, escape='"').csv(path)
     return rows.select(
         F.col("Category").alias("category"),
@@ -249,7 +251,7 @@ SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, text FROM l""",
 FROM documents WHERE {_strip_sql(_ESCAPED)} <> ''""",
     "w3_write_samples": r"""WITH l AS (SELECT unnest(string_split_regex(text || chr(10), '\r\n?|\n')) AS line FROM documents)
 SELECT count(*) AS n_lines, count(*) FILTER (WHERE line = '') AS n_blank FROM l""",
-    "w4_write_token_table": f"""SELECT doc_id, split, array_to_string(list_transform({_WORDS}, lambda w: length(w)), ',') AS ids FROM {_SPLIT}""",
+    "w4_write_token_table": f"""WITH {TOKEN_SQL} SELECT doc_id, split, array_to_string(ids, ',') AS ids FROM {_SPLIT} JOIN encoded USING (doc_id)""",
     "w5_write_ranked_report": rf"""WITH scored AS (SELECT doc_id, n_chars + 10.0 AS m, length(source) + 2.0 AS o, {_ESCAPED} AS body FROM documents),
 long AS (SELECT 'model perplexity' AS metric, doc_id, -ln(m) AS v, 'model=' || printf('%.3f', m) AS s, body FROM scored
   UNION ALL SELECT 'ratio of other to model perplexity', doc_id, ln(o) / ln(m), 'model=' || printf('%.3f', m) || ', other=' || printf('%.3f', o), body FROM scored),
@@ -258,8 +260,7 @@ lines AS (SELECT rank || ': ' || s || ', score=' || printf('%.3f', v) AS line FR
   UNION ALL SELECT body FROM ranked WHERE rank <= 100
   UNION ALL SELECT '======== top 100 samples by ' || metric || ': ========' FROM ranked WHERE rank = 1)
 SELECT line, count(*) AS n FROM lines GROUP BY line""",
-    "w6_write_summary_csv": f"""SELECT category, unique_sample_count AS first_count, total_match_count AS second_count, examples
-FROM ({audit_queries.ORACLES["a4_zero_fill"]})
+    "w6_write_summary_csv": f"""SELECT * FROM ({audit_queries.SUMMARY_SQL})
 UNION ALL SELECT metric, value, NULL, '' FROM ({audit_queries.ORACLES["a5_audit_totals"]})
 UNION ALL SELECT NULL, NULL, NULL, ''""",
 }

@@ -11,7 +11,7 @@ from seepage.operators import language_model as lm
 from seepage.operators import private, sample, tokens
 from seepage.operators.language_model import GRAM_KEY
 
-CLIP, SIGMA, SEED = 50.0, 0.01, 7
+CLIP, SIGMA, SEED, SMALL_SEED = 50.0, 0.01, 7, 8
 
 
 def turns(spark, sf_dir):
@@ -24,11 +24,16 @@ def _model(spark, sf_dir, order=2):
     return lm.fit_ngram_lm(documents(spark, sf_dir), order)
 
 
-def _dp_model(spark, sf_dir, domain, order=2):
+def public_grams(spark, sf_dir, order=2):
+    """The grams of the public passages: what a private release may speak of."""
+    return lm.grams(table(spark, sf_dir, "benchmark"), order).select(*GRAM_KEY).distinct()
+
+
+def _dp_model(spark, sf_dir, domain, seed, order=2):
     """Each source is one unit whose contribution is bounded."""
     docs = spread(table(spark, sf_dir, "documents").select("source", "text"))
     return private.fit_dp_ngram_lm(
-        docs, "source", domain, order, clip=CLIP, sigma=SIGMA, test_seed=SEED
+        docs, "source", domain, order, clip=CLIP, sigma=SIGMA, test_seed=seed
     )
 
 
@@ -45,11 +50,11 @@ def _fit(order):
 
 
 def _models(spark, sf_dir):
-    """Small and large, plain and private: orders one and two, with and without noise."""
+    """Small and large, plain and private: orders one and two, with and without
+    noise of their own."""
     large = _model(spark, sf_dir, 2)
-    domain = large.counts.select(*GRAM_KEY)
-    large_dp = _dp_model(spark, sf_dir, domain, 2)
-    small_dp = _dp_model(spark, sf_dir, domain.filter("ord = 1"), 1)
+    large_dp = _dp_model(spark, sf_dir, public_grams(spark, sf_dir, 2), SEED, 2)
+    small_dp = _dp_model(spark, sf_dir, public_grams(spark, sf_dir, 1), SMALL_SEED, 1)
     small = lm.LanguageModel(large.counts.filter("ord = 1"), 1)
     return {"nano": small, "nano_dp": small_dp, "gpt2": large, "gpt2_dp": large_dp}
 
@@ -102,6 +107,19 @@ def _six_rankings(spark, sf_dir):
     return best.unionByName(ratios)
 
 
+def _five_rankings(spark, sf_dir):
+    """The report without compressed size, which SQL can't compute."""
+    names = ["nano", "nano_dp", "gpt2", "gpt2_dp", "lower"]
+    samples, models = turns(spark, sf_dir), _models(spark, sf_dir)
+    scored = lm.score_matrix(samples, models).drop("text").join(lm.lower_perplexity(samples, models["gpt2_dp"]), "sample_id")
+    # rounded before they rank, so that engines agree on ties
+    filled = _rounded(lm.fill_scores(scored, names), *names, digits=4)
+    best = lm.rank_by_perplexity(filled, "gpt2_dp")
+    ratios = lm.rank_by_ratio(filled, "gpt2_dp", [n for n in names if n != "gpt2_dp"])
+    out = best.unionByName(ratios).withColumn("rank", F.col("rank").cast("bigint"))
+    return _rounded(out, "value").select("metric", "rank", "sample_id", "score1", "score2", "value")
+
+
 def _heldout(spark, sf_dir):
     split = sample.split_by_position(documents(spark, sf_dir), ["doc_id"])
     model = lm.fit_ngram_lm(split.filter("split = 'train'"), 2)
@@ -150,17 +168,21 @@ def gauss_sql(seed: int, key: str) -> str:
     return f"(sqrt(-2 * ln(({u} + 1) / 281474976710656.0)) * cos(2 * pi() * (({v} + 1) / 281474976710656.0)))"
 
 
-def _noisy(name: str, kept: str) -> str:
-    """CTEs that end in ``name``: clipped by source, summed, noised, floored."""
-    noise = gauss_sql(SEED, "ord || ':' || context || ':' || token")
+def _noisy(name: str, order: int, seed: int) -> str:
+    """CTEs that end in ``name``: clipped by source, summed, noised over the domain, floored."""
+    noise = gauss_sql(seed, "ord || ':' || context || ':' || token")
     return f"""{name}_clipped AS (SELECT ord, context, token,
-  v * least(1.0, {CLIP} / sqrt(sum(v * v) OVER (PARTITION BY source))) AS v FROM contrib WHERE {kept}),
+  v * least(1.0, {CLIP} / sqrt(sum(v * v) OVER (PARTITION BY source))) AS v FROM contrib WHERE ord <= {order}),
 {name}_sums AS (SELECT ord, context, token, sum(v) AS v FROM {name}_clipped GROUP BY ALL),
-{name} AS (SELECT ord, context, token, greatest(0.0, v + {SIGMA * CLIP} * {noise}) AS n FROM {name}_sums)"""
+{name} AS (SELECT ord, context, token, greatest(0.0, coalesce(v, 0.0) + {SIGMA * CLIP} * {noise}) AS n
+  FROM domain LEFT JOIN {name}_sums USING (ord, context, token) WHERE ord <= {order})"""
+
+
+DOMAIN = _listed("public", "benchmark", "item_id") + ", domain AS (SELECT DISTINCT ord, context, token FROM public)"
 
 
 CONTRIB = "contrib AS (SELECT source, ord, context, token, CAST(count(*) AS DOUBLE) AS v FROM corpus GROUP BY ALL)"
-DP_COUNTS = f"{CONTRIB}, {_noisy('dp_counts', 'true')}, {_noisy('small_dp', 'ord = 1')}"
+DP_COUNTS = f"{DOMAIN}, {CONTRIB}, {_noisy('dp_counts', 2, SEED)}, {_noisy('small_dp', 1, SMALL_SEED)}"
 
 
 def _p(name: str, counts: str, wanted: str, order: int = 2) -> str:
@@ -212,6 +234,27 @@ def _ratio_sql(other: str) -> str:
   CAST({other} AS DOUBLE) AS score2, ln({other}) / ln(gpt2) AS value FROM filled"""
 
 
+def _five_sql() -> str:
+    names = ["nano", "nano_dp", "gpt2", "gpt2_dp", "lower"]
+    filled = ", ".join(f"coalesce(round({_column(n)}, 4), 1e9) AS {n}" for n in names)
+    ratios = " ".join(
+        f"UNION ALL SELECT 'ratio of {n} to gpt2_dp perplexity', sample_id, gpt2_dp, {n}, ln({n}) / ln(gpt2_dp) FROM filled"
+        for n in names
+        if n != "gpt2_dp"
+    )
+    lowered = _listed("low", "lower_turns", "sample_id")
+    return f"""WITH {TURNS}, {COUNTS}, {DP_COUNTS}, {_OWN}, {_score('nano', 'counts', 1)},
+{_score('nano_dp', 'small_dp', 1)}, {_score('gpt2', 'counts')}, {_score('gpt2_dp', 'dp_counts')},
+lower_turns AS (SELECT sample_id, lower(text) AS text FROM turns), {lowered},
+low_wanted AS (SELECT DISTINCT ord, context, token FROM low),
+{_p('lower', 'dp_counts', 'low_wanted')}, {_loss('lower', 'low', 'sample_id')},
+filled AS (SELECT turns.sample_id, {filled} {_wide(names)}),
+long AS (SELECT 'gpt2_dp perplexity' AS metric, sample_id, gpt2_dp AS score1, NULL::DOUBLE AS score2, -ln(gpt2_dp) AS value FROM filled
+  {ratios}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, sample_id) AS rank FROM long)
+SELECT metric, rank, sample_id, score1, score2, round(value, 6) AS value FROM ranked WHERE rank <= 100"""
+
+
 QUERIES = {
     "l1_fit_ngram_lm": _fit(2),
     "l1_fit_unigram_lm": _fit(1),
@@ -228,6 +271,7 @@ QUERIES = {
     "l6_fill_scores": _filled,
     "l7_rank_by_perplexity": _by_perplexity,
     "l8_rank_by_ratio": _by_ratio,
+    "l8_five_rankings": _five_rankings,
     "l8_six_rankings": _six_rankings,
     "l9_heldout_loss": _heldout,
     "l10_next_token_topk": _topk,
@@ -260,6 +304,7 @@ SELECT 'gpt2 perplexity' AS metric, sample_id, round(gpt2, 4) AS score1, round(-
 ranked AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, sample_id) AS rank FROM long)
 SELECT metric, sample_id, round(score1, 4) AS score1, round(score2, 4) AS score2, round(value, 4) AS value, rank
 FROM ranked WHERE rank <= 100""",
+    "l8_five_rankings": _five_sql(),
     "l9_heldout_loss": f"""WITH split_docs AS (
   SELECT doc_id, text, CASE WHEN pos < floor(n * 0.9::DOUBLE) THEN 'train' ELSE 'val' END AS split
   FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)),
@@ -277,5 +322,5 @@ SELECT context, token, rank, round(w / sum(w) OVER (PARTITION BY context), 6) AS
     "l12_sample_entropy": f"""WITH counted AS (SELECT doc_id, token, count(*) AS c FROM (
   SELECT doc_id, unnest({WS}) AS token FROM documents) GROUP BY ALL),
 shared AS (SELECT doc_id, CAST(c AS DOUBLE) / sum(c) OVER (PARTITION BY doc_id) AS q FROM counted)
-SELECT doc_id, round(-sum(q * log2(q)) + 0.0, 6) AS entropy FROM shared GROUP BY doc_id""",
+SELECT doc_id, round(coalesce(-sum(q * log2(q)), 0) + 0.0, 6) AS entropy FROM documents LEFT JOIN shared USING (doc_id) GROUP BY doc_id""",
 }

@@ -76,8 +76,12 @@ def _match(spark, sf_dir):
     return out.withColumns({c: F.round(c, 5) for c in ("precision", "recall", "f1")})
 
 
-def _report(spark, sf_dir):
-    return metrics.metric_report(_pairs(spark, sf_dir), _vectors(spark, sf_dir), _vector_id(spark, sf_dir))
+def _report(stemmed):
+    def query(spark, sf_dir):
+        out = metrics.metric_report(_pairs(spark, sf_dir), _vectors(spark, sf_dir), _vector_id(spark, sf_dir), stemmed=stemmed)
+        return out.withColumns({c: F.round(c, 4) for c in ("plain", "dp")})
+
+    return query
 
 
 _PAIRS = """pairs AS (SELECT u.conv_id || ':' || u.turn AS pos, u.text AS reference, a.text AS plain, lower(a.text) AS dp
@@ -136,9 +140,39 @@ QUERIES = {
     "m4_rouge_l": _rouge_l,
     "m5_stem_tokens": _stems,
     "m6_greedy_cosine_match": _match,
-    "m7_metric_report": _report,
+    "m7_metric_report": _report(True),
+    "m7_metric_report_unstemmed": _report(False),
 }
 
+def _lcs_sql(hyp: str) -> str:
+    """(pos, hyp, ref, rouge_l): the longest common subsequence by dynamic programming, a row per word."""
+    return f"""WITH RECURSIVE {_PAIRS}, listed AS (SELECT pos, {_plain_words(hyp)} AS hyp, {_plain_words('reference')} AS ref FROM pairs),
+lcs AS (SELECT pos, 0 AS i, list_transform(range(len(hyp) + 1), lambda k: 0::BIGINT) AS row FROM listed
+  UNION ALL SELECT lcs.pos, i + 1, list_reduce(range(1, len(hyp) + 1), lambda acc, j: list_append(acc,
+    CASE WHEN hyp[j] = ref[i + 1] THEN row[j] + 1 ELSE greatest(row[j + 1], acc[j]) END), [0]::BIGINT[])
+  FROM lcs JOIN listed ON listed.pos = lcs.pos WHERE i < len(ref)),
+whole AS (SELECT listed.pos, hyp, ref, row[len(hyp) + 1] AS n FROM lcs JOIN listed ON listed.pos = lcs.pos WHERE i = len(ref))
+SELECT pos, CASE WHEN n > 0 THEN 2.0 * n / (len(hyp) + len(ref)) ELSE 0.0 END AS rouge_l FROM whole"""
+
+
+def _report_sql() -> str:
+    rows = []
+    for variant in ("plain", "dp"):
+        swap = lambda sql: sql.replace(_spaced("plain"), _spaced(variant)).replace(_plain_words("plain"), _plain_words(variant))
+        match = swap(ORACLES["m6_greedy_cosine_match"])
+        values = {
+            "bleu": f"SELECT bleu * 100 FROM ({_bleu_sql(variant)})",
+            "rouge1": f"SELECT avg(rouge1) FROM ({swap(_rouge_sql(1))})",
+            "rouge2": f"SELECT avg(rouge2) FROM ({swap(_rouge_sql(2))})",
+            "rougeL": f"SELECT avg(rouge_l) FROM ({_lcs_sql(variant)})",
+            **{c: f"SELECT avg({c}) FROM ({match})" for c in ("precision", "recall", "f1")},
+        }
+        rows.append(values)
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS metric, round(({rows[0][name]}), 4) AS plain, round(({rows[1][name]}), 4) AS dp" for name in rows[0]
+    )
+
+
 ORACLES = {
     "m1_align": """WITH asked AS (SELECT text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM conversations WHERE role = 'user'),
 told AS (SELECT text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM conversations WHERE role = 'assistant')
@@ -161,3 +195,5 @@ scored AS (SELECT pos, sum(s * c) FILTER (WHERE side = 'h') / sum(c) FILTER (WHE
 SELECT pairs.pos, round(coalesce(p, 0), 5) AS precision, round(coalesce(r, 0), 5) AS recall,
   round(coalesce(2 * p * r / nullif(p + r, 0), 0), 5) AS f1 FROM pairs LEFT JOIN scored ON scored.pos = pairs.pos""",
 }
+ORACLES["m4_rouge_l"] = f"SELECT pos, round(rouge_l, 6) AS rougeL FROM ({_lcs_sql('plain')})"
+ORACLES["m7_metric_report_unstemmed"] = _report_sql()

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seepage.catalog import language_model as lmq
-from seepage.catalog.common import documents, table
+from seepage.catalog.common import table
 from seepage.operators import language_model as lm
 from seepage.operators import private
 
 CLIP, SIGMA, SEED = 100.0, 0.3, 11
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")  # the public key domain
+# the public key domain: known types, and the days of the release period
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+FIRST_DAY, LAST_DAY = "2023-12-25", "2024-02-05"
 
 
 def _events(spark, sf_dir):
@@ -26,13 +28,14 @@ def _clipped(spark, sf_dir):
 
 
 def _noisy(spark, sf_dir):
-    """Daily totals by type; the domain is every day with every type, so a day
-    that lacks a type is released too."""
+    """Daily totals by type; the domain is every day of the period with every
+    type, so days and types without events are released too."""
     events = _events(spark, sf_dir)
     keys = ["day", "event_type"]
     clipped = private.clip_contributions(events, "user_id", keys, F.col("value"), CLIP)
     types = F.array(*[F.lit(t) for t in EVENT_TYPES])
-    domain = events.select("day").distinct().select("day", F.explode(types).alias("event_type"))
+    days = F.expr(f"sequence(DATE'{FIRST_DAY}', DATE'{LAST_DAY}')")
+    domain = spark.range(1).select(F.explode(days).alias("day")).select("day", F.explode(types).alias("event_type"))
     out = private.noisy_sum(clipped, keys, domain, SIGMA, CLIP, test_seed=SEED)
     return out.select(F.col("day").cast("string").alias("day"), "event_type", F.round("noisy", 6).alias("noisy"))
 
@@ -51,8 +54,7 @@ def _ledger(spark, sf_dir):
 
 
 def _dp_model(spark, sf_dir):
-    domain = lm.fit_ngram_lm(documents(spark, sf_dir)).counts.select(*lm.GRAM_KEY)
-    out = lm.model_table(lmq._dp_model(spark, sf_dir, domain))
+    out = lm.model_table(lmq._dp_model(spark, sf_dir, lmq.public_grams(spark, sf_dir), lmq.SEED))
     return out.select(
         F.col("ord").cast("bigint").alias("ord"),
         "context",
@@ -80,15 +82,16 @@ ORACLES = {
 SELECT user_id, event_type, round(v, 6) AS value FROM clipped""",
     "d2_noisy_sum": f"""WITH {_SUMMED.format(keys='day, event_type', clip=CLIP)},
 sums AS (SELECT day, event_type, sum(v) AS v FROM clipped GROUP BY ALL),
-domain AS (SELECT day, event_type FROM (SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events),
-  (SELECT DISTINCT event_type FROM events))
+domain AS (SELECT CAST(CAST(day AS DATE) AS VARCHAR) AS day, event_type
+  FROM (SELECT unnest(generate_series(DATE '{FIRST_DAY}', DATE '{LAST_DAY}', INTERVAL 1 DAY)) AS day),
+  (SELECT unnest({list(EVENT_TYPES)}) AS event_type))
 SELECT domain.day, domain.event_type, round(coalesce(v, 0.0) + {SIGMA * CLIP} * {lmq.gauss_sql(SEED, "domain.day || ':' || domain.event_type")}, 6) AS noisy
 FROM domain LEFT JOIN sums ON sums.day = domain.day AND sums.event_type = domain.event_type""",
     "d3_privacy_ledger": """WITH releases AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, 2.0 + count(*) / 100.0 AS sigma FROM events GROUP BY 1),
 spent AS (SELECT day, sigma, sqrt(2 * ln(1.25 / 1e-5)) / sigma AS epsilon FROM releases)
 SELECT day, round(sigma::DOUBLE, 6) AS sigma, round(epsilon, 6) AS epsilon,
   round(sum(epsilon) OVER (ORDER BY day), 6) AS epsilon_total, epsilon < 1 AS bound_holds FROM spent""",
-    "d4_fit_dp_ngram_lm": f"""WITH {lmq.COUNTS}, {lmq.CONTRIB}, {lmq._noisy('dp_counts', 'true')}, {lmq._p('m', 'dp_counts', 'dp_counts')}
+    "d4_fit_dp_ngram_lm": f"""WITH {lmq.COUNTS}, {lmq.DOMAIN}, {lmq.CONTRIB}, {lmq._noisy('dp_counts', 2, lmq.SEED)}, {lmq._p('m', 'dp_counts', 'dp_counts')}
 SELECT c.ord::BIGINT AS ord, c.context, c.token, round(c.n, 6) AS n, round(p, 8) AS p
 FROM dp_counts c JOIN m_p USING (ord, context, token)""",
 }

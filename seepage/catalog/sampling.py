@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seepage.catalog.common import documents, table
 from seepage.functions.text import SPACE
 from seepage.operators import sample, tokens
+from seepage.session import materialise
 
 
 def _turns(spark, sf_dir):
@@ -37,10 +38,9 @@ _RANKED = """SELECT doc_id, text, row_number() OVER (ORDER BY md5('{seed}:' || d
 
 
 def _ids(spark, sf_dir):
-    """Documents as arrays of word lengths: a token stream that needs no vocabulary."""
-    return documents(spark, sf_dir).select(
-        "doc_id", F.transform(tokens.token_words(F.col("text")), lambda w: F.length(w)).alias("ids")
-    )
+    docs = documents(spark, sf_dir)
+    vocab = materialise(tokens.build_vocab(docs), "vocab")
+    return materialise(tokens.encode(docs, vocab, "doc_id"), "ids")
 
 
 def _blocks(spark, sf_dir):
@@ -108,9 +108,11 @@ FROM starts JOIN stream ON pos >= start AND pos < start + 10
 GROUP BY win_id HAVING count(*) = 10 ORDER BY win_id LIMIT 500""",
     "t7_random_blocks": f"""WITH {_STREAM}, {_starts(2000, 1337, 'n - 16')}
 SELECT win_id, start,
-  string_agg(length(w)::VARCHAR, ',' ORDER BY pos) FILTER (WHERE pos < start + 16) AS x,
-  string_agg(length(w)::VARCHAR, ',' ORDER BY pos) FILTER (WHERE pos > start) AS y
-FROM starts JOIN stream ON pos >= start AND pos < start + 17 GROUP BY win_id, start""",
+  string_agg(token_id::VARCHAR, ',' ORDER BY pos) FILTER (WHERE pos < start + 16) AS x,
+  string_agg(token_id::VARCHAR, ',' ORDER BY pos) FILTER (WHERE pos > start) AS y
+FROM starts JOIN stream ON pos >= start AND pos < start + 17
+JOIN (SELECT w AS token, row_number() OVER (ORDER BY count(*) DESC, w) + 1 AS token_id FROM stream GROUP BY w) v ON v.token = w
+GROUP BY win_id, start""",
     "t8_top_n": """SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank
 FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100""",
     "t9_random_split": f"""SELECT doc_id, text, CASE WHEN pos < ceil(n * 5 / 10000.0) THEN 'val' ELSE 'train' END AS split

@@ -130,7 +130,7 @@ find_form = _find(r"(?s)<form.+?</form>|input type=")
 find_numbers = _find(rf"(?<!{DIGIT}){DIGIT}++(?:(?:{SPACE}|,){DIGIT}++)++")
 
 _NAME = r"\p{Lu}\p{Ll}++"
-find_name_runs = _find(rf"(?=\p{{Lu}})(?<!{WORD})({_NAME}(?: {_NAME}){{0,2}}+)", 1)
+find_name_runs = _find(rf"(?=\p{{Lu}})(?<!{WORD})({_NAME}(?: {_NAME})*+)", 1)
 
 
 @dataclass(frozen=True)

@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 
 from seepage.functions import patterns
 from seepage.functions.text import lines as split_lines
+from seepage.operators import search
 from seepage.operators.skew import lookup
 from seepage.session import fits_broadcast, materialise
 
-GRAM = 8  # characters of the anchor looked up for longer terms
-SEGMENT = 65_536  # a longer line is cut into overlapping pieces before taking grams
-SHARED_ANCHOR_TERMS = 2_000  # terms of 4 to 7 characters that may share an anchor
-KEYWORD_TERMS = 100  # up to here, testing every term on every line is cheaper
-TERMS_PER_PASS = 2_000_000  # bound on the terms broadcast in one pass
+AUTOMATON_CHARS = 2_000_000  # characters of all terms up to which they are broadcast
 
 
 def corpus_lines(corpus: DataFrame, column: str = "text") -> DataFrame:
@@ -32,29 +29,49 @@ def choose_corpus(sample_name: str, corpora: Mapping[str, DataFrame]) -> DataFra
     raise ValueError(f"no corpus for sample file {sample_name!r}")
 
 
+def _listed(words: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows whose ``_word`` is among the lower-cased ``name`` values."""
+    listed = names.select(F.lower("name").alias("_word")).distinct()
+    if fits_broadcast(listed):
+        return words.join(F.broadcast(listed), "_word", "left_semi")
+    weights = materialise(
+        words.groupBy("_word")
+        .agg(F.count("*").alias("_n"))
+        .join(listed, "_word", "left_semi")
+        .withColumn("_ok", F.lit(True)),
+        "names",
+    )
+    total = weights.agg(F.sum("_n")).first()[0] or 0
+    return lookup(words, weights, "_word", "_n", ["_ok"], total, "inner")
+
+
 def name_matches(samples: DataFrame, names: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Runs of one to three title-case words that start with a listed name.
+    """Names in runs of title-case words, wherever in the run they stand.
 
-    ``names`` has a ``name`` column. Returns (key, category, match).
+    A match reaches from a listed word to the next listed one or the end of the
+    run, so that titles and first words of sentences hide no name. ``names`` has
+    a ``name`` column. Returns (key, category, match).
     """
     runs = samples.select(
-        key,
-        F.explode(F.array_distinct(patterns.find_name_runs(F.col("text")))).alias("match"),
-    ).withColumn("_first", F.lower(F.substring_index("match", " ", 1)))
-    listed = names.select(F.lower("name").alias("_first")).distinct()
-    if fits_broadcast(listed):
-        hits = runs.join(F.broadcast(listed), "_first", "left_semi")
-    else:
-        weights = materialise(
-            runs.groupBy("_first")
-            .agg(F.count("*").alias("_n"))
-            .join(listed, "_first", "left_semi")
-            .withColumn("_ok", F.lit(True)),
-            "names",
-        )
-        total = weights.agg(F.sum("_n")).first()[0] or 0
-        hits = lookup(runs, weights, "_first", "_n", ["_ok"], total, "inner")
-    return hits.select(key, F.lit(patterns.NAMES).alias("category"), "match")
+        key, F.explode(F.array_distinct(patterns.find_name_runs(F.col("text")))).alias("_run")
+    )
+    words = runs.select(key, "_run", F.posexplode(F.split("_run", " ")).alias("_at", "_word"))
+    starts = (
+        _listed(words.withColumn("_word", F.lower("_word")), names)
+        .groupBy(key, "_run")
+        .agg(F.array_sort(F.collect_list("_at")).alias("_starts"))
+    )
+    parts = F.transform(
+        "_starts",
+        lambda at, i: F.array_join(
+            F.slice(F.col("_words"), at + 1, F.coalesce(F.get("_starts", i + 1), F.size("_words")) - at), " "
+        ),
+    )
+    return (
+        starts.withColumn("_words", F.split("_run", " "))
+        .select(key, F.lit(patterns.NAMES).alias("category"), F.explode(parts).alias("match"))
+        .distinct()
+    )
 
 
 def candidates(
@@ -92,91 +109,18 @@ def distinct_terms(cands: DataFrame) -> DataFrame:
     return cands.select(F.lower("match").alias("term")).distinct()
 
 
-def _hits_by_scan(terms: DataFrame, lines: DataFrame) -> DataFrame:
-    """Every term on every line; for a short, broadcast term list."""
-    return (
-        lines.join(F.broadcast(terms), F.contains(F.col("line"), F.col("term")))
-        .select("term")
-        .distinct()
-    )
-
+def corpus_hits(terms: DataFrame, lines: DataFrame, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """The ``term`` values that are a substring of some ``line``; one corpus pass.
 
-def _hits_by_gram(terms: DataFrame, lines: DataFrame, sizes: list[int]) -> DataFrame:
-    """Look up the start of every gram of every line among the terms' anchors.
-
-    A term's anchor is its first ``size`` characters, for the largest of
-    ``sizes`` that fits in it. One pass over the corpus serves all sizes; work
-    is linear in its characters, the terms are the only broadcast, and only
-    matched terms leave the map side.
-    """
-    longest = max(sizes)
-    piece = rf"(?s)(?=(.{{1,{SEGMENT + longest - 1}}})).{{1,{SEGMENT}}}"
-    gram = rf"(?s)(?=(.{{1,{longest}}}))."
-    grams = lines.select(
-        "line", F.explode(F.regexp_extract_all("line", F.lit(piece), F.lit(1))).alias("_piece")
-    ).select("line", F.explode(F.regexp_extract_all("_piece", F.lit(gram), F.lit(1))).alias("_gram"))
-    for size in sizes:
-        larger = [s for s in sizes if s > size]
-        fits = F.length("term") >= size
-        if larger:
-            fits = fits & (F.length("term") < min(larger))
-        keyed = terms.filter(fits).select(
-            F.col("term").alias(f"_t{size}"),
-            F.xxhash64(F.substring("term", 1, size)).alias(f"_k{size}"),
-        )
-        # a 64-bit key makes the probe cheap; the final test rules out collisions
-        start = F.xxhash64(F.col("_gram") if size == longest else F.substring("_gram", 1, size))
-        grams = grams.join(F.broadcast(keyed), start == F.col(f"_k{size}"), "left")
-    anchored = F.array_compact(F.array(*[F.col(f"_t{size}") for size in sizes]))
-    return (
-        grams.filter(F.coalesce(*[F.col(f"_t{size}") for size in sizes]).isNotNull())
-        .select("line", F.explode(anchored).alias("term"))
-        .filter(F.contains(F.col("line"), F.col("term")))
-        .select("term")
-        .distinct()
-    )
-
-
-def anchor_sizes(counts: dict[int, int]) -> list[int]:
-    """Anchor sizes for term counts by length (lengths capped at ``GRAM``).
-
-    Terms of four to seven characters share a four-character anchor while there
-    are few of them; with many, each length is its own anchor, so that one
-    anchor never leads to a long list of terms to test.
-    """
-    middle = [length for length in counts if 4 <= length < GRAM]
-    if sum(counts[length] for length in middle) <= SHARED_ANCHOR_TERMS and middle:
-        middle = [4]
-    return sorted([length for length in counts if length < 4 or length == GRAM] + middle)
-
-
-def corpus_hits(
-    terms: DataFrame,
-    lines: DataFrame,
-    keyword_terms: int = KEYWORD_TERMS,
-    terms_per_pass: int = TERMS_PER_PASS,
-) -> DataFrame:
-    """The ``term`` values that are a substring of some ``line``.
-
-    Few terms are tested directly, more go through the gram lookup. Above
-    ``terms_per_pass`` they are split by hash into several passes so that the
-    broadcasts of a pass stay near that bound.
+    Up to ``automaton_chars`` characters of terms go to the tasks as one search
+    automaton, whose cost per line doesn't depend on the number of terms or on
+    what they share. Beyond, terms meet the lines by anchor grams in a shuffle.
     """
     terms = materialise(terms.select("term").filter(F.col("term") != "").distinct(), "terms")
-    length = F.least(F.length("term"), F.lit(GRAM))
-    # one row per length: at most GRAM rows
-    counts = {r["l"]: r["n"] for r in terms.groupBy(length.alias("l")).agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    if total <= keyword_terms:
-        return _hits_by_scan(terms, lines)
-    sizes = anchor_sizes(counts)
-    passes = -(-total // terms_per_pass)
-    hits = None
-    for i in range(passes):
-        chosen = terms.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == i) if passes > 1 else terms
-        found = _hits_by_gram(chosen, lines, sizes)
-        hits = found if hits is None else hits.unionByName(found)
-    return hits
+    total = terms.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
+    if total <= automaton_chars:
+        return search.by_automaton(terms, lines)
+    return search.by_anchor(terms, lines)
 
 
 def keep_found(cands: DataFrame, hits: DataFrame) -> DataFrame:
@@ -209,24 +153,27 @@ def leak_examples(found: DataFrame) -> DataFrame:
     return found.select("category", "match").distinct()
 
 
-def leak_counts(found: DataFrame, examples: bool = True, key: str = "sample_id") -> DataFrame:
-    """Per category: samples with a leak, leaks, and the sorted leaked strings.
-
-    The joined ``examples`` cell holds every distinct string of its category;
-    leave it out and use ``leak_examples`` where that is too long for a cell.
-    """
-    counts = found.groupBy("category").agg(
+def leak_counts(found: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Per category: samples with a leak, and leaks. ``leak_examples`` has the strings."""
+    return found.groupBy("category").agg(
         F.count_distinct(key).alias("unique_sample_count"),
         F.count("*").alias("total_match_count"),
     )
-    if not examples:
-        return counts
+
+
+def with_examples(counts: DataFrame, found: DataFrame) -> DataFrame:
+    """Counts with the sorted leaked strings of each category in one cell.
+
+    Only for the summary file, whose format asks for it: a cell grows with the
+    category.
+    """
     joined = (
         leak_examples(found)
         .groupBy("category")
         .agg(F.array_join(F.array_sort(F.collect_list("match")), "; ").alias("examples"))
     )
-    return counts.join(joined, "category")
+    filled = counts.join(joined, "category", "left")
+    return filled.withColumn("examples", F.coalesce("examples", F.lit("")))
 
 
 def category_table(spark, registry: tuple[patterns.Extractor, ...] = patterns.DEFAULT) -> DataFrame:
@@ -239,12 +186,8 @@ def category_table(spark, registry: tuple[patterns.Extractor, ...] = patterns.DE
 
 def zero_fill(counts: DataFrame, categories: DataFrame) -> DataFrame:
     """Every category in registry order, zeros where nothing leaked."""
-    filled = categories.join(F.broadcast(counts), "category", "left")
-    columns = [
-        F.coalesce(F.col(c), F.lit("" if c == "examples" else 0)).alias(c)
-        for c in counts.columns
-        if c != "category"
-    ]
+    filled = categories.join(F.broadcast(counts), "category", "left")  # a row per category
+    columns = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts.columns if c != "category"]
     return filled.select("ord", "category", "is_pii", *columns).orderBy("ord")
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from seepage.operators.skew import top_per_group
+from seepage.operators.position import with_position
+from seepage.operators.skew import lookup, top_per_group
 from seepage.operators.tokens import END, token_words
 from seepage.session import materialise
 
@@ -49,11 +50,10 @@ def grams(df: DataFrame, order: int, keys: Sequence[str] = (), column: str = "te
             for k in range(1, order + 1)
         ]
     )
-    placed = listed.filter(F.size("_ws") > 0).select(
-        *keys, "_ws", F.explode(F.sequence(F.lit(1), F.size("_ws"))).alias("at")
-    )
+    # positions come from the array itself: a filter on its size would tokenise again
+    placed = listed.select(*keys, "_ws", F.posexplode("_ws").alias("_i", "token")).withColumn("at", F.col("_i") + 1)
     return (
-        placed.select(*keys, "at", F.get("_ws", at - 1).alias("token"), F.explode(options).alias("_g"))
+        placed.select(*keys, "at", "token", F.explode(options).alias("_g"))
         .select(*keys, "at", F.col("_g.ord").alias("ord"), F.col("_g.context").alias("context"), "token")
         .filter(F.col("context").isNotNull())
     )
@@ -90,17 +90,18 @@ def fit_ngram_lm(df: DataFrame, order: int = 2, mu: float = 10.0, column: str =
     return LanguageModel(materialise(counted, "gram-counts"), order, mu)
 
 
-def probabilities(lm: LanguageModel, wanted: DataFrame) -> DataFrame:
-    """(ord, context, token, p) for distinct ``wanted`` grams, seen or not.
+def probabilities(lm: LanguageModel, wanted: DataFrame | None = None) -> DataFrame:
+    """(ord, context, token, n, p) for distinct ``wanted`` grams, seen or not.
 
-    ``wanted`` must hold the shorter grams of each of its grams too.
+    ``wanted`` must hold the shorter grams of each of its grams too; without it,
+    the model's own grams are taken.
     """
     words, types = lm.totals()
-    known = wanted.join(lm.counts, GRAM_KEY, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    base = known.filter(F.col("ord") == 1).select(
-        *GRAM_KEY, ((F.col("n") + 1) / F.lit(words + types + 1)).alias("p")
-    )
-    result, lower = base, base
+    known = lm.counts
+    if wanted is not None:
+        known = wanted.select(*GRAM_KEY).join(lm.counts, GRAM_KEY, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    lower = known.filter(F.col("ord") == 1).withColumn("p", (F.col("n") + 1) / F.lit(words + types + 1))
+    result = lower
     totals = lm.contexts()
     for k in range(2, lm.order + 1):
         shorter = lower.select(
@@ -114,58 +115,73 @@ def probabilities(lm: LanguageModel, wanted: DataFrame) -> DataFrame:
             .join(totals.filter(F.col("ord") == k).drop("ord"), "context", "left")
             .withColumn("_short", short)
             .join(shorter, ["_short", "token"])
-            .select(
-                *GRAM_KEY,
-                (
-                    (F.col("n") + F.lit(lm.mu) * F.col("_below"))
-                    / (F.coalesce("total", F.lit(0)) + F.lit(lm.mu))
-                ).alias("p"),
+            .withColumn(
+                "p",
+                (F.col("n") + F.lit(lm.mu) * F.col("_below")) / (F.coalesce("total", F.lit(0)) + F.lit(lm.mu)),
             )
+            .select(*GRAM_KEY, "n", "p")
         )
         result = result.unionByName(lower)
-    return result
+    return result.select(*GRAM_KEY, "n", "p")
 
 
 def model_table(lm: LanguageModel) -> DataFrame:
     """Counts and probabilities of every gram in the model."""
-    p = probabilities(lm, lm.counts.select(*GRAM_KEY))
-    return lm.counts.join(p, GRAM_KEY)
+    return probabilities(lm)
 
 
-def _losses(own: DataFrame, wanted: DataFrame, lm: LanguageModel, key: str) -> DataFrame:
-    """(key, nll, predicted): summed loss over all words but the first.
+def _losses(df: DataFrame, models: Mapping[str, LanguageModel], key: str) -> DataFrame:
+    """(key, nll_<model>..., predicted): summed loss over all words but the first.
 
-    A gram counts once per text before it meets its probability, so even a gram
-    that every text holds is one row per text.
+    Texts are cut into grams once and stored. Every model adds a column to one
+    table of gram probabilities, so that one join serves all. A gram counts once
+    per text before it, and the grams that very many texts hold, the words of
+    order-one models above all, are broadcast instead of shuffled.
     """
-    p = probabilities(lm, wanted.filter(F.col("ord") <= lm.order))
-    # word i is scored by the longest gram that fits before it
-    scored = own.filter(
-        (F.col("at") > 1) & (F.col("ord") == F.least(F.col("at"), F.lit(lm.order)))
-    )
-    per_gram = scored.groupBy(key, *GRAM_KEY).agg(F.count("*").alias("_c"))
-    return (
-        per_gram.join(p, GRAM_KEY)
-        .groupBy(key)
-        .agg(
-            F.sum(-F.log("p") * F.col("_c")).alias("nll"), F.sum("_c").alias("predicted")
+    orders = sorted({m.order for m in models.values()})
+    own = materialise(grams(df, orders[-1], [key]), "sample-grams")
+    wanted = materialise(own.groupBy(*GRAM_KEY).agg(F.count("*").alias("_n")), "wanted-grams")
+    told = None
+    for name, lm in models.items():
+        one = probabilities(lm, wanted.filter(F.col("ord") <= lm.order)).select(
+            *GRAM_KEY, *[(F.col("p") if m == name else F.lit(None).cast("double")).alias(f"_p_{m}") for m in models]
         )
+        told = one if told is None else told.unionByName(one)
+    weights = wanted.select(*GRAM_KEY, "_n", *[F.lit(None).cast("double").alias(f"_p_{m}") for m in models])
+    rows = told.withColumn("_n", F.lit(None).cast("bigint")).unionByName(weights)
+    table = (
+        rows.groupBy(*GRAM_KEY)
+        .agg(F.max("_n").alias("_n"), *[F.max(f"_p_{m}").alias(f"_p_{m}") for m in models])
+        .select(F.struct(*GRAM_KEY).alias("_gram"), "_n", *[f"_p_{m}" for m in models])
+    )
+    table = materialise(table, "gram-probabilities")
+    # word i is scored by the longest gram that fits before it
+    fits = {m: (F.col("at") > 1) & (F.col("ord") == F.least(F.col("at"), F.lit(m))) for m in orders}
+    per_gram = own.groupBy(key, F.struct(*GRAM_KEY).alias("_gram")).agg(
+        *[F.count_if(fit).alias(f"_c_{m}") for m, fit in fits.items()]
     )
+    per_gram = per_gram.filter(F.greatest(*[F.col(f"_c_{m}") for m in orders], F.lit(0)) > 0)
+    total = wanted.agg(F.sum("_n")).first()[0] or 0
+    scored = lookup(per_gram, table, "_gram", "_n", [f"_p_{m}" for m in models], total, "inner")
+    loss = [F.sum(-F.log(f"_p_{n}") * F.col(f"_c_{m.order}")).alias(f"nll_{n}") for n, m in models.items()]
+    return scored.groupBy(key).agg(*loss, F.sum(f"_c_{orders[-1]}").alias("predicted"))
 
 
-def _sample_grams(df: DataFrame, order: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """Grams of each text, and the distinct ones whose probability is needed."""
-    own = grams(df, order, [key])
-    return own, own.select(*GRAM_KEY).distinct()
+def score_matrix(
+    df: DataFrame, models: Mapping[str, LanguageModel], key: str = "sample_id"
+) -> DataFrame:
+    """Perplexity of every sample under every model, one column per model.
+
+    It is exp of the mean loss, and null below two words.
+    """
+    losses = _losses(df, models, key)
+    wide = losses.select(key, *[F.exp(F.col(f"nll_{n}") / F.col("predicted")).alias(n) for n in models])
+    return df.join(wide, key, "left")
 
 
 def perplexity(df: DataFrame, lm: LanguageModel, key: str = "sample_id") -> DataFrame:
     """(key, perplexity): exp of the mean loss; null below two words."""
-    own, wanted = _sample_grams(df, lm.order, key)
-    loss = _losses(own, wanted, lm, key)
-    return df.select(key).join(loss, key, "left").select(
-        key, F.exp(F.col("nll") / F.col("predicted")).alias("perplexity")
-    )
+    return score_matrix(df.select(key, "text"), {"perplexity": lm}, key).select(key, "perplexity")
 
 
 def lower_perplexity(df: DataFrame, lm: LanguageModel, key: str = "sample_id") -> DataFrame:
@@ -184,28 +200,6 @@ def zlib_size(text: Column) -> Column:
     return _zlib_size(text)
 
 
-def score_matrix(
-    df: DataFrame, models: Mapping[str, LanguageModel], key: str = "sample_id"
-) -> DataFrame:
-    """Perplexity of every sample under every model, one column per model.
-
-    Samples are cut into grams once and all models read that table.
-    """
-    own = materialise(grams(df, max(m.order for m in models.values()), [key]), "sample-grams")
-    wanted = materialise(own.select(*GRAM_KEY).distinct(), "wanted-grams")
-    losses = None
-    for name, lm in models.items():
-        one = _losses(own, wanted, lm, key).withColumn("model", F.lit(name))
-        losses = one if losses is None else losses.unionByName(one)
-    wide = (
-        losses.withColumn("ppl", F.exp(F.col("nll") / F.col("predicted")))
-        .groupBy(key)
-        .pivot("model", list(models))
-        .agg(F.first("ppl"))
-    )
-    return df.join(wide, key, "left")
-
-
 def fill_scores(df: DataFrame, columns: Sequence[str], fallback: float = 1e9) -> DataFrame:
     """Null and non-finite scores become ``fallback``; every row stays."""
     return df.withColumns(
@@ -265,13 +259,12 @@ def rank_by_ratio(
 
 def heldout_loss(df: DataFrame, lm: LanguageModel, key: str, split: str = "split") -> DataFrame:
     """Mean loss per predicted word in each split."""
-    own, wanted = _sample_grams(df, lm.order, key)
-    loss = _losses(own, wanted, lm, key)
+    loss = _losses(df.select(key, "text"), {"lm": lm}, key)
     return (
         df.select(key, split)
         .join(loss, key)
         .groupBy(split)
-        .agg((F.sum("nll") / F.sum("predicted")).alias("loss"), F.sum("predicted").alias("predicted"))
+        .agg((F.sum("nll_lm") / F.sum("predicted")).alias("loss"), F.sum("predicted").alias("predicted"))
     )
 
 
@@ -304,35 +297,32 @@ def batch_generate(
     """Run a user's model over a prompt table: (sample_id, prompt, text).
 
     ``predict`` gets up to ``batch_size`` prompts and a seed and returns one
-    continuation each. Batches are formed inside partitions.
+    continuation each. Batches are runs of consecutive prompt ids, and the seed
+    comes from the batch's number, so neither depends on partitions.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
-                asked = part["prompt"].tolist()
-                told = predict(asked, seed + int(part["prompt_id"].iloc[0]))
-                text = [f"{a} {t}" for a, t in zip(asked, told)] if include_prompt else told
-                yield pd.DataFrame(
-                    {"sample_id": part["prompt_id"].to_numpy(), "prompt": asked, "text": text}
-                )
-
-    return prompts.select("prompt_id", "prompt").mapInPandas(
-        run, "sample_id bigint, prompt string, text string"
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("pos")
+        asked = part["prompt"].tolist()
+        told = predict(asked, seed + int(part["_batch"].iloc[0]))
+        text = [f"{a} {t}" for a, t in zip(asked, told)] if include_prompt else told
+        return pd.DataFrame({"sample_id": part["prompt_id"].to_numpy(), "prompt": asked, "text": text})
+
+    placed = with_position(prompts.select("prompt_id", "prompt"), ["prompt_id"])
+    return (
+        placed.withColumn("_batch", F.expr(f"pos div {batch_size}"))
+        .groupBy("_batch")
+        .applyInPandas(run, "sample_id bigint, prompt string, text string")
     )
 
 
 def sample_entropy(df: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Shannon entropy in bits of each sample's word histogram."""
+    """Shannon entropy in bits of each sample's word histogram; 0 without words."""
     counts = (
-        df.select(key, F.explode(token_words(F.col("text"))).alias("token"))
+        df.select(key, F.explode_outer(token_words(F.col("text"))).alias("token"))
         .groupBy(key, "token")
-        .agg(F.count("*").alias("c"))
+        .agg(F.count("token").alias("c"))
     )
     # H = log2(N) - sum(c * log2 c) / N needs one pass over the counts
-    return counts.groupBy(key).agg(
-        (
-            F.log2(F.sum("c").cast("double")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")
-        ).alias("entropy")
-    )
+    spread = F.log2(F.sum("c").cast("double")) - F.try_divide(F.sum(F.col("c") * F.log2("c")), F.sum("c"))
+    return counts.groupBy(key).agg(F.coalesce(spread, F.lit(0.0)).alias("entropy"))

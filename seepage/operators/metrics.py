@@ -117,33 +117,39 @@ def stem_tokens(df: DataFrame, column: str = "token") -> DataFrame:
     return lookup(df, stems, column, "_n", ["stem"], total)
 
 
-def _rouge_pairs(df: DataFrame, hyp: str, ref: str, key: str, stemmed: bool) -> DataFrame:
-    pairs = df.select(key, rouge_words(F.col(hyp)).alias("hyp"), rouge_words(F.col(ref)).alias("ref"))
-    if not stemmed:
-        return pairs
-    sides = F.array(
-        F.struct(F.lit("hyp").alias("side"), F.col("hyp").alias("ws")),
-        F.struct(F.lit("ref").alias("side"), F.col("ref").alias("ws")),
-    )
-    placed = pairs.select(key, F.explode(sides).alias("_s")).select(
-        key, F.col("_s.side").alias("side"), F.posexplode_outer("_s.ws").alias("at", "token")
-    )
-    listed = F.transform(
-        F.filter(F.sort_array(F.collect_list(F.struct("at", "stem"))), lambda p: p["stem"].isNotNull()),
-        lambda p: p["stem"],
-    )
-    # a text comes back together: at most one row per text and side
-    return stem_tokens(placed).groupBy(key).pivot("side", ["hyp", "ref"]).agg(listed)
+def word_table(df: DataFrame, columns: Sequence[str], key: str, stemmed: bool) -> DataFrame:
+    """(key, one word array per column) for ROUGE, stored once for all of its forms."""
+    listed = df.select(key, *[rouge_words(F.col(c)).alias(c) for c in columns])
+    if stemmed:
+        sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("ws")) for c in columns])
+        placed = listed.select(key, F.explode(sides).alias("_s")).select(
+            key, F.col("_s.side").alias("side"), F.posexplode_outer("_s.ws").alias("at", "token")
+        )
+        stems = F.transform(
+            F.filter(F.sort_array(F.collect_list(F.struct("at", "stem"))), lambda p: p["stem"].isNotNull()),
+            lambda p: p["stem"],
+        )
+        # a text comes back together: at most one row per text and side
+        listed = stem_tokens(placed).groupBy(key).pivot("side", list(columns)).agg(stems)
+    return materialise(listed, "rouge-words")
+
+
+def _sides(listed: DataFrame, hyp: str, ref: str, key: str) -> DataFrame:
+    return listed.select(key, F.col(hyp).alias("hyp"), F.col(ref).alias("ref"))
+
+
+def _rouge_n(pairs: DataFrame, n: int, key: str) -> DataFrame:
+    overlap = _gram_table(pairs, key, (n,))
+    name = f"rouge{n}"
+    scored = overlap.select(key, f_measure(F.col("both"), F.col("h"), F.col("r")).alias(name))
+    return pairs.select(key).join(scored, key, "left").select(key, F.coalesce(name, F.lit(0.0)).alias(name))
 
 
 def rouge_n(
     df: DataFrame, hyp: str, ref: str, n: int = 1, key: str = "pos", stemmed: bool = True
 ) -> DataFrame:
     """(key, rouge<n>): F-measure of the n-gram overlap of each pair."""
-    overlap = _gram_table(_rouge_pairs(df, hyp, ref, key, stemmed), key, (n,))
-    name = f"rouge{n}"
-    scored = overlap.select(key, f_measure(F.col("both"), F.col("h"), F.col("r")).alias(name))
-    return df.select(key).join(scored, key, "left").select(key, F.coalesce(name, F.lit(0.0)).alias(name))
+    return _rouge_n(_sides(word_table(df, (hyp, ref), key, stemmed), hyp, ref, key), n, key)
 
 
 def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
@@ -164,15 +170,19 @@ def _lcs(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(list(h), list(r)) for h, r in zip(hyp, ref)], dtype="int32")
 
 
-def rouge_l(df: DataFrame, hyp: str, ref: str, key: str = "pos", stemmed: bool = True) -> DataFrame:
-    """(key, rougeL): F-measure of the longest common subsequence of each pair."""
-    pairs = _rouge_pairs(df, hyp, ref, key, stemmed)
+def _rouge_l(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.select(
         key, f_measure(_lcs("hyp", "ref"), F.size("hyp"), F.size("ref")).alias("rougeL")
     )
 
 
+def rouge_l(df: DataFrame, hyp: str, ref: str, key: str = "pos", stemmed: bool = True) -> DataFrame:
+    """(key, rougeL): F-measure of the longest common subsequence of each pair."""
+    return _rouge_l(_sides(word_table(df, (hyp, ref), key, stemmed), hyp, ref, key), key)
+
+
 _MATCH = StructType([StructField("precision", Double()), StructField("recall", Double())])
+VECTOR_BYTES = 64 << 20  # of a vector table that is broadcast
 _ROWS = 512  # rows of a similarity matrix held at a time
 
 
@@ -198,6 +208,57 @@ def _match(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["precision", "recall"])
 
 
+def _match_ids(listed: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """(key, precision, recall) from ids and counts; one broadcast matrix holds the vectors."""
+    spark = listed.sparkSession
+    table = vectors.select("vec_id", "vector").toArrow()
+    ids = np.array(table.column("vec_id"))
+    order = np.argsort(ids)
+    flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    matrix = np.asarray(flat, np.float64).reshape(len(ids), -1)[order]
+    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+    shared = spark.sparkContext.broadcast((ids[order], matrix / np.where(norm == 0, 1.0, norm)))
+
+    def side(cell) -> tuple[np.ndarray, np.ndarray]:
+        known, unit = shared.value
+        wanted = np.array([x["vec_id"] for x in cell], np.int64) if cell is not None else np.empty(0, np.int64)
+        count = np.array([x["c"] for x in cell], np.float64) if cell is not None else np.empty(0)
+        at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+        has = known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
+        return unit[at[has]], count[has]
+
+    @F.pandas_udf(_MATCH)
+    def match(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        out = []
+        for h, r in zip(hyp, ref):
+            (hv, hc), (rv, rc) = side(h), side(r)
+            if not len(hv) or not len(rv):
+                out.append((0.0, 0.0))
+                continue
+            out.append((float(_best(hv, rv) @ hc / hc.sum()), float(_best(rv, hv) @ rc / rc.sum())))
+        return pd.DataFrame(out, columns=["precision", "recall"])
+
+    scored = listed.select(key, match("hyp", "ref").alias("_m"))
+    return scored.select(key, F.col("_m.precision").alias("precision"), F.col("_m.recall").alias("recall"))
+
+
+def _match_joined(counted: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """The same with vectors joined to their ids, for tables too large to broadcast."""
+    counted = materialise(counted, "vector-counts")
+    weights = counted.groupBy("vec_id").agg(F.count("*").alias("_n"))
+    weighted = materialise(vectors.join(weights, "vec_id"), "vector-weights")
+    total = weighted.agg(F.sum("_n")).first()[0] or 0
+    found = lookup(counted, weighted, "vec_id", "_n", ["vector"], total, "inner")
+    listed = (
+        found.groupBy(key)
+        .pivot("side", ["hyp", "ref"])
+        .agg(F.sort_array(F.collect_list(F.struct("vec_id", "c", "vector"))))
+    )
+    return listed.select(key, _match("hyp", "ref").alias("_m")).select(
+        key, F.col("_m.precision").alias("precision"), F.col("_m.recall").alias("recall")
+    )
+
+
 def greedy_cosine_match(
     df: DataFrame,
     hyp: str,
@@ -224,22 +285,12 @@ def greedy_cosine_match(
         .groupBy(key, "side", "vec_id")
         .agg(F.count("*").alias("c"))
     )
-    if fits_broadcast(vectors, 100_000):
-        found = counted.join(F.broadcast(vectors.select("vec_id", "vector")), "vec_id")
+    size = vectors.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("numbers")).first()
+    if size["numbers"] * 8 <= VECTOR_BYTES:
+        listed = counted.groupBy(key).pivot("side", ["hyp", "ref"]).agg(F.collect_list(F.struct("vec_id", "c")))
+        scored = _match_ids(listed, vectors, key)
     else:
-        counted = materialise(counted, "vector-counts")
-        weights = counted.groupBy("vec_id").agg(F.count("*").alias("_n"))
-        weighted = materialise(vectors.join(weights, "vec_id"), "vector-weights")
-        total = weighted.agg(F.sum("_n")).first()[0] or 0
-        found = lookup(counted, weighted, "vec_id", "_n", ["vector"], total, "inner")
-    listed = (
-        found.groupBy(key)
-        .pivot("side", ["hyp", "ref"])
-        .agg(F.sort_array(F.collect_list(F.struct("vec_id", "c", "vector"))))
-    )
-    scored = listed.select(key, _match("hyp", "ref").alias("_m")).select(
-        key, F.col("_m.precision").alias("precision"), F.col("_m.recall").alias("recall")
-    )
+        scored = _match_joined(counted, vectors, key)
     p, r, zero = F.col("precision"), F.col("recall"), F.lit(0.0)
     return (
         df.select(key)
@@ -261,13 +312,15 @@ def metric_report(
     """(metric, plain, dp): BLEU in percent, ROUGE F-measures, and precision,
     recall and F1 of the vector match, side by side."""
     rows = None
+    listed = word_table(df, (reference, *variants), key, stemmed)
     for variant in variants:
+        pairs = _sides(listed, variant, reference, key)
         match = greedy_cosine_match(df, variant, reference, vectors, token_id, key)
         parts = [corpus_bleu(df, variant, reference, key).select(F.lit("bleu").alias("metric"), (F.col("bleu") * 100).alias("v"))]
         for name, scored in (
-            ("rouge1", rouge_n(df, variant, reference, 1, key, stemmed)),
-            ("rouge2", rouge_n(df, variant, reference, 2, key, stemmed)),
-            ("rougeL", rouge_l(df, variant, reference, key, stemmed)),
+            ("rouge1", _rouge_n(pairs, 1, key)),
+            ("rouge2", _rouge_n(pairs, 2, key)),
+            ("rougeL", _rouge_l(pairs, key)),
         ):
             parts.append(scored.agg(F.avg(name).alias("v")).select(F.lit(name).alias("metric"), "v"))
         means = match.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])

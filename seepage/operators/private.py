@@ -59,11 +59,16 @@ def noisy_sum(
     test_seed: int | None = None,
 ) -> DataFrame:
     """(keys, noisy): sums plus Gaussian noise of sd sigma*clip over the whole
-    key domain, so that an absent key is not revealed."""
+    key domain, so that an absent key is not revealed.
+
+    ``domain`` must come from public knowledge, not from the private rows; keys
+    outside it are never released. The release is stored once: reading it again
+    draws no other noise.
+    """
     sums = clipped.groupBy(*keys).agg(F.sum("value").alias("_sum"))
     whole = domain.select(*keys).join(sums, keys, "left")
     noise = gaussian(keys, test_seed) * F.lit(sigma * clip)
-    return whole.select(*keys, (F.coalesce("_sum", F.lit(0.0)) + noise).alias("noisy"))
+    return materialise(whole.select(*keys, (F.coalesce("_sum", F.lit(0.0)) + noise).alias("noisy")), "release")
 
 
 def privacy_ledger(releases: DataFrame, order: str, sigma: str, delta: float = DELTA) -> DataFrame:
@@ -90,9 +95,10 @@ def fit_dp_ngram_lm(
     sigma: float = 0.3,
     test_seed: int | None = None,
 ) -> LanguageModel:
-    """A language model over clipped, noised counts; negatives become zero."""
+    """A language model over clipped, noised counts of the grams in a public
+    ``domain``; negatives become zero."""
     own = grams(df, order, [unit])
     clipped = clip_contributions(own, unit, GRAM_KEY, F.lit(1), clip)
     noisy = noisy_sum(clipped, GRAM_KEY, domain, sigma, clip, test_seed)
     counts = noisy.select(*GRAM_KEY, F.greatest("noisy", F.lit(0.0)).alias("n"))
-    return LanguageModel(materialise(counts, "dp-counts"), order, mu)
+    return LanguageModel(counts, order, mu)

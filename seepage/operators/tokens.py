@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seepage.functions.text import words
 from seepage.operators.position import order_hash, running_totals
@@ -15,6 +19,8 @@ UNKNOWN, UNKNOWN_ID = "<unk>", 0
 END, END_ID = "<|endoftext|>", 1
 FIRST_ID = 2
 
+VOCAB_BYTES = 64 << 20  # of a vocabulary that is broadcast
+
 
 def token_words(text: Column) -> Column:
     """Words; the end-of-text mark is always a word of its own."""
@@ -43,12 +49,35 @@ def vocab_stats(vocab: DataFrame, encoder: str = "counted-words") -> DataFrame:
     )
 
 
-def _translate(df: DataFrame, vocab: DataFrame, key: str, value: str) -> DataFrame:
-    """Left-join a vocabulary; broadcast under a size check, else skew-safe."""
-    if fits_broadcast(vocab):
-        return df.join(F.broadcast(vocab.select(key, value)), key, "left")
+def _small(vocab: DataFrame) -> bool:
+    """True where a vocabulary may be broadcast, by its bytes."""
+    size = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 16), F.lit(0))).first()[0]
+    return size <= VOCAB_BYTES
+
+
+def _in_rows(df: DataFrame, key: str, column: Column, mapping: dict, missing, kind: pa.DataType, name: str) -> DataFrame:
+    """(key, name): each array translated inside its row, without a shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(mapping)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            listed = batch.column("_items")
+            offsets = listed.offsets.to_pylist()
+            flat = [table.get(x, missing) for x in listed.values.to_pylist()[offsets[0] : offsets[-1]]]
+            where = pa.array([o - offsets[0] for o in offsets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(where, pa.array(flat, kind))], [key, name])
+
+    items = df.select(key, F.coalesce(column, F.array()).alias("_items"))
+    out = T.StructType([df.schema[key], T.StructField(name, T.ArrayType(T.IntegerType() if kind == pa.int32() else T.StringType()))])
+    return items.mapInArrow(run, out)
+
+
+def _by_lookup(df: DataFrame, vocab: DataFrame, key: str, value: str, reserved: list) -> DataFrame:
+    """Left-join a large vocabulary; reserved values, which it lacks, stay out of the shuffle."""
     total = vocab.agg(F.sum("n")).first()[0] or 0
-    return lookup(df, vocab, key, "n", [value], total)
+    looked = F.when(~F.col(key).isin(reserved), F.col(key))
+    return lookup(df.withColumn("_look", looked), vocab.withColumnRenamed(key, "_look"), "_look", "n", [value], total).drop("_look")
 
 
 def _regroup(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -62,9 +91,16 @@ def _regroup(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 
 def encode(df: DataFrame, vocab: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """(key, ids): token ids in text order; unknown words get the reserved id."""
+    """(key, ids): token ids in text order; unknown words get the reserved id.
+
+    A vocabulary of bounded size is broadcast and every text translated in its
+    row; a larger one meets the words in a join.
+    """
+    if _small(vocab):
+        mapping = {r["token"]: r["token_id"] for r in vocab.select("token", "token_id").toLocalIterator()}
+        return _in_rows(df, key, token_words(F.col(column)), mapping | {END: END_ID}, UNKNOWN_ID, pa.int32(), "ids")
     placed = df.select(key, F.posexplode_outer(token_words(F.col(column))).alias("_at", "token"))
-    coded = _translate(placed, vocab, "token", "token_id").withColumn(
+    coded = _by_lookup(placed, vocab, "token", "token_id", [END, UNKNOWN]).withColumn(
         "token_id",
         F.when(F.col("token") == END, F.lit(END_ID)).otherwise(
             F.coalesce("token_id", F.lit(UNKNOWN_ID))
@@ -75,8 +111,12 @@ def encode(df: DataFrame, vocab: DataFrame, key: str, column: str = "text") -> D
 
 def decode(df: DataFrame, vocab: DataFrame, key: str, column: str = "ids") -> DataFrame:
     """(key, text): tokens joined by one space."""
+    if _small(vocab):
+        mapping = {r["token_id"]: r["token"] for r in vocab.select("token", "token_id").toLocalIterator()}
+        out = _in_rows(df, key, F.col(column), mapping | {END_ID: END}, UNKNOWN, pa.string(), "_tokens")
+        return out.select(key, F.array_join("_tokens", " ").alias("text"))
     placed = df.select(key, F.posexplode_outer(column).alias("_at", "token_id"))
-    named = _translate(placed, vocab, "token_id", "token").withColumn(
+    named = _by_lookup(placed, vocab, "token_id", "token", [END_ID, UNKNOWN_ID]).withColumn(
         "token",
         F.when(F.col("token_id") == END_ID, F.lit(END)).otherwise(
             F.coalesce("token", F.lit(UNKNOWN))
@@ -151,11 +191,12 @@ def append_end(df: DataFrame) -> DataFrame:
 def with_offsets(df: DataFrame, order: str, column: str = "ids") -> DataFrame:
     """Add ``pos``, ``offset`` (tokens in earlier rows), ``n_rows`` and ``n_tokens``.
 
-    Keys and sizes alone are sorted; the arrays meet them in one join.
+    Keys and sizes alone are sorted; the arrays meet them in one join, and stay
+    where they are while the keys are few enough to broadcast.
     """
     sizes = df.select(order, F.size(column).alias("_size"))
-    totals = running_totals(sizes, [order], "_size").drop("_size")
-    return df.join(totals.withColumnRenamed("n_measure", "n_tokens"), order)
+    totals = running_totals(sizes, [order], "_size").drop("_size").withColumnRenamed("n_measure", "n_tokens")
+    return df.join(F.broadcast(totals) if fits_broadcast(totals) else totals, order)
 
 
 def n_blocks(n_tokens: Column, block: int, stride: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from seepage.operators import clean, metrics
 from seepage.operators.language_model import batch_generate
+from seepage.session import materialise
 
 
 def evaluation(
@@ -25,7 +26,8 @@ def evaluation(
     prompts = pairs.select("pos", "prompt").withColumnRenamed("pos", "prompt_id")
     outputs = {}
     for name, predict in (("plain", plain), ("dp", dp)):
-        told = batch_generate(prompts, predict)
+        # every metric must read the same outputs, and a model is asked once
+        told = materialise(batch_generate(prompts, predict), "outputs")
         outputs[name] = told.select(told["sample_id"].alias("pos"), told["text"])
     refs = pairs.select("pos", pairs["reference"].alias("text"))
     aligned = metrics.align(refs, outputs["plain"], outputs["dp"])

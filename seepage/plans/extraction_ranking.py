@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seepage.operators import language_model as lm
+from seepage.operators import tokens
+from seepage.session import materialise, scratch
+from seepage.sources.readers import read_wet
+from seepage.sources.writers import write_ranked_report
 
 
 def extraction_ranking(
@@ -27,3 +31,23 @@ def extraction_ranking(
         lm.rank_by_ratio(scores, generator, others, n)
     )
     return ranked.join(samples.select("sample_id", "text"), "sample_id")
+
+
+def extraction(
+    spark: SparkSession,
+    crawl: str,
+    predict: Callable[[list[str], int], list[str]],
+    models: Mapping[str, lm.LanguageModel],
+    generator: str,
+    out: str,
+    n_prompts: int = 10_000,
+    n: int = 100,
+    seed: int = 42,
+) -> None:
+    """Prompts from a crawl, continued by a model, ranked and written as a report."""
+    with scratch(spark):
+        records = materialise(read_wet(spark, crawl).select("record_id", F.col("body").alias("text")), "records")
+        prompts = tokens.random_word_windows(records, "record_id", n_prompts, seed=seed).select("prompt_id", "prompt")
+        samples = materialise(lm.batch_generate(prompts, predict, seed=seed, include_prompt=True), "generated")
+        ranked = extraction_ranking(samples.select("sample_id", "text"), models, generator, n)
+        write_ranked_report(ranked, out, generator, n)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +55,34 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_blocks = threading.local()  # per thread, the paths handed out inside each ``scratch`` block
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/seepage/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/seepage/{label}-{uuid.uuid4().hex}"
+    for paths in getattr(_blocks, "open", ()):
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate tables of the block when it ends.
+
+    Write the result inside the block; a DataFrame made in it can't be read after.
+    """
+    paths: list[str] = []
+    outer = getattr(_blocks, "open", ())
+    _blocks.open = (*outer, paths)
+    try:
+        yield
+    finally:
+        _blocks.open = outer
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

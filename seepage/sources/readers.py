@@ -6,23 +6,24 @@ Text is read split by split, so the order of lines is the order of
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from seepage.functions.mail import unix_lines
 from seepage.functions.text import strip
-from seepage.operators.position import running_totals, with_position
-from seepage.session import fits_broadcast
+from seepage.session import fits_broadcast, materialise
 
-LINE_ORDER = ["_file", "_block", "_row"]
 
 # Cells that a CSV reader of the usual kind takes as missing.
-MISSING = ["", "NA", "N/A", "n/a", "NaN", "nan", "-NaN", "-nan", "null", "NULL", "None", "<NA>", "#N/A", "#NA"]
+MISSING = [
+    "", "NA", "N/A", "n/a", "NaN", "nan", "-NaN", "-nan", "null", "NULL", "None", "<NA>", "#N/A", "#NA",
+    "#N/A N/A", "1.#IND", "-1.#IND", "1.#QNAN", "-1.#QNAN",
+]
 
 
 def _ordered_text(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
@@ -37,13 +38,11 @@ def _ordered_text(spark: SparkSession, path: str | list[str], separator: str | N
 
 def read_maildir(spark: SparkSession, path: str) -> DataFrame:
     """(path, user, folder, raw) for files at exactly user/folder/file, latin-1."""
-    root = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", path).rstrip("/")
     files = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/*/*/*")
-    below = F.expr(f"substring(path, instr(path, '{root}') + {len(root) + 1})")
-    parts = F.split(below, "/")
+    # the pattern fixes the depth: the last three names are user, folder and file
+    parts = F.slice(F.split("path", "/"), -3, 3)
     return (
         files.select("path", parts.alias("_p"), "content")
-        .filter(F.size("_p") == 3)
         .select(
             "path",
             F.get("_p", F.lit(0)).alias("user"),
@@ -54,15 +53,23 @@ def read_maildir(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pii_csv(
-    spark: SparkSession, path: str, column: str = "Filled Template", columns: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str,
+    column: str = "Filled Template",
+    columns: Sequence[str] | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """One text column of a headed CSV. Rows with too many fields are skipped,
-    short rows are padded with nulls, cells may hold line breaks."""
+    short rows are padded with nulls, cells may hold line breaks.
+
+    With line breaks in cells a file can't be split and is one task; where the
+    cells have none, ``multi_line=False`` reads large files in many tasks.
+    """
     names = list(columns or spark.read.option("header", True).csv(path).columns)
     schema = StructType([StructField(c, StringType()) for c in [*names, "_corrupt_record"]])
     rows = (
         spark.read.schema(schema)
-        .options(header=True, multiLine=True, quote='"', escape='"')
+        .options(header=True, multiLine=multi_line, quote='"', escape='"')
         .csv(path)
     )
     # a row with another field count keeps its raw form; only commas outside
@@ -110,33 +117,81 @@ def read_wet(spark: SparkSession, path: str, lang: str = "eng") -> DataFrame:
     its body ten. The last record of a file is left out, lines keep their break
     and are joined by a space.
     """
-    chunks = _ordered_text(spark, path, "WARC/1.0")
     place = F.struct("_block", "_row")
-    # one row per file: text before the first mark, and the last record
-    ends = chunks.groupBy("_file").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
-    ends = F.broadcast(ends) if fits_broadcast(ends) else ends
     valid = F.regexp_replace(F.make_valid_utf8("text"), "�", "")
     lines = F.split(unix_lines(valid), "\n")
     language = F.get("_lines", F.lit(7))
+    wanted = F.contains(language, F.lit(f"WARC-Identified-Content-Language: {lang}"))
+    # one scan: places of all records and the lines of the wanted ones are stored
+    chunks = materialise(
+        _ordered_text(spark, path, "WARC/1.0")
+        .withColumn("_lines", lines)
+        .select("_file", "_block", "_row", F.when(wanted, F.col("_lines")).alias("_lines")),
+        "wet",
+    )
+    # one row per file: text before the first mark, and the last record
+    ends = chunks.groupBy("_file").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+    ends = F.broadcast(ends) if fits_broadcast(ends) else ends
     # the piece after the last break belongs to the line of the next mark
     body = F.slice("_lines", 11, F.greatest(F.size("_lines") - 11, F.lit(0)))
     return (
-        chunks.join(ends, "_file")
+        chunks.filter("_lines IS NOT NULL")
+        .join(ends, "_file")
         .filter((place > F.col("_first")) & (place < F.col("_last")))
-        .select(F.col("_row").alias("record_id"), lines.alias("_lines"))
-        .filter(F.contains(language, F.lit(f"WARC-Identified-Content-Language: {lang}")))
         .select(
-            "record_id",
+            F.col("_row").alias("record_id"),
             F.lit(lang).alias("language"),
             F.array_join(F.transform(body, lambda b: F.concat(b, F.lit("\n"))), " ").alias("body"),
         )
     )
 
 
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the place of each row in its split of a file, and the headers up to it."""
+    split, row, heads = None, 0, 0
+    for batch in batches:
+        places, seen = [], []
+        marks = zip(*[batch.column(c).to_pylist() for c in ("_file", "_block", "_head")], strict=True)
+        for file, block, head in marks:
+            if (file, block) != split:
+                split, row, heads = (file, block), 0, 0
+            heads += head
+            places.append(row)
+            seen.append(heads)
+            row += 1
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(places, pa.int64()), pa.array(seen, pa.int64())], [*batch.schema.names, "_place", "_seen"]
+        )
+
+
+def _numbered(lines: DataFrame, head: Column) -> DataFrame:
+    """Non-blank stripped lines with ``pos`` and ``heads``, the headers up to each.
+
+    A task reads a split in order, so places within splits are counted there and
+    the splits' totals, a small table, give the rest; no text is shuffled.
+    """
+    kept = lines.withColumn("text", strip(F.col("text"))).filter(F.col("text") != "")
+    rows = kept.select("_file", "_block", "text", head.cast("int").alias("_head"))
+    placed = materialise(
+        rows.mapInArrow(_count_rows, "_file string, _block bigint, text string, _head int, _place bigint, _seen bigint"), "lines"
+    )
+    totals = placed.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.max("_seen").alias("_h"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    offsets = totals.select(
+        "_file",
+        "_block",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
+        F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_h"),
+    )
+    side = F.broadcast(offsets) if fits_broadcast(offsets) else offsets
+    return placed.join(side, ["_file", "_block"]).select(
+        "_file", (F.col("_n") + F.col("_place")).alias("pos"), (F.col("_h") + F.col("_seen")).alias("heads"), "_head", "text"
+    )
+
+
 def read_nonblank_lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, text): stripped non-blank lines numbered in order."""
-    kept = read_lines(spark, path).withColumn("text", strip(F.col("text"))).filter(F.col("text") != "")
-    return with_position(kept, LINE_ORDER).select("pos", "text")
+    return _numbered(read_lines(spark, path), F.lit(0)).select("pos", "text")
 
 
 def read_ranked_report(spark: SparkSession, path: str, clean: bool = False) -> DataFrame:
@@ -146,13 +201,10 @@ def read_ranked_report(spark: SparkSession, path: str, clean: bool = False) -> D
     ignored and the other non-blank lines are joined by spaces. Section banners
     end up in the sample before them and repeats stay, unless ``clean``.
     """
-    lines = read_lines(spark, path).withColumn("text", strip(F.col("text"))).filter(F.col("text") != "")
+    lines = read_lines(spark, path)
     if clean:
-        lines = lines.filter(~F.col("text").startswith("======== top"))
-    flagged = lines.withColumn("_head", F.regexp_like("text", F.lit(r"^\p{Nd}+:")).cast("int"))
-    placed = running_totals(flagged, LINE_ORDER, "_head").withColumn(
-        "block_id", F.col("offset") + F.col("_head")
-    )
+        lines = lines.filter(~strip(F.col("text")).startswith("======== top"))
+    placed = _numbered(lines, F.regexp_like("text", F.lit(r"^\p{Nd}+:"))).withColumnRenamed("heads", "block_id")
     # lines before the first header of their file belong to no sample
     starts = placed.filter(F.col("_head") == 1).groupBy("_file").agg(F.min("pos").alias("_start"))
     starts = F.broadcast(starts) if fits_broadcast(starts) else starts

@@ -77,7 +77,7 @@ def write_ranked_report(df: DataFrame, path: str, model: str, n: int = 100) -> N
     """Sections of at most ``n`` ranked samples each, perplexity first. The
     report is a few sections of n rows, so it is one file."""
     by_ratio = F.col("metric").startswith("ratio").cast("int")
-    rows = report_lines(df, model, n).withColumn("_ratio", by_ratio)
+    rows = report_lines(df.filter(F.col("rank") <= n), model, n).withColumn("_ratio", by_ratio)
     rows.repartition(1).sortWithinPartitions("_ratio", "metric", "rank").select("value").write.text(path)
 
 

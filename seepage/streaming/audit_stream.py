@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seepage.functions import patterns
 from seepage.operators import audit
+from seepage.session import materialise, scratch
 
 FOUND_SCHEMA = "sample_id string, category string, match string, batch bigint"
 LOOKUP_SCHEMA = "term string, found boolean, batch bigint"
@@ -20,36 +23,41 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def corpus_name(corpus: DataFrame) -> str:
+    """A name for the corpus from the files it reads, so that a changed one gets new lookups."""
+    return hashlib.md5("\n".join(sorted(corpus.inputFiles())).encode()).hexdigest()
+
+
 def audit_batch(
     batch: DataFrame,
     batch_id: int,
     lines: DataFrame,
     out: str,
+    corpus_id: str,
     registry: tuple[patterns.Extractor, ...],
     names: DataFrame | None,
 ) -> None:
     """Audit one batch into its own folder; a repeat overwrites that folder.
 
-    Strings looked up in earlier batches are not searched again.
+    Strings that earlier batches looked up in the same corpus are not searched
+    again; of that history only the strings of this batch are kept.
     """
     spark = batch.sparkSession
-    cands = audit.materialise(audit.candidates(batch, registry, names), "stream-candidates")
-    known = _read(spark, f"{out}/lookup", LOOKUP_SCHEMA).filter(F.col("batch") < batch_id)
-    new = audit.distinct_terms(cands).join(known, "term", "left_anti")
-    new = audit.materialise(new, "stream-terms")
-    if new.isEmpty():
-        looked_up = new.withColumn("found", F.lit(True))
-    else:
-        hits = audit.corpus_hits(new, lines).withColumn("found", F.lit(True))
-        looked_up = new.join(hits, "term", "left").select(
-            "term", F.coalesce("found", F.lit(False)).alias("found")
-        )
-    looked_up.write.mode("overwrite").parquet(f"{out}/lookup/batch={batch_id}")
-    every = _read(spark, f"{out}/lookup", LOOKUP_SCHEMA).filter(
-        (F.col("batch") <= batch_id) & F.col("found")
-    )
-    found = audit.keep_found(cands, every.select("term").distinct())
-    found.write.mode("overwrite").parquet(f"{out}/found/batch={batch_id}")
+    lookup = f"{out}/lookup/corpus={corpus_id}"
+    with scratch(spark):
+        cands = materialise(audit.candidates(batch, registry, names), "stream-candidates")
+        terms = materialise(audit.distinct_terms(cands), "stream-terms")
+        history = _read(spark, lookup, LOOKUP_SCHEMA).filter(F.col("batch") < batch_id)
+        known = materialise(history.join(terms, "term", "left_semi").select("term", "found"), "stream-known")
+        new = materialise(terms.join(known, "term", "left_anti"), "stream-new")
+        looked_up = new.withColumn("found", F.lit(False))
+        if not new.isEmpty():
+            hits = audit.corpus_hits(new, lines).withColumn("found", F.lit(True))
+            looked_up = new.join(hits, "term", "left").select("term", F.coalesce("found", F.lit(False)).alias("found"))
+        looked_up.write.mode("overwrite").parquet(f"{lookup}/batch={batch_id}")
+        fresh = spark.read.schema("term string, found boolean").parquet(f"{lookup}/batch={batch_id}")
+        hits = known.unionByName(fresh).filter("found").select("term").distinct()
+        audit.keep_found(cands, hits).write.mode("overwrite").parquet(f"{out}/found/batch={batch_id}")
 
 
 def run_audit_stream(
@@ -58,16 +66,19 @@ def run_audit_stream(
     out: str,
     registry: tuple[patterns.Extractor, ...] = patterns.DEFAULT,
     names: DataFrame | None = None,
+    corpus_id: str | None = None,
 ) -> DataFrame:
     """Process what has arrived, then return all rows found so far.
 
     ``samples`` is a stream with ``sample_id`` and ``text``. Running again with
-    the same ``out`` continues after the last finished batch.
+    the same ``out`` continues after the last finished batch. ``corpus_id`` names
+    the corpus; by default its input files do.
     """
     lines = audit.corpus_lines(corpus)
+    known_as = corpus_id or corpus_name(corpus)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        audit_batch(batch, batch_id, lines, out, registry, names)
+        audit_batch(batch, batch_id, lines, out, known_as, registry, names)
 
     query = (
         samples.writeStream.foreachBatch(step)
