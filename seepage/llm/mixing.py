@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seepage.llm.common import WORD
+from seepage.llm.common import WORD, let, words
 from seepage.operators.position import running_totals
 from seepage.session import materialise
 
@@ -198,3 +198,50 @@ def mixed_words(
         "target",
         F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    seed: int = 7,
+    block: int = BLOCK,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix as documents: a row of ``docs`` for each use, with the words that the use takes.
+
+    A document taken whole keeps its text as it is; of others the words taken are
+    joined by blanks. Rows of which nothing is taken, such as those without a
+    word, are not in the mix.
+    """
+    spots, _, draws = mix(docs, seed, block, id_col, text_col, source_col)
+    taken = (
+        pieces(spots, draws, block)
+        .groupBy("source", "id", "size", "start", "use")
+        .agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_parts"))
+    )
+    # rows alike in source, id and size pair up by place and by text
+    order = Window.partitionBy("source", "id", "size").orderBy("start")
+    numbered = spots.filter("size > 0").select(
+        F.col("source").alias("_s"), F.col("start").alias("_p"), F.row_number().over(order).alias("_nth")
+    )
+    parts = taken.join(numbered, F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_p"))).select(
+        F.col("source").alias("_source"), F.col("id").alias("_id"), F.col("size").alias("_words"), "_nth", "_parts"
+    )
+    mine = Window.partitionBy(source_col, id_col, "_size").orderBy(text_col)
+    rows = docs.withColumn("_size", word_count(F.col(text_col))).withColumn("_row", F.row_number().over(mine))
+    joined = rows.join(
+        parts,
+        F.col(source_col).eqNullSafe(F.col("_source"))
+        & F.col(id_col).eqNullSafe(F.col("_id"))
+        & (F.col("_size") == F.col("_words"))
+        & (F.col("_row") == F.col("_nth")),
+    )
+    whole = F.aggregate("_parts", F.lit(0).cast("bigint"), lambda n, x: n + x["high"] - x["low"]) == F.col("_size")
+
+    def cut(w: Column) -> Column:
+        slices = F.transform("_parts", lambda x: F.slice(w, (x["low"] + 1).cast("int"), (x["high"] - x["low"]).cast("int")))
+        return F.array_join(F.flatten(slices), " ")
+
+    text = F.when(whole, F.col(text_col)).otherwise(let(words(F.col(text_col)), cut))
+    return joined.withColumn(text_col, text).select(*docs.columns)

@@ -118,20 +118,20 @@ def failed(m: Column, rules: Sequence[Threshold] = THRESHOLDS) -> Column:
 
 
 def quality_rules(
-    docs: DataFrame, rules: Sequence[Threshold] = THRESHOLDS, text_col: str = "text"
+    docs: DataFrame, rules: Sequence[Threshold] = THRESHOLDS, text_col: str = "text", out: str = "quality"
 ) -> DataFrame:
-    """``docs`` with the struct ``quality``: the counts, base_failed and kept.
+    """``docs`` with the struct ``out``: the counts, base_failed and kept.
 
     Texts of fewer than ten words, or with over a fifth of their words in
     repeated five-word windows, fail the base rule; the table judges the rest.
     Null, empty and blank texts have no word and fail. Rows and their other
-    columns are kept as they are, but for an earlier column ``quality``.
+    columns are kept as they are, but for an earlier column ``out``.
     """
-    m = F.col("_measures")
+    m = F.col("__seepage_measures")
     base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
     judged = F.struct(
         *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base.alias("base_failed"),
         (~base & ~failed(m, rules)).alias("kept"),
     )
-    return docs.withColumn("_measures", measures(F.col(text_col))).withColumn("quality", judged).drop("_measures")
+    return docs.withColumn("__seepage_measures", measures(F.col(text_col))).withColumn(out, judged).drop("__seepage_measures")

@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from seepage.llm.components import components
 from seepage.operators.skew import lookup
-from seepage.session import materialise
+from seepage.session import fits_broadcast, materialise
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
 CHUNK = 1 << 16
 SHARD_ROWS = 20_000
+IDS = 1_000_000  # removed ids up to which they are broadcast
 VISITS = 1 << 22  # places of (query, node) pairs held at a time
 
 
@@ -140,8 +141,10 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         shard, prints = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "fp"))
+        if not len(shard):
+            continue
         waiting.append((shard, prints))
-        if not len(shard) or shard[-1] == waiting[0][0][0]:
+        if shard[-1] == waiting[0][0][0]:
             continue
         shard, prints = (np.concatenate(x) for x in zip(*waiting, strict=True))
         cut = int(np.searchsorted(shard, shard[-1]))
@@ -212,3 +215,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = prints.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     joined = lookup(rows, per_print, "fp", "n", ["component_id"], total)
     return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the document of the smallest id of each component only.
+
+    Rows that repeat an id and a text are one document. Rows without an id stay.
+    """
+    found = materialise(near_duplicates(docs, id_col, text_col), "simhash-found")
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    twice = found.groupBy(F.col(id_col).alias("_twice")).count().filter("count > 1 AND _twice IS NOT NULL").select("_twice")
+
+    def side(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if fits_broadcast(ids, IDS) else ids
+
+    kept = docs.join(side(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    again = side(twice)
+    same = F.col(id_col) == F.col("_twice")
+    once = kept.join(again, same, "left_anti")
+    return once.unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

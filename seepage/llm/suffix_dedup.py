@@ -370,21 +370,21 @@ def _tie(run: Column) -> Column:
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``_id``, null ids last, and ``_tie``, which tells rows of one id apart."""
+    """``docs`` with ``__seepage_id``, null ids last, and ``__seepage_tie``, which tells rows of one id apart."""
     tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(0xFFFFFF))
-    return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))).withColumn("_tie", tie)
+    return docs.withColumn("__seepage_id", F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))).withColumn("__seepage_tie", tie)
 
 
 def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Fewer documents before a shuffle, where their ids are few enough to broadcast."""
-    named = ids.select(F.col("id").alias("_id")).distinct()
-    return docs.join(F.broadcast(named), "_id", "left_semi") if fits_broadcast(named, IDS) else docs
+    named = ids.select(F.col("id").alias("__seepage_id")).distinct()
+    return docs.join(F.broadcast(named), "__seepage_id", "left_semi") if fits_broadcast(named, IDS) else docs
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _tie, runs): for every document with repeats, the runs of windows to remove."""
+    """(id, tie, runs): for every document with repeats, the runs of windows to remove."""
     rows = _numbered(docs, id_col, text_col).select(
-        F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col("__seepage_id").alias("id"), F.col("__seepage_tie").alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     read = rows.mapInArrow(_read, "a bigint, h bigint, id bigint, run bigint, settled boolean")
     dealt = F.when(F.col("settled"), F.xxhash64("id", "run")).otherwise(F.col("a"))
@@ -396,7 +396,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     mixed = met.filter("mixed").drop("mixed")
     asked = mixed.groupBy("id", _tie(F.col("run")).alias("tie")).agg(F.collect_list(F.struct("a", "run")).alias("asked"))
-    few = _among(rows.withColumnRenamed("id", "_id"), mixed.select("id")).withColumnRenamed("_id", "id")
+    few = _among(rows.withColumnRenamed("id", "__seepage_id"), mixed.select("id")).withColumnRenamed("__seepage_id", "id")
     cut = materialise(
         few.join(asked, ["id", "tie"]).mapInArrow(_cut, "a bigint, id bigint, run bigint, piece binary"), "runs"
     )
@@ -415,8 +415,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return (
         whole.unionByName(laid)
         .unionByName(crowded)
-        .groupBy(F.col("id").alias("_id"), _tie(F.col("run")).alias("_tie"))
-        .agg(F.collect_list("run").alias("_runs"))
+        .groupBy(F.col("id").alias("__seepage_id"), _tie(F.col("run")).alias("__seepage_tie"))
+        .agg(F.collect_list("run").alias("__seepage_runs"))
     )
 
 
@@ -435,7 +435,7 @@ def _removing(kept: list[str], text_col: str, as_text: bool):
         for batch in batches:
             texts = batch.column(text_col).cast(pa.large_binary())
             rest, removed, spans = [], [], []
-            for text, runs_ in zip(texts, batch.column("_runs"), strict=True):
+            for text, runs_ in zip(texts, batch.column("__seepage_runs"), strict=True):
                 view = text.as_py() or b""
                 stretches = removed_bytes(runs_.values.to_numpy())
                 edges = [0, *stretches.ravel().tolist(), len(view)]
@@ -465,7 +465,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = F.coalesce(F.col(text_col), F.lit(""))
     untouched = [whole if as_text else F.encode(whole, "UTF-8"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint")]
     added = [c.alias(n) for c, n in zip(untouched, ("kept", "n_removed", "n_spans"), strict=True)]
-    keys = found.select("_id").distinct()
+    keys = found.select("__seepage_id").distinct()
     extra = [
         T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
         T.StructField("n_removed", T.LongType()),
@@ -474,11 +474,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType([*docs.schema.fields, *extra])
     remove = _removing(docs.columns, text_col, as_text)
     if fits_broadcast(keys, IDS):
-        touched = numbered.join(F.broadcast(keys), "_id", "left_semi").join(found, ["_id", "_tie"], "left")
-        rest = numbered.join(F.broadcast(keys), "_id", "left_anti")
-        changed = touched.filter("_runs IS NOT NULL").select(*docs.columns, "_runs").mapInArrow(remove, schema)
+        touched = numbered.join(F.broadcast(keys), "__seepage_id", "left_semi").join(found, ["__seepage_id", "__seepage_tie"], "left")
+        rest = numbered.join(F.broadcast(keys), "__seepage_id", "left_anti")
+        changed = touched.filter("__seepage_runs IS NOT NULL").select(*docs.columns, "__seepage_runs").mapInArrow(remove, schema)
         rest = rest.select(*docs.columns, *added)
-        return changed.unionByName(rest).unionByName(touched.filter("_runs IS NULL").select(*docs.columns, *added))
-    joined = numbered.join(found, ["_id", "_tie"], "left")
-    changed = joined.filter("_runs IS NOT NULL").select(*docs.columns, "_runs").mapInArrow(remove, schema)
-    return changed.unionByName(joined.filter("_runs IS NULL").select(*docs.columns, *added))
+        return changed.unionByName(rest).unionByName(touched.filter("__seepage_runs IS NULL").select(*docs.columns, *added))
+    joined = numbered.join(found, ["__seepage_id", "__seepage_tie"], "left")
+    changed = joined.filter("__seepage_runs IS NOT NULL").select(*docs.columns, "__seepage_runs").mapInArrow(remove, schema)
+    return changed.unionByName(joined.filter("__seepage_runs IS NULL").select(*docs.columns, *added))
