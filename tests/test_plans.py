@@ -1,9 +1,13 @@
+import os
+
 from pyspark.sql import functions as F
 
 from seepage.operators import language_model as lm
-from seepage.plans.corpus_build import mail_lines, training_blocks, web_lines
+from seepage.plans.corpus_build import build_corpus, encyclopedia_lines, mail_lines, template_lines, training_blocks, web_lines
 from seepage.plans.evaluation import evaluation
-from seepage.plans.extraction_ranking import extraction_ranking
+from seepage.plans.extraction_ranking import extraction, extraction_ranking
+from seepage.plans.leak_audit import audit_report
+from seepage.session import materialise, scratch
 
 
 def test_ranking_has_a_section_per_score(spark):
@@ -19,6 +23,9 @@ def test_ranking_has_a_section_per_score(spark):
 def test_corpus_build(spark):
     mails = spark.createDataFrame([("p1", "Subject: Big News\n\nthe cat sat")], "path string, raw string")
     assert mail_lines(mails).first()["text"] == "big news  cat sat"
+    sent = "From: a@b.com\nTo: c@d.com,\n e@f.com\nSubject: Hi\nCc: g@h.com\nBcc: i@j.com\n\nbody"
+    addressed = mail_lines(spark.createDataFrame([("p", sent)], "path string, raw string")).first()["text"]
+    assert all(a in addressed for a in ("a@b.com", "c@d.com", "e@f.com", "g@h.com", "i@j.com"))
     pages = spark.createDataFrame([(i, f"<p>Page {i}</p>") for i in range(20)], "doc_id int, text string")
     assert web_lines(pages, 5).count() == 5
     lines = spark.createDataFrame([(i, "a b c d") for i in range(20)], "k int, text string")
@@ -31,7 +38,10 @@ def test_evaluation_matches_by_prompt(spark):
     corpus = spark.createDataFrame([(i, f"Say {i}. Answer a b c {i}. Ok") for i in range(6)], "k int, text string")
     vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(300)], "vec_id long, vector array<double>")
 
+    asked = spark.sparkContext.accumulator(0)
+
     def echo(prompts, seed):
+        asked.add(len(prompts))
         return [f"Answer a b c {p.split()[1]} Ok" for p in prompts]
 
     def silent(prompts, seed):
@@ -40,3 +50,42 @@ def test_evaluation_matches_by_prompt(spark):
     report = evaluation(corpus, "k", echo, silent, vectors, F.ascii("token").cast("long"), 5)
     rows = {r["metric"]: r for r in report.collect()}
     assert rows["rouge1"]["plain"] == 1.0 and rows["rouge1"]["dp"] == 0.0
+    assert asked.value == 5
+
+
+def test_flows_from_files_to_files(spark, tmp_path):
+    crawl = tmp_path / "crawl.wet"
+    head = "WARC/1.0\nWARC-Type: conversion\nx\nx\nx\nx\nx\nWARC-Identified-Content-Language: eng\nx\n\n"
+    crawl.write_text("".join(f"{head}words of page {i} that go on and on for a while until the end {i}\n\n" for i in range(6)) + head + "last")
+    corpus = spark.createDataFrame([("the secret code is a@b.com here",)] * 3, "text string")
+    models = {"small": lm.fit_ngram_lm(corpus, 1), "large": lm.fit_ngram_lm(corpus, 2)}
+
+    def predict(prompts, seed):
+        return ["the secret code is a@b.com" for _ in prompts]
+
+    report, summary = str(tmp_path / "report"), str(tmp_path / "summary")
+    extraction(spark, str(crawl), predict, models, "large", report, n_prompts=20, n=3)
+    heads = [r["value"] for r in spark.read.text(report).collect() if "score=" in r["value"]]
+    assert len(heads) == 4 * 3
+    audit_report(spark, report, corpus, summary)
+    rows = {r["Category"]: r for r in spark.read.options(header=True, escape='"').csv(summary).collect()}
+    assert rows["Total Samples"]["Unique Sample Count"] == "12"
+    assert rows["Contact info (address, email, phone, twitter, etc.)"]["Examples"] == "a@b.com"
+    sources = [spark.createDataFrame([(i, f"line {i} of {s}") for i in range(20)], "k int, text string") for s in "ab"]
+    for ordered in (False, True):
+        out = str(tmp_path / f"corpus-{ordered}")
+        build_corpus(sources, out, ordered=ordered)
+        tokens = spark.read.parquet(f"{out}/tokens")
+        assert tokens.count() == 40 and tokens.filter("split = 'train'").count() == 36
+        assert spark.read.parquet(f"{out}/vocab").count() == 20 + 4
+    assert template_lines(spark.createDataFrame([(1, "a  b"), (2, None)], "row_id int, text string")).count() == 1
+    assert encyclopedia_lines(spark.createDataFrame([(1, "= h ="), (2, "x")], "row_id int, text string")).count() == 1
+
+
+def test_scratch_is_removed(spark):
+    with scratch(spark):
+        rows = materialise(spark.range(3), "gone")
+        assert rows.count() == 3
+        path = rows.inputFiles()[0].removeprefix("file:").replace("//", "/")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
