@@ -31,34 +31,65 @@ from seepage.session import materialise
 GRAM_KEY = ["ord", "context", "token"]
 
 
-def grams(df: DataFrame, order: int, keys: Sequence[str] = (), column: str = "text") -> DataFrame:
-    """Every gram of orders 1..order: (keys, at, ord, context, token)."""
+def _placed(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """(keys, _ws, at, token): every word with its place, counted from 1."""
     listed = df.select(*keys, token_words(F.col(column)).alias("_ws"))
+    # places come from the array itself: a filter on its size would tokenise again
+    return listed.select(*keys, "_ws", F.posexplode("_ws").alias("_i", "token")).withColumn("at", F.col("_i") + 1)
+
+
+def _before(k: int) -> Column:
+    """The k-1 words before the current one; null where there are fewer."""
     at = F.col("at")
+    if k == 1:
+        return F.lit("")
+    if k == 2:
+        return F.when(at > 1, F.get("_ws", at - 2))
+    return F.when(at >= k, F.array_join(F.slice("_ws", F.greatest(at - (k - 1), F.lit(1)), F.lit(k - 1)), " "))
 
-    def before(k: int) -> Column:
-        """The k-1 words before the current one; null where there are fewer."""
-        if k == 1:
-            return F.lit("")
-        if k == 2:
-            return F.when(at > 1, F.get("_ws", at - 2))
-        return F.when(at >= k, F.array_join(F.slice("_ws", F.greatest(at - (k - 1), F.lit(1)), F.lit(k - 1)), " "))
 
+def grams(df: DataFrame, order: int, keys: Sequence[str] = (), column: str = "text") -> DataFrame:
+    """Every gram of orders 1..order: (keys, at, ord, context, token)."""
     options = F.array(
-        *[
-            F.struct(F.lit(k).alias("ord"), before(k).alias("context"))
-            for k in range(1, order + 1)
-        ]
+        *[F.struct(F.lit(k).alias("ord"), _before(k).alias("context")) for k in range(1, order + 1)]
     )
-    # positions come from the array itself: a filter on its size would tokenise again
-    placed = listed.select(*keys, "_ws", F.posexplode("_ws").alias("_i", "token")).withColumn("at", F.col("_i") + 1)
     return (
-        placed.select(*keys, "at", "token", F.explode(options).alias("_g"))
+        _placed(df, keys, column)
+        .select(*keys, "at", "token", F.explode(options).alias("_g"))
         .select(*keys, "at", F.col("_g.ord").alias("ord"), F.col("_g.context").alias("context"), "token")
         .filter(F.col("context").isNotNull())
     )
 
 
+def count_grams(df: DataFrame, order: int, column: str = "text") -> DataFrame:
+    """(ord, context, token, n) of all orders.
+
+    Only the longest gram at each word is counted from the text; a shorter one
+    occurs where it is the longest, and in every longer one that ends in it.
+    """
+    context = F.coalesce(*[_before(k) for k in range(order, 0, -1)])
+    longest = materialise(
+        _placed(df, (), column)
+        .select(F.least(F.col("at"), F.lit(order)).alias("ord"), context.alias("context"), "token")
+        .groupBy(*GRAM_KEY)
+        .agg(F.count("*").alias("n")),
+        "longest-grams",
+    )
+    found = longest.filter(F.col("ord") == order)
+    out = found
+    for k in range(order - 1, 0, -1):
+        rest = F.lit("") if k == 1 else F.regexp_replace("context", r"^\S+ ", "")
+        shortened = found.select(F.lit(k).alias("ord"), rest.alias("context"), "token", "n")
+        found = (
+            longest.filter(F.col("ord") == k)
+            .unionByName(shortened)
+            .groupBy(*GRAM_KEY)
+            .agg(F.sum("n").alias("n"))
+        )
+        out = out.unionByName(found)
+    return out
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Gram counts with the settings that turn them into probabilities."""
@@ -86,8 +117,7 @@ class LanguageModel:
 
 def fit_ngram_lm(df: DataFrame, order: int = 2, mu: float = 10.0, column: str = "text") -> LanguageModel:
     """Count all grams of a corpus; counts are combined before the shuffle."""
-    counted = grams(df, order, column=column).groupBy(*GRAM_KEY).agg(F.count("*").alias("n"))
-    return LanguageModel(materialise(counted, "gram-counts"), order, mu)
+    return LanguageModel(materialise(count_grams(df, order, column), "gram-counts"), order, mu)
 
 
 def probabilities(lm: LanguageModel, wanted: DataFrame | None = None) -> DataFrame:

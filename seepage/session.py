@@ -8,11 +8,13 @@ import threading
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField
 
-# Size below which a lookup side may be broadcast (rows, not bytes: every
-# caller broadcasts narrow rows of at most a few hundred bytes).
+# Size up to which a lookup side may be broadcast.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "seepage", master: str | None = None, **conf: str) -> SparkSession:
@@ -97,9 +99,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads at most limit+1."""
-    return df.limit(limit + 1).count() <= limit
+def _bytes_of(field: StructField) -> Column:
+    """About the bytes that a value takes; nested values count by their elements."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if isinstance(field.dataType, (ArrayType, MapType)):
+        return F.coalesce(F.size(column), F.lit(0)) * 16 + 8
+    return F.lit(8)
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``limit`` rows and about ``limit_bytes``; reads at most limit+1 rows."""
+    if limit < 0:
+        return False
+    size = sum((_bytes_of(f) for f in df.schema.fields), F.lit(0)).cast("bigint")
+    found = df.limit(limit + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= limit and found["bytes"] <= limit_bytes
 
 
 def spread(scan: DataFrame) -> DataFrame:
