@@ -19,6 +19,8 @@ from seepage.functions.text import strip
 from seepage.session import fits_broadcast, materialise
 
 
+LINE_ORDER = ["_file", "_block", "_row"]
+
 # Cells that a CSV reader of the usual kind takes as missing.
 MISSING = [
     "", "NA", "N/A", "n/a", "NaN", "nan", "-NaN", "-nan", "null", "NULL", "None", "<NA>", "#N/A", "#NA",
@@ -39,10 +41,14 @@ def _ordered_text(spark: SparkSession, path: str | list[str], separator: str | N
 def read_maildir(spark: SparkSession, path: str) -> DataFrame:
     """(path, user, folder, raw) for files at exactly user/folder/file, latin-1."""
     files = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/*/*/*")
-    # the pattern fixes the depth: the last three names are user, folder and file
-    parts = F.slice(F.split("path", "/"), -3, 3)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    depth = root.rstrip("/").count("/") + 1
+    # the pattern also lists what lies in a folder of the third level
+    parts = F.split("path", "/")
     return (
-        files.select("path", parts.alias("_p"), "content")
+        files.filter(F.size(parts) == depth + 3)
+        .select("path", F.slice(parts, -3, 3).alias("_p"), "content")
         .select(
             "path",
             F.get("_p", F.lit(0)).alias("user"),

@@ -99,9 +99,9 @@ def test_zlib_size(spark):
 
 
 def test_entropy(spark):
-    df = spark.createDataFrame([("x", "a b a b"), ("y", "a a"), ("z", "a b c d")], "sample_id string, text string")
+    df = spark.createDataFrame([("x", "a b a b"), ("y", "a a"), ("z", "a b c d"), ("none", " "), ("null", None)], "sample_id string, text string")
     got = {r["sample_id"]: r["entropy"] for r in lm.sample_entropy(df).collect()}
-    assert got == {"x": pytest.approx(1.0), "y": pytest.approx(0.0), "z": pytest.approx(2.0)}
+    assert got == {"none": 0.0, "null": 0.0, "x": pytest.approx(1.0), "y": pytest.approx(0.0), "z": pytest.approx(2.0)}
 
 
 def test_batches_reach_the_model(spark):
@@ -113,6 +113,33 @@ def test_batches_reach_the_model(spark):
     assert texts == ["<|endoftext|> n10"] * 20 + ["<|endoftext|> n5"] * 5
 
 
+def test_batches_do_not_depend_on_partitions(spark):
+    def predict(prompts, seed):
+        return [f"{seed} {i}" for i, _ in enumerate(prompts)]
+
+    prompts = spark.range(200).selectExpr("id * 3 AS prompt_id", "concat('p', id) AS prompt")
+    got = [sorted(lm.batch_generate(prompts.repartition(n), predict).collect()) for n in (1, 8)]
+    assert got[0] == got[1]
+    assert {r["text"].split()[0] for r in got[0]} == {"42", "43"}
+
+
+def test_counts_of_all_orders_equal_direct_ones(spark):
+    df = spark.createDataFrame([("a b a b c a b",), ("a",), ("",), (None,), ("b c d e",)], "text string")
+    for order in (1, 2, 3, 4):
+        direct = lm.grams(df, order).groupBy(*lm.GRAM_KEY).agg(F.count("*").alias("n"))
+        assert sorted(map(tuple, lm.count_grams(df, order).collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_private_grams_never_show(spark):
+    df = spark.createDataFrame([("u", "public words secret code"), ("v", "secret code")], "unit string, text string")
+    public = spark.createDataFrame([("public words of other texts",)], "text string")
+    domain = lm.grams(public, 2).select(*lm.GRAM_KEY).distinct()
+    dp = private.fit_dp_ngram_lm(df, "unit", domain)
+    assert dp.counts.filter("token IN ('secret', 'code') OR context IN ('secret', 'code')").count() == 0
+    assert dp.counts.count() == domain.count()
+    assert sorted(dp.counts.collect()) == sorted(dp.counts.collect())  # stored: noise is drawn once
+
+
 def test_heldout_loss_weighs_by_words(data):
     corpus, samples = data
     split = samples.withColumn("split", F.lit("val"))

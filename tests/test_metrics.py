@@ -115,7 +115,7 @@ def test_stemming_by_shuffle_equals_broadcast(spark, monkeypatch):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_greedy_match_equals_brute_force(spark, pairs, monkeypatch, broadcast):
     if not broadcast:
-        monkeypatch.setattr(metrics, "fits_broadcast", lambda *a: False)
+        monkeypatch.setattr(metrics, "VECTOR_BYTES", -1)
     vec = {c: [math.cos(i), math.sin(i), 0.3 * i] for i, c in enumerate("abcde")}
     table = spark.createDataFrame([(ord(c), v) for c, v in vec.items()], "vec_id long, vector array<double>")
     got = {r["pos"]: r for r in metrics.greedy_cosine_match(pairs, "hyp", "ref", table, F.ascii("token").cast("long")).collect()}

@@ -21,6 +21,29 @@ def test_maildir_keeps_only_depth_three(spark, tmp_path):
     assert [(r["user"], r["folder"], r["raw"]) for r in rows] == [("a", "inbox", "Subject: café\n\nhi")]
 
 
+def test_maildir_below_an_odd_path(spark, tmp_path):
+    root = tmp_path / "o'x a" / "a"
+    write(root / "a" / "inbox" / "1", "Subject: s\n\nhi")
+    assert [(r["user"], r["folder"]) for r in readers.read_maildir(spark, str(root)).collect()] == [("a", "inbox")]
+
+
+def test_numbering_moves_no_text(spark, tmp_path, monkeypatch):
+    write(tmp_path / "1.txt", "b\n\n a \n")
+    write(tmp_path / "2.txt", "c\n")
+    df = readers.read_nonblank_lines(spark, str(tmp_path))
+    assert [(r["pos"], r["text"]) for r in df.orderBy("pos").collect()] == [(0, "b"), (1, "a"), (2, "c")]
+    monkeypatch.setattr(readers, "materialise", lambda df, label: df)
+    plan = readers.read_nonblank_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
+    assert all("text" not in line for line in moved)
+
+
+def test_csv_in_single_line_mode(spark, tmp_path):
+    write(tmp_path / "a.csv", "id,Filled Template\n1,x\n2,-1.#IND\n3,\"a,b\"\n")
+    got = texts(readers.read_pii_csv(spark, str(tmp_path / "a.csv"), multi_line=False))
+    assert got == ["x", None, "a,b"]
+
+
 def test_csv_skips_long_rows_and_pads_short_ones(spark, tmp_path):
     write(tmp_path / "p.csv", 'id,Filled Template,x\n1,"a\nb",y\n2,long,y,z\n3\n4,,y\n5,NA,y\n6,ok,y\n7,empty tail,y,\n')
     rows = texts(readers.read_pii_csv(spark, str(tmp_path)))
@@ -91,6 +114,13 @@ def test_lines_with_breaks_stay_one_line(spark, tmp_path):
     assert texts(readers.read_lines(spark, str(tmp_path / "out")).orderBy(*readers.LINE_ORDER)) == ["a\\nb", "c"]
 
 
+def test_report_is_cut_to_n(spark, tmp_path):
+    rows = [("m perplexity", i, 2.0, None, -0.5, f"t{i}") for i in range(1, 11)]
+    df = spark.createDataFrame(rows, "metric string, rank int, score1 double, score2 double, value double, text string")
+    writers.write_ranked_report(df, str(tmp_path / "r"), "m", 3)
+    assert sum("score=" in t for t in texts(readers.read_lines(spark, str(tmp_path / "r")))) == 3
+
+
 def test_report_round_trip(spark, tmp_path):
     rows = [("m perplexity", 1, 2.0, None, -0.5, "x y"), ("ratio of z to m perplexity", 1, 2.0, 3.0, 1.5, "p\nq")]
     df = spark.createDataFrame(rows, "metric string, rank int, score1 double, score2 double, value double, text string")

@@ -42,11 +42,26 @@ def test_encode_decode_round_trip(spark):
 
 
 def test_encode_by_shuffle_equals_broadcast(spark, monkeypatch):
-    df = spark.createDataFrame([(i, "the " * 50 + f"w{i % 7} x") for i in range(40)], "k int, text string")
-    vocab = tokens.build_vocab(df)
-    plain = {r["k"]: r["ids"] for r in tokens.encode(df, vocab, "k").collect()}
-    monkeypatch.setattr(tokens, "fits_broadcast", lambda *a: False)
-    assert {r["k"]: r["ids"] for r in tokens.encode(df, vocab, "k").collect()} == plain
+    texts = ["the " * 50 + f"w{i % 7} x" + "<|endoftext|>" * 30 + " rare" * (i % 2) for i in range(40)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    vocab = tokens.build_vocab(df, 2)
+    ids = tokens.encode(df, vocab, "k")
+    plain = {r["k"]: r["ids"] for r in ids.collect()}
+    back = {r["k"]: r["text"] for r in tokens.decode(ids, vocab, "k").collect()}
+    assert plain[0].count(tokens.END_ID) == 30 and tokens.UNKNOWN_ID in plain[1] and plain[40] == []
+    monkeypatch.setattr(tokens, "VOCAB_BYTES", -1)
+    shuffled = tokens.encode(df, vocab, "k")
+    assert {r["k"]: r["ids"] for r in shuffled.collect()} == plain
+    assert {r["k"]: r["text"] for r in tokens.decode(shuffled, vocab, "k").collect()} == back
+
+
+def test_reserved_words_stay_out_of_the_shuffle(spark, monkeypatch):
+    """Nine tenths of all words are the end mark, and no shuffle partition gets them by key."""
+    monkeypatch.setattr(tokens, "VOCAB_BYTES", -1)
+    df = spark.createDataFrame([(i, tokens.END * 90 + f" w{i % 9}" * 10) for i in range(50)], "k int, text string")
+    placed = df.select("k", F.posexplode_outer(tokens.token_words(F.col("text"))).alias("_at", "token"))
+    coded = tokens._by_lookup(placed, tokens.build_vocab(df), "token", "token_id", [tokens.END, tokens.UNKNOWN])
+    assert coded.count() == 5_000 and coded.filter("token_id IS NULL").count() == 4_500
 
 
 def test_padding_sides_and_masks(spark):
