@@ -15,9 +15,10 @@ from __future__ import annotations
 import codecs
 import functools
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-WORDS_KEPT = 400_000  # encoded words remembered by a task
-PAIRS_KEPT = 400_000
+WORDS_KEPT = 300_000  # encoded words that a worker remembers
+PAIRS_KEPT = 200_000
 LONGEST_KEPT = 64
 SEGMENT = 1 << 20  # characters normalised at a time
 ROWS = 256  # rows sent back at a time
@@ -109,7 +110,7 @@ class Transducer:
         self.codec = codec
         self.reach = codec.vocabulary.lookahead
         self.text = ""
-        self.last = [""]  # place 0: the token emitted last
+        self.last = [-1]  # place 0: the token emitted last
         self.size = [0]
 
     def feed(self, symbols: str, final: bool = False) -> list[int]:
@@ -128,12 +129,12 @@ class Transducer:
 
     def _read(self, end: str) -> None:
         text, last, size, reach = self.text, self.last, self.size, self.reach
-        tokens, apart = self.codec.tokens, self.codec.apart
+        tokens, apart = self.codec.tokens.get, self.codec.apart
         n = len(text)
         for i in range(len(last), n + 1):
             for j in range(i - reach if i > reach else 0, i):
-                token = text[j:i] if i < n else text[j:i] + end
-                if token in tokens and apart(last[j], token):
+                token = tokens(text[j:i] if i < n else text[j:i] + end)
+                if token is not None and apart(last[j], token):
                     last.append(token)
                     size.append(i - j)
                     break
@@ -147,7 +148,7 @@ class Transducer:
         return ends[::-1]
 
     def _ids(self, ends: list[int]) -> list[int]:
-        return [self.codec.vocabulary.ids[self.last[e]] for e in ends]
+        return [self.last[e] for e in ends]
 
     def _stable(self) -> list[int]:
         n = len(self.text)
@@ -163,17 +164,19 @@ class Transducer:
 
 
 class Codec(dict):
-    """Encodes texts; as a dict it maps short words to their ids."""
+    """Encodes texts; as a dict it maps short words to their ids, as bytes of int32."""
 
     def __init__(self, definition: bytes) -> None:
         super().__init__()
         self.vocabulary = Vocabulary(definition)
-        self.tokens = self.vocabulary.reachable
-        self.pairs: dict[tuple[str, str], bool] = {}
+        ids = self.vocabulary.ids
+        self.tokens = {t: ids[t] for t in self.vocabulary.reachable}
+        self.names = {i: t for t, i in self.tokens.items()}
+        self.pairs: dict[int, bool] = {}
         self.bytes = dict(enumerate(self.vocabulary.alphabet))
         self.edges: tuple[dict, dict] = ({}, {})  # one entry per token at most
 
-    def apart(self, left: str, right: str) -> bool:
+    def apart(self, left: int, right: int) -> bool:
         """True if merging both tokens' symbols together leaves the two as they are.
 
         Only pieces that touch the border could merge across it: those on the
@@ -181,13 +184,14 @@ class Codec(dict):
         them do if their rule's turn comes while both are there, and at equal turn
         if the rule meets the border before the right token's own merge.
         """
-        if not left:
+        if left < 0:
             return True
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= PAIRS_KEPT:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._apart(left, right)
+            known = self.pairs[pair] = self._apart(self.names[left], self.names[right])
         return known
 
     def _apart(self, left: str, right: str) -> bool:
@@ -224,23 +228,27 @@ class Codec(dict):
         for at in range(0, len(word), SEGMENT):
             yield from transducer.feed(self.symbols(word[at : at + SEGMENT]), at + SEGMENT >= len(word))
 
-    def __missing__(self, word: str) -> Iterable[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(word) > LONGEST_KEPT:
-            return self.long_word(word)
+            return np.fromiter(self.long_word(word), np.int32).tobytes()
         if len(self) >= WORDS_KEPT:
             self.clear()
-        ids = self[word] = tuple(Transducer(self).feed(self.symbols(word), True))
+        ids = self[word] = array("i", Transducer(self).feed(self.symbols(word), True)).tobytes()
         return ids
 
-    def encode(self, text: str) -> Iterator[int]:
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """Ids of the text, piece by piece, as bytes of int32."""
         v = self.vocabulary
         parts = v.specials.split(text) if v.specials else [text]
         for part in parts:
             if part in v.special:
-                yield v.special[part]
+                yield v.special[part].to_bytes(4, sys.byteorder)
             elif part:
                 for piece in segments(part):
-                    yield from chain.from_iterable(map(self.__getitem__, v.words.findall(normalised(piece))))
+                    yield b"".join(map(self.__getitem__, v.words.findall(normalised(piece))))
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self.pieces(text)), np.int32)
 
 
 def normalised(text: str) -> str:
@@ -324,9 +332,7 @@ def encode(
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                found = [
-                    np.fromiter(codec.encode(text.as_py() or ""), np.int32) for text in batch.column(text_col)
-                ]
+                found = [codec.encode(text.as_py() or "") for text in batch.column(text_col)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 values = np.concatenate(found) if found else np.empty(0, np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))

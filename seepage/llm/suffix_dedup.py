@@ -31,8 +31,8 @@ LENGTH = 100
 GRAM = 32
 PLACES = 20  # bits for a place within a piece of text, the rest order the hashes
 PIECE = (1 << PLACES) - LENGTH
-CHUNK = 32 << 20  # bytes of text whose runs are compared before they are sent
-LAYOUT = 1 << 20  # bytes of text in one transform, whole anchors aside
+CHUNK = 12 << 20  # bytes of text whose runs are compared before they are sent
+LAYOUT = 1 << 19  # bytes of text in one transform, whole anchors aside
 MAX_RUNS = 5_000  # different runs of an anchor laid out together
 IDS = 1_000_000  # document ids up to which they are broadcast to filter texts
 LAST = (1 << 63) - 1  # stands for a null id
