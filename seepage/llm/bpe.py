@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from seepage.llm.common import text_batches
+
 WORDS_KEPT = 300_000  # encoded words that a worker remembers
 PAIRS_KEPT = 200_000
 LONGEST_KEPT = 64
@@ -324,6 +326,7 @@ def encode(
     replaced. Null and empty texts get an empty array. The tokenizer file (a few
     MB) is read once on the driver and broadcast.
     """
+    text_batches(docs.sparkSession)
     with open(tokenizer, "rb") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -349,6 +352,7 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "deco
 
     Null and empty arrays give an empty string; a column named ``out`` is replaced.
     """
+    text_batches(df.sparkSession)
     with open(tokenizer, "rb") as f:
         definition = df.sparkSession.sparkContext.broadcast(f.read())
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\f\r"  # the characters outside [^\x20\x09-\x0D]
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -15,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts hold fewer rows than Spark's default, unless the session says so.
+
+    The default of 10,000 rows is tens of megabytes of text at once, in the
+    executor and again in each of its Python workers.
+    """
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, "1000")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also where lambdas use it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seepage.llm.common import text_batches
 from seepage.llm.components import components
 from seepage.operators.skew import lookup
 from seepage.session import fits_broadcast, materialise
@@ -62,6 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = pa.array([fingerprint(t.as_py() or b"") for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), found], ["id", "fp"])
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
 

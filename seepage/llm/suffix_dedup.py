@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seepage.llm.common import text_batches
 from seepage.session import fits_broadcast, materialise
 
 LENGTH = 100
@@ -383,6 +384,7 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tie, runs): for every document with repeats, the runs of windows to remove."""
+    text_batches(docs.sparkSession)
     rows = _numbered(docs, id_col, text_col).select(
         F.col("__seepage_id").alias("id"), F.col("__seepage_tie").alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
