@@ -15,7 +15,7 @@ of them; each shard tree goes to the one task that searches it instead.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +38,13 @@ IDS = 1_000_000  # removed ids up to which they are broadcast
 VISITS = 1 << 22  # places of (query, node) pairs held at a time
 
 
+def shingles(words: list[bytes], shingle: int) -> Iterator[bytes]:
+    """Every run of ``shingle`` words; fewer words are one run."""
+    if len(words) < shingle:
+        return iter([b" ".join(words)])
+    return map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False))
+
+
 def fingerprint(text: bytes) -> int:
     """64 bits, each set if it is set in over half of the shingles' hashes."""
     words = text.lower().split()  # bytes: only A-Z change, only ASCII blanks split
@@ -47,8 +54,7 @@ def fingerprint(text: bytes) -> int:
     totals = np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
         part = words[at : at + CHUNK + SHINGLE - 1]
-        grams = map(b" ".join, zip(*[part[k:] for k in range(SHINGLE)], strict=False)) if len(words) >= SHINGLE else [b" ".join(words)]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), "<u8")
+        hashes = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in shingles(part, SHINGLE)), "<u8")
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         totals += bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(totals * 2 > n, bitorder="little").view("<i8")[0])
@@ -219,20 +225,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the smallest id of each component only.
+def broadcast_ids(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if fits_broadcast(ids, IDS) else ids
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates
+) -> DataFrame:
+    """``docs`` with the document of the smallest id of each component of ``find`` only.
 
     Rows that repeat an id and a text are one document. Rows without an id stay.
     """
-    found = materialise(near_duplicates(docs, id_col, text_col), "simhash-found")
+    found = materialise(find(docs, id_col, text_col), "simhash-found")
     gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     twice = found.groupBy(F.col(id_col).alias("_twice")).count().filter("count > 1 AND _twice IS NOT NULL").select("_twice")
-
-    def side(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if fits_broadcast(ids, IDS) else ids
-
-    kept = docs.join(side(gone), F.col(id_col) == F.col("_gone"), "left_anti")
-    again = side(twice)
+    kept = docs.join(broadcast_ids(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    again = broadcast_ids(twice)
     same = F.col(id_col) == F.col("_twice")
     once = kept.join(again, same, "left_anti")
     return once.unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
