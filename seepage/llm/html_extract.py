@@ -40,9 +40,8 @@ ASIDE_WORDS = set(
     "signup login form search pagination pager toolbar skip".split()
 )
 
-TAG = re.compile(
-    r"<!--|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]{0,40})(?P<rest>(?:[^'\">]++|\"[^\"]{0,65536}\"|'[^']{0,65536}'){0,1000}+|[^>]{0,65536})>|<[!?][^>]{0,65536}>"
-)
+START = re.compile(r"<!--|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]{0,40})|<[!?]")
+SPECIAL = re.compile(r"[\"'>]")
 MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -71,6 +70,59 @@ def step_of(tag: str, rest: str) -> tuple[str, bool]:
     return (f"{tag}.{classes}" if classes else tag), marked
 
 
+class Tag(NamedTuple):
+    start: int
+    end: int
+    name: str | None
+    closing: bool
+    rest: str
+
+
+class Tags:
+    """Tags of a page from any place on, however long they and their quoted values are.
+
+    A ``>`` in quotes ends no tag, unless no other one follows. Quotes from which no
+    end was found are remembered, so that all searches together stay linear.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.dead: set[int] = set()
+        self.last = html.rfind(">")
+
+    def end_of(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose name ends at ``at``; -1 if there is none."""
+        if at > self.last:
+            return -1
+        seen = []
+        place = at
+        while (found := SPECIAL.search(self.html, place)) and found[0] != ">":
+            quote = found.start()
+            if quote in self.dead:
+                break
+            seen.append(quote)
+            place = self.html.find(found[0], quote + 1) + 1
+            if not place:
+                break
+        else:
+            if found:
+                return found.start()
+        self.dead.update(seen)
+        return self.html.find(">", at)
+
+    def next(self, at: int) -> Tag | None:
+        """The next tag or comment start at or after ``at``."""
+        while found := START.search(self.html, at):
+            at = found.end()
+            if found[0] == "<!--":
+                return Tag(found.start(), at, "!--", False, "")
+            end = self.end_of(at) if found["name"] else self.html.find(">", at) if at <= self.last else -1
+            if end >= 0:
+                return Tag(found.start(), end + 1, found["name"], bool(found["close"]), self.html[at:end])
+            at = found.start() + 1
+        return None
+
+
 def parse(html: str) -> tuple[list[Element], list[Block]]:
     """Elements that hold blocks, and the blocks of text in page order."""
     elements = [Element(-1, "", "", False)]
@@ -95,19 +147,20 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
 
     at = 0
     lower = None
-    while found := TAG.search(html, at):
-        add(html[at : found.start()])
-        at = found.end()
-        if found[0] == "<!--":
+    tags = Tags(html)
+    while found := tags.next(at):
+        add(html[at : found.start])
+        at = found.end
+        if found.name == "!--":
             end = html.find("-->", at)
             at = len(html) if end < 0 else end + 3
             continue
-        if not found["name"]:
+        if not found.name:
             continue
-        tag, closing = found["name"].lower(), bool(found["close"])
+        tag, closing = found.name.lower(), found.closing
         if tag in RAW and not closing:
             lower = lower or html.lower()
-            end = lower.find(f"</{tag}", at) if len(lower) == len(html) else html.find(f"</{found['name']}", at)
+            end = lower.find(f"</{tag}", at) if len(lower) == len(html) else html.find(f"</{found.name}", at)
             at = len(html) if end < 0 else end
         elif tag in VOID:
             add(" ")
@@ -131,7 +184,7 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
                 elif name in HOLDS:
                     break
             above = elements[stack[-1]]
-            step, marked = step_of(tag, found["rest"] or "")
+            step, marked = step_of(tag, found.rest)
             inside = tag == "header" and any(elements[i].tag in ("article", "main") for i in stack)
             outside = above.outside or (tag not in ("html", "body", "article", "main") and (marked or (tag in OUTSIDE and not inside)))
             elements.append(Element(stack[-1], tag, f"{above.path}/{step}"[-LONGEST_PATH:], outside))

@@ -1,6 +1,7 @@
 """Sharding, quality rules, URL lists and page text."""
 
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -138,6 +139,21 @@ def test_main_text(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_tags_longer_than_any_bound():
+    payload = "A" * 70_000
+    outer = f'<div class="post"><p>one</p><img src="data:{payload}>"><div data-x=\'{payload}>\'>two</div><p>three</p></div>'
+    assert html_extract.main_text(outer, ["/div.post"]) == "one two three"
+    assert html_extract.main_text("<p " + "a=1 " * 20_000 + 'b="x>y">t', []) == "t"
+
+
+@pytest.mark.parametrize("piece", ["<p ", '<a "', "<!x", '<p a="', '<a b="c" ', '<a ">" ', "<a '\">\" '"])
+def test_broken_tags_take_linear_time(piece):
+    start = time.time()
+    html_extract.parse(piece * 50_000)
+    html_extract.parse(piece * 50_000 + ">")
+    assert time.time() - start < 10
+
+
 def test_pages_of_the_tables(spark):
     got = queries.QUERIES["op3_consensus_paths"](spark, "/root/testdata/sf0.001").collect()
     html = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
