@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,29 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, "1000")
 
 
+def typed(df: DataFrame, column: str) -> str:
+    """The type of a column, as a schema string writes it."""
+    return df.schema[column].dataType.simpleString()
+
+
+class RowBatches:
+    """Arrow batches cut so that the values of one column take about ``limit`` bytes in each.
+
+    Python objects made from a batch stay bounded that way, whatever number of rows
+    Spark sends at once and however long the texts are.
+    """
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> None:
+        self.batches, self.column, self.limit = batches, column, limit
+
+    def __iter__(self) -> Iterator[pa.RecordBatch]:
+        for batch in self.batches:
+            rows = max(1, batch.num_rows)
+            step = max(1, rows * self.limit // max(1, batch.column(self.column).nbytes))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also where lambdas use it."""
     return F.element_at(F.transform(F.array(value), body), 1)

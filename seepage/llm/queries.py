@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm import bpe, html_extract, mixing, pivot_search, quality_model, quality_rules, sharding, simhash, suffix_dedup, url_filter
+from seepage.llm import bpe, html_extract, mixing, order_minhash, pivot_search, quality_model, quality_rules, sharding, simhash, suffix_dedup, url_filter
 from seepage.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -96,6 +96,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
 
 
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_lpt_sharding": op1_lpt_sharding,
     "op2_simhash": op2_simhash,
@@ -107,6 +111,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
+    "op11_order_minhash": op11_order_minhash,
 }
 
 ORACLES = {
