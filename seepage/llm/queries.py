@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm import bpe, html_extract, mixing, order_minhash, pivot_search, quality_model, quality_rules, sharding, simhash, suffix_dedup, url_filter
+from seepage.llm import bpe, conversation_repair, html_extract, lexical_search, mixing, order_minhash, pivot_search, quality_model, quality_rules, sharding, simhash, suffix_dedup, url_filter
 from seepage.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,9 @@ URL_RULES = (
     url_filter.Rule("block", "net", "/fr/"),
 )
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def op1_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
@@ -100,6 +103,26 @@ def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conversations, repaired = conversation_repair.repair(conversation_repair.damage(turns))
+    digests = conversation_repair.digests(repaired)
+    every = turns.select(F.col("conv_id").alias("_every")).distinct()
+    found = every.join(conversations, F.col("_every").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    found = found.join(digests, F.col("_every").eqNullSafe(F.col("conv_id")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        F.col("_every").alias("conv_id"),
+        *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_lpt_sharding": op1_lpt_sharding,
     "op2_simhash": op2_simhash,
@@ -112,6 +135,8 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
     "op11_order_minhash": op11_order_minhash,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES = {
@@ -132,4 +157,23 @@ fits AS (
     ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.n = 1""",
+    "op13_lexical_search": rf"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '{TERM}')) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths),
+freq AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY doc_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM freq, totals GROUP BY term, n_docs),
+item_terms AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '{TERM}')) AS term FROM benchmark),
+scores AS (
+  SELECT i.item_id, f.doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM item_terms i JOIN freq f USING (term) JOIN weights USING (term) JOIN lengths l ON l.doc_id = f.doc_id, totals
+  GROUP BY i.item_id, f.doc_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
