@@ -304,7 +304,10 @@ class Decoder:
         self.due = b""
 
     def feed(self, ids: Iterable[int]) -> str:
-        joined = self.between.join(map(self.pieces.__getitem__, ids))
+        try:
+            joined = self.between.join(map(self.pieces.__getitem__, ids))
+        except KeyError:  # an id that no token has stands for nothing
+            joined = self.between.join([self.pieces[i] for i in ids if i in self.pieces])
         if not joined:
             return ""
         out = self.open.decode(self.due + joined)
@@ -323,8 +326,9 @@ def encode(
     """``docs`` with the token ids of each whole text as ``out`` array<int>.
 
     The text column goes unless ``keep_text``; a column named ``out`` is
-    replaced. Null and empty texts get an empty array. The tokenizer file (a few
-    MB) is read once on the driver and broadcast.
+    replaced. Null and empty texts get an empty array. Rows are encoded one by one,
+    so null ids and repeated rows stay as they are, and an empty table stays empty.
+    The tokenizer file (a few MB) is read once on the driver and broadcast.
     """
     text_batches(docs.sparkSession)
     with open(tokenizer, "rb") as f:
@@ -350,7 +354,9 @@ def encode(
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "decoded", text: bool = False) -> DataFrame:
     """``df`` with the ids turned back into the string ``out``; the ids go.
 
-    Null and empty arrays give an empty string; a column named ``out`` is replaced.
+    Null and empty arrays give an empty string; null ids and ids that no token has
+    stand for nothing. Rows are decoded one by one, so repeated rows and other columns
+    stay as they are; a column named ``out`` is replaced.
     """
     text_batches(df.sparkSession)
     with open(tokenizer, "rb") as f:
@@ -363,7 +369,7 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "deco
                 batch = whole.slice(at, ROWS)
                 texts = []
                 for ids in batch.column(ids_col):
-                    values = ids.values.to_numpy() if ids.is_valid else np.empty(0, np.int32)
+                    values = ids.values.drop_null().to_numpy() if ids.is_valid else np.empty(0, np.int32)
                     chunks = [decoder.feed(values[i : i + SEGMENT].tolist()) for i in range(0, len(values), SEGMENT)]
                     texts.append("".join(chunks) + decoder.finish())
                 yield pa.RecordBatch.from_arrays(

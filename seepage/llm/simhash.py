@@ -15,7 +15,7 @@ of them; each shard tree goes to the one task that searches it instead.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seepage.llm.common import text_batches
+from seepage.llm.common import RowBatches, text_batches
 from seepage.llm.components import components
 from seepage.operators.skew import lookup
 from seepage.session import fits_broadcast, materialise
@@ -205,6 +206,18 @@ def links(prints: DataFrame) -> DataFrame:
     return rows.mapInArrow(_shard_links, "a bigint, b bigint")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, rep, component_id), a row per row: ``rep`` stands for the component of a fingerprint."""
+    rows = materialise(fingerprints(docs, id_col, text_col), "simhash-rows")
+    prints = materialise(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "simhash-prints")
+    group = components(links(prints.select("fp"))).select(F.col("v").alias("fp"), "rep")
+    named = prints.join(group, "fp", "left").withColumn("rep", F.coalesce("rep", "fp"))
+    lowest = named.groupBy("rep").agg(F.min("first").alias("component_id"))
+    per_print = materialise(named.join(lowest, "rep").select("fp", "n", "rep", "component_id"), "simhash-groups")
+    total = prints.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return lookup(rows, per_print, "fp", "n", ["rep", "component_id"], total)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id), one row per row of ``docs``.
 
@@ -214,33 +227,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are kept and name no component; repeated rows share one. Other columns are
     ignored; an empty table gives an empty result.
     """
-    rows = materialise(fingerprints(docs, id_col, text_col), "simhash-rows")
-    prints = materialise(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "simhash-prints")
-    group = components(links(prints.select("fp"))).select(F.col("v").alias("fp"), "rep")
-    named = prints.join(group, "fp", "left").withColumn("rep", F.coalesce("rep", "fp"))
-    lowest = named.groupBy("rep").agg(F.min("first").alias("component_id"))
-    per_print = materialise(named.join(lowest, "rep").select("fp", "n", "component_id"), "simhash-groups")
-    total = prints.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    joined = lookup(rows, per_print, "fp", "n", ["component_id"], total)
-    return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = _grouped(docs, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def broadcast_ids(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if fits_broadcast(ids, IDS) else ids
 
 
-def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates
-) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component of ``find`` only.
+def _with_print(docs: DataFrame, text_col: str) -> DataFrame:
+    """(doc, fp): each row as a struct, beside its fingerprint."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in RowBatches(batches, "text"):
+            found = [fingerprint(t.as_py() or b"") for t in batch.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(found, pa.int64())], ["doc", "fp"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("fp", T.LongType())]))
+
 
-    Rows that repeat an id and a text are one document. Rows without an id stay.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest id.
+
+    Rows that share an id but not a component are different documents and judged each
+    by its own component; of rows that share both, the one of the smallest fingerprint,
+    then the smallest text, stays. Rows without an id stay. Columns of any name pass
+    through; an empty table gives an empty result.
     """
-    found = materialise(find(docs, id_col, text_col), "simhash-found")
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    twice = found.groupBy(F.col(id_col).alias("_twice")).count().filter("count > 1 AND _twice IS NOT NULL").select("_twice")
-    kept = docs.join(broadcast_ids(gone), F.col(id_col) == F.col("_gone"), "left_anti")
-    again = broadcast_ids(twice)
-    same = F.col(id_col) == F.col("_twice")
-    once = kept.join(again, same, "left_anti")
-    return once.unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    found = materialise(_grouped(docs, id_col, text_col).filter("id IS NOT NULL"), "simhash-found")
+    gone = found.filter(F.col("id") != F.col("component_id")).select("id").distinct()
+    twice = materialise(found.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "simhash-twice")
+    alone, again = broadcast_ids(gone.unionByName(twice).distinct()), broadcast_ids(twice)
+    # ids of one row need no fingerprint here
+    once = docs.join(alone, docs[id_col] == alone["id"], "left_anti")
+    # the few rows of repeated ids are compared by id and fingerprint
+    shared = _with_print(docs.join(again, docs[id_col] == again["id"], "left_semi"), text_col)
+    winners = (
+        found.join(twice, "id", "left_semi").filter(F.col("id") == F.col("component_id")).groupBy("id", "rep").agg(F.min("fp").alias("fp")).select(F.col("id").alias("best"), F.col("fp").alias("best_fp"))
+    )
+    of_doc = F.col("doc").getField(id_col)
+    kept = shared.join(winners, (of_doc == F.col("best")) & (F.col("fp") == F.col("best_fp"))).groupBy("best", "best_fp")
+    first = kept.agg(F.min_by("doc", F.struct(F.col("doc").getField(text_col).isNotNull(), F.col("doc").getField(text_col))).alias("doc"))
+    return once.unionByName(first.select("doc.*"))

@@ -86,6 +86,27 @@ def test_one_document_of_each_group_stays(spark):
     assert sum(r.doc_id is None for r in kept) == 2
 
 
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    a, b, c = ("one two three four five six seven", "other words in this text here", "a third text with its own words")
+    rows_ = [(3, a), (5, a), (5, b), (9, c), (9, c), (9, c.upper()), (11, c), (None, a), (None, None), (12, None), (12, "")]
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows_], "doc_id bigint, text string, _gone string, id string, fp string")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.text, r._gone) for r in got.collect()), key=repr)
+    assert kept == sorted([(3, a, "x"), (5, b, "x"), (9, c.upper(), "x"), (12, None, "x"), (None, a, "x"), (None, None, "x")], key=repr)
+
+
+def test_unknown_ids_stand_for_nothing(spark):
+    ids = bpe.codec_for(open(PATH, "rb").read()).encode("some text").tolist()
+    rows_ = [(1, [*ids, 10**9, -1], "a"), (1, [10**9], "a"), (None, None, "b"), (2, [], None), (3, [ids[0], None, *ids[1:]], "a")]
+    df = spark.createDataFrame(rows_, "doc_id bigint, ids array<int>, decoded string")
+    got = sorted(((r.doc_id, r.decoded) for r in bpe.decode(df, PATH).collect()), key=repr)
+    whole = Tokenizer.from_file(PATH).decode(ids, skip_special_tokens=False)
+    assert got == sorted([(1, whole), (1, ""), (None, ""), (2, ""), (3, whole)], key=repr)
+    clash = spark.createDataFrame([(1, "some text", "old")], "doc_id bigint, text string, ids string")
+    assert bpe.encode(clash, PATH).first().ids == ids
+
+
 @pytest.fixture(scope="module")
 def codec():
     return bpe.codec_for(open(PATH, "rb").read())
