@@ -76,12 +76,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def packed(docs: DataFrame, block: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, size, source, offset): where each document starts in its source's words."""
+def packed(docs: DataFrame, block: int, id_col: str, text_col: str, source_col: str, by_text: bool = False) -> DataFrame:
+    """(id, size, source, offset): where each document starts in its source's words.
+
+    ``by_text`` adds a hash of the text as ``digest``, and orders rows of one id by it.
+    """
+    more = [F.xxhash64(F.col(text_col)).alias("digest")] if by_text else []
     rows = docs.select(
-        F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size")
+        F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), *more
     ).withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")))
-    return running_totals(rows, ["_source", "id", "size"], "size").select("source", "id", "size", "offset")
+    named = ["digest"] if by_text else []
+    return running_totals(rows, ["_source", "id", "size", *named], "size").select("source", "id", "size", "offset", *named)
 
 
 def mix(
@@ -91,6 +96,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    by_text: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(placed documents, sources, draws).
 
@@ -101,10 +107,11 @@ def mix(
 
     A null text has size 0; null sources form one source. Rows of size 0 are
     placed and never drawn. An empty table gives empty results. Other columns
-    are ignored; repeated rows are placed one after the other.
+    are ignored; repeated rows are placed one after the other. ``by_text`` keeps a
+    ``digest`` of each text beside the placed documents.
     """
     spark = docs.sparkSession
-    placed = materialise(packed(docs, block, id_col, text_col, source_col), "mix-placed")
+    placed = materialise(packed(docs, block, id_col, text_col, source_col, by_text), "mix-placed")
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("offset").alias("first"))
     targets = source_targets(sizes.drop("first")).join(
         sizes.select(F.col("source").alias("_s"), "first"), F.col("source").eqNullSafe(F.col("_s"))
@@ -151,7 +158,7 @@ def mix(
     start = F.col("offset") - F.col("first")
     firsts = sources.select(F.col("source").alias("_s"), "source_size", "target", "first")
     spots = placed.join(firsts, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        "id", "size", "source", "source_size", "target", start.alias("start")
+        "id", "size", "source", "source_size", "target", start.alias("start"), *(["digest"] if by_text else [])
     )
     return spots, sources, draws
 
@@ -214,34 +221,43 @@ def mixed_documents(
     joined by blanks. Rows of which nothing is taken, such as those without a
     word, are not in the mix.
     """
-    spots, _, draws = mix(docs, seed, block, id_col, text_col, source_col)
+    spots, _, draws = mix(docs, seed, block, id_col, text_col, source_col, by_text=True)
     taken = (
         pieces(spots, draws, block)
-        .groupBy("source", "id", "size", "start", "use")
-        .agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_parts"))
+        .groupBy("source", "start", "use")
+        .agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("parts"))
     )
-    # rows alike in source, id and size pair up by place and by text
-    order = Window.partitionBy("source", "id", "size").orderBy("start")
+    # rows alike in source, id, size and text are the same document several times
+    order = Window.partitionBy("source", "id", "size", "digest").orderBy("start")
     numbered = spots.filter("size > 0").select(
-        F.col("source").alias("_s"), F.col("start").alias("_p"), F.row_number().over(order).alias("_nth")
+        F.col("source").alias("s"), F.col("start").alias("p"), "id", "size", "digest", F.row_number().over(order).alias("nth")
     )
-    parts = taken.join(numbered, F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_p"))).select(
-        F.col("source").alias("_source"), F.col("id").alias("_id"), F.col("size").alias("_words"), "_nth", "_parts"
+    parts = taken.join(numbered, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("p"))).select(
+        F.col("source").alias("of_source"), F.col("id").alias("of_id"), F.col("size").alias("of_size"), F.col("digest").alias("of_digest"), "nth", "parts"
+    )
+    # the columns of docs stay in a struct, where their names clash with none of these
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col(source_col).alias("source"),
+        F.col(id_col).alias("id"),
+        word_count(F.col(text_col)).alias("size"),
+        F.xxhash64(F.col(text_col)).alias("digest"),
     )
-    mine = Window.partitionBy(source_col, id_col, "_size").orderBy(text_col)
-    rows = docs.withColumn("_size", word_count(F.col(text_col))).withColumn("_row", F.row_number().over(mine))
+    rows = rows.filter("size > 0").withColumn("copy", F.row_number().over(Window.partitionBy("source", "id", "size", "digest").orderBy("digest")))
     joined = rows.join(
         parts,
-        F.col(source_col).eqNullSafe(F.col("_source"))
-        & F.col(id_col).eqNullSafe(F.col("_id"))
-        & (F.col("_size") == F.col("_words"))
-        & (F.col("_row") == F.col("_nth")),
+        F.col("source").eqNullSafe(F.col("of_source"))
+        & F.col("id").eqNullSafe(F.col("of_id"))
+        & (F.col("size") == F.col("of_size"))
+        & (F.col("digest") == F.col("of_digest"))
+        & (F.col("copy") == F.col("nth")),
     )
-    whole = F.aggregate("_parts", F.lit(0).cast("bigint"), lambda n, x: n + x["high"] - x["low"]) == F.col("_size")
+    whole = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, x: n + x["high"] - x["low"]) == F.col("size")
+    old = F.col("doc").getField(text_col)
 
     def cut(w: Column) -> Column:
-        slices = F.transform("_parts", lambda x: F.slice(w, (x["low"] + 1).cast("int"), (x["high"] - x["low"]).cast("int")))
+        slices = F.transform("parts", lambda x: F.slice(w, (x["low"] + 1).cast("int"), (x["high"] - x["low"]).cast("int")))
         return F.array_join(F.flatten(slices), " ")
 
-    text = F.when(whole, F.col(text_col)).otherwise(let(words(F.col(text_col)), cut))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    text = F.when(whole, old).otherwise(let(words(old), cut))
+    return joined.select(*[(text if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns])

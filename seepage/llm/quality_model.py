@@ -193,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         .orderBy(F.xxhash64("_id"), "_id", "_label")
         .limit(sample)
     )
-    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("_id")).select(features(F.col(text_col)).alias("f"), "_label", "_id")
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    rows = texts.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select(features(F.col("_text")).alias("f"), "_label", "_id")
     found = rows.select("f.*", "_label", "_id").toPandas().sort_values("_id", kind="stable")
     x = found.drop(columns=["_label", "_id"]).to_numpy(np.float64)
     return fit(x, found["_label"].to_numpy(np.float64))

@@ -155,6 +155,20 @@ def test_mixed_texts_are_the_words_taken(spark):
     assert words == want
 
 
+def test_columns_of_any_name_pass_through(spark):
+    clash = "_size _row _id _nth _source _words _parts size source_ id digest doc copy parts nth".split()
+    data = [(d[0], d[1], d[3]) for d in rows(n=40)]
+    df = spark.createDataFrame([(*d, *["mine"] * len(clash)) for d in data], "doc_id bigint, text string, source string, " + ", ".join(f"{c} string" for c in clash))
+    got = mixing.mixed_documents(df, block=8)
+    assert got.columns == df.columns
+    plain = mixing.mixed_documents(df.select("doc_id", "text", "source"), block=8)
+    found = got.collect()
+    assert all(r[c] == "mine" for r in found for c in clash)
+    assert sorted((repr(r.doc_id), r.text) for r in found) == sorted((repr(r.doc_id), r.text) for r in plain.collect())
+    labels = spark.createDataFrame([(d[0], 1) for d in data if d[0] is not None], "doc_id bigint, quality int")
+    assert quality_model.train(df.withColumn("_label", F.lit("x")), labels) is not None
+
+
 def test_mix_query_is_native(spark):
     plan = queries.QUERIES["op10_mixing"](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
