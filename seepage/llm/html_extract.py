@@ -5,6 +5,11 @@ best one: tags and classes from the root, digits generalised. Spark counts these
 votes per host. Every page is then read again with the winning paths of its host;
 the next path, and at last the page's own best container, stand in where a page
 lacks them.
+
+Names and tags that mark what isn't the article are evidence. Layout words on a wrapper
+(``has-sidebar``, a form around the whole page, a widget that holds most of the text)
+don't count against what is inside, ``article`` and ``main`` start afresh below most
+marks, and where marks would leave nothing, those of names give way.
 """
 
 from __future__ import annotations
@@ -15,15 +20,18 @@ from html import unescape
 from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seepage.llm.common import RowBatches
 from seepage.llm.url_filter import host_of
+from seepage.operators.skew import lookup, top_per_group
 from seepage.session import fits_broadcast, materialise
 
 PATHS = 3  # winning paths kept per host
 WINNER_ROWS = 200_000  # hosts with winners up to which they are broadcast
-LONGEST_PATH = 400
+LONGEST_PATH = 400  # characters up to which a path is spelled out; beyond, a hash stands for its start
 # element names: fixed values
 RAW = {"script", "style", "textarea", "template", "iframe", "noscript", "svg", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "br"}
@@ -40,6 +48,15 @@ ASIDE_WORDS = set(
     "signup login form search pagination pager toolbar skip".split()
 )
 
+# words that also name parts of a layout around an article, and words that never do: fixed values
+LAYOUT_WORDS = set("widget header banner form search promo toolbar navbar signup login social".split())
+FINAL_WORDS = set("comment comments respond reply replies disqus related recommended".split())
+# a name that begins so tells what a wrapper has or lacks, one that ends so its state: fixed values
+HAVING = set("has have no not with without is show hide".split())
+STATES = set("open closed on off enabled disabled active visible".split())
+# how strongly an element is marked as no article
+LAYOUT, NAMED, FINAL, TAGGED = 1, 2, 3, 4
+
 START = re.compile(r"<!--|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]{0,40})|<[!?]")
 SPECIAL = re.compile(r"[\"'>]")
 MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -50,7 +67,7 @@ class Element(NamedTuple):
     parent: int
     tag: str
     path: str
-    outside: bool
+    mark: int
 
 
 class Block(NamedTuple):
@@ -59,15 +76,34 @@ class Block(NamedTuple):
     linked: int
 
 
-def step_of(tag: str, rest: str) -> tuple[str, bool]:
-    """The element's step in a path, and whether its names mark it as no article."""
-    classes, marked = "", False
+def strength(value: str) -> int:
+    """How strongly the names in a class, id or role mark an element as no article."""
+    mark = 0
+    for name in value.split():
+        pieces = [w.lower() for w in PIECE.findall(name)]
+        if not pieces or (len(pieces) > 1 and (pieces[0] in HAVING or pieces[-1] in STATES)):
+            continue
+        for piece in pieces:
+            if piece in ASIDE_WORDS:
+                mark = max(mark, FINAL if piece in FINAL_WORDS else LAYOUT if piece in LAYOUT_WORDS else NAMED)
+    return mark
+
+
+def step_of(tag: str, rest: str) -> tuple[str, int]:
+    """The element's step in a path, and how strongly its names mark it as no article."""
+    classes, mark = "", 0
     for name, value in MARK.findall(rest):
         value = value.strip("\"'")
         if name.lower() == "class":
             classes = ".".join(sorted(re.sub(r"\d+", "N", value).split()))
-        marked = marked or any(w.lower() in ASIDE_WORDS for w in PIECE.findall(value))
-    return (f"{tag}.{classes}" if classes else tag), marked
+        mark = max(mark, strength(value))
+    return (f"{tag}.{classes}" if classes else tag), mark
+
+
+def longer(path: str, step: str) -> str:
+    """The path one step further; different paths stay different, however long."""
+    path = f"{path}/{step}"
+    return path if len(path) <= LONGEST_PATH else f"#{xxhash.xxh3_128_hexdigest(path.encode('utf-8', 'replace'))}"
 
 
 class Tag(NamedTuple):
@@ -125,7 +161,7 @@ class Tags:
 
 def parse(html: str) -> tuple[list[Element], list[Block]]:
     """Elements that hold blocks, and the blocks of text in page order."""
-    elements = [Element(-1, "", "", False)]
+    elements = [Element(-1, "", "", 0)]
     blocks: list[Block] = []
     stack = [0]
     buffer: list[str] = []
@@ -158,11 +194,11 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
         if not found.name:
             continue
         tag, closing = found.name.lower(), found.closing
-        if tag in RAW and not closing:
+        if tag in RAW and not closing and not (tag == "svg" and found.rest.endswith("/")):
             lower = lower or html.lower()
             end = lower.find(f"</{tag}", at) if len(lower) == len(html) else html.find(f"</{found.name}", at)
             at = len(html) if end < 0 else end
-        elif tag in VOID:
+        elif tag in VOID or tag == "svg":
             add(" ")
             if tag == "hr":
                 flush()
@@ -184,10 +220,12 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
                 elif name in HOLDS:
                     break
             above = elements[stack[-1]]
-            step, marked = step_of(tag, found.rest)
-            inside = tag == "header" and any(elements[i].tag in ("article", "main") for i in stack)
-            outside = above.outside or (tag not in ("html", "body", "article", "main") and (marked or (tag in OUTSIDE and not inside)))
-            elements.append(Element(stack[-1], tag, f"{above.path}/{step}"[-LONGEST_PATH:], outside))
+            step, mark = step_of(tag, found.rest)
+            if tag in ("html", "body", "article", "main"):
+                mark = mark if tag == "article" and mark == FINAL else 0
+            elif tag in OUTSIDE and not (tag == "header" and any(elements[i].tag in ("article", "main") for i in stack)):
+                mark = LAYOUT if tag == "form" else TAGGED
+            elements.append(Element(stack[-1], tag, longer(above.path, step), mark))
             stack.append(len(elements) - 1)
     add(html[at:])
     flush()
@@ -201,14 +239,62 @@ def container(elements: list[Element], i: int) -> int:
     return i
 
 
-def best_container(elements: list[Element], blocks: list[Block]) -> int:
+def _levels(elements: list[Element], frames: set[int]) -> list[int]:
+    """The strongest mark at or above each element; article and main lift those that aren't final."""
+    out: list[int] = []
+    for i, element in enumerate(elements):
+        above = out[element.parent] if element.parent >= 0 else 0
+        if element.tag in ("article", "main") and above < FINAL:
+            above = 0
+        out.append(max(above, 0 if i in frames else element.mark))
+    return out
+
+
+def outside(elements: list[Element], blocks: list[Block]) -> list[bool]:
+    """Which elements are no part of the article, as far as tags and names tell.
+
+    An element with a layout mark that holds most of the text not marked more
+    strongly is a frame of the page, a form only if it has blocks of its own inside.
+    """
+    if not any(e.mark for e in elements):
+        return [False] * len(elements)
+    levels = _levels(elements, set())
+    held, own = [0] * len(elements), [0] * len(elements)
+    for block in blocks:
+        if levels[block.element] <= LAYOUT:
+            own[block.element] += len(block.text) - block.linked
+            held[block.element] += len(block.text) - block.linked
+    for i in range(len(elements) - 1, 0, -1):
+        held[elements[i].parent] += held[i]
+    frames = {
+        i
+        for i, e in enumerate(elements)
+        if e.mark == LAYOUT and 2 * held[i] > held[0] and (e.tag != "form" or 2 * own[i] < held[i])
+    }
+    levels = _levels(elements, frames) if frames else levels
+    used = {levels[b.element] for b in blocks}
+    # where nothing else is left, the marks of names give way, weaker ones first
+    most = min(used, default=0)
+    allowed = most if most < TAGGED else 0
+    if allowed and not _reads(elements, [b for b in blocks if levels[b.element] <= allowed]):
+        allowed = 0
+    return [level > allowed for level in levels]
+
+
+def _reads(elements: list[Element], blocks: list[Block]) -> bool:
+    """Whether blocks look like an article: a heading, or two paragraphs."""
+    tags = [elements[b.element].tag for b in blocks]
+    return any(t in ("h1", "h2") for t in tags) or tags.count("p") > 1
+
+
+def best_container(elements: list[Element], blocks: list[Block], out: list[bool]) -> int:
     """Text counts whole for the container it stands in, half one level up; -1 if there is none.
 
     An article or main element around the winner takes its place.
     """
     score: dict[int, float] = {}
     for block in blocks:
-        if elements[block.element].outside:
+        if out[block.element]:
             continue
         worth = len(block.text) - 2 * block.linked
         near = container(elements, block.element)
@@ -226,37 +312,38 @@ def best_container(elements: list[Element], blocks: list[Block]) -> int:
     return best
 
 
-def text_under(elements: list[Element], blocks: list[Block], roots: set[int]) -> str:
+def text_under(elements: list[Element], blocks: list[Block], out: list[bool], roots: set[int]) -> str:
     inside = [False] * len(elements)
     for i, element in enumerate(elements):
         inside[i] = i in roots or (element.parent >= 0 and inside[element.parent])
-    return " ".join(b.text for b in blocks if inside[b.element] and not elements[b.element].outside)
+    return " ".join(b.text for b in blocks if inside[b.element] and not out[b.element])
 
 
 def main_text(html: str, paths: Sequence[str]) -> str:
     """The text under the first of ``paths`` that the page has, else under its own best container."""
     elements, blocks = parse(html)
+    out = outside(elements, blocks)
     for path in paths:
         roots = {i for i, e in enumerate(elements) if e.path == path}
-        text = text_under(elements, blocks, roots) if roots else ""
+        text = text_under(elements, blocks, out, roots) if roots else ""
         if text:
             return text
-    best = best_container(elements, blocks)
-    return text_under(elements, blocks, {best}) if best >= 0 else ""
+    best = best_container(elements, blocks, out)
+    return text_under(elements, blocks, out, {best}) if best >= 0 else ""
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in RowBatches(batches, "html"):
         paths = []
         for html in batch.column("html"):
             elements, blocks = parse(html.as_py() or "")
-            best = best_container(elements, blocks)
+            best = best_container(elements, blocks, outside(elements, blocks))
             paths.append(elements[best].path if best >= 0 else None)
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], ["host", "path"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in RowBatches(batches, "html"):
         found = [
             main_text(html.as_py() or "", paths.as_py() or ())
             for html, paths in zip(batch.column("html"), batch.column("paths"), strict=True)
@@ -267,12 +354,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, paths): the paths with most votes per host, most first, ties in path order."""
+    """(host, paths, votes): the paths with most votes per host, most first, ties in path order."""
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    votes = rows.mapInArrow(_vote, "host string, path string").filter("path IS NOT NULL").groupBy("host", "path").count()
-    # one entry per path of a host: templates, not pages
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "path")))
-    return votes.groupBy("host").agg(F.slice(ranked["path"], 1, PATHS).alias("paths"))
+    votes = rows.mapInArrow(_vote, "host string, path string").filter("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("n"))
+    best = top_per_group(votes, ["host"], [F.col("n").desc(), F.col("path")], PATHS, ["path"])
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "path")))  # at most PATHS
+    return best.groupBy("host").agg(ranked["path"].alias("paths"), F.sum("n").alias("votes"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -286,7 +373,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host")
     )
-    side = F.broadcast(winners) if fits_broadcast(winners, WINNER_ROWS) else winners
-    joined = rows.join(side, "host", "left").select("id", "url", "html", "paths")
+    if fits_broadcast(winners, WINNER_ROWS):
+        joined = rows.join(F.broadcast(winners), "host", "left")
+    else:
+        total = winners.agg(F.coalesce(F.sum("votes"), F.lit(0)).alias("n")).first()["n"]
+        joined = lookup(rows, winners, "host", "votes", ["paths"], total)
+    joined = joined.select("id", "url", "html", "paths")
     out = joined.mapInArrow(_extract, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

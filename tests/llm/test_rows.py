@@ -139,6 +139,63 @@ def test_main_text(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>Title</h1>" + "<p>One long sentence of the article, and another one.</p>" * 3
+TOLD = "Title " + " ".join(["One long sentence of the article, and another one."] * 3)
+
+
+@pytest.mark.parametrize(
+    "layout",
+    [
+        '<div class="page has-sidebar"><article>{}</article></div>',
+        '<div class="with-header"><main>{}</main></div>',
+        '<div class="elementor-widget-container">{}</div>',
+        '<div class="post no-comments">{}</div>',
+        '<div class="site comments-open"><div class="text">{}</div></div>',
+        "<form id='aspnetForm'><div>{}</div></form>",
+        '<svg class="icon"/><div>{}</div>',
+        '<div id="search-results"><div>{}</div></div>',
+        '<div class="promo-wrapper"><article>{}</article><div class="ad">Buy now</div></div>',
+        '<div class="banner"><div class="sidebar-layout">{}</div></div>',
+    ],
+)
+@pytest.mark.parametrize("around", ["{}", '<nav>Menu</nav>{}<div class="comments"><p>I said so</p><p>so too</p></div><footer>Foot</footer>'])
+def test_layout_names_are_no_veto(layout, around):
+    page_ = f"<html><body>{around.format(layout.format(ARTICLE))}</body></html>"
+    assert html_extract.main_text(page_, []) == TOLD
+
+
+def test_marked_parts_stay_outside():
+    for aside in (
+        '<div class="widget"><p>w</p><p>w</p></div>',
+        "<form><div><p>Mail</p><p>Name</p></div></form>",
+        '<div id="comments"><article class="comment"><p>so</p><p>so</p></article></div>',
+        '<aside><article><p>tease</p><p>tease</p></article></aside>',
+        '<div class="related-posts"><article><p>more</p></article></div>',
+        '<div class="site-header">Site</div>',
+    ):
+        assert html_extract.main_text(f"<body>{aside}<div class='text'>{ARTICLE}</div>{aside}</body>", ["/body/div.text"]) == TOLD
+    assert html_extract.main_text('<body><div class="ad">Buy</div><div class="text"></div></body>', []) == ""
+
+
+def test_deep_pages_keep_their_paths_apart():
+    deep = "<div>" * 200
+    page_ = f'{deep}<div class="text">{ARTICLE}</div>' + "</div>" * 100 + '<div class="rest"><p>side</p></div>'
+    elements, blocks = html_extract.parse(page_)
+    assert len({e.path for e in elements}) == len(elements) - 2  # three paragraphs share theirs
+    path = elements[elements[blocks[0].element].parent].path
+    assert html_extract.main_text(page_, [path]) == TOLD
+
+
+def test_hosts_beyond_a_broadcast(spark, monkeypatch):
+    shape = "page_id bigint, url string, html string"
+    data = [(i, f"http://h{i % 3}.org/{i}", page(f"<p>Text {i} of the page.</p>", f"post c{i % 3}")) for i in range(30)] + [(99, None, "<p>no host</p>")]
+    df = spark.createDataFrame(data, shape)
+    want = sorted(map(tuple, html_extract.extract(df).collect()))
+    monkeypatch.setattr(html_extract, "WINNER_ROWS", -1)
+    assert sorted(map(tuple, html_extract.extract(df).collect())) == want
+    assert want[0][2] == "Text 0 of the page."
+
+
 def test_tags_longer_than_any_bound():
     payload = "A" * 70_000
     outer = f'<div class="post"><p>one</p><img src="data:{payload}>"><div data-x=\'{payload}>\'>two</div><p>three</p></div>'
