@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm import bpe, mixing, near_dedup, quality_rules, simhash, suffix_dedup
+from seepage.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
 from seepage.llm.common import table
 from seepage.llm.queries import TOKENIZER
 from seepage.session import materialise
@@ -24,8 +24,8 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group linked by five-word similarities of 0.8 or more."""
-    return simhash.keep_one(docs, find=near_dedup.near_duplicates)
+    """Keeps the document of the smallest id of each group whose fingerprints of 3-word shingles link at 2 bits or fewer."""
+    return simhash.keep_one(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
