@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from seepage.llm.common import text_batches
+from seepage.llm.common import released, text_batches
 
 WORDS_KEPT = 300_000  # encoded words that a worker remembers
 PAIRS_KEPT = 200_000
@@ -348,7 +348,7 @@ def encode(
     kept = [c for c in docs.columns if c != out and (keep_text or c != text_col)]
     fields = [f for f in docs.schema.fields if f.name in kept]
     schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return docs.drop(out).mapInArrow(run, schema)
+    return docs.drop(out).mapInArrow(released(run), schema)
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "decoded", text: bool = False) -> DataFrame:
@@ -378,4 +378,4 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "deco
 
     kept = [c for c in df.columns if c not in (ids_col, out)]
     fields = [f for f in df.schema.fields if f.name in kept]
-    return df.drop(out).mapInArrow(run, T.StructType([*fields, T.StructField(out, T.StringType())]))
+    return df.drop(out).mapInArrow(released(run), T.StructType([*fields, T.StructField(out, T.StringType())]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -50,6 +52,34 @@ class RowBatches:
                 yield batch.slice(at, step)
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that gives freed memory back, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which its worker holds no more memory than it uses.
+
+    Python workers stay for later stages, and what their allocators keep counts against
+    the executor beside the memory of the stage at work.
+    """
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = _trim()
+            if trim:
+                trim(0)
+
+    return inner
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also where lambdas use it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seepage.llm.common import RowBatches, text_batches
+from seepage.llm.common import RowBatches, released, text_batches
 from seepage.llm.components import components
 from seepage.operators.skew import lookup
 from seepage.session import fits_broadcast, materialise
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(released(run), f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -203,7 +203,7 @@ def links(prints: DataFrame) -> DataFrame:
     )
     heavy = _crowded(finer, "shard").select("shard", "fp")
     rows = light.unionByName(heavy).repartition("shard").sortWithinPartitions("shard", "fp")
-    return rows.mapInArrow(_shard_links, "a bigint, b bigint")
+    return rows.mapInArrow(released(_shard_links), "a bigint, b bigint")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -244,7 +244,7 @@ def _with_print(docs: DataFrame, text_col: str) -> DataFrame:
             found = [fingerprint(t.as_py() or b"") for t in batch.column("text").cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(found, pa.int64())], ["doc", "fp"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(released(run), T.StructType([rows.schema["doc"], T.StructField("fp", T.LongType())]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seepage.llm.common import text_batches
+from seepage.llm.common import released, text_batches
 from seepage.session import fits_broadcast, materialise
 
 LENGTH = 100
@@ -388,28 +388,28 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = _numbered(docs, id_col, text_col).select(
         F.col("__seepage_id").alias("id"), F.col("__seepage_tie").alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    read = rows.mapInArrow(_read, "a bigint, h bigint, id bigint, run bigint, settled boolean")
+    read = rows.mapInArrow(released(_read), "a bigint, h bigint, id bigint, run bigint, settled boolean")
     dealt = F.when(F.col("settled"), F.xxhash64("id", "run")).otherwise(F.col("a"))
     met = materialise(
         read.repartition(dealt)
         .sortWithinPartitions("a", "h", "id", "run")
-        .mapInArrow(_meet, "id bigint, run bigint, a bigint, mixed boolean"),
+        .mapInArrow(released(_meet), "id bigint, run bigint, a bigint, mixed boolean"),
         "repeats",
     )
     mixed = met.filter("mixed").drop("mixed")
     asked = mixed.groupBy("id", _tie(F.col("run")).alias("tie")).agg(F.collect_list(F.struct("a", "run")).alias("asked"))
     few = _among(rows.withColumnRenamed("id", "__seepage_id"), mixed.select("id")).withColumnRenamed("__seepage_id", "id")
     cut = materialise(
-        few.join(asked, ["id", "tie"]).mapInArrow(_cut, "a bigint, id bigint, run bigint, piece binary"), "runs"
+        few.join(asked, ["id", "tie"]).mapInArrow(released(_cut), "a bigint, id bigint, run bigint, piece binary"), "runs"
     )
     crowds = cut.groupBy("a").count().filter(F.col("count") > MAX_RUNS).select("a")
     laid = (
         cut.join(crowds, "a", "left_anti")
         .repartition("a")
         .sortWithinPartitions("a")
-        .mapInArrow(_lay_out, "id bigint, run bigint")
+        .mapInArrow(released(_lay_out), "id bigint, run bigint")
     )
-    windows = cut.join(crowds, "a", "left_semi").mapInArrow(_digests, "digest binary, id bigint, run bigint")
+    windows = cut.join(crowds, "a", "left_semi").mapInArrow(released(_digests), "digest binary, id bigint, run bigint")
     place = F.struct("id", _place(F.col("run")).alias("place"))
     first = windows.groupBy("digest").agg(F.min(place).alias("first"))
     crowded = windows.join(first, "digest").filter(place > F.col("first")).select("id", "run")
@@ -478,9 +478,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if fits_broadcast(keys, IDS):
         touched = numbered.join(F.broadcast(keys), "__seepage_id", "left_semi").join(found, ["__seepage_id", "__seepage_tie"], "left")
         rest = numbered.join(F.broadcast(keys), "__seepage_id", "left_anti")
-        changed = touched.filter("__seepage_runs IS NOT NULL").select(*docs.columns, "__seepage_runs").mapInArrow(remove, schema)
+        changed = touched.filter("__seepage_runs IS NOT NULL").select(*docs.columns, "__seepage_runs").mapInArrow(released(remove), schema)
         rest = rest.select(*docs.columns, *added)
         return changed.unionByName(rest).unionByName(touched.filter("__seepage_runs IS NULL").select(*docs.columns, *added))
     joined = numbered.join(found, ["__seepage_id", "__seepage_tie"], "left")
-    changed = joined.filter("__seepage_runs IS NOT NULL").select(*docs.columns, "__seepage_runs").mapInArrow(remove, schema)
+    changed = joined.filter("__seepage_runs IS NOT NULL").select(*docs.columns, "__seepage_runs").mapInArrow(released(remove), schema)
     return changed.unionByName(joined.filter("__seepage_runs IS NULL").select(*docs.columns, *added))
