@@ -14,13 +14,18 @@ from seepage.session import shared_path
 from seepage.streaming.audit_stream import run_audit_stream
 
 
-def _candidates(spark, sf_dir):
+def _readings(spark, sf_dir):
     return audit.candidates(samples(spark, sf_dir), names=common.names(spark, sf_dir))
 
 
+def _candidates(spark, sf_dir):
+    """Each string once for a sample, whichever readings of a name give it."""
+    return _readings(spark, sf_dir).select("sample_id", "category", "match").distinct()
+
+
 def _found(spark, sf_dir):
-    lines = audit.corpus_lines(documents(spark, sf_dir))
-    return audit.found_in_corpus(_candidates(spark, sf_dir), lines)
+    lines = audit.corpus_texts(documents(spark, sf_dir))
+    return audit.found_in_corpus(_readings(spark, sf_dir), lines)
 
 
 def _lookup(spark, sf_dir):
@@ -86,7 +91,7 @@ def _compare(spark, sf_dir):
     """The private variant of a sample is the same text with digits masked."""
     plain = samples(spark, sf_dir)
     private = plain.withColumn("text", F.regexp_replace("text", "[0-9]", "#"))
-    lines = audit.corpus_lines(documents(spark, sf_dir))
+    lines = audit.corpus_texts(documents(spark, sf_dir))
     names = common.names(spark, sf_dir)
     counts = [
         audit.leak_counts(audit.found_in_corpus(audit.candidates(s, names=names), lines))
@@ -97,12 +102,12 @@ def _compare(spark, sf_dir):
 
 def _candidate_sql(source: str, named: bool = True) -> str:
     parts = [
-        f"SELECT DISTINCT sample_id, '{category}' AS category, unnest({matches}) AS match FROM {source}"
+        f"SELECT DISTINCT sample_id, '{category}' AS category, unnest({matches}) AS match, NULL::VARCHAR AS tail FROM {source}"
         for category, matches in MATCH_SQL.items()
     ]
     if named:
         parts.append(
-            f"SELECT sample_id, '{P.NAMES}' AS category, match FROM ({common.name_sql(source)})"
+            f"SELECT sample_id, '{P.NAMES}' AS category, match, tail FROM ({common.name_sql(source)})"
         )
     return "\nUNION ALL\n".join(parts)
 
@@ -113,7 +118,10 @@ dp_samples AS (SELECT sample_id, regexp_replace(text, '[0-9]', '#', 'g') AS text
 cands AS ({_candidate_sql(source, named)}),
 hits AS (SELECT term FROM (SELECT DISTINCT lower(match) AS term FROM cands) t
   WHERE EXISTS (SELECT 1 FROM lines WHERE contains(line, term))),
-found AS (SELECT * FROM cands WHERE lower(match) IN (SELECT term FROM hits))"""
+readings AS (SELECT * FROM cands WHERE lower(match) IN (SELECT term FROM hits)),
+found AS (SELECT sample_id, category, match FROM readings WHERE tail IS NULL
+  UNION ALL SELECT DISTINCT sample_id, category, arg_max(match, length(match)) FROM readings
+  WHERE tail IS NOT NULL GROUP BY sample_id, category, tail)"""
 
 
 _COUNTS = """SELECT category, count(DISTINCT sample_id) AS unique_sample_count, count(*) AS total_match_count
@@ -144,7 +152,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "a1_candidates": f"{_with()} SELECT sample_id, category, match FROM cands",
+    "a1_candidates": f"{_with()} SELECT DISTINCT sample_id, category, match FROM cands",
     "a2_found_in_corpus": f"{_with()} SELECT sample_id, category, match FROM found",
     "a3_leak_counts": f"{_with()} {_COUNTS}",
     "a4_zero_fill": f"""{_with()}
@@ -160,7 +168,7 @@ UNION ALL SELECT 'Total PII Sample Matches', s FROM counts
 UNION ALL SELECT 'Total PII Match Occurrences', m FROM counts""",
     "a6_audit_stream": f"{_with()} {_COUNTS}",
     "a7_distinct_lookup": f"""{_with()}
-SELECT lower(match) AS term, count(*) AS n_candidates FROM cands GROUP BY 1""",
+SELECT lower(match) AS term, count(*) AS n_candidates FROM (SELECT DISTINCT sample_id, category, match FROM cands) GROUP BY 1""",
     "a8_choose_corpus": f"""WITH split AS (
   SELECT 'results_nano_dp.txt' AS sample_file, string_split_regex(text, '{common.LINE_BREAK}') AS parts FROM documents
   UNION ALL

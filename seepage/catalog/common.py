@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seepage.functions.text import LINE_BREAK, SPACE
+from seepage.operators.audit import NAME_WORDS
 from seepage.session import spread
 
 
@@ -60,15 +61,16 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = r"""names AS (
   SELECT DISTINCT lower(unnest(regexp_extract_all(text, '\p{Lu}\p{Ll}{3,}'))) AS name FROM benchmark)"""
 
+
 def name_sql(source: str) -> str:
-    """Title-case runs of (sample_id, text), cut before each word on the list."""
-    return rf"""SELECT DISTINCT sample_id, array_to_string(ws[pos:nxt - 1], ' ') AS match FROM (
-  SELECT sample_id, ws, pos, coalesce(lead(pos) OVER (PARTITION BY sample_id, run ORDER BY pos), len(ws) + 1) AS nxt
-  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS pos FROM (
-    SELECT sample_id, run, string_split(run, ' ') AS ws FROM (
-      SELECT DISTINCT sample_id, unnest(regexp_extract_all(text,
-        '(?:^|[^\p{{L}}\p{{N}}_])(\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*)', 1)) AS run FROM {source})))
-  WHERE lower(ws[pos]) IN (SELECT name FROM names))"""
+    """Readings of title-case runs of (sample_id, text) that begin with a word on the list."""
+    return rf"""SELECT sample_id, array_to_string(tail[1:n], ' ') AS match, array_to_string(tail, ' ') AS tail FROM (
+  SELECT DISTINCT sample_id, tail, unnest(range(1, len(tail) + 1)) AS n FROM (
+    SELECT sample_id, ws[pos:pos + {NAME_WORDS - 1}] AS tail FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS pos FROM (
+      SELECT sample_id, string_split(run, ' ') AS ws FROM (
+        SELECT DISTINCT sample_id, unnest(regexp_extract_all(text,
+          '(?:^|[^\p{{L}}\p{{N}}_])(\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*)', 1)) AS run FROM {source})))
+    WHERE lower(ws[pos]) IN (SELECT name FROM names)))"""
 
 
 LINES = f"""lines AS (

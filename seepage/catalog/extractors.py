@@ -75,11 +75,11 @@ _ADDRESS = _all(
 
 def _names_query(spark, sf_dir):
     hits = audit.name_matches(_texts(spark, sf_dir), common.names(spark, sf_dir))
-    return hits.groupBy("match").agg(F.count("*").cast("bigint").alias("n_samples"))
+    return hits.groupBy("match").agg(F.count_distinct("sample_id").alias("n_samples"))
 
 
 _NAMES_SQL = f"""{_TEXTS}, {common.NAMES}
-SELECT match, count(*) AS n_samples FROM ({common.name_sql("texts")}) GROUP BY match"""
+SELECT match, count(DISTINCT sample_id) AS n_samples FROM ({common.name_sql("texts")}) GROUP BY match"""
 
 
 def _registry_query(spark, sf_dir):

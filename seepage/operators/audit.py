@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seepage.functions import patterns
+from seepage.functions.text import LINE_BREAK
 from seepage.functions.text import lines as split_lines
 from seepage.operators import search
 from seepage.operators.skew import lookup
 from seepage.session import fits_broadcast, materialise
 
 AUTOMATON_CHARS = 2_000_000  # characters of all terms up to which they are broadcast
+NAME_WORDS = 8  # words of the longest reading of a name
 
 
 def corpus_lines(corpus: DataFrame, column: str = "text") -> DataFrame:
@@ -21,6 +23,11 @@ def corpus_lines(corpus: DataFrame, column: str = "text") -> DataFrame:
     return corpus.select(F.explode(split_lines(F.lower(F.col(column)))).alias("line"))
 
 
+def corpus_texts(corpus: DataFrame, column: str = "text") -> DataFrame:
+    """Lower-cased whole texts: all that ``corpus_hits`` needs, which looks for no term over a line break."""
+    return corpus.select(F.lower(F.col(column)).alias("line"))
+
+
 def choose_corpus(sample_name: str, corpora: Mapping[str, DataFrame]) -> DataFrame:
     """The corpus whose key occurs in the name of the sample file."""
     for key, corpus in corpora.items():
@@ -46,31 +53,31 @@ def _listed(words: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def name_matches(samples: DataFrame, names: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Names in runs of title-case words, wherever in the run they stand.
+    """Possible names in runs of title-case words: (key, category, match, tail).
 
-    A match reaches from a listed word to the next listed one or the end of the
-    run, so that titles and first words of sentences hide no name. ``names`` has
-    a ``name`` column. Returns (key, category, match).
+    A listed name, of one word or several, may be the start of a longer one, and its
+    run may go on with words that aren't part of it. So every reading counts that
+    begins with a listed name and ends at a word of the run, up to ``NAME_WORDS``
+    words; ``tail`` is the longest reading from the same start. ``keep_found`` keeps
+    the longest one that the corpus has. ``names`` has a ``name`` column.
     """
+    listed = names.select(F.array_join(F.filter(F.split(F.lower("name"), " "), lambda w: w != ""), " ").alias("name")).filter("name <> ''")
+    # the paths of a trie over words: a start matches while some name goes on
+    deepest = listed.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
     runs = samples.select(
         key, F.explode(F.array_distinct(patterns.find_name_runs(F.col("text")))).alias("_run")
     )
-    words = runs.select(key, "_run", F.posexplode(F.split("_run", " ")).alias("_at", "_word"))
-    starts = (
-        _listed(words.withColumn("_word", F.lower("_word")), names)
-        .groupBy(key, "_run")
-        .agg(F.array_sort(F.collect_list("_at")).alias("_starts"))
-    )
-    parts = F.transform(
-        "_starts",
-        lambda at, i: F.array_join(
-            F.slice(F.col("_words"), at + 1, F.coalesce(F.get("_starts", i + 1), F.size("_words")) - at), " "
-        ),
-    )
-    return (
-        starts.withColumn("_words", F.split("_run", " "))
-        .select(key, F.lit(patterns.NAMES).alias("category"), F.explode(parts).alias("match"))
-        .distinct()
+    tails = runs.select(key, F.split("_run", " ").alias("_words")).select(key, "_words", F.posexplode("_words").alias("_at", "_first"))
+    tails = tails.select(key, F.slice("_words", F.col("_at") + 1, max(NAME_WORDS, deepest)).alias("_tail")).distinct()
+    depths = F.sequence(F.lit(1), F.least(F.size("_tail"), F.lit(deepest)))
+    paths = tails.select(key, "_tail", F.explode(depths).alias("_depth"))
+    paths = paths.withColumn("_word", F.lower(F.array_join(F.slice("_tail", F.lit(1), F.col("_depth")), " ")))
+    starts = _listed(paths, listed).select(key, "_tail", "_depth")
+    if deepest > 1:
+        starts = starts.groupBy(key, "_tail").agg(F.min("_depth").alias("_depth"))
+    readings = F.transform(F.sequence(F.col("_depth"), F.size("_tail")), lambda n: F.array_join(F.slice("_tail", F.lit(1), n), " "))
+    return starts.select(
+        key, F.lit(patterns.NAMES).alias("category"), F.explode(readings).alias("match"), F.array_join("_tail", " ").alias("tail")
     )
 
 
@@ -80,9 +87,10 @@ def candidates(
     names: DataFrame | None = None,
     key: str = "sample_id",
 ) -> DataFrame:
-    """Distinct matches of each sample and category: (key, category, match).
+    """Distinct matches of each sample and category: (key, category, match, tail).
 
-    De-duplication happens inside the row, so no shuffle is needed.
+    De-duplication happens inside the row, so no shuffle is needed. ``tail`` is set
+    for the readings of a name, of which one at most is kept for each tail.
     """
     found = F.array(
         *[
@@ -98,6 +106,7 @@ def candidates(
         samples.select(key, F.explode(found).alias("_f"))
         .select(key, F.col("_f.category").alias("category"), F.explode("_f.matches").alias("match"))
         .filter(F.col("match") != "")
+        .withColumn("tail", F.lit(None).cast("string"))
     )
     if names is not None and any(e.name == patterns.NAMES for e in registry):
         out = out.unionByName(name_matches(samples, names, key))
@@ -110,21 +119,26 @@ def distinct_terms(cands: DataFrame) -> DataFrame:
 
 
 def corpus_hits(terms: DataFrame, lines: DataFrame, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
-    """The ``term`` values that are a substring of some ``line``; one corpus pass.
+    """The ``term`` values that are a substring of some line of the ``line`` values.
 
     Up to ``automaton_chars`` characters of terms go to the tasks as one search
     automaton, whose cost per line doesn't depend on the number of terms or on
-    what they share. Beyond, terms meet the lines by anchor grams in a shuffle.
+    what they share, in one pass over the corpus. Beyond, terms meet the corpus by
+    anchor grams in a shuffle. A term with a line break is in no line.
     """
-    terms = materialise(terms.select("term").filter(F.col("term") != "").distinct(), "terms")
+    inside = (F.col("term") != "") & ~F.col("term").rlike(LINE_BREAK)
+    terms = materialise(terms.select("term").filter(inside).distinct(), "terms")
     total = terms.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
     if total <= automaton_chars:
         return search.by_automaton(terms, lines)
-    return search.by_anchor(terms, lines)
+    return search.by_anchor(terms, lines, automaton_chars)
 
 
-def keep_found(cands: DataFrame, hits: DataFrame) -> DataFrame:
-    """Candidates whose lower-cased match is among ``hits``."""
+def keep_found(cands: DataFrame, hits: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Candidates whose lower-cased match is among ``hits``: (key, category, match).
+
+    Of the readings of one tail the longest stays.
+    """
     tagged = cands.withColumn("_term", F.lower("match"))
     hits = materialise(hits.select(F.col("term").alias("_term")), "hits")
     if fits_broadcast(hits):
@@ -139,13 +153,22 @@ def keep_found(cands: DataFrame, hits: DataFrame) -> DataFrame:
         )
         total = weights.agg(F.sum("_n")).first()[0] or 0
         kept = lookup(tagged, weights, "_term", "_n", ["_ok"], total, "inner")
-    return kept.select(*cands.columns)
+    kept = kept.select(*cands.columns)
+    if "tail" not in cands.columns:
+        return kept
+    whole = kept.filter("tail IS NULL").drop("tail")
+    named = kept.filter("tail IS NOT NULL").groupBy(key, "category", "tail").agg(F.max_by("match", F.length("match")).alias("match"))
+    return whole.unionByName(named.select(*whole.columns).distinct())
 
 
 def found_in_corpus(cands: DataFrame, lines: DataFrame, **limits: int) -> DataFrame:
-    """Candidates that occur, case-blind, inside one line of the corpus."""
+    """Candidates that occur, case-blind, inside one line of the corpus: (key, category, match).
+
+    ``lines`` holds the lines of the corpus or its texts, lower-cased.
+    """
     cands = materialise(cands, "candidates")
-    return keep_found(cands, corpus_hits(distinct_terms(cands), lines, **limits))
+    key = next(c for c in cands.columns if c not in ("category", "match", "tail"))
+    return keep_found(cands, corpus_hits(distinct_terms(cands), lines, **limits), key)
 
 
 def leak_examples(found: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def leak_audit(
 ) -> DataFrame:
     """One row per category: ord, category, is_pii and counts."""
     cands = audit.candidates(samples, registry, names)
-    found = audit.found_in_corpus(cands, audit.corpus_lines(corpus))
+    found = audit.found_in_corpus(cands, audit.corpus_texts(corpus))
     return audit.zero_fill(
         audit.leak_counts(found), audit.category_table(samples.sparkSession, registry)
     )
@@ -37,6 +37,6 @@ def audit_report(
     with scratch(spark):
         samples = materialise(read_ranked_report(spark, report).withColumnRenamed("block_id", "sample_id"), "samples")
         cands = audit.candidates(samples, registry, names)
-        found = materialise(audit.found_in_corpus(cands, audit.corpus_lines(corpus)), "found")
+        found = materialise(audit.found_in_corpus(cands, audit.corpus_texts(corpus)), "found")
         counts = audit.zero_fill(audit.leak_counts(found), audit.category_table(spark, registry))
         write_summary_csv(audit.with_examples(counts, found), audit.audit_totals(counts, samples), out)

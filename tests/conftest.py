@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -12,7 +13,7 @@ from seepage.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests",
-        "local[8]",
+        os.environ.get("TEST_MASTER", "local[8]"),
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "6g",
