@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seepage.catalog.common import spread, table
+from seepage.functions.stem import stem_sql
 from seepage.functions.text import SPACE
 from seepage.operators import metrics
 
@@ -108,6 +109,22 @@ def _plain_words(x: str) -> str:
     return f"list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> '')"
 
 
+# every distinct word of the turns with its stem
+STEMS = f"""stems AS (SELECT token, {stem_sql('token')} AS stem
+  FROM (SELECT DISTINCT unnest({_plain_words('text')}) AS token FROM conversations))"""
+
+
+def _stemmed_sql(sql: str, names: tuple[str, ...] = ("reference", "plain", "dp")) -> str:
+    """A query over ``pairs`` as one over pairs of stemmed texts."""
+    cells = ", ".join(
+        f"(SELECT string_agg(stem, ' ' ORDER BY at) FROM (SELECT unnest(ws) AS token, unnest(range(len(ws))) AS at FROM (SELECT {_plain_words(n)} AS ws)) JOIN stems USING (token)) AS {n}"
+        for n in names
+    )
+    stemmed = f"{_PAIRS.replace('pairs AS', 'raw_pairs AS')}, {STEMS}, pairs AS (SELECT pos, {', '.join(f"coalesce({n}, '') AS {n}" for n in names)} FROM (SELECT pos, {cells} FROM raw_pairs))"
+    assert _PAIRS in sql
+    return sql.replace(_PAIRS, stemmed)
+
+
 def _bleu_sql(hyp: str) -> str:
     terms = " + ".join(
         ["ln((SELECT sum(n_both) FROM overlap WHERE n = 1) / sum(greatest(len(hyp), 1)))"]
@@ -155,16 +172,17 @@ whole AS (SELECT listed.pos, hyp, ref, row[len(hyp) + 1] AS n FROM lcs JOIN list
 SELECT pos, CASE WHEN n > 0 THEN 2.0 * n / (len(hyp) + len(ref)) ELSE 0.0 END AS rouge_l FROM whole"""
 
 
-def _report_sql() -> str:
+def _report_sql(stemmed: bool = False) -> str:
     rows = []
+    told = _stemmed_sql if stemmed else lambda sql: sql
     for variant in ("plain", "dp"):
         swap = lambda sql: sql.replace(_spaced("plain"), _spaced(variant)).replace(_plain_words("plain"), _plain_words(variant))
         match = swap(ORACLES["m6_greedy_cosine_match"])
         values = {
             "bleu": f"SELECT bleu * 100 FROM ({_bleu_sql(variant)})",
-            "rouge1": f"SELECT avg(rouge1) FROM ({swap(_rouge_sql(1))})",
-            "rouge2": f"SELECT avg(rouge2) FROM ({swap(_rouge_sql(2))})",
-            "rougeL": f"SELECT avg(rouge_l) FROM ({_lcs_sql(variant)})",
+            "rouge1": f"SELECT avg(rouge1) FROM ({told(swap(_rouge_sql(1)))})",
+            "rouge2": f"SELECT avg(rouge2) FROM ({told(swap(_rouge_sql(2)))})",
+            "rougeL": f"SELECT avg(rouge_l) FROM ({told(_lcs_sql(variant))})",
             **{c: f"SELECT avg({c}) FROM ({match})" for c in ("precision", "recall", "f1")},
         }
         rows.append(values)
@@ -197,3 +215,7 @@ SELECT pairs.pos, round(coalesce(p, 0), 5) AS precision, round(coalesce(r, 0), 5
 }
 ORACLES["m4_rouge_l"] = f"SELECT pos, round(rouge_l, 6) AS rougeL FROM ({_lcs_sql('plain')})"
 ORACLES["m7_metric_report_unstemmed"] = _report_sql()
+ORACLES["m7_metric_report"] = _report_sql(stemmed=True)
+ORACLES["m3_rouge_1_stemmed"] = _stemmed_sql(_rouge_sql(1))
+ORACLES["m5_stem_tokens"] = f"""WITH {STEMS}, toks AS (SELECT unnest({_plain_words('text')}) AS token FROM conversations)
+SELECT token, stem, count(*) AS n FROM toks JOIN stems USING (token) GROUP BY token, stem"""

@@ -119,6 +119,7 @@ find_code = _find(rf"(?=[dcf<])(?:def |class |function{SPACE}+|</?[a-z]+>)")
 find_config = _find(rf"(?md)\[[^\]\n]*+\]|^[a-zA-Z0-9_]++{SPACE}*={SPACE}*.+$")
 find_faith = _keywords(FAITH_WORDS)
 find_quote = _find(rf"(?iu)(?=[{_first(QUOTE_WORDS)}])({QUOTE_WORDS})", 1)
+# The patterns below must find what their public definitions find.
 find_entropy = _find(r"[A-Za-z0-9+/=]{30,}")
 find_named_list = _find(rf"[A-Z][a-z]++(?:,{SPACE}*+[A-Z][a-z]++){{2,}}+")
 find_forum = _find(
@@ -126,7 +127,17 @@ find_forum = _find(
 )
 find_log = _find(r"Traceback \(most recent call last\)|Exception|Error|\.log|\.trace")
 find_pseudonym = _find(rf"(?:aka|also known as|anno){SPACE}+[A-Z][a-z]+")
-find_form = _find(r"(?s)<form.+?</form>|input type=")
+_find_forms = _find(r"(?s)<form.+?</form>|input type=")
+_find_inputs = _find("input type=")
+
+
+def find_form(text: Column) -> Column:
+    """Whole forms and input fields; forms are looked for up to the last closing tag only."""
+    closed = F.regexp_extract(text, r"(?s)\A(.*</form>)", 1)
+    rest = F.substring(text, F.length(closed) + 1, F.length(text))
+    return F.concat(_find_forms(closed), _find_inputs(rest))
+
+
 find_numbers = _find(rf"(?<!{DIGIT}){DIGIT}++(?:(?:{SPACE}|,){DIGIT}++)++")
 
 _NAME = r"\p{Lu}\p{Ll}++"

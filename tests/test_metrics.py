@@ -2,10 +2,12 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import pytest
+from plain_stem import stem_word
 from pyspark.sql import functions as F
 
-from seepage.functions.stem import stem_word
+from seepage.functions import stem
 from seepage.operators import metrics
 
 RNG = random.Random(9)
@@ -152,3 +154,27 @@ def test_report_has_all_metrics(spark, pairs):
     assert sorted(rows) == ["bleu", "f1", "precision", "recall", "rouge1", "rouge2", "rougeL"]
     # an empty hypothesis still counts one gram, so not quite 100
     assert 98 < rows["bleu"]["dp"] < 100 and rows["bleu"]["plain"] < 100
+
+
+WORDS = (
+    "caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing "
+    "fizzed failing filing happy sky relational conditional rational valenci hesitanci digitizer conformabli radicalli differentli vileli "
+    "analogousli vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti "
+    "triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner gyroscopic adjustable "
+    "defensible irritant replacement adjustment dependent adoption homologou communism activate angulariti homologous effective bowdlerize "
+    "probate rate cease controll roll yyyyying syyzygy eed ing ed sses ies oooed a1b2ing 2000s yes by"
+).split()
+
+
+def test_rule_table_equals_the_word_by_word_stemmer(spark):
+    rng = random.Random(6)
+    endings = [r.ending for step in (stem.PLURALS, stem.AGREED, stem.PAST, stem.LAST_Y, stem.STEP2, stem.STEP3, stem.STEP4) for r in step] + ["e", "ll"]
+    made = ["".join(rng.choice("aeioubstlyzxwn") for _ in range(rng.randrange(1, 6))) + rng.choice(endings) + rng.choice(["", "", rng.choice(endings)]) for _ in range(3000)]
+    words = sorted({*WORDS, *made})
+    want = {w: stem_word(w) if len(w) > 3 else w for w in words}
+    df = spark.createDataFrame([(w,) for w in words], "token string")
+    got = {r["token"]: r["s"] for r in df.select("token", stem.stem(F.col("token")).alias("s")).collect()}
+    assert {w: (got[w], want[w]) for w in words if got[w] != want[w]} == {}
+    listed = duckdb.sql(f"SELECT token, {stem.stem_sql('token')} AS s FROM (SELECT unnest({words}) AS token)").fetchall()
+    assert {w: (s, want[w]) for w, s in listed if s != want[w]} == {}
+    assert "Python" not in df.select(stem.stem(F.col("token")))._jdf.queryExecution().toString()

@@ -1,3 +1,6 @@
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +73,17 @@ def test_long_hopeless_inputs_stay_fast(spark):
     assert list(row) == [0, 0, 0, 1, 0, 0]
 
 
+def test_unclosed_forms_take_linear_time(spark):
+    texts = ["<form " * 20_000, "<form a>x</form>" + "<form " * 20_000 + "input type=", "<form</form>" * 3000, "a <form> b </form> <form input type= c", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    start = time.time()
+    got = {r["i"]: r["m"] for r in df.select("i", P.find_form(F.col("text")).alias("m")).collect()}
+    assert time.time() - start < 10
+    plain = re.compile(r"(?s)<form.+?</form>|input type=")
+    assert got[0] == [] and got[1] == ["<form a>x</form>", "input type="]
+    assert all(got[i] == plain.findall(texts[i]) for i in (2, 3, 4))
+
+
 def test_register_adds_or_replaces():
     added = P.register(P.DEFAULT, "New", P.find_code)
     assert [e.name for e in added] == [e.name for e in P.DEFAULT] + ["New"]
