@@ -6,6 +6,7 @@ Text is read split by split, so the order of lines is the order of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -58,6 +59,127 @@ def read_maildir(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_CLOSE = re.compile(r'(?:[^"]|"")*+"')  # up to the quote that ends a quoted cell
+
+
+def _outside(line: str, at: int) -> int:
+    """1 if the line, from the start of a cell on, ends inside a quoted one."""
+    while True:
+        if line.startswith('"', at):
+            closed = _CLOSE.match(line, at + 1)
+            if not closed:
+                return 1
+            at = closed.end()
+        comma = line.find(",", at)
+        if comma < 0:
+            return 0
+        at = comma + 1
+
+
+def line_states(line: str) -> tuple[int, int]:
+    """Whether a line ends inside a quoted cell, if it starts outside and if it starts inside one."""
+    if '"' not in line:
+        return 0, 1
+    closed = _CLOSE.match(line)
+    if not closed:
+        return _outside(line, 0), 1
+    comma = line.find(",", closed.end())
+    return _outside(line, 0), _outside(line, comma + 1) if comma >= 0 else 0
+
+
+def _split_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per split of a file and for both states at its start: the state at its end, and whether a record ends in it."""
+    found: dict[tuple, list[int]] = {}
+    for batch in batches:
+        for file, block, text in zip(*(batch.column(c).to_pylist() for c in ("_file", "_block", "text")), strict=True):
+            state = found.setdefault((file, block), [0, 1, 0, 0])
+            ends = line_states(text)
+            for start in (0, 1):
+                state[start] = ends[state[start]]
+                state[2 + start] |= 1 - state[start]
+    rows = [(*place, *state) for place, state in found.items()]
+    if rows:
+        kinds = [pa.string(), pa.int64(), *[pa.int32()] * 4]
+        names = ["_file", "_block", "end0", "end1", "closes0", "closes1"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _starts(splits: DataFrame) -> DataFrame:
+    """(_file, _block, inside, owner): the state at the start of each split, and the split whose last record goes on into it.
+
+    The states of neighbouring splits compose, as a running fold over the splits of a file.
+    """
+    order = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.collect_list(F.struct("end0", "end1")).over(order)  # one row per split
+    inside = F.aggregate(before, F.lit(0), lambda state, x: F.when(state == 0, x["end0"]).otherwise(x["end1"]))
+    told = splits.withColumn("inside", inside)
+    closes = F.when(F.col("inside") == 0, F.col("closes0")).otherwise(F.col("closes1")) == 1
+    end = F.when(F.col("inside") == 0, F.col("end0")).otherwise(F.col("end1"))
+    opens = (end == 1) & ((F.col("inside") == 0) | closes)
+    owner = F.last(F.when(opens, F.col("_block")), ignorenulls=True).over(order)
+    return told.select("_file", "_block", "inside", owner.alias("owner"))
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _block, rec, record): the records of CSV files, whose quoted cells may hold line breaks.
+
+    Files are read split by split; a split learns from the ones before it whether it
+    starts inside a quoted cell. Only records that cross splits are put together in a
+    shuffle. The first record of a file has block 0 and number 0.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("text"))
+    shape = "_file string, _block bigint, end0 int, end1 int, closes0 int, closes1 int"
+    starts = materialise(_starts(lines.mapInArrow(_split_states, shape)), "csv-splits")
+    # only the splits that a record with line breaks runs into
+    known = {(r["_file"], r["_block"]): (1, r["owner"]) for r in starts.filter("inside = 1").toLocalIterator()}
+    shared = spark.sparkContext.broadcast(known)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, state, rec, held, part = None, 0, 0, [], None
+        rows: list[tuple] = []
+
+        def flush(whole: bool) -> None:
+            if held:
+                # what came from or goes on to another split is a part of its owner's last record
+                owner = part if part is not None else None if whole else place[1]
+                rows.append((*place, rec, "\n".join(held), owner))
+                held.clear()
+
+        for batch in batches:
+            rows = []
+            for file, block, text in zip(*(batch.column(c).to_pylist() for c in ("_file", "_block", "text")), strict=True):
+                if (file, block) != place:
+                    if place:
+                        flush(state == 0)
+                    place, rec = (file, block), 0
+                    state, owner = shared.value.get(place, (0, None))
+                    part = owner if state else None
+                held.append(text)
+                state = line_states(text)[state]
+                if not state:
+                    flush(True)
+                    rec, part = rec + 1, None
+            yield _record_batch(rows)
+        rows = []
+        if place:
+            flush(state == 0)
+        yield _record_batch(rows)
+
+    pieces = materialise(lines.mapInArrow(cut, "_file string, _block bigint, rec bigint, record string, owner bigint"), "csv-records")
+    whole = pieces.filter("owner IS NULL").drop("owner")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "rec", "record"))), lambda p: p["record"]), "\n")
+    # the first part of a record is the last one of its own split
+    first = F.max(F.when(F.col("_block") == F.col("owner"), F.col("rec")))
+    crossing = pieces.filter("owner IS NOT NULL").groupBy("_file", "owner").agg(first.alias("rec"), joined.alias("record"))
+    return whole.unionByName(crossing.withColumnRenamed("owner", "_block"))
+
+
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["_file", "_block", "rec", "record", "owner"])
+
+
 def read_pii_csv(
     spark: SparkSession,
     path: str,
@@ -68,16 +190,17 @@ def read_pii_csv(
     """One text column of a headed CSV. Rows with too many fields are skipped,
     short rows are padded with nulls, cells may hold line breaks.
 
-    With line breaks in cells a file can't be split and is one task; where the
-    cells have none, ``multi_line=False`` reads large files in many tasks.
+    Large files are read in many tasks either way; where no cell holds a line break,
+    ``multi_line=False`` saves a pass over them.
     """
     names = list(columns or spark.read.option("header", True).csv(path).columns)
     schema = StructType([StructField(c, StringType()) for c in [*names, "_corrupt_record"]])
-    rows = (
-        spark.read.schema(schema)
-        .options(header=True, multiLine=multi_line, quote='"', escape='"')
-        .csv(path)
-    )
+    if multi_line:
+        records = csv_records(spark, path).filter("(_block > 0 OR rec > 0) AND record <> ''")
+        options = {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": "_corrupt_record"}
+        rows = records.select(F.from_csv("record", _ddl(schema), options).alias("_r")).select("_r.*")
+    else:
+        rows = spark.read.schema(schema).options(header=True, quote='"', escape='"').csv(path)
     # a row with another field count keeps its raw form; only commas outside
     # quotes separate fields
     bare = F.regexp_replace("_corrupt_record", r'(?s)"(?:[^"]|"")*+"', "")
@@ -88,6 +211,10 @@ def read_pii_csv(
     )
 
 
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema.fields)
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per line with its order columns."""
     return _ordered_text(spark, path)
@@ -116,6 +243,17 @@ def read_marked(spark: SparkSession, path: str, marker: str) -> DataFrame:
     )
 
 
+_MARK = "\x1a"
+
+
+def valid_text(raw: Column) -> Column:
+    """Raw UTF-8 without its bad bytes; a replacement character that was there stays."""
+    # bad bytes become replacement characters too, so the genuine ones step aside first
+    aside = F.replace(F.replace(raw, F.lit(_MARK), F.lit(_MARK + "0")), F.lit("\ufffd"), F.lit(_MARK + "1"))
+    clean = F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit(""))
+    return F.replace(F.replace(clean, F.lit(_MARK + "1"), F.lit("\ufffd")), F.lit(_MARK + "0"), F.lit(_MARK))
+
+
 def read_wet(spark: SparkSession, path: str, lang: str = "eng") -> DataFrame:
     """(record_id, language, body) of the records in ``lang``.
 
@@ -124,8 +262,7 @@ def read_wet(spark: SparkSession, path: str, lang: str = "eng") -> DataFrame:
     and are joined by a space.
     """
     place = F.struct("_block", "_row")
-    valid = F.regexp_replace(F.make_valid_utf8("text"), "�", "")
-    lines = F.split(unix_lines(valid), "\n")
+    lines = F.split(unix_lines(valid_text(F.col("text"))), "\n")
     language = F.get("_lines", F.lit(7))
     wanted = F.contains(language, F.lit(f"WARC-Identified-Content-Language: {lang}"))
     # one scan: places of all records and the lines of the wanted ones are stored

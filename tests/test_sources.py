@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from seepage.operators import clean
@@ -44,6 +47,35 @@ def test_csv_in_single_line_mode(spark, tmp_path):
     assert got == ["x", None, "a,b"]
 
 
+def one_task(spark, path):
+    """The CSV reader itself, a file a task."""
+    rows = spark.read.schema("id string, t string, x string, _corrupt_record string").options(header=True, multiLine=True, quote='"', escape='"').csv(path)
+    return sorted((tuple(r)[:3] for r in rows.collect() if r["_corrupt_record"] is None), key=repr)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_csv_cut_at_every_place_equals_one_task(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    cells = ["a", "", "b c", '"q, ""x"" y"', '"line\none"', '"two\n\nlines, ""q"""', '"x"', '5" pipe', '"\n"', '"a,b\nc"']
+    text = "id,t,x\n" + "\n".join(f"{i},{rng.choice(cells)},{rng.choice(cells)}" for i in range(9)) + rng.choice(["", "\n"])
+    path = tmp_path / "a.csv"
+    write(path, text)
+    want = one_task(spark, str(path))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (11 + 8 * seed, 1000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, len(text) // size)))
+            rows = readers.csv_records(spark, str(path)).filter("(_block > 0 OR rec > 0) AND record <> ''")
+            got = rows.select(F.from_csv("record", "id string, t string, x string", {"quote": '"', "escape": '"'}).alias("r")).select("r.*").collect()
+            assert sorted(map(tuple, got), key=repr) == want, size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_csv_skips_long_rows_and_pads_short_ones(spark, tmp_path):
     write(tmp_path / "p.csv", 'id,Filled Template,x\n1,"a\nb",y\n2,long,y,z\n3\n4,,y\n5,NA,y\n6,ok,y\n7,empty tail,y,\n')
     rows = texts(readers.read_pii_csv(spark, str(tmp_path)))
@@ -69,6 +101,18 @@ def test_wet_drops_the_last_record(spark, tmp_path):
     assert texts(readers.read_wet(spark, str(tmp_path)), "body") == ["one\n two\n"]
 
 
+def test_only_bad_bytes_go(spark):
+    cases = [b"good \xef\xbf\xbd mark", b"bad \xff\xfe byte", b"cut \xe2\x82", b"\x1a0 \x1a1 \x1a", b"\xc3\xa9\x1a\xff1 \xef\xbf\xbd"]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)], "i int, raw binary")
+    got = {r["i"]: r["t"] for r in df.select("i", readers.valid_text(F.col("raw").cast("string")).alias("t")).collect()}
+    assert got == {i: c.decode("utf-8", "ignore") for i, c in enumerate(cases)}
+
+
+def test_wet_keeps_genuine_replacement_characters(spark, tmp_path):
+    (tmp_path / "x.wet").write_bytes((record("eng", "good \ufffd m\n") + record("eng", "last\n")).encode().replace(b"good", b"go\xffod"))
+    assert texts(readers.read_wet(spark, str(tmp_path)), "body") == ["good \ufffd m\n"]
+
+
 def test_ranked_report_keeps_banners_unless_clean(spark, tmp_path):
     report = (
         "======== top 2 samples by a: ========\n1: a=1, score=2\n\nfirst\n  wrapped\n\n2: a=1\n\nsecond\n"
