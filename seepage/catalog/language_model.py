@@ -62,8 +62,7 @@ def _models(spark, sf_dir):
 def _scores(spark, sf_dir):
     samples = turns(spark, sf_dir)
     models = _models(spark, sf_dir)
-    scored = lm.score_matrix(samples, models).withColumn("zlib", lm.zlib_size(F.col("text")))
-    return scored.join(lm.lower_perplexity(samples, models["gpt2_dp"]), "sample_id")
+    return lm.score_matrix(samples, models, lower="gpt2_dp").withColumn("zlib", lm.zlib_size(F.col("text")))
 
 
 def _matrix(spark, sf_dir):
@@ -111,7 +110,7 @@ def _five_rankings(spark, sf_dir):
     """The report without compressed size, which SQL can't compute."""
     names = ["nano", "nano_dp", "gpt2", "gpt2_dp", "lower"]
     samples, models = turns(spark, sf_dir), _models(spark, sf_dir)
-    scored = lm.score_matrix(samples, models).drop("text").join(lm.lower_perplexity(samples, models["gpt2_dp"]), "sample_id")
+    scored = lm.score_matrix(samples, models, lower="gpt2_dp").drop("text")
     # rounded before they rank, so that engines agree on ties
     filled = _rounded(lm.fill_scores(scored, names), *names, digits=4)
     best = lm.rank_by_perplexity(filled, "gpt2_dp")
@@ -181,7 +180,8 @@ def _noisy(name: str, order: int, seed: int) -> str:
 DOMAIN = _listed("public", "benchmark", "item_id") + ", domain AS (SELECT DISTINCT ord, context, token FROM public)"
 
 
-CONTRIB = "contrib AS (SELECT source, ord, context, token, CAST(count(*) AS DOUBLE) AS v FROM corpus GROUP BY ALL)"
+CONTRIB = """contrib AS (SELECT source, ord, context, token, CAST(count(*) AS DOUBLE) AS v
+  FROM corpus SEMI JOIN domain USING (ord, context, token) GROUP BY ALL)"""
 DP_COUNTS = f"{DOMAIN}, {CONTRIB}, {_noisy('dp_counts', 2, SEED)}, {_noisy('small_dp', 1, SMALL_SEED)}"
 
 

@@ -26,9 +26,10 @@ from pyspark.sql.types import IntegerType
 from seepage.operators.position import with_position
 from seepage.operators.skew import lookup, top_per_group
 from seepage.operators.tokens import END, token_words
-from seepage.session import materialise
+from seepage.session import bucketed, materialise
 
 GRAM_KEY = ["ord", "context", "token"]
+CONTEXT_KEY = ["ord", "context"]
 
 
 def _placed(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -97,6 +98,7 @@ class LanguageModel:
     counts: DataFrame  # ord, context, token, n
     order: int
     mu: float = 10.0
+    context_totals: DataFrame | None = None  # ord, context, total
 
     def totals(self) -> tuple[float, int]:
         """Words counted and distinct words."""
@@ -108,6 +110,8 @@ class LanguageModel:
         return float(row["words"] or 0), row["types"]
 
     def contexts(self) -> DataFrame:
+        if self.context_totals is not None:
+            return self.context_totals
         return (
             self.counts.filter(F.col("ord") > 1)
             .groupBy("ord", "context")
@@ -115,35 +119,39 @@ class LanguageModel:
         )
 
 
+def stored_model(counts: DataFrame, order: int, mu: float = 10.0) -> LanguageModel:
+    """The model as two tables in buckets, by gram and by context: scoring moves neither."""
+    kept = bucketed(counts, GRAM_KEY, "gram-counts")
+    if order == 1:
+        return LanguageModel(kept, order, mu)
+    totals = LanguageModel(kept, order, mu).contexts()
+    return LanguageModel(kept, order, mu, bucketed(totals, CONTEXT_KEY, "context-totals"))
+
+
 def fit_ngram_lm(df: DataFrame, order: int = 2, mu: float = 10.0, column: str = "text") -> LanguageModel:
     """Count all grams of a corpus; counts are combined before the shuffle."""
-    return LanguageModel(materialise(count_grams(df, order, column), "gram-counts"), order, mu)
+    return stored_model(count_grams(df, order, column), order, mu)
 
 
-def probabilities(lm: LanguageModel, wanted: DataFrame | None = None) -> DataFrame:
-    """(ord, context, token, n, p) for distinct ``wanted`` grams, seen or not.
+def _last_words(n: int) -> Column:
+    """The last words of the context; all of them where there are no more."""
+    return F.substring_index("context", " ", -n) if n else F.lit("")
 
-    ``wanted`` must hold the shorter grams of each of its grams too; without it,
-    the model's own grams are taken.
-    """
+
+def probabilities(lm: LanguageModel) -> DataFrame:
+    """(ord, context, token, n, p) for the grams of the model."""
     words, types = lm.totals()
-    known = lm.counts
-    if wanted is not None:
-        known = wanted.select(*GRAM_KEY).join(lm.counts, GRAM_KEY, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    lower = known.filter(F.col("ord") == 1).withColumn("p", (F.col("n") + 1) / F.lit(words + types + 1))
+    lower = lm.counts.filter(F.col("ord") == 1).withColumn("p", (F.col("n") + 1) / F.lit(words + types + 1))
     result = lower
     totals = lm.contexts()
     for k in range(2, lm.order + 1):
         shorter = lower.select(
             F.col("context").alias("_short"), F.col("token"), F.col("p").alias("_below")
         )
-        short = F.when(F.lit(k) == 2, F.lit("")).otherwise(
-            F.regexp_replace("context", r"^\S+ ", "")
-        )
         lower = (
-            known.filter(F.col("ord") == k)
+            lm.counts.filter(F.col("ord") == k)
             .join(totals.filter(F.col("ord") == k).drop("ord"), "context", "left")
-            .withColumn("_short", short)
+            .withColumn("_short", _last_words(k - 2))
             .join(shorter, ["_short", "token"])
             .withColumn(
                 "p",
@@ -160,53 +168,99 @@ def model_table(lm: LanguageModel) -> DataFrame:
     return probabilities(lm)
 
 
-def _losses(df: DataFrame, models: Mapping[str, LanguageModel], key: str) -> DataFrame:
-    """(key, nll_<model>..., predicted): summed loss over all words but the first.
+def _joined(wanted: DataFrame, tables: Mapping[str, DataFrame], keys: Sequence[str], value: str) -> DataFrame:
+    """``wanted`` with a column per model; it moves once to the models' buckets, which stay."""
+    out = wanted
+    for name, table in tables.items():
+        out = out.join(table.select(*keys, F.col(value).alias(f"{value}_{name}")), list(keys), "left")
+    return out
+
 
-    Texts are cut into grams once and stored. Every model adds a column to one
-    table of gram probabilities, so that one join serves all. A gram counts once
-    per text before it, and the grams that very many texts hold, the words of
-    order-one models above all, are broadcast instead of shuffled.
+def gram_scores(wanted: DataFrame, models: Mapping[str, LanguageModel]) -> DataFrame:
+    """(ord, context, token, p_<model>...) of distinct grams, seen or not, under every model.
+
+    A gram longer than a model's order has the probability of its longest part that
+    the model knows of: counts and totals come from the models' stored tables, and
+    what a gram lacks from the grams below it.
     """
-    orders = sorted({m.order for m in models.values()})
-    own = materialise(grams(df, orders[-1], [key]), "sample-grams")
-    wanted = materialise(own.groupBy(*GRAM_KEY).agg(F.count("*").alias("_n")), "wanted-grams")
-    told = None
-    for name, lm in models.items():
-        one = probabilities(lm, wanted.filter(F.col("ord") <= lm.order)).select(
-            *GRAM_KEY, *[(F.col("p") if m == name else F.lit(None).cast("double")).alias(f"_p_{m}") for m in models]
-        )
-        told = one if told is None else told.unionByName(one)
-    weights = wanted.select(*GRAM_KEY, "_n", *[F.lit(None).cast("double").alias(f"_p_{m}") for m in models])
-    rows = told.withColumn("_n", F.lit(None).cast("bigint")).unionByName(weights)
-    table = (
-        rows.groupBy(*GRAM_KEY)
-        .agg(F.max("_n").alias("_n"), *[F.max(f"_p_{m}").alias(f"_p_{m}") for m in models])
-        .select(F.struct(*GRAM_KEY).alias("_gram"), "_n", *[f"_p_{m}" for m in models])
+    top = max(m.order for m in models.values())
+    parts = F.array(
+        *[
+            F.when(F.col("ord") >= k, F.struct(F.lit(k).alias("ord"), _last_words(k - 1).alias("context"), "token"))
+            for k in range(1, top + 1)
+        ]
     )
-    table = materialise(table, "gram-probabilities")
-    # word i is scored by the longest gram that fits before it
-    fits = {m: (F.col("at") > 1) & (F.col("ord") == F.least(F.col("at"), F.lit(m))) for m in orders}
-    per_gram = own.groupBy(key, F.struct(*GRAM_KEY).alias("_gram")).agg(
-        *[F.count_if(fit).alias(f"_c_{m}") for m, fit in fits.items()]
+    every = wanted.select(F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("_g")).select("_g.*").distinct()
+    counted = materialise(_joined(every, {n: m.counts for n, m in models.items()}, GRAM_KEY, "n"), "sample-gram-counts")
+    long = {n: m.contexts() for n, m in models.items() if m.order > 1}
+    contexts = counted.filter(F.col("ord") > 1).select(*CONTEXT_KEY).distinct()
+    totals = materialise(_joined(contexts, long, CONTEXT_KEY, "total"), "sample-context-totals") if long else None
+    sizes = {n: m.totals() for n, m in models.items()}
+    below = counted.filter(F.col("ord") == 1).select(
+        *GRAM_KEY, *[((F.coalesce(f"n_{n}", F.lit(0)) + 1) / F.lit(sum(sizes[n]) + 1)).alias(f"p_{n}") for n in models]
     )
-    per_gram = per_gram.filter(F.greatest(*[F.col(f"_c_{m}") for m in orders], F.lit(0)) > 0)
-    total = wanted.agg(F.sum("_n")).first()[0] or 0
-    scored = lookup(per_gram, table, "_gram", "_n", [f"_p_{m}" for m in models], total, "inner")
-    loss = [F.sum(-F.log(f"_p_{n}") * F.col(f"_c_{m.order}")).alias(f"nll_{n}") for n, m in models.items()]
-    return scored.groupBy(key).agg(*loss, F.sum(f"_c_{orders[-1]}").alias("predicted"))
+    out = below
+    for k in range(2, top + 1):
+        shorter = below.select(F.col("context").alias("_short"), F.col("token").alias("_token"), *[F.col(f"p_{n}").alias(f"_b_{n}") for n in models])
+        rows = counted.filter(F.col("ord") == k).join(totals.filter(F.col("ord") == k).drop("ord"), "context")
+        rows = rows.withColumn("_s", _last_words(k - 2)).join(shorter, (F.col("_s") == F.col("_short")) & (F.col("token") == F.col("_token")))
+        below = rows.select(*GRAM_KEY, *[_interpolated(n, m, k).alias(f"p_{n}") for n, m in models.items()])
+        out = out.unionByName(below)
+    return out
+
+
+def _interpolated(name: str, lm: LanguageModel, k: int) -> Column:
+    low = F.col(f"_b_{name}")
+    if k > lm.order:
+        return low
+    return (F.coalesce(f"n_{name}", F.lit(0)) + F.lit(lm.mu) * low) / (F.coalesce(f"total_{name}", F.lit(0)) + F.lit(lm.mu))
+
+
+def _losses(df: DataFrame, models: Mapping[str, LanguageModel], key: str, lower: str | None = None) -> DataFrame:
+    """(key, nll_<model>..., predicted): summed loss over all words but the first.
+
+    Every word counts with the longest gram that some model knows of, once per text
+    and gram; grams that very many texts hold are broadcast instead of shuffled. With
+    ``lower`` the lower-cased texts go along, and nll_lower and predicted_lower are
+    theirs under that model.
+    """
+    top = max(m.order for m in models.values())
+    texts = df.select(key, F.lit(0).alias("_kind"), "text")
+    if lower:
+        texts = texts.unionByName(df.select(key, F.lit(1).alias("_kind"), F.lower("text").alias("text")))
+    context = F.coalesce(*[_before(k) for k in range(top, 0, -1)])
+    spots = _placed(texts, [key, "_kind"], "text").filter(F.col("at") > 1)
+    gram = F.struct(F.least(F.col("at"), F.lit(top)).alias("ord"), context.alias("context"), F.col("token").alias("token"))
+    own = materialise(spots.groupBy(key, "_kind", gram.alias("_gram")).agg(F.count("*").alias("_c")), "sample-grams")
+    weights = materialise(own.groupBy("_gram").agg(F.count("*").alias("_n")), "gram-weights")
+    scores = gram_scores(weights.select("_gram.*"), models)
+    scores = scores.select(F.struct(*GRAM_KEY).alias("_g"), *[f"p_{n}" for n in models])
+    table = weights.join(scores, F.col("_gram") == F.col("_g")).drop("_g")
+    table = materialise(table, "gram-probabilities")
+    total = weights.agg(F.sum("_n")).first()[0] or 0
+    scored = lookup(own, table, "_gram", "_n", [f"p_{n}" for n in models], total, "inner")
+    plain, low = F.col("_kind") == 0, F.col("_kind") == 1
+    sums = [F.sum(F.when(plain, -F.log(f"p_{n}") * F.col("_c"))).alias(f"nll_{n}") for n in models]
+    sums.append(F.sum(F.when(plain, F.col("_c"))).alias("predicted"))
+    if lower:
+        sums.append(F.sum(F.when(low, -F.log(f"p_{lower}") * F.col("_c"))).alias("nll_lower"))
+        sums.append(F.sum(F.when(low, F.col("_c"))).alias("predicted_lower"))
+    return scored.groupBy(key).agg(*sums)
 
 
 def score_matrix(
-    df: DataFrame, models: Mapping[str, LanguageModel], key: str = "sample_id"
+    df: DataFrame, models: Mapping[str, LanguageModel], key: str = "sample_id", lower: str | None = None
 ) -> DataFrame:
     """Perplexity of every sample under every model, one column per model.
 
-    It is exp of the mean loss, and null below two words.
+    It is exp of the mean loss, and null below two words. With ``lower``, the name of
+    a model, the column ``lower`` is the perplexity of the lower-cased text under it.
     """
-    losses = _losses(df, models, key)
-    wide = losses.select(key, *[F.exp(F.col(f"nll_{n}") / F.col("predicted")).alias(n) for n in models])
-    return df.join(wide, key, "left")
+    losses = _losses(df, models, key, lower)
+    columns = [F.exp(F.col(f"nll_{n}") / F.col("predicted")).alias(n) for n in models]
+    if lower:
+        columns.append(F.exp(F.col("nll_lower") / F.col("predicted_lower")).alias("lower"))
+    return df.join(losses.select(key, *columns), key, "left")
 
 
 def perplexity(df: DataFrame, lm: LanguageModel, key: str = "sample_id") -> DataFrame:

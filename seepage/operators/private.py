@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seepage.operators.language_model import GRAM_KEY, LanguageModel, grams
-from seepage.operators.position import running_totals
-from seepage.operators.skew import lookup
+from seepage.operators.language_model import GRAM_KEY, LanguageModel, grams, stored_model
+from seepage.operators.position import order_hash, running_totals
+from seepage.operators.skew import lookup, top_per_group
 from seepage.session import materialise
 
 DELTA = 1e-5
@@ -71,6 +72,36 @@ def noisy_sum(
     return materialise(whole.select(*keys, (F.coalesce("_sum", F.lit(0.0)) + noise).alias("noisy")), "release")
 
 
+def key_threshold(sigma: float, most: int, delta: float) -> float:
+    """Noisy units above which a key may show: one of a single unit does so with a chance of ``delta`` per unit at most."""
+    return 1 + sigma * math.sqrt(most) * NormalDist().inv_cdf(1 - delta / most)
+
+
+def private_keys(
+    df: DataFrame,
+    unit: str,
+    keys: list[str],
+    most: int = 8,
+    sigma: float = 2.0,
+    delta: float = DELTA,
+    test_seed: int | None = None,
+) -> DataFrame:
+    """(keys, units): the keys that enough units share, where no public domain is known.
+
+    Every unit counts for at most ``most`` of its keys, chosen by hash, so that one
+    unit changes the counts by sqrt(most) at most. Noise of ``sigma`` times that is
+    added to the number of units of each key, and a key shows above ``key_threshold``.
+    Rows without a unit are left out. The choice is stored once.
+    """
+    held = df.filter(F.col(unit).isNotNull()).select(unit, *keys).distinct()
+    order = [order_hash(test_seed or 0, unit, *keys), *[F.col(k) for k in keys]]
+    bounded = top_per_group(held, [unit], order, most, keys)
+    counts = bounded.groupBy(*keys).agg(F.count("*").cast("double").alias("_units"))
+    noise = gaussian(keys, test_seed) * F.lit(sigma * math.sqrt(most))
+    noisy = counts.select(*keys, (F.col("_units") + noise).alias("units"))
+    return materialise(noisy.filter(F.col("units") >= key_threshold(sigma, most, delta)), "private-keys")
+
+
 def privacy_ledger(releases: DataFrame, order: str, sigma: str, delta: float = DELTA) -> DataFrame:
     """Epsilon of each release by the classic Gaussian bound, and the running
     total by basic composition. The bound holds only below one per release."""
@@ -97,8 +128,9 @@ def fit_dp_ngram_lm(
 ) -> LanguageModel:
     """A language model over clipped, noised counts of the grams in a public
     ``domain``; negatives become zero."""
-    own = grams(df, order, [unit])
+    # what is never released must not use up a unit's norm
+    own = grams(df, order, [unit]).join(domain.select(*GRAM_KEY), GRAM_KEY, "left_semi")
     clipped = clip_contributions(own, unit, GRAM_KEY, F.lit(1), clip)
     noisy = noisy_sum(clipped, GRAM_KEY, domain, sigma, clip, test_seed)
     counts = noisy.select(*GRAM_KEY, F.greatest("noisy", F.lit(0.0)).alias("n"))
-    return LanguageModel(counts, order, mu)
+    return stored_model(counts, order, mu)

@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,13 +57,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-_blocks = threading.local()  # per thread, the paths handed out inside each ``scratch`` block
+_blocks = threading.local()  # per thread, the paths and tables handed out inside each ``scratch`` block
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh, unused path below the shared folder."""
     path = f"{shared_folder(spark)}/seepage/{label}-{uuid.uuid4().hex}"
-    for paths in getattr(_blocks, "open", ()):
+    for paths, _ in getattr(_blocks, "open", ()):
         paths.append(path)
     return path
 
@@ -75,12 +75,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     Write the result inside the block; a DataFrame made in it can't be read after.
     """
     paths: list[str] = []
+    tables: list[str] = []
     outer = getattr(_blocks, "open", ())
-    _blocks.open = (*outer, paths)
+    _blocks.open = (*outer, (paths, tables))
     try:
         yield
     finally:
         _blocks.open = outer
+        for table in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -99,6 +102,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: Sequence[str], label: str, buckets: int | None = None) -> DataFrame:
+    """Like ``materialise``, in buckets sorted by ``keys``: a join on them moves only the other side."""
+    spark = df.sparkSession
+    number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"seepage_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    for _, tables in getattr(_blocks, "open", ()):
+        tables.append(table)
+    placed = df.repartition(number, *keys).write.bucketBy(number, *keys).sortBy(*keys)
+    placed.option("path", shared_path(spark, label)).saveAsTable(table)
+    return spark.table(table)
+
+
 def _bytes_of(field: StructField) -> Column:
     """About the bytes that a value takes; nested values count by their elements."""
     column = F.col(f"`{field.name}`")

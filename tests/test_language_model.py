@@ -183,3 +183,48 @@ def test_dp_model_without_noise_or_clipping_equals_plain(spark):
     dp = private.fit_dp_ngram_lm(df, "unit", plain.counts.select(*lm.GRAM_KEY), clip=1e9, sigma=0.0)
     same = plain.counts.join(dp.counts.withColumnRenamed("n", "m"), lm.GRAM_KEY).filter("abs(n - m) < 1e-9")
     assert same.count() == plain.counts.count() == dp.counts.count()
+
+
+def test_a_key_of_one_unit_never_shows(spark):
+    rows = [(u, "common") for u in range(400)] + [(u, f"own{u}") for u in range(400)] + [(1, "common")] * 500 + [(None, "none")] * 600
+    df = spark.createDataFrame(rows, "u int, k string")
+    for seed in range(12):
+        shown = private.private_keys(df, "u", ["k"], most=4, sigma=1.0, delta=1e-5, test_seed=seed).collect()
+        assert [r["k"] for r in shown] == ["common"] and abs(shown[0]["units"] - 400) < 15
+    # a unit's own keys are cut to the stated number
+    many = spark.createDataFrame([(u, f"k{i}") for u in range(200) for i in range(10)], "u int, k string")
+    kept = private.private_keys(many, "u", ["k"], most=2, sigma=0.001, delta=1e-5, test_seed=3)
+    assert abs(sum(r["units"] for r in kept.collect()) - 400) < 1
+    assert private.key_threshold(1.0, 1, 1e-5) > 5
+
+
+def test_grams_outside_the_domain_use_up_no_norm(spark):
+    df = spark.createDataFrame([("u", "a " * 3 + "b " * 4)], "u string, text string")
+    domain = spark.createDataFrame([(1, "", "a")], "ord int, context string, token string")
+    model = private.fit_dp_ngram_lm(df, "u", domain, 1, clip=2.0, sigma=0.0, test_seed=1)
+    assert [(r["token"], r["n"]) for r in model.counts.collect()] == [("a", 2.0)]
+
+
+def test_scoring_moves_no_model(spark, data, monkeypatch):
+    """Joins of the sample's grams with the stored tables shuffle the sample's side only."""
+    corpus, samples = data
+    model = lm.fit_ngram_lm(corpus, 2)
+    plans = []
+    keep = lm.materialise
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, label)
+
+    monkeypatch.setattr(lm, "materialise", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["sample_id"]: r["perplexity"] for r in lm.perplexity(samples, model).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {r["sample_id"]: r["perplexity"] for r in lm.perplexity(samples, model).collect()}
+    for label in ("sample-gram-counts", "sample-context-totals"):
+        plan = next(p for name, p in plans if name == label)
+        assert plan.count("Bucketed: true") == 1 and plan.count("SortMergeJoin") == 1
+        assert plan.count("Exchange hashpartitioning") == 1  # of the distinct grams; the join needs no other
