@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seepage.catalog.common import documents, table
 from seepage.functions.text import SPACE
 from seepage.operators import sample, tokens
-from seepage.session import materialise
+from seepage.session import materialise, shared_path
 
 
 def _vocab(spark, sf_dir):
@@ -90,6 +90,17 @@ def _concatenated(spark, sf_dir):
     )
 
 
+def _sharded(spark, sf_dir):
+    """What the manifest tells of the files, and what the files hold."""
+    path = shared_path(spark, "shards")
+    ids = materialise(_encoded(spark, sf_dir), "ids")
+    manifest = tokens.write_shards(ids, "doc_id", path, 64)
+    held = tokens.read_shards(spark, path).groupBy("shard").agg(
+        F.md5(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda r: r["ids"])), ",")).alias("ids_md5")
+    )
+    return manifest.select("shard", "start", "n_rows", "n_tokens").join(held, "shard")
+
+
 WORDS = f"""per_doc AS (
   SELECT doc_id, list_filter(string_split_regex(text, '{SPACE}+'), lambda w: w <> '') AS ws FROM documents),
 words AS (SELECT doc_id, unnest(ws) AS token, unnest(range(1, len(ws) + 1)) AS i FROM per_doc),
@@ -147,8 +158,15 @@ QUERIES = {
     "k8_corpus_stats": _stats,
     "k9_append_eot": _ended,
     "k10_concat_stream": _concatenated,
+    "k10_write_shards": _sharded,
 }
 
+_DEALT = """placed AS (
+  SELECT doc_id, ids, len(ids) AS size, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n,
+    coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM encoded),
+dealt AS (SELECT *, CASE WHEN pos < (n % 64) * (n // 64 + 1) THEN pos // (n // 64 + 1)
+  ELSE (n % 64) + (pos - (n % 64) * (n // 64 + 1)) // greatest(n // 64, 1) END AS shard FROM placed)"""
+
 ORACLES = {
     "k1_build_vocab": f"WITH {WORDS} SELECT token, token_id, n FROM vocab",
     "k1_vocab_stats": f"WITH {WORDS} SELECT count(*) + 2 AS vocab_size, 'counted-words' AS encoder FROM vocab",
@@ -176,6 +194,9 @@ counted AS (SELECT *, greatest(0, CAST(floor((tokens - 513) / 512.0) AS BIGINT))
 SELECT split, tokens, examples, CAST(ceil(examples / 16.0) AS BIGINT) AS batches_per_epoch,
   CAST(8192 AS BIGINT) AS tokens_per_step FROM counted""",
     "k9_append_eot": f"WITH {WORDS} SELECT doc_id, {_csv('list_append(ids, 1)')} AS ids, len(ids) + 1 AS len FROM encoded",
+    "k10_write_shards": f"""WITH {WORDS}, {_DEALT}
+SELECT shard, min(start)::BIGINT AS start, count(*) AS n_rows, sum(size)::BIGINT AS n_tokens,
+  md5(array_to_string(flatten(list(ids ORDER BY pos)), ',')) AS ids_md5 FROM dealt GROUP BY shard""",
     "k10_concat_stream": f"""WITH {WORDS}, placed AS (
   SELECT len(ids) AS size, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n,
     coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM encoded),

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seepage.functions.text import words
 from seepage.operators.position import order_hash, running_totals
 from seepage.operators.skew import lookup
-from seepage.session import fits_broadcast, materialise
+from seepage.session import fits_broadcast, materialise, shared_path
 
 # Reserved tokens and their ids.
 UNKNOWN, UNKNOWN_ID = "<unk>", 0
@@ -20,6 +25,8 @@ END, END_ID = "<|endoftext|>", 1
 FIRST_ID = 2
 
 VOCAB_BYTES = 64 << 20  # of a vocabulary that is broadcast
+STREAM_PAGE = 1 << 18  # items of a page of a stored stream
+MOST_PAGES = 10_000
 
 
 def token_words(text: Column) -> Column:
@@ -55,22 +62,47 @@ def _small(vocab: DataFrame) -> bool:
     return size <= VOCAB_BYTES
 
 
-def _in_rows(df: DataFrame, key: str, column: Column, mapping: dict, missing, kind: pa.DataType, name: str) -> DataFrame:
-    """(key, name): each array translated inside its row, without a shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(mapping)
+@functools.lru_cache(maxsize=2)
+def _shared_table(name: str, shared: Broadcast) -> pa.Table:
+    """The two columns of a dictionary, once per worker, over the broadcast bytes themselves."""
+    with pa.ipc.open_stream(pa.py_buffer(shared.value)) as reader:
+        return reader.read_all().combine_chunks()
+
+
+def _in_rows(df: DataFrame, key: str, column: Column, pairs: pa.Table, missing, name: str) -> DataFrame:
+    """(key, name): each array translated inside its row by a two-column table, without a shuffle.
+
+    A batch of arrays is one flat column, looked up as a whole.
+    """
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pairs.schema) as writer:
+        writer.write_table(pairs)
+    shared, table_name = df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = _shared_table(table_name, shared)
+        known, values = (table.column(k).combine_chunks() if table.num_rows else pa.array([], table.schema.field(k).type) for k in (0, 1))
         for batch in batches:
             listed = batch.column("_items")
-            offsets = listed.offsets.to_pylist()
-            flat = [table.get(x, missing) for x in listed.values.to_pylist()[offsets[0] : offsets[-1]]]
-            where = pa.array([o - offsets[0] for o in offsets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(where, pa.array(flat, kind))], [key, name])
+            places = listed.offsets.to_numpy()
+            flat = listed.flatten().dictionary_encode()
+            found = values.take(pc.index_in(flat.dictionary.cast(known.type), value_set=known))
+            told = pc.fill_null(found, pa.scalar(missing, values.type)).take(flat.indices)
+            where = pa.array(places - places[0], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(where, told)], [key, name])
 
     items = df.select(key, F.coalesce(column, F.array()).alias("_items"))
-    out = T.StructType([df.schema[key], T.StructField(name, T.ArrayType(T.IntegerType() if kind == pa.int32() else T.StringType()))])
-    return items.mapInArrow(run, out)
+    value = T.IntegerType() if pa.types.is_integer(pairs.schema.field(1).type) else T.StringType()
+    return items.mapInArrow(run, T.StructType([df.schema[key], T.StructField(name, T.ArrayType(value))]))
+
+
+def _pairs(vocab: DataFrame, *columns: str) -> pa.Table:
+    """Two columns of a vocabulary of bounded size, with the end mark."""
+    end = {"token": END, "token_id": END_ID}
+    kinds = {"token": pa.string(), "token_id": pa.int32()}
+    schema = pa.schema([(c, kinds[c]) for c in columns])
+    listed = vocab.select("token", F.col("token_id").cast("int").alias("token_id")).select(*columns).toArrow().cast(schema)
+    return pa.concat_tables([pa.table({c: pa.array([end[c]], kinds[c]) for c in columns}), listed]).combine_chunks()
 
 
 def _by_lookup(df: DataFrame, vocab: DataFrame, key: str, value: str, reserved: list) -> DataFrame:
@@ -97,8 +129,7 @@ def encode(df: DataFrame, vocab: DataFrame, key: str, column: str = "text") -> D
     row; a larger one meets the words in a join.
     """
     if _small(vocab):
-        mapping = {r["token"]: r["token_id"] for r in vocab.select("token", "token_id").toLocalIterator()}
-        return _in_rows(df, key, token_words(F.col(column)), mapping | {END: END_ID}, UNKNOWN_ID, pa.int32(), "ids")
+        return _in_rows(df, key, token_words(F.col(column)), _pairs(vocab, "token", "token_id"), UNKNOWN_ID, "ids")
     placed = df.select(key, F.posexplode_outer(token_words(F.col(column))).alias("_at", "token"))
     coded = _by_lookup(placed, vocab, "token", "token_id", [END, UNKNOWN]).withColumn(
         "token_id",
@@ -112,8 +143,7 @@ def encode(df: DataFrame, vocab: DataFrame, key: str, column: str = "text") -> D
 def decode(df: DataFrame, vocab: DataFrame, key: str, column: str = "ids") -> DataFrame:
     """(key, text): tokens joined by one space."""
     if _small(vocab):
-        mapping = {r["token_id"]: r["token"] for r in vocab.select("token", "token_id").toLocalIterator()}
-        out = _in_rows(df, key, F.col(column), mapping | {END_ID: END}, UNKNOWN, pa.string(), "_tokens")
+        out = _in_rows(df, key, F.col(column), _pairs(vocab, "token_id", "token"), UNKNOWN, "_tokens")
         return out.select(key, F.array_join("_tokens", " ").alias("text"))
     placed = df.select(key, F.posexplode_outer(column).alias("_at", "token_id"))
     named = _by_lookup(placed, vocab, "token_id", "token", [END_ID, UNKNOWN_ID]).withColumn(
@@ -270,6 +300,62 @@ def concat_stream(df: DataFrame, order: str, shards: int = 1024) -> DataFrame:
     return placed.withColumn("shard", shard.cast("bigint"))
 
 
+MANIFEST = "shard bigint, start bigint, n_rows bigint, n_tokens bigint, checksum bigint, path string"
+
+
+def _shard_facts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("shard").agg(
+        F.min("offset").alias("start"),
+        F.count("*").alias("n_rows"),
+        F.sum(F.size("ids")).cast("bigint").alias("n_tokens"),
+        F.bit_xor(F.xxhash64("offset", "ids")).alias("checksum"),
+    )
+
+
+def write_shards(df: DataFrame, order: str, path: str, shards: int = 1024) -> DataFrame:
+    """Writes the stream as exactly one file per shard, and a manifest; returns the manifest.
+
+    A manifest row tells a shard's start in the stream, rows, tokens, checksum and file.
+    The files go to a folder of their own and count only once the manifest names them,
+    so a run that fails midway leaves what was there before, and a repeat gives the same.
+    """
+    spark = df.sparkSession
+    folder = f"{path}/data-{uuid.uuid4().hex}"
+    placed = concat_stream(df, order, shards).select("shard", "pos", "offset", "ids")
+    # a partition holds whole shards, so each shard comes from one task
+    placed.repartition("shard").sortWithinPartitions("shard", "pos").write.partitionBy("shard").parquet(folder)
+    written = spark.read.schema("shard bigint, pos bigint, offset bigint, ids array<int>").parquet(folder)
+    # below ``path``, so that the whole can be moved
+    place = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/shard=[^/]+/[^/]+)$", 1)
+    files = written.groupBy("shard").agg(F.min(place).alias("path"))
+    facts = _shard_facts(written).join(files, "shard").select(*[c.split()[0] for c in MANIFEST.split(", ")])
+    # as many rows as there are shards
+    facts.coalesce(1).sortWithinPartitions("shard").write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+
+
+def read_shards(spark: SparkSession, path: str, first: int = 0, last: int | None = None, check: bool = True) -> DataFrame:
+    """(shard, pos, offset, ids) of the shards ``first`` to ``last`` that the manifest names.
+
+    With ``check`` a shard whose rows, tokens or checksum differ is an error.
+    """
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").filter(F.col("shard") >= first)
+    if last is not None:
+        manifest = manifest.filter(F.col("shard") <= last)
+    listed = manifest.select("path").collect()  # as many rows as there are shards
+    shape = "shard bigint, pos bigint, offset bigint, ids array<int>"
+    if not listed:
+        return spark.createDataFrame([], shape)
+    base = f"{path}/{listed[0]['path'].split('/')[0]}"
+    rows = spark.read.schema(shape).option("basePath", base).parquet(*[f"{path}/{r['path']}" for r in listed])
+    if check:
+        told, found = manifest.drop("path"), _shard_facts(rows)
+        wrong = told.join(found, told.columns, "left_anti").select("shard").limit(10).collect()
+        if wrong:
+            raise ValueError(f"shards differ from their manifest: {[r['shard'] for r in wrong]}")
+    return rows
+
+
 def random_starts(spark, count: int, span: int, seed: int) -> DataFrame:
     """(win_id, start): ``count`` hash-derived starts in [0, span)."""
     place = F.conv(F.substring(order_hash(seed, "id"), 1, 12), 16, 10).cast("double")
@@ -334,18 +420,73 @@ def gather_windows(
     )
 
 
+@dataclass(frozen=True)
+class TokenStream:
+    """A stream stored by pages: (page, offset, items), a folder per page of consecutive items."""
+
+    rows: DataFrame
+    page: int
+    total: int
+
+
+def store_stream(df: DataFrame, order: str, column: str = "ids", path: str | None = None, page: int = STREAM_PAGE) -> TokenStream:
+    """All arrays of ``column`` as one stream in the order of ``order``, cut at pages of ``page`` items.
+
+    Each page is one file; pages grow with the stream, so that at most ``MOST_PAGES``
+    folders arise. A reader of some places reads their pages only.
+    """
+    spark = df.sparkSession
+    held = df.select(order, F.col(column).alias("items"))
+    totals = running_totals(held.select(order, F.size("items").alias("_size")), [order], "_size")
+    total = totals.agg(F.max("n_measure")).first()[0] or 0
+    page = max(page, -(-total // MOST_PAGES))
+    offsets = totals.filter("_size > 0").select(order, "offset")
+    placed = held.join(F.broadcast(offsets) if fits_broadcast(offsets) else offsets, order)
+    begin = F.greatest(F.col("offset"), F.col("page") * page)
+    end = F.least(F.col("offset") + F.size("items"), (F.col("page") + 1) * page)
+    cut = placed.select("items", "offset", _pages(F.col("offset"), F.col("offset") + F.size("items") - 1, page).alias("page"))
+    rows = cut.select(
+        "page", begin.alias("offset"), F.slice("items", (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int")).alias("items")
+    )
+    path = path or shared_path(spark, "token-stream")
+    rows.repartition("page").sortWithinPartitions("page", "offset").write.mode("overwrite").partitionBy("page").parquet(path)
+    shape = T.StructType([f for f in rows.schema.fields if f.name != "page"] + [T.StructField("page", T.LongType())])
+    return TokenStream(spark.read.schema(shape).parquet(path), page, total)
+
+
+def stream_windows(stream: TokenStream, windows: DataFrame, length: int) -> DataFrame:
+    """(win_id, start, items): ``length`` consecutive items of a stored stream from each start.
+
+    The windows tell at run time which pages are read; no other folder is opened.
+    """
+    last = F.col("start") + length - 1
+    wanted = windows.filter(F.col("start") >= 0).select("win_id", "start", _pages(F.col("start"), last, stream.page).alias("page"))
+    if fits_broadcast(wanted):
+        wanted = F.broadcast(wanted)
+    begin = F.greatest(F.col("start"), F.col("offset"))
+    end = F.least(F.col("start") + length, F.col("offset") + F.size("items"))
+    parts = (
+        stream.rows.join(wanted, "page")
+        .filter(begin < end)
+        .select("win_id", "start", begin.alias("_from"), F.slice("items", (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int")).alias("_part"))
+    )
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_from", "_part"))), lambda p: p["_part"])
+    return parts.groupBy("win_id", "start").agg(F.flatten(ordered).alias("items"))
+
+
 def _random_windows(
-    df: DataFrame, order: str, column: str, count: int, length: int, margin: int, seed: int
+    df: DataFrame | TokenStream, order: str, column: str, count: int, length: int, margin: int, seed: int
 ) -> DataFrame:
-    sizes = df.select(order, F.size(column).alias("_size"))
-    places = running_totals(sizes, [order], "_size")
-    total = places.agg(F.max("n_measure")).first()[0] or 0
-    starts = random_starts(df.sparkSession, count, max(total - margin, 0), seed)
-    return gather_windows(df, places, starts, length, order, column)
+    stream = df if isinstance(df, TokenStream) else store_stream(df, order, column)
+    starts = random_starts(stream.rows.sparkSession, count, max(stream.total - margin, 0), seed)
+    return stream_windows(stream, starts, length)
 
 
-def random_blocks(df: DataFrame, order: str, block: int, n: int, seed: int) -> DataFrame:
-    """(win_id, start, x, y): blocks at ``n`` random places of the stream."""
+def random_blocks(df: DataFrame | TokenStream, order: str, block: int, n: int, seed: int) -> DataFrame:
+    """(win_id, start, x, y): blocks at ``n`` random places of the stream.
+
+    A stream that is drawn from more than once is stored once and given instead of ``df``.
+    """
     windows = _random_windows(df, order, "ids", n, block + 1, block, seed)
     return windows.select(
         "win_id", "start", F.slice("items", 1, block).alias("x"), F.slice("items", 2, block).alias("y")
@@ -353,14 +494,14 @@ def random_blocks(df: DataFrame, order: str, block: int, n: int, seed: int) -> D
 
 
 def random_word_windows(
-    df: DataFrame, order: str, n: int, length: int = 10, seed: int = 42, column: str = "text"
+    df: DataFrame | TokenStream, order: str, n: int, length: int = 10, seed: int = 42, column: str = "text"
 ) -> DataFrame:
     """(prompt_id, words, prompt): up to ``n`` windows of ``length`` words.
 
     Twice as many starts are drawn; windows with another length are dropped and
     the first ``n`` kept.
     """
-    listed = df.select(order, token_words(F.col(column)).alias("_words"))
+    listed = df if isinstance(df, TokenStream) else df.select(order, token_words(F.col(column)).alias("_words"))
     windows = _random_windows(listed, order, "_words", 2 * n, length, length + 1, seed)
     return (
         windows.filter(F.size("items") == length)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seepage.operators import clean, sample, tokens
 from seepage.operators.position import with_position
 from seepage.session import materialise, scratch
-from seepage.sources.writers import write_token_table
+from seepage.sources.writers import write_email_report, write_token_table
 
 
 MAIL_FIELDS = ("from", "to", "subject", "date", "cc", "bcc", "body")
@@ -22,6 +22,12 @@ def mail_lines(mails: DataFrame, key: str = "path") -> DataFrame:
     return fields.select(key, F.concat_ws(" ", *MAIL_FIELDS).alias("text"))
 
 
+def mail_report(mails: DataFrame, path: str, key: str = "path") -> None:
+    """The cleaned messages as a report: ``Email #n`` and a line for each field."""
+    fields = clean.clean_mail(clean.parse_mail(mails.select(key, "raw")))
+    write_email_report(materialise(fields.select(key, *MAIL_FIELDS), "mail-fields"), path, key)
+
+
 def web_lines(pages: DataFrame, n: int, key: str = "doc_id", seed: int = 42) -> DataFrame:
     """A seeded sample of ``n`` pages, cleaned; sampling comes first, so only
     the sample is cleaned."""

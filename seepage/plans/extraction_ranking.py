@@ -22,8 +22,7 @@ def extraction_ranking(
 ) -> DataFrame:
     """The ``n`` most suspicious samples by the generator's perplexity and by the
     ratio of every other score to it, with their texts."""
-    scored = lm.score_matrix(samples, models)
-    scored = scored.join(lm.lower_perplexity(samples, models[generator]), "sample_id")
+    scored = lm.score_matrix(samples, models, lower=generator)
     filled = lm.fill_scores(scored, [*models, "lower"]).withColumn("zlib", lm.zlib_size(F.col("text")))
     scores = filled.drop("text")
     others = [m for m in models if m != generator] + ["lower", "zlib"]
@@ -35,7 +34,7 @@ def extraction_ranking(
 
 def extraction(
     spark: SparkSession,
-    crawl: str,
+    crawl: str | None,
     predict: Callable[[list[str], int], list[str]],
     models: Mapping[str, lm.LanguageModel],
     generator: str,
@@ -44,10 +43,18 @@ def extraction(
     n: int = 100,
     seed: int = 42,
 ) -> None:
-    """Prompts from a crawl, continued by a model, ranked and written as a report."""
+    """Prompts continued by a model, ranked and written as a report.
+
+    Prompts are windows of a crawl, or without one ``n_prompts`` end marks, from which
+    the model speaks freely; the mark itself is no part of such a sample.
+    """
     with scratch(spark):
-        records = materialise(read_wet(spark, crawl).select("record_id", F.col("body").alias("text")), "records")
-        prompts = tokens.random_word_windows(records, "record_id", n_prompts, seed=seed).select("prompt_id", "prompt")
-        samples = materialise(lm.batch_generate(prompts, predict, seed=seed, include_prompt=True), "generated")
+        if crawl is None:
+            prompts = lm.empty_prompts(spark, n_prompts)
+        else:
+            records = materialise(read_wet(spark, crawl).select("record_id", F.col("body").alias("text")), "records")
+            prompts = tokens.random_word_windows(records, "record_id", n_prompts, seed=seed).select("prompt_id", "prompt")
+        told = lm.batch_generate(prompts, predict, seed=seed, include_prompt=crawl is not None)
+        samples = materialise(told, "generated")
         ranked = extraction_ranking(samples.select("sample_id", "text"), models, generator, n)
         write_ranked_report(ranked, out, generator, n)

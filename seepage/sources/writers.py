@@ -20,6 +20,11 @@ def escape_breaks(text: Column) -> Column:
     return F.replace(F.regexp_replace(text, r"\r\n?", "\n"), F.lit("\n"), F.lit("\\n"))
 
 
+def unescape_breaks(text: Column) -> Column:
+    """The text that ``escape_breaks`` made a line of."""
+    return F.replace(text, F.lit("\\n"), F.lit("\n"))
+
+
 def write_lines(df: DataFrame, path: str, column: str = "text", order: Sequence[str] | None = None, skip_empty: bool = False) -> None:
     rows = df.filter(F.length(column) > 0) if skip_empty else df
     _in_order(rows, order).select(escape_breaks(F.col(column)).alias("value")).write.text(path)

@@ -3,8 +3,8 @@ import os
 from pyspark.sql import functions as F
 
 from seepage.operators import language_model as lm
-from seepage.plans.corpus_build import build_corpus, encyclopedia_lines, mail_lines, template_lines, training_blocks, web_lines
-from seepage.plans.evaluation import evaluation
+from seepage.plans.corpus_build import build_corpus, encyclopedia_lines, mail_lines, mail_report, template_lines, training_blocks, web_lines
+from seepage.plans.evaluation import evaluation, score_files
 from seepage.plans.extraction_ranking import extraction, extraction_ranking
 from seepage.plans.leak_audit import audit_report
 from seepage.session import materialise, scratch
@@ -89,3 +89,44 @@ def test_scratch_is_removed(spark):
         path = rows.inputFiles()[0].removeprefix("file:").replace("//", "/")
         assert os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_evaluation_files_give_the_same_report(spark, tmp_path):
+    corpus = spark.createDataFrame([(i, f"Say {i}. Answer a b c {i}. Ok") for i in range(6)], "k int, text string")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(300)], "vec_id long, vector array<double>")
+    token_id = F.ascii("token").cast("long")
+
+    def echo(prompts, seed):
+        return [f"Answer a b\nc {p.split()[1]} Ok" for p in prompts]
+
+    def other(prompts, seed):
+        return ["Ok b c" for _ in prompts]
+
+    out = str(tmp_path / "files")
+    report = sorted(evaluation(corpus, "k", echo, other, vectors, token_id, 5, out).collect())
+    assert [r["value"] for r in spark.read.text(f"{out}/prompts").orderBy("value").collect()] == [f"Say {i}." for i in range(5)]
+    assert spark.read.text(f"{out}/output_plain").count() == spark.read.text(f"{out}/references").count() == 5
+    assert sorted(score_files(spark, out, vectors, token_id).collect()) == report
+
+
+def test_extraction_without_a_crawl_starts_from_the_end_mark(spark, tmp_path):
+    corpus = spark.createDataFrame([("the secret code is a@b.com here",)] * 3, "text string")
+    models = {"small": lm.fit_ngram_lm(corpus, 1), "large": lm.fit_ngram_lm(corpus, 2)}
+
+    def predict(prompts, seed):
+        assert set(prompts) == {"<|endoftext|>"}
+        return [f"the secret code {i}" for i in range(len(prompts))]
+
+    report = str(tmp_path / "report")
+    extraction(spark, None, predict, models, "large", report, n_prompts=12, n=3)
+    lines = [r["value"] for r in spark.read.text(report).collect()]
+    assert sum("score=" in v for v in lines) == 12 and not any("endoftext" in v for v in lines)
+    assert sum(v.startswith("the secret code") for v in lines) == 12
+
+
+def test_mail_report(spark, tmp_path):
+    sent = "From: a@b.com\nSubject: Big News\n\nthe cat sat"
+    mails = spark.createDataFrame([("p1", sent), ("p2", "Subject: x\n\ny")], "path string, raw string")
+    mail_report(mails, str(tmp_path / "report"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert "Email #1" in lines and "Email #2" in lines and "from: a@b.com" in lines and "to: None" in lines and "body: cat sat" in lines

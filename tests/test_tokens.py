@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from seepage.operators import tokens
@@ -114,3 +115,57 @@ def test_stats_and_shards(spark):
     assert [(r["offset"], r["shard"]) for r in placed] == [(0, 0), (5, 0), (5, 0), (6, 1), (17, 1)]
     ended = tokens.append_end(df).orderBy("k").first()
     assert ended["ids"][-1] == tokens.END_ID and ended["len"] == 6
+
+
+def test_shards_are_one_file_each_and_read_back(spark, tmp_path):
+    df = stream(spark, [5, 0, 1, 11, 4, 7, 2])
+    path = str(tmp_path / "shards")
+    manifest = tokens.write_shards(df, "k", path, 3).orderBy("shard").collect()
+    assert [(r["shard"], r["start"], r["n_rows"], r["n_tokens"]) for r in manifest] == [(0, 0, 3, 6), (1, 6, 2, 15), (2, 21, 2, 9)]
+    assert len({r["path"] for r in manifest}) == 3
+    [data] = (tmp_path / "shards").glob("data-*")
+    assert all(len(list(d.glob("part-*"))) == 1 for d in data.glob("shard=*"))
+    back = tokens.read_shards(spark, path).orderBy("offset", "pos").collect()
+    assert [t for r in back for t in r["ids"]] == list(range(30))
+    assert {r["shard"] for r in tokens.read_shards(spark, path, 1, 1).collect()} == {1}
+    again = tokens.write_shards(df.repartition(5), "k", path, 3).orderBy("shard").collect()
+    assert [r[:5] for r in again] == [r[:5] for r in manifest] and tokens.read_shards(spark, path).count() == 7
+    assert tokens.read_shards(spark, path, 9).count() == 0
+
+
+def test_shards_that_differ_from_their_manifest_are_an_error(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    tokens.write_shards(stream(spark, [3, 4]), "k", path, 2)
+    spark.read.parquet(f"{path}/manifest").withColumn("checksum", F.lit(1).cast("bigint")).write.parquet(f"{path}/other")
+    (tmp_path / "shards" / "manifest").rename(tmp_path / "shards" / "old")
+    (tmp_path / "shards" / "other").rename(tmp_path / "shards" / "manifest")
+    with pytest.raises(ValueError, match="differ"):
+        tokens.read_shards(spark, path)
+    assert tokens.read_shards(spark, path, check=False).count() == 2
+
+
+def test_windows_of_a_stored_stream_read_their_pages_only(spark):
+    rng = random.Random(8)
+    sizes = [rng.choice([0, 1, 3, 40, 2500]) for _ in range(40)]
+    stored = tokens.store_stream(stream(spark, sizes), "k", page=256)
+    assert stored.total == sum(sizes) and stored.rows.agg(F.sum(F.size("items"))).first()[0] == sum(sizes)
+    starts = [(i, rng.randrange(stored.total - 50)) for i in range(6)] + [(9, 0)]
+    windows = spark.createDataFrame(starts, "win_id long, start long")
+    out = tokens.stream_windows(stored, windows, 50)
+    assert {r["win_id"]: r["items"] for r in out.collect()} == {i: list(range(s, s + 50)) for i, s in starts}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    pages = {p for _, s in starts for p in (s // 256, (s + 49) // 256)}
+    assert stored.rows.select("page").distinct().count() == -(-stored.total // 256) > 3 * len(pages)
+    blocks = tokens.random_blocks(stored, "k", 8, 10, 1).collect()
+    assert sorted(blocks) == sorted(tokens.random_blocks(stream(spark, sizes), "k", 8, 10, 1).collect())
+
+
+def test_coding_of_batches_with_gaps(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", None, "", "zz a", "b " * 50])], "k int, text string").repartition(2)
+    vocab = spark.createDataFrame([("a", 7, 1), ("b", 3, 1)], "token string, token_id int, n long")
+    ids = tokens.encode(df, vocab, "k")
+    assert {r["k"]: r["ids"] for r in ids.collect()} == {0: [7, 3], 1: [], 2: [], 3: [0, 7], 4: [3] * 50}
+    assert {r["k"]: r["text"] for r in tokens.decode(ids, vocab, "k").collect()}[3] == "<unk> a"
+    none = vocab.limit(0)
+    assert {r["k"]: r["ids"] for r in tokens.encode(df, none, "k").collect()}[0] == [0, 0]
