@@ -117,7 +117,7 @@ STEMS = f"""stems AS (SELECT token, {stem_sql('token')} AS stem
 def _stemmed_sql(sql: str, names: tuple[str, ...] = ("reference", "plain", "dp")) -> str:
     """A query over ``pairs`` as one over pairs of stemmed texts."""
     cells = ", ".join(
-        f"(SELECT string_agg(stem, ' ' ORDER BY at) FROM (SELECT unnest(ws) AS token, unnest(range(len(ws))) AS at FROM (SELECT {_plain_words(n)} AS ws)) JOIN stems USING (token)) AS {n}"
+        f"(SELECT string_agg(stem, ' ' ORDER BY place) FROM (SELECT unnest(ws) AS token, unnest(range(len(ws))) AS place FROM (SELECT {_plain_words(n)} AS ws)) JOIN stems USING (token)) AS {n}"
         for n in names
     )
     stemmed = f"{_PAIRS.replace('pairs AS', 'raw_pairs AS')}, {STEMS}, pairs AS (SELECT pos, {', '.join(f"coalesce({n}, '') AS {n}" for n in names)} FROM (SELECT pos, {cells} FROM raw_pairs))"
