@@ -55,7 +55,7 @@ def _models(spark, sf_dir):
     large = _model(spark, sf_dir, 2)
     large_dp = _dp_model(spark, sf_dir, public_grams(spark, sf_dir, 2), SEED, 2)
     small_dp = _dp_model(spark, sf_dir, public_grams(spark, sf_dir, 1), SMALL_SEED, 1)
-    small = lm.LanguageModel(large.counts.filter("ord = 1"), 1)
+    small = large.small()
     return {"nano": small, "nano_dp": small_dp, "gpt2": large, "gpt2_dp": large_dp}
 
 
@@ -73,7 +73,7 @@ def _matrix(spark, sf_dir):
 def _plain_scores(spark, sf_dir):
     """Two plain models and the length, for rankings that SQL can repeat."""
     large = _model(spark, sf_dir, 2)
-    small = lm.LanguageModel(large.counts.filter("ord = 1"), 1)
+    small = large.small()
     scored = lm.score_matrix(turns(spark, sf_dir), {"nano": small, "gpt2": large})
     return scored.withColumn("size", F.length("text")).drop("text")
 

@@ -26,7 +26,7 @@ from pyspark.sql.types import IntegerType
 from seepage.operators.position import with_position
 from seepage.operators.skew import lookup, top_per_group
 from seepage.operators.tokens import END, token_words
-from seepage.session import bucketed, materialise
+from seepage.session import bucketed, fits_broadcast, materialise
 
 GRAM_KEY = ["ord", "context", "token"]
 CONTEXT_KEY = ["ord", "context"]
@@ -62,35 +62,46 @@ def grams(df: DataFrame, order: int, keys: Sequence[str] = (), column: str = "te
     )
 
 
-def count_grams(df: DataFrame, order: int, column: str = "text") -> DataFrame:
-    """(ord, context, token, n) of all orders.
-
-    Only the longest gram at each word is counted from the text; a shorter one
-    occurs where it is the longest, and in every longer one that ends in it.
-    """
+def _longest(df: DataFrame, order: int, column: str) -> DataFrame:
+    """(ord, context, token, n) of the longest gram at each word, grouped."""
     context = F.coalesce(*[_before(k) for k in range(order, 0, -1)])
-    longest = materialise(
+    return (
         _placed(df, (), column)
         .select(F.least(F.col("at"), F.lit(order)).alias("ord"), context.alias("context"), "token")
         .groupBy(*GRAM_KEY)
-        .agg(F.count("*").alias("n")),
-        "longest-grams",
+        .agg(F.count("*").alias("n"))
     )
-    found = longest.filter(F.col("ord") == order)
-    out = found
+
+
+def _by_order(longest: DataFrame, order: int) -> dict[int, DataFrame]:
+    """The counts of each order, from those of the longest grams.
+
+    A shorter gram occurs where it is the longest, and in every longer one that ends in it.
+    """
+    found = {order: longest.filter(F.col("ord") == order)}
     for k in range(order - 1, 0, -1):
-        rest = F.lit("") if k == 1 else F.regexp_replace("context", r"^\S+ ", "")
-        shortened = found.select(F.lit(k).alias("ord"), rest.alias("context"), "token", "n")
-        found = (
+        shortened = found[k + 1].select(F.lit(k).alias("ord"), _last_words(k - 1).alias("context"), "token", "n")
+        found[k] = (
             longest.filter(F.col("ord") == k)
             .unionByName(shortened)
             .groupBy(*GRAM_KEY)
             .agg(F.sum("n").alias("n"))
         )
-        out = out.unionByName(found)
+    return found
+
+
+def _together(tables: Mapping[int, DataFrame]) -> DataFrame:
+    out = None
+    for table in tables.values():
+        out = table if out is None else out.unionByName(table)
     return out
 
 
+def count_grams(df: DataFrame, order: int, column: str = "text") -> DataFrame:
+    """(ord, context, token, n) of all orders; only the longest gram at each word is counted from the text."""
+    return _together(_by_order(materialise(_longest(df, order, column), "longest-grams"), order))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Gram counts with the settings that turn them into probabilities."""
@@ -99,14 +110,18 @@ class LanguageModel:
     order: int
     mu: float = 10.0
     context_totals: DataFrame | None = None  # ord, context, total
+    by_order: Mapping[int, DataFrame] | None = None  # the counts of each order
+
+    def of_order(self, k: int) -> DataFrame:
+        return self.by_order[k] if self.by_order else self.counts.filter(F.col("ord") == k)
+
+    def small(self) -> LanguageModel:
+        """The model of order one over the same counts."""
+        return LanguageModel(self.of_order(1), 1, self.mu)
 
     def totals(self) -> tuple[float, int]:
         """Words counted and distinct words."""
-        row = (
-            self.counts.filter(F.col("ord") == 1)
-            .agg(F.sum("n").alias("words"), F.count("*").alias("types"))
-            .first()
-        )
+        row = self.of_order(1).agg(F.sum("n").alias("words"), F.count("*").alias("types")).first()
         return float(row["words"] or 0), row["types"]
 
     def contexts(self) -> DataFrame:
@@ -119,18 +134,26 @@ class LanguageModel:
         )
 
 
+def _stored(by_order: Mapping[int, DataFrame], order: int, mu: float) -> LanguageModel:
+    counts = _together(by_order)
+    if order == 1:
+        return LanguageModel(counts, order, mu, None, by_order)
+    totals = counts.filter(F.col("ord") > 1).groupBy(*CONTEXT_KEY).agg(F.sum("n").alias("total"))
+    return LanguageModel(counts, order, mu, bucketed(totals, CONTEXT_KEY, "context-totals", grouped=True), by_order)
+
+
 def stored_model(counts: DataFrame, order: int, mu: float = 10.0) -> LanguageModel:
-    """The model as two tables in buckets, by gram and by context: scoring moves neither."""
+    """The model as tables in buckets, by gram and by context: scoring moves none of them."""
     kept = bucketed(counts, GRAM_KEY, "gram-counts")
-    if order == 1:
-        return LanguageModel(kept, order, mu)
-    totals = LanguageModel(kept, order, mu).contexts()
-    return LanguageModel(kept, order, mu, bucketed(totals, CONTEXT_KEY, "context-totals"))
+    return _stored({k: kept.filter(F.col("ord") == k) for k in range(1, order + 1)}, order, mu)
 
 
 def fit_ngram_lm(df: DataFrame, order: int = 2, mu: float = 10.0, column: str = "text") -> LanguageModel:
     """Count all grams of a corpus; counts are combined before the shuffle."""
-    return stored_model(count_grams(df, order, column), order, mu)
+    longest = bucketed(_longest(df, order, column), GRAM_KEY, "longest-grams", grouped=True)
+    found = _by_order(longest, order)
+    shorter = {k: bucketed(found[k], GRAM_KEY, f"gram-counts-{k}", grouped=True) for k in range(order - 1, 0, -1)}
+    return _stored({order: found[order], **shorter}, order, mu)
 
 
 def _last_words(n: int) -> Column:
@@ -141,7 +164,7 @@ def _last_words(n: int) -> Column:
 def probabilities(lm: LanguageModel) -> DataFrame:
     """(ord, context, token, n, p) for the grams of the model."""
     words, types = lm.totals()
-    lower = lm.counts.filter(F.col("ord") == 1).withColumn("p", (F.col("n") + 1) / F.lit(words + types + 1))
+    lower = lm.of_order(1).withColumn("p", (F.col("n") + 1) / F.lit(words + types + 1))
     result = lower
     totals = lm.contexts()
     for k in range(2, lm.order + 1):
@@ -149,7 +172,7 @@ def probabilities(lm: LanguageModel) -> DataFrame:
             F.col("context").alias("_short"), F.col("token"), F.col("p").alias("_below")
         )
         lower = (
-            lm.counts.filter(F.col("ord") == k)
+            lm.of_order(k)
             .join(totals.filter(F.col("ord") == k).drop("ord"), "context", "left")
             .withColumn("_short", _last_words(k - 2))
             .join(shorter, ["_short", "token"])
@@ -168,43 +191,45 @@ def model_table(lm: LanguageModel) -> DataFrame:
     return probabilities(lm)
 
 
-def _joined(wanted: DataFrame, tables: Mapping[str, DataFrame], keys: Sequence[str], value: str) -> DataFrame:
-    """``wanted`` with a column per model; it moves once to the models' buckets, which stay."""
+def _told(wanted: DataFrame, tables: Mapping[str, DataFrame], keys: Sequence[str], value: str, few: bool) -> DataFrame:
+    """``wanted`` with a column per model, null where a model's table lacks the row.
+
+    ``few`` wanted rows are broadcast to the tables and what they hit is joined back;
+    more move once to the tables' buckets, which stay where they are.
+    """
     out = wanted
     for name, table in tables.items():
-        out = out.join(table.select(*keys, F.col(value).alias(f"{value}_{name}")), list(keys), "left")
+        named = table.select(*keys, F.col(value).cast("double").alias(f"{value}_{name}"))
+        if few:
+            named = named.join(F.broadcast(wanted.select(*keys).distinct()), list(keys))
+        out = out.join(named, list(keys), "left")
     return out
 
 
-def gram_scores(wanted: DataFrame, models: Mapping[str, LanguageModel]) -> DataFrame:
-    """(ord, context, token, p_<model>...) of distinct grams, seen or not, under every model.
+def gram_scores(wanted: DataFrame, models: Mapping[str, LanguageModel], few: bool = False) -> DataFrame:
+    """(ord, context, token, p_<model>...) of ``wanted`` grams, seen or not, under every model.
 
     A gram longer than a model's order has the probability of its longest part that
     the model knows of: counts and totals come from the models' stored tables, and
-    what a gram lacks from the grams below it.
+    what a gram lacks from the grams below it. ``few`` tells that a broadcast holds them.
     """
     top = max(m.order for m in models.values())
-    parts = F.array(
-        *[
-            F.when(F.col("ord") >= k, F.struct(F.lit(k).alias("ord"), _last_words(k - 1).alias("context"), "token"))
-            for k in range(1, top + 1)
-        ]
-    )
-    every = wanted.select(F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("_g")).select("_g.*").distinct()
-    counted = materialise(_joined(every, {n: m.counts for n, m in models.items()}, GRAM_KEY, "n"), "sample-gram-counts")
-    long = {n: m.contexts() for n, m in models.items() if m.order > 1}
-    contexts = counted.filter(F.col("ord") > 1).select(*CONTEXT_KEY).distinct()
-    totals = materialise(_joined(contexts, long, CONTEXT_KEY, "total"), "sample-context-totals") if long else None
     sizes = {n: m.totals() for n, m in models.items()}
-    below = counted.filter(F.col("ord") == 1).select(
-        *GRAM_KEY, *[((F.coalesce(f"n_{n}", F.lit(0)) + 1) / F.lit(sum(sizes[n]) + 1)).alias(f"p_{n}") for n in models]
+    rows = {top: wanted.filter(F.col("ord") == top).distinct()}
+    for k in range(top - 1, 0, -1):
+        shortened = rows[k + 1].select(F.lit(k).alias("ord"), _last_words(k - 1).alias("context"), "token")
+        rows[k] = wanted.filter(F.col("ord") == k).unionByName(shortened).distinct()
+    below = _told(rows[1], {n: m.of_order(1) for n, m in models.items()}, GRAM_KEY, "n", few).select(
+        *GRAM_KEY, *[((F.coalesce(f"n_{n}", F.lit(0.0)) + 1) / F.lit(sum(sizes[n]) + 1)).alias(f"p_{n}") for n in models]
     )
     out = below
     for k in range(2, top + 1):
+        knowing = {n: m for n, m in models.items() if m.order >= k}
+        counted = _told(rows[k], {n: m.of_order(k) for n, m in knowing.items()}, GRAM_KEY, "n", few)
+        counted = _told(counted, {n: m.contexts() for n, m in knowing.items()}, CONTEXT_KEY, "total", few)
         shorter = below.select(F.col("context").alias("_short"), F.col("token").alias("_token"), *[F.col(f"p_{n}").alias(f"_b_{n}") for n in models])
-        rows = counted.filter(F.col("ord") == k).join(totals.filter(F.col("ord") == k).drop("ord"), "context")
-        rows = rows.withColumn("_s", _last_words(k - 2)).join(shorter, (F.col("_s") == F.col("_short")) & (F.col("token") == F.col("_token")))
-        below = rows.select(*GRAM_KEY, *[_interpolated(n, m, k).alias(f"p_{n}") for n, m in models.items()])
+        joined = counted.withColumn("_s", _last_words(k - 2)).join(shorter, (F.col("_s") == F.col("_short")) & (F.col("token") == F.col("_token")))
+        below = joined.select(*GRAM_KEY, *[_interpolated(n, m, k).alias(f"p_{n}") for n, m in models.items()])
         out = out.unionByName(below)
     return out
 
@@ -213,7 +238,7 @@ def _interpolated(name: str, lm: LanguageModel, k: int) -> Column:
     low = F.col(f"_b_{name}")
     if k > lm.order:
         return low
-    return (F.coalesce(f"n_{name}", F.lit(0)) + F.lit(lm.mu) * low) / (F.coalesce(f"total_{name}", F.lit(0)) + F.lit(lm.mu))
+    return (F.coalesce(f"n_{name}", F.lit(0.0)) + F.lit(lm.mu) * low) / (F.coalesce(f"total_{name}", F.lit(0.0)) + F.lit(lm.mu))
 
 
 def _losses(df: DataFrame, models: Mapping[str, LanguageModel], key: str, lower: str | None = None) -> DataFrame:
@@ -232,13 +257,16 @@ def _losses(df: DataFrame, models: Mapping[str, LanguageModel], key: str, lower:
     spots = _placed(texts, [key, "_kind"], "text").filter(F.col("at") > 1)
     gram = F.struct(F.least(F.col("at"), F.lit(top)).alias("ord"), context.alias("context"), F.col("token").alias("token"))
     own = materialise(spots.groupBy(key, "_kind", gram.alias("_gram")).agg(F.count("*").alias("_c")), "sample-grams")
-    weights = materialise(own.groupBy("_gram").agg(F.count("*").alias("_n")), "gram-weights")
-    scores = gram_scores(weights.select("_gram.*"), models)
-    scores = scores.select(F.struct(*GRAM_KEY).alias("_g"), *[f"p_{n}" for n in models])
-    table = weights.join(scores, F.col("_gram") == F.col("_g")).drop("_g")
-    table = materialise(table, "gram-probabilities")
-    total = weights.agg(F.sum("_n")).first()[0] or 0
-    scored = lookup(own, table, "_gram", "_n", [f"p_{n}" for n in models], total, "inner")
+    few = fits_broadcast(own.select("_gram.*"))
+    scores = gram_scores(own.select("_gram.*"), models, few)
+    scores = materialise(scores.select(F.struct(*GRAM_KEY).alias("_g"), *[f"p_{n}" for n in models]), "gram-probabilities")
+    if few:
+        scored = own.join(F.broadcast(scores), F.col("_gram") == F.col("_g"))
+    else:
+        weights = own.groupBy("_gram").agg(F.count("*").alias("_n"))
+        table = materialise(weights.join(scores, F.col("_gram") == F.col("_g")).drop("_g"), "weighted-probabilities")
+        total = table.agg(F.sum("_n")).first()[0] or 0
+        scored = lookup(own, table, "_gram", "_n", [f"p_{n}" for n in models], total, "inner")
     plain, low = F.col("_kind") == 0, F.col("_kind") == 1
     sums = [F.sum(F.when(plain, -F.log(f"p_{n}") * F.col("_c"))).alias(f"nll_{n}") for n in models]
     sums.append(F.sum(F.when(plain, F.col("_c"))).alias("predicted"))

@@ -102,15 +102,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, keys: Sequence[str], label: str, buckets: int | None = None) -> DataFrame:
-    """Like ``materialise``, in buckets sorted by ``keys``: a join on them moves only the other side."""
+def bucketed(df: DataFrame, keys: Sequence[str], label: str, grouped: bool = False) -> DataFrame:
+    """Like ``materialise``, in buckets by ``keys``: a join on them moves only the other side.
+
+    There are as many buckets as the session has shuffle partitions, so what was just
+    ``grouped`` by these keys lies in the right tasks already.
+    """
     spark = df.sparkSession
-    number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"seepage_{label.replace('-', '_')}_{uuid.uuid4().hex}"
     for _, tables in getattr(_blocks, "open", ()):
         tables.append(table)
-    placed = df.repartition(number, *keys).write.bucketBy(number, *keys).sortBy(*keys)
-    placed.option("path", shared_path(spark, label)).saveAsTable(table)
+    placed = df if grouped else df.repartition(number, *keys)
+    placed.write.bucketBy(number, *keys).option("path", shared_path(spark, label)).saveAsTable(table)
     return spark.table(table)
 
 
