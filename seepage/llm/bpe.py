@@ -15,6 +15,7 @@ from __future__ import annotations
 import codecs
 import functools
 import json
+import re
 import sys
 import unicodedata
 from array import array
@@ -30,9 +31,14 @@ from seepage.llm.common import released, text_batches
 
 WORDS_KEPT = 300_000  # encoded words that a worker remembers
 PAIRS_KEPT = 200_000
+START, STARTS_KEPT = 6, 100_000  # symbols at the start of a word, and how many of those starts are remembered
 LONGEST_KEPT = 64
 SEGMENT = 1 << 20  # characters normalised at a time
 ROWS = 256  # rows sent back at a time
+# classes in the pattern of a tokenizer file, and the characters for which the standard
+# classes differ from them or are not known to agree
+LETTERS, NUMBER, SIGNS = r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"
+UNUSUAL = re.compile("[^\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
 
 
 def byte_alphabet() -> list[str]:
@@ -66,6 +72,7 @@ class Vocabulary:
         self.alphabet = byte_alphabet()
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(assigned(split), flags=regex.V1)
+        self.plain = re.compile(split.replace(LETTERS, r"[^\W\d_]+").replace(NUMBER, r"\d").replace(SIGNS, r"(?:[^\w\s]|_)+")) if all(x in split for x in (LETTERS, NUMBER, SIGNS)) else None
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
@@ -131,12 +138,23 @@ class Transducer:
 
     def _read(self, end: str) -> None:
         text, last, size, reach = self.text, self.last, self.size, self.reach
-        tokens, apart = self.codec.tokens.get, self.codec.apart
+        known, pairs, apart = self.codec.suffixes.get, self.codec.pairs.get, self.codec.apart
         n = len(text)
         for i in range(len(last), n + 1):
-            for j in range(i - reach if i > reach else 0, i):
-                token = tokens(text[j:i] if i < n else text[j:i] + end)
-                if token is not None and apart(last[j], token):
+            tail = end if i == n else ""
+            tokens, starts = [], []  # those that end here, shortest first
+            for j in range(i - 1, i - reach - 1 if i > reach else -1, -1):
+                token = known(text[j:i] + tail if tail else text[j:i])
+                if token is None:  # no longer token ends so
+                    break
+                if token >= 0:
+                    tokens.append(token)
+                    starts.append(j)
+            while tokens:
+                token, j = tokens.pop(), starts.pop()
+                left = last[j]
+                fits = True if left < 0 else pairs(left << 32 | token)
+                if fits or (fits is None and apart(left, token)):
                     last.append(token)
                     size.append(i - j)
                     break
@@ -174,6 +192,14 @@ class Codec(dict):
         ids = self.vocabulary.ids
         self.tokens = {t: ids[t] for t in self.vocabulary.reachable}
         self.names = {i: t for t, i in self.tokens.items()}
+        self.suffixes: dict[str, int] = {}  # every end of a token: its id if it is a token, else -1
+        for token in self.tokens:
+            marked = self.vocabulary.symbols(token)
+            for k in range(len(marked)):
+                part = "".join(marked[k:])
+                self.suffixes[part] = self.tokens.get(part, -1)
+        self.starts: dict[str, tuple] = {}  # what a transducer holds after the first START symbols
+        self.older: dict[str, bytes] = {}  # words kept before this dict was last full
         self.pairs: dict[int, bool] = {}
         self.bytes = dict(enumerate(self.vocabulary.alphabet))
         self.edges: tuple[dict, dict] = ({}, {})  # one entry per token at most
@@ -233,11 +259,38 @@ class Codec(dict):
     def __missing__(self, word: str) -> bytes:
         if len(word) > LONGEST_KEPT:
             return np.fromiter(self.long_word(word), np.int32).tobytes()
-        if len(self) >= WORDS_KEPT:
+        if 2 * len(self) >= WORDS_KEPT:
+            # words that go on being used come back from the older half
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = array("i", Transducer(self).feed(self.symbols(word), True)).tobytes()
+        ids = self.older.pop(word, None)
+        if ids is None:
+            ids = array("i", self.short_word(self.symbols(word))).tobytes()
+        self[word] = ids
         return ids
 
+    def short_word(self, symbols: str) -> list[int]:
+        """The transducer goes on from where another word with the same start has taken it."""
+        transducer = Transducer(self)
+        if len(symbols) <= START:
+            return transducer.feed(symbols, True)
+        start = symbols[:START]
+        state = self.starts.get(start)
+        if state is None:
+            transducer.feed(start)
+            if len(self.starts) >= STARTS_KEPT:
+                self.starts.clear()
+            self.starts[start] = (tuple(transducer.last), tuple(transducer.size))
+        else:
+            transducer.text, transducer.last, transducer.size = start, list(state[0]), list(state[1])
+        return transducer.feed(symbols[START:], True)
+
+    def split(self, text: str) -> list[str]:
+        """The words of a normalised text; plain letters and signs need no Unicode classes."""
+        if self.vocabulary.plain and not UNUSUAL.search(text):
+            return self.vocabulary.plain.findall(text)
+        return self.vocabulary.words.findall(text)
+
     def pieces(self, text: str) -> Iterator[bytes]:
         """Ids of the text, piece by piece, as bytes of int32."""
         v = self.vocabulary
@@ -247,7 +300,7 @@ class Codec(dict):
                 yield v.special[part].to_bytes(4, sys.byteorder)
             elif part:
                 for piece in segments(part):
-                    yield b"".join(map(self.__getitem__, v.words.findall(normalised(piece))))
+                    yield b"".join(map(self.__getitem__, self.split(normalised(piece))))
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.pieces(text)), np.int32)
