@@ -191,21 +191,22 @@ def _best(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([(a[i : i + _ROWS] @ b.T).max(axis=1) for i in range(0, len(a), _ROWS)])
 
 
-@F.pandas_udf(_MATCH)
-def _match(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    out = []
-    for h, r in zip(hyp, ref):
-        if h is None or r is None or len(h) == 0 or len(r) == 0:
-            out.append((0.0, 0.0))
-            continue
-        sides = []
-        for side in (h, r):
-            v = np.array([np.asarray(t["vector"], dtype=np.float64) for t in side])
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            sides.append((v / np.where(norm == 0, 1.0, norm), np.array([t["c"] for t in side], dtype=np.float64)))
-        (hv, hc), (rv, rc) = sides
-        out.append((float(_best(hv, rv) @ hc / hc.sum()), float(_best(rv, hv) @ rc / rc.sum())))
-    return pd.DataFrame(out, columns=["precision", "recall"])
+def _pair_match(known: np.ndarray, unit: np.ndarray, sides: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[float, float]:
+    """Precision and recall of one pair from the ids and counts of its words; ``known`` is sorted."""
+    found = []
+    for wanted, count in sides:
+        at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+        has = known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
+        if not has.any():
+            return 0.0, 0.0
+        found.append((unit[at[has]], count[has]))
+    (hv, hc), (rv, rc) = found
+    return float(_best(hv, rv) @ hc / hc.sum()), float(_best(rv, hv) @ rc / rc.sum())
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norm == 0, 1.0, norm)
 
 
 def _match_ids(listed: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
@@ -216,47 +217,53 @@ def _match_ids(listed: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     order = np.argsort(ids)
     flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     matrix = np.asarray(flat, np.float64).reshape(len(ids), -1)[order]
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = spark.sparkContext.broadcast((ids[order], matrix / np.where(norm == 0, 1.0, norm)))
+    shared = spark.sparkContext.broadcast((ids[order], _unit(matrix)))
 
     def side(cell) -> tuple[np.ndarray, np.ndarray]:
-        known, unit = shared.value
-        wanted = np.array([x["vec_id"] for x in cell], np.int64) if cell is not None else np.empty(0, np.int64)
-        count = np.array([x["c"] for x in cell], np.float64) if cell is not None else np.empty(0)
-        at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
-        has = known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
-        return unit[at[has]], count[has]
+        rows = cell if cell is not None else ()
+        return np.array([x["vec_id"] for x in rows], np.int64), np.array([x["c"] for x in rows], np.float64)
 
     @F.pandas_udf(_MATCH)
     def match(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        out = []
-        for h, r in zip(hyp, ref):
-            (hv, hc), (rv, rc) = side(h), side(r)
-            if not len(hv) or not len(rv):
-                out.append((0.0, 0.0))
-                continue
-            out.append((float(_best(hv, rv) @ hc / hc.sum()), float(_best(rv, hv) @ rc / rc.sum())))
+        known, unit = shared.value
+        out = [_pair_match(known, unit, (side(h), side(r))) for h, r in zip(hyp, ref)]
         return pd.DataFrame(out, columns=["precision", "recall"])
 
     scored = listed.select(key, match("hyp", "ref").alias("_m"))
     return scored.select(key, F.col("_m.precision").alias("precision"), F.col("_m.recall").alias("recall"))
 
 
-def _match_joined(counted: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """The same with vectors joined to their ids, for tables too large to broadcast."""
+def _match_tiled(counted: DataFrame, vectors: DataFrame, key: str, numbers: int) -> DataFrame:
+    """The same for vectors beyond a broadcast, in tiles of pairs.
+
+    A tile is as many pairs as have about ``VECTOR_BYTES`` of vectors, were all their
+    words different. It gets each vector that its pairs need once, however many of
+    them and of their words do, and answers all of them.
+    """
     counted = materialise(counted, "vector-counts")
-    weights = counted.groupBy("vec_id").agg(F.count("*").alias("_n"))
+    rows = counted.count()
+    width = max(1, -(-numbers // max(1, vectors.count())))
+    tiles = rows // max(1, VECTOR_BYTES // (8 * width)) + 1
+    placed = counted.withColumn("_tile", F.pmod(F.xxhash64(key), F.lit(tiles)))
+    needed = materialise(placed.select("_tile", "vec_id").distinct(), "tile-words")
+    weights = needed.groupBy("vec_id").agg(F.count("*").alias("_n"))
     weighted = materialise(vectors.join(weights, "vec_id"), "vector-weights")
     total = weighted.agg(F.sum("_n")).first()[0] or 0
-    found = lookup(counted, weighted, "vec_id", "_n", ["vector"], total, "inner")
-    listed = (
-        found.groupBy(key)
-        .pivot("side", ["hyp", "ref"])
-        .agg(F.sort_array(F.collect_list(F.struct("vec_id", "c", "vector"))))
-    )
-    return listed.select(key, _match("hyp", "ref").alias("_m")).select(
-        key, F.col("_m.precision").alias("precision"), F.col("_m.recall").alias("recall")
-    )
+    held = lookup(needed, weighted, "vec_id", "_n", ["vector"], total, "inner")
+
+    def answer(words: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("vec_id")
+        known = table["vec_id"].to_numpy(np.int64)
+        unit = _unit(np.array([np.asarray(v, np.float64) for v in table["vector"]])) if len(table) else np.empty((0, 1))
+        out = []
+        for name, pair in words.groupby(key, sort=False):
+            sides = [pair[pair["side"] == s] for s in ("hyp", "ref")]
+            found = _pair_match(known, unit, [(s["vec_id"].to_numpy(np.int64), s["c"].to_numpy(np.float64)) for s in sides])
+            out.append((name, *found))
+        return pd.DataFrame(out, columns=[key, "precision", "recall"])
+
+    shape = StructType([counted.schema[key], *_MATCH.fields])
+    return placed.groupBy("_tile").cogroup(held.groupBy("_tile")).applyInPandas(answer, shape)
 
 
 def greedy_cosine_match(
@@ -282,6 +289,7 @@ def greedy_cosine_match(
         df.select(key, F.explode(sides).alias("_s"))
         .select(key, F.col("_s.side").alias("side"), F.explode("_s.ws").alias("token"))
         .select(key, "side", token_id.alias("vec_id"))
+        .filter(F.col("vec_id").isNotNull())
         .groupBy(key, "side", "vec_id")
         .agg(F.count("*").alias("c"))
     )
@@ -290,7 +298,7 @@ def greedy_cosine_match(
         listed = counted.groupBy(key).pivot("side", ["hyp", "ref"]).agg(F.collect_list(F.struct("vec_id", "c")))
         scored = _match_ids(listed, vectors, key)
     else:
-        scored = _match_joined(counted, vectors, key)
+        scored = _match_tiled(counted, vectors, key, size["numbers"])
     p, r, zero = F.col("precision"), F.col("recall"), F.lit(0.0)
     return (
         df.select(key)
