@@ -90,6 +90,21 @@ def test_pairs_are_learned():
     assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9
 
 
+def test_scores_equal_plain_lookups():
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(800, 4))
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float)
+    model = quality_model.fit(x, y)
+    rows = np.concatenate([x[:50], rnd.normal(size=(20, 4)) * 100])
+    for row, got in zip(rows, model.score(rows), strict=True):
+        total = model.base
+        for j, (edges, table) in enumerate(zip(model.edges, model.tables, strict=True)):
+            total += table[sum(e <= row[j] for e in edges)]
+        for (a, b), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += table[sum(e <= row[a] for e in model.pair_edges[a]), sum(e <= row[b] for e in model.pair_edges[b])]
+        assert math.isclose(got, 1 / (1 + math.exp(-total)), rel_tol=1e-9)
+
+
 def plain_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=str.encode) + ([None] if None in sizes else [])
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}

@@ -2,6 +2,7 @@
 
 import re
 import time
+import zlib
 from collections import Counter
 
 import duckdb
@@ -36,6 +37,23 @@ def test_shards_are_level_whole_and_gapless(spark, resolution):
         assert max(loads) - min(loads) <= max(largest, sum(loads) // 8)
 
 
+def test_large_groups_go_where_a_plain_heap_puts_them(spark):
+    data = rows(n=200)
+    got = sharding.shard_documents(frame(spark, data), shards=4).collect()
+    assert all(r.text_crc32 == (None if (t := texts[0]) is None else zlib.crc32(t.encode())) for r in got if len(texts := [d[1] for d in data if d[0] == r.doc_id and d[0] is not None]) == 1)
+    # with a bundle for each group at most, loads are those of the plain rule
+    sizes = Counter()
+    for d in data:
+        sizes[d[1]] += len((d[1] or "").encode()) + 1
+    loads = [0] * 4
+    for size in sorted(sizes.values(), reverse=True):
+        loads[loads.index(min(loads))] += size
+    ours = Counter()
+    for r in got:
+        ours[r.shard] += r["size"]
+    assert max(ours.values()) <= 4 / 3 * max(loads) and sum(ours.values()) == sum(loads)
+
+
 def test_sharding_an_empty_table(spark):
     assert sharding.shard_documents(frame(spark, [])).count() == 0
 
