@@ -37,13 +37,7 @@ def _one_file_per_source(rows, spark, label):
 def _maildir(spark, sf_dir):
     """One file per document at source/language/file."""
     path = shared_path(spark, "maildir")
-    (
-        _sourced(spark, sf_dir)
-        .select("source", "lang", "text")
-        .write.option("maxRecordsPerFile", 1)
-        .partitionBy("source", "lang")
-        .text(path)
-    )
+    writers.write_file_tree(_sourced(spark, sf_dir), path, ["source", "lang"])
     mails = readers.read_maildir(spark, path)
     # UTF-8 bytes read as latin-1 give the text back through the same bytes
     back = F.decode(F.encode("raw", "ISO-8859-1"), "UTF-8")

@@ -41,11 +41,12 @@ def _ordered_text(spark: SparkSession, path: str | list[str], separator: str | N
 
 def read_maildir(spark: SparkSession, path: str) -> DataFrame:
     """(path, user, folder, raw) for files at exactly user/folder/file, latin-1."""
-    files = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/*/*/*")
+    # folders are listed as a whole, each in a task; a pattern of files would name every file as a path of its own
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path.rstrip('/')}/*/*")
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     root = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
     depth = root.rstrip("/").count("/") + 1
-    # the pattern also lists what lies in a folder of the third level
+    # folders are listed with all below them
     parts = F.split("path", "/")
     return (
         files.filter(F.size(parts) == depth + 3)

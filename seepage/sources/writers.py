@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seepage.operators.position import with_position
 
+# What Spark writes as %XX in the name of a folder, and the name for null and empty.
+_ESCAPED = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
 
 def _in_order(df: DataFrame, order: Sequence[str] | None) -> DataFrame:
     """Rows sorted across files: part files in name order read in this order."""
@@ -35,6 +43,42 @@ def write_samples(df: DataFrame, path: str, column: str = "text", order: Sequenc
     _in_order(df, order).select(F.col(column).alias("value")).write.option("lineSep", "\n\n").text(path)
 
 
+def _folder(name: str, value: str | None) -> str:
+    """The folder that ``partitionBy`` gives a value."""
+    return f"{name}={_ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', value) if value else _NO_NAME}"
+
+
+def write_file_tree(df: DataFrame, path: str, folders: Sequence[str], column: str = "text") -> None:
+    """One file per row at ``folder=value/.../file``, as ``partitionBy`` names folders; a line break ends it.
+
+    On a file system that executors mount, tasks write the files themselves; Spark's
+    writer takes several processes and a rename by the driver for each. Names follow
+    from partition and place, so a task that runs again writes the same files.
+    """
+    rows = df.select(*[F.col(f).cast("string").alias(f) for f in folders], F.col(column).alias("value"))
+    scheme = re.match(r"([a-z0-9]+):", path)
+    if scheme and scheme[1] != "file":
+        options = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
+        rows.write.options(**options).partitionBy(*folders).text(path)
+        return
+    root = re.sub(r"^file:/+", "/", path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, part, made, n = fs.LocalFileSystem(), TaskContext.get().partitionId(), set(), 0
+        for batch in batches:
+            for *values, text in zip(*(c.to_pylist() for c in batch.columns)):
+                folder = "/".join([root, *map(_folder, folders, values)])
+                if folder not in made:
+                    store.create_dir(folder)
+                    made.add(folder)
+                with store.open_output_stream(f"{folder}/part-{part:05d}-{n:07d}.txt") as out:
+                    out.write(f"{'' if text is None else text}\n".encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def write_email_report(df: DataFrame, path: str, order: str) -> None:
     """``Email #n`` and one ``column: value`` line per field; null prints None."""
     fields = [c for c in df.columns if c != order]

@@ -30,6 +30,30 @@ def test_maildir_below_an_odd_path(spark, tmp_path):
     assert [(r["user"], r["folder"]) for r in readers.read_maildir(spark, str(root)).collect()] == [("a", "inbox")]
 
 
+def test_file_tree_equals_that_of_the_plain_writer(spark, tmp_path):
+    names = ["a", "b/c: d", "100%[x]=", "é ü", "", None]
+    rows = [(names[i % 6], names[i % 5], None if i == 7 else f"text {i}\nof é") for i in range(60)]
+    df = spark.createDataFrame(rows, "u string, f string, text string").repartition(3)
+    df.write.option("maxRecordsPerFile", 1).partitionBy("u", "f").text(str(tmp_path / "plain"))
+    writers.write_file_tree(df, f"file://{tmp_path}/tree", ["u", "f"])
+    told = [sorted((r["user"], r["folder"], r["raw"]) for r in readers.read_maildir(spark, str(tmp_path / x)).collect()) for x in ("plain", "tree")]
+    assert told[0] == told[1] and len(told[0]) == 60
+
+
+def test_maildir_lists_folders_not_files(spark, tmp_path):
+    for i in range(300):
+        write(tmp_path / "_a" / "_sent" / str(i), "hi")
+    write(tmp_path / "_a" / "_sent" / "sub" / "deep", "no")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("maildir", "maildir")
+    rows = readers.read_maildir(spark, str(tmp_path))
+    assert rows.count() == 300
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [jobs.getStageInfo(s) for j in jobs.getJobIdsForGroup("maildir") for s in jobs.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) < 100
+    assert {(r["user"], r["folder"]) for r in rows.collect()} == {("_a", "_sent")}
+
+
 def test_numbering_moves_no_text(spark, tmp_path, monkeypatch):
     write(tmp_path / "1.txt", "b\n\n a \n")
     write(tmp_path / "2.txt", "c\n")
