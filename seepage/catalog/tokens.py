@@ -30,7 +30,7 @@ def _vocab_query(spark, sf_dir):
 
 def _decoded(spark, sf_dir):
     vocab = _vocab(spark, sf_dir)
-    ids = tokens.encode(documents(spark, sf_dir), vocab, "doc_id")
+    ids = materialise(tokens.encode(documents(spark, sf_dir), vocab, "doc_id"), "ids")
     return tokens.decode(ids, vocab, "doc_id")
 
 
@@ -57,7 +57,7 @@ def _padded(left):
 
 
 def _collated(spark, sf_dir):
-    out = tokens.collate(_encoded(spark, sf_dir), "doc_id")
+    out = tokens.collate(materialise(_encoded(spark, sf_dir), "ids"), "doc_id")
     return _joined(out, "input_ids", "attention_mask", "labels")
 
 

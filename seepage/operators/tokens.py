@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -24,7 +25,10 @@ UNKNOWN, UNKNOWN_ID = "<unk>", 0
 END, END_ID = "<|endoftext|>", 1
 FIRST_ID = 2
 
-VOCAB_BYTES = 64 << 20  # of a vocabulary that is broadcast
+VOCAB_BYTES = 16 << 20  # of the most frequent part of a vocabulary that is broadcast
+ID_STEPS = 64  # steps at which that part may end, for each doubling of the ids
+BATCH_ROWS = 2_000  # rows that are translated at a time
+CHUNK_ITEMS = 1 << 19  # items that meet their rare ones in one call
 STREAM_PAGE = 1 << 18  # items of a page of a stored stream
 MOST_PAGES = 10_000
 
@@ -56,10 +60,24 @@ def vocab_stats(vocab: DataFrame, encoder: str = "counted-words") -> DataFrame:
     )
 
 
-def _small(vocab: DataFrame) -> bool:
-    """True where a vocabulary may be broadcast, by its bytes."""
-    size = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 16), F.lit(0))).first()[0]
-    return size <= VOCAB_BYTES
+def _frequent(vocab: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent part of a vocabulary, of bounded size, and the rest of it, if any.
+
+    Ids are dealt by frequency, so that the part is a range of ids, found by their magnitudes.
+    """
+    step = F.floor(F.log2(F.greatest("token_id", F.lit(1))) * ID_STEPS)
+    size = F.sum(F.octet_length("token") + 16).alias("size")
+    # at most 31 * ID_STEPS + 1 rows
+    sizes = sorted(vocab.groupBy(step.alias("step")).agg(size, F.max("token_id").alias("last")).collect())
+    if sum(r["size"] for r in sizes) <= VOCAB_BYTES:
+        return vocab, None
+    last, held = -1, 0
+    for r in sizes:
+        held += r["size"]
+        if held > VOCAB_BYTES:
+            break
+        last = r["last"]
+    return vocab.filter(F.col("token_id") <= last), vocab.filter(F.col("token_id") > last)
 
 
 @functools.lru_cache(maxsize=2)
@@ -69,31 +87,116 @@ def _shared_table(name: str, shared: Broadcast) -> pa.Table:
         return reader.read_all().combine_chunks()
 
 
+def _dictionary(spark: SparkSession, pairs: pa.Table) -> Callable[[], tuple[pa.Array, pa.Array]]:
+    """A two-column table sent to the tasks; the result gives its columns there."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pairs.schema) as writer:
+        writer.write_table(pairs)
+    shared, name, schema = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex, pairs.schema
+
+    def columns() -> tuple[pa.Array, pa.Array]:
+        table = _shared_table(name, shared)
+        return tuple(table.column(k).combine_chunks() if table.num_rows else pa.array([], schema.field(k).type) for k in (0, 1))
+
+    return columns
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that a worker holds the translation of few rows beside them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+        pa.default_memory_pool().release_unused()
+
+
+def _found(items: pa.DictionaryArray, known: pa.Array, values: pa.Array) -> pa.Array:
+    """What each item stands for, null for unknown ones."""
+    return values.take(pc.index_in(items.dictionary.cast(known.type), value_set=known)).take(items.indices)
+
+
+def _value_type(pairs: pa.Table) -> T.DataType:
+    return T.IntegerType() if pa.types.is_integer(pairs.schema.field(1).type) else T.StringType()
+
+
 def _in_rows(df: DataFrame, key: str, column: Column, pairs: pa.Table, missing, name: str) -> DataFrame:
     """(key, name): each array translated inside its row by a two-column table, without a shuffle.
 
     A batch of arrays is one flat column, looked up as a whole.
     """
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pairs.schema) as writer:
-        writer.write_table(pairs)
-    shared, table_name = df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+    columns = _dictionary(df.sparkSession, pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _shared_table(table_name, shared)
-        known, values = (table.column(k).combine_chunks() if table.num_rows else pa.array([], table.schema.field(k).type) for k in (0, 1))
-        for batch in batches:
+        known, values = columns()
+        for batch in _slices(batches):
             listed = batch.column("_items")
             places = listed.offsets.to_numpy()
-            flat = listed.flatten().dictionary_encode()
-            found = values.take(pc.index_in(flat.dictionary.cast(known.type), value_set=known))
-            told = pc.fill_null(found, pa.scalar(missing, values.type)).take(flat.indices)
+            found = _found(listed.flatten().dictionary_encode(), known, values)
+            told = pc.fill_null(found, pa.scalar(missing, values.type))
             where = pa.array(places - places[0], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(where, told)], [key, name])
 
     items = df.select(key, F.coalesce(column, F.array()).alias("_items"))
-    value = T.IntegerType() if pa.types.is_integer(pairs.schema.field(1).type) else T.StringType()
-    return items.mapInArrow(run, T.StructType([df.schema[key], T.StructField(name, T.ArrayType(value))]))
+    return items.mapInArrow(run, T.StructType([df.schema[key], T.StructField(name, T.ArrayType(_value_type(pairs)))]))
+
+
+def _in_chunks(
+    df: DataFrame, key: str, column: Column, size: Column, pairs: pa.Table, rest: DataFrame, missing, name: str, reserved: list
+) -> DataFrame:
+    """The same for a vocabulary beyond a broadcast, whose most frequent part are the ``pairs``.
+
+    Rows are dealt to chunks of about ``CHUNK_ITEMS`` items, of which a row has about ``size``, and only the rare items of
+    each batch and chunk are looked up in the ``rest`` by a join; a chunk then meets its
+    rare items. What is frequent never moves but within its row, as its translation.
+    """
+    source, value = (pairs.schema.field(k).name for k in (0, 1))
+    columns, kind = _dictionary(df.sparkSession, pairs), df.select(column.alias("_items")).schema["_items"].dataType.elementType
+    items = df.select(key, F.coalesce(column, F.array()).alias("_items"))
+    number = df.agg(F.sum(size)).first()[0] or 0
+    chunk = F.pmod(F.xxhash64(key, "_items"), F.lit(int(number) // CHUNK_ITEMS + 1))
+    items = items.withColumn("_chunk", chunk)
+    shape = T.StructType([T.StructField("_chunk", T.LongType()), df.schema[key], T.StructField("_told", T.ArrayType(_value_type(pairs))), T.StructField("_rare", T.ArrayType(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, values = columns()
+        for batch in _slices(batches):
+            listed = batch.column("_items")
+            places = listed.offsets.to_numpy() - listed.offsets[0].as_py()
+            flat = listed.flatten()
+            told = _found(flat.dictionary_encode(), known, values)
+            lacking = pc.is_null(told)
+            ends = np.concatenate([[0], np.cumsum(lacking.to_numpy(zero_copy_only=False))])[places]
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), x) for at, x in ((places, told), (ends, flat.filter(lacking)))]
+            yield pa.RecordBatch.from_arrays([batch.column("_chunk"), batch.column(key), *lists], shape.names)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column("_rare")
+            owner = batch.column("_chunk").take(pc.list_parent_indices(listed))
+            seen = pa.table({"_chunk": owner, source: listed.flatten()}).group_by(["_chunk", source]).aggregate([])
+            yield from seen.to_batches()
+
+    def settle(rows: pa.Table, words: pa.Table) -> pa.Table:
+        rows, words = rows.combine_chunks(), words.combine_chunks()
+        listed, rest_of = (pa.concat_arrays(rows.column(c).chunks) for c in ("_told", "_rare"))
+        told, asked = listed.flatten(), rest_of.flatten()
+        known, values = (pa.concat_arrays(words.column(c).chunks) if words.num_rows else pa.array([], words.schema.field(c).type) for c in (source, value))
+        found = pc.fill_null(_found(asked.dictionary_encode(), known, values), pa.scalar(missing, values.type))
+        told = pc.replace_with_mask(told, pc.is_null(told), found)
+        places = listed.offsets.to_numpy()
+        where = pa.array(places - places[0], pa.int32())
+        return pa.table({key: rows.column(key), name: pa.ListArray.from_arrays(where, told)})
+
+    coded = items.mapInArrow(run, shape)
+    # one worker a task for both steps
+    asked = items.mapInArrow(lambda batches: rare(run(batches)), T.StructType([shape["_chunk"], T.StructField(source, kind)]))
+    looked = _by_lookup(materialise(asked, "rare-items"), rest, source, value, reserved)
+    held = looked.filter(F.col(value).isNotNull()).select("_chunk", source, value)
+    out = T.StructType([df.schema[key], T.StructField(name, T.ArrayType(_value_type(pairs)))])
+
+    def meet(rows: pa.Table, words: pa.Table) -> pa.Table:
+        return settle(rows, words) if rows.num_rows else pa.table({f.name: pa.array([], t) for f, t in zip(out.fields, (rows.schema.field(key).type, pa.list_(words.schema.field(value).type)))})
+
+    return coded.groupBy("_chunk").cogroup(held.groupBy("_chunk")).applyInArrow(meet, out)
 
 
 def _pairs(vocab: DataFrame, *columns: str) -> pa.Table:
@@ -105,6 +208,15 @@ def _pairs(vocab: DataFrame, *columns: str) -> pa.Table:
     return pa.concat_tables([pa.table({c: pa.array([end[c]], kinds[c]) for c in columns}), listed]).combine_chunks()
 
 
+def _translated(df: DataFrame, vocab: DataFrame, key: str, items: Column, size: Column, to: tuple[str, str], missing, name: str, reserved: list) -> DataFrame:
+    """(key, name): arrays of one column of the vocabulary as arrays of the other."""
+    frequent, rest = _frequent(vocab)
+    pairs = _pairs(frequent, *to)
+    if rest is None:
+        return _in_rows(df, key, items, pairs, missing, name)
+    return _in_chunks(df, key, items, size, pairs, rest, missing, name, reserved)
+
+
 def _by_lookup(df: DataFrame, vocab: DataFrame, key: str, value: str, reserved: list) -> DataFrame:
     """Left-join a large vocabulary; reserved values, which it lacks, stay out of the shuffle."""
     total = vocab.agg(F.sum("n")).first()[0] or 0
@@ -112,47 +224,18 @@ def _by_lookup(df: DataFrame, vocab: DataFrame, key: str, value: str, reserved:
     return lookup(df.withColumn("_look", looked), vocab.withColumnRenamed(key, "_look"), "_look", "n", [value], total).drop("_look")
 
 
-def _regroup(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Ordered array per key from (key, _at, value) rows; null places are empty texts."""
-    pairs = F.sort_array(F.collect_list(F.struct("_at", value)))
-    return (
-        df.groupBy(key)
-        .agg(F.filter(pairs, lambda p: p["_at"].isNotNull()).alias("_p"))
-        .select(key, F.transform("_p", lambda p: p[value]).alias(name))
-    )
-
-
 def encode(df: DataFrame, vocab: DataFrame, key: str, column: str = "text") -> DataFrame:
     """(key, ids): token ids in text order; unknown words get the reserved id.
 
-    A vocabulary of bounded size is broadcast and every text translated in its
-    row; a larger one meets the words in a join.
+    The most frequent words, up to a bounded size, are broadcast and every text translated
+    in its row; only the rare words of a larger vocabulary are looked up in a join.
     """
-    if _small(vocab):
-        return _in_rows(df, key, token_words(F.col(column)), _pairs(vocab, "token", "token_id"), UNKNOWN_ID, "ids")
-    placed = df.select(key, F.posexplode_outer(token_words(F.col(column))).alias("_at", "token"))
-    coded = _by_lookup(placed, vocab, "token", "token_id", [END, UNKNOWN]).withColumn(
-        "token_id",
-        F.when(F.col("token") == END, F.lit(END_ID)).otherwise(
-            F.coalesce("token_id", F.lit(UNKNOWN_ID))
-        ),
-    )
-    return _regroup(coded, key, "token_id", "ids")
+    return _translated(df, vocab, key, token_words(F.col(column)), F.octet_length(column) / 6, ("token", "token_id"), UNKNOWN_ID, "ids", [END, UNKNOWN])
 
 
 def decode(df: DataFrame, vocab: DataFrame, key: str, column: str = "ids") -> DataFrame:
     """(key, text): tokens joined by one space."""
-    if _small(vocab):
-        out = _in_rows(df, key, F.col(column), _pairs(vocab, "token_id", "token"), UNKNOWN, "_tokens")
-        return out.select(key, F.array_join("_tokens", " ").alias("text"))
-    placed = df.select(key, F.posexplode_outer(column).alias("_at", "token_id"))
-    named = _by_lookup(placed, vocab, "token_id", "token", [END_ID, UNKNOWN_ID]).withColumn(
-        "token",
-        F.when(F.col("token_id") == END_ID, F.lit(END)).otherwise(
-            F.coalesce("token", F.lit(UNKNOWN))
-        ),
-    )
-    out = _regroup(named, key, "token", "_tokens")
+    out = _translated(df, vocab, key, F.col(column), F.size(column), ("token_id", "token"), UNKNOWN, "_tokens", [END_ID, UNKNOWN_ID])
     return out.select(key, F.array_join("_tokens", " ").alias("text"))
 
 

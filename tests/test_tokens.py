@@ -56,6 +56,27 @@ def test_encode_by_shuffle_equals_broadcast(spark, monkeypatch):
     assert {r["k"]: r["text"] for r in tokens.decode(shuffled, vocab, "k").collect()} == back
 
 
+def test_only_rare_words_of_a_large_vocabulary_move(spark, monkeypatch):
+    """The frequent part is broadcast, rows with equal keys or none stay rows, and the rest is asked once a chunk."""
+    texts = [" ".join(f"w{j}" for j in range(30) for _ in range(40)) + f" r{i % 9} r{i % 9} <unk>{tokens.END}" for i in range(60)] + ["", None, "zz"]
+    rows = [(None if i % 10 == 0 else i // 2, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k int, text string").repartition(5)
+    vocab = tokens.build_vocab(df.filter("text <> 'zz'")).cache()
+    told = lambda x, c: sorted(((r["k"] is None, r["k"] or 0, r[c]) for r in x.collect()))
+    whole = tokens.encode(df, vocab, "k")
+    ids, back = told(whole, "ids"), told(tokens.decode(whole, vocab, "k"), "text")
+    moved, keep = [], tokens.materialise
+    monkeypatch.setattr(tokens, "materialise", lambda df, label: moved.append(keep(df, label)) or moved[-1])
+    monkeypatch.setattr(tokens, "VOCAB_BYTES", 30 * 19 + 20)
+    monkeypatch.setattr(tokens, "CHUNK_ITEMS", 5_000)
+    parted = tokens.encode(df, vocab, "k")
+    assert told(parted, "ids") == ids
+    assert told(tokens.decode(parted, vocab, "k"), "text") == back
+    assert [set(m.columns) for m in moved] == [{"_chunk", "token"}, {"_chunk", "token_id"}]
+    assert moved[0].filter("token RLIKE '^w[0-9]$'").count() == 0 and moved[0].count() < 300
+    vocab.unpersist()
+
+
 def test_reserved_words_stay_out_of_the_shuffle(spark, monkeypatch):
     """Nine tenths of all words are the end mark, and no shuffle partition gets them by key."""
     monkeypatch.setattr(tokens, "VOCAB_BYTES", -1)
