@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -165,15 +166,32 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf(IntegerType())
-def _lcs(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(list(h), list(r)) for h, r in zip(hyp, ref)], dtype="int32")
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows, so that a worker holds little beside them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+        pa.default_memory_pool().release_unused()
+
+
+def _cells(listed: pa.ListArray) -> np.ndarray:
+    """Where each row's items begin and end in the flat column."""
+    places = listed.offsets.to_numpy()
+    return places - places[0]
 
 
 def _rouge_l(pairs: DataFrame, key: str) -> DataFrame:
-    return pairs.select(
-        key, f_measure(_lcs("hyp", "ref"), F.size("hyp"), F.size("ref")).alias("rougeL")
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            hyp, ref = batch.column("hyp"), batch.column("ref")
+            flat = pa.concat_arrays([hyp.flatten(), ref.flatten()]).dictionary_encode().indices.to_pylist()
+            h, r = _cells(hyp), _cells(ref) + len(hyp.flatten())
+            both = [lcs_length(flat[h[i] : h[i + 1]], flat[r[i] : r[i + 1]]) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(both, pa.int32()), *(pa.array(np.diff(c), pa.int32()) for c in (h, r))], [key, "both", "h", "r"])
+
+    shape = StructType([pairs.schema[key], *[StructField(c, IntegerType()) for c in ("both", "h", "r")]])
+    counted = pairs.select(key, "hyp", "ref").mapInArrow(run, shape)
+    return counted.select(key, f_measure(F.col("both"), F.col("h"), F.col("r")).alias("rougeL"))
 
 
 def rouge_l(df: DataFrame, hyp: str, ref: str, key: str = "pos", stemmed: bool = True) -> DataFrame:
@@ -182,7 +200,8 @@ def rouge_l(df: DataFrame, hyp: str, ref: str, key: str = "pos", stemmed: bool =
 
 
 _MATCH = StructType([StructField("precision", Double()), StructField("recall", Double())])
-VECTOR_BYTES = 64 << 20  # of a vector table that is broadcast
+VECTOR_BYTES = 16 << 20  # of a vector table that is broadcast, and of a tile's vectors
+PART_ROWS = 500  # pairs that a worker takes at a time
 _ROWS = 512  # rows of a similarity matrix held at a time
 
 
@@ -219,18 +238,18 @@ def _match_ids(listed: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     matrix = np.asarray(flat, np.float64).reshape(len(ids), -1)[order]
     shared = spark.sparkContext.broadcast((ids[order], _unit(matrix)))
 
-    def side(cell) -> tuple[np.ndarray, np.ndarray]:
-        rows = cell if cell is not None else ()
-        return np.array([x["vec_id"] for x in rows], np.int64), np.array([x["c"] for x in rows], np.float64)
-
-    @F.pandas_udf(_MATCH)
-    def match(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unit = shared.value
-        out = [_pair_match(known, unit, (side(h), side(r))) for h, r in zip(hyp, ref)]
-        return pd.DataFrame(out, columns=["precision", "recall"])
+        for batch in _parts(batches):
+            sides = []
+            for name in ("hyp", "ref"):
+                flat, cells = batch.column(name).flatten(), _cells(batch.column(name))
+                wanted, count = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False).astype(kind) for k, kind in enumerate((np.int64, np.float64)))
+                sides.append([(wanted[a:b], count[a:b]) for a, b in zip(cells, cells[1:])])
+            out = np.array([_pair_match(known, unit, pair) for pair in zip(*sides)], np.float64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out[:, 0]), pa.array(out[:, 1])], [key, "precision", "recall"])
 
-    scored = listed.select(key, match("hyp", "ref").alias("_m"))
-    return scored.select(key, F.col("_m.precision").alias("precision"), F.col("_m.recall").alias("recall"))
+    return listed.select(key, "hyp", "ref").mapInArrow(run, StructType([listed.schema[key], *_MATCH.fields]))
 
 
 def _match_tiled(counted: DataFrame, vectors: DataFrame, key: str, numbers: int) -> DataFrame:
@@ -251,19 +270,28 @@ def _match_tiled(counted: DataFrame, vectors: DataFrame, key: str, numbers: int)
     total = weighted.agg(F.sum("_n")).first()[0] or 0
     held = lookup(needed, weighted, "vec_id", "_n", ["vector"], total, "inner")
 
-    def answer(words: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("vec_id")
-        known = table["vec_id"].to_numpy(np.int64)
-        unit = _unit(np.array([np.asarray(v, np.float64) for v in table["vector"]])) if len(table) else np.empty((0, 1))
+    def answer(words: pa.Table, table: pa.Table) -> pa.Table:
+        ids = table.column("vec_id").to_numpy().astype(np.int64)
+        order = np.argsort(ids)
+        known, unit = ids[order], np.empty((0, 1))
+        if len(known):
+            flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            unit = _unit(np.asarray(flat, np.float64).reshape(len(known), -1)[order])
+        rows = words.sort_by([(key, "ascending"), ("side", "ascending")])
+        code = rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        wanted, count = rows.column("vec_id").to_numpy().astype(np.int64), rows.column("c").to_numpy().astype(np.float64)
+        hyp = pc.equal(rows.column("side"), "hyp").to_numpy()
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
         out = []
-        for name, pair in words.groupby(key, sort=False):
-            sides = [pair[pair["side"] == s] for s in ("hyp", "ref")]
-            found = _pair_match(known, unit, [(s["vec_id"].to_numpy(np.int64), s["c"].to_numpy(np.float64)) for s in sides])
-            out.append((name, *found))
-        return pd.DataFrame(out, columns=[key, "precision", "recall"])
+        for a, b in zip(starts, [*starts[1:], len(code)]):
+            middle = a + int(hyp[a:b].sum())
+            out.append(_pair_match(known, unit, [(wanted[a:middle], count[a:middle]), (wanted[middle:b], count[middle:b])]))
+        found = np.array(out, np.float64).reshape(-1, 2)
+        names = rows.column(key).take(pa.array(starts, pa.int64()))
+        return pa.table({key: names, "precision": found[:, 0], "recall": found[:, 1]})
 
     shape = StructType([counted.schema[key], *_MATCH.fields])
-    return placed.groupBy("_tile").cogroup(held.groupBy("_tile")).applyInPandas(answer, shape)
+    return placed.groupBy("_tile").cogroup(held.groupBy("_tile")).applyInArrow(answer, shape)
 
 
 def greedy_cosine_match(
