@@ -30,10 +30,10 @@ def public_grams(spark, sf_dir, order=2):
 
 
 def _dp_model(spark, sf_dir, domain, seed, order=2):
-    """Each source is one unit whose contribution is bounded."""
+    """Each source is one unit whose whole contribution is bounded."""
     docs = spread(table(spark, sf_dir, "documents").select("source", "text"))
     return private.fit_dp_ngram_lm(
-        docs, "source", domain, order, clip=CLIP, sigma=SIGMA, test_seed=seed
+        docs, "source", domain, order, clip=CLIP, sigma=SIGMA, test_seed=seed, whole=True
     )
 
 
@@ -180,8 +180,7 @@ def _noisy(name: str, order: int, seed: int) -> str:
 DOMAIN = _listed("public", "benchmark", "item_id") + ", domain AS (SELECT DISTINCT ord, context, token FROM public)"
 
 
-CONTRIB = """contrib AS (SELECT source, ord, context, token, CAST(count(*) AS DOUBLE) AS v
-  FROM corpus SEMI JOIN domain USING (ord, context, token) GROUP BY ALL)"""
+CONTRIB = "contrib AS (SELECT source, ord, context, token, CAST(count(*) AS DOUBLE) AS v FROM corpus GROUP BY ALL)"
 DP_COUNTS = f"{DOMAIN}, {CONTRIB}, {_noisy('dp_counts', 2, SEED)}, {_noisy('small_dp', 1, SMALL_SEED)}"
 
 

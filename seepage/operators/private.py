@@ -125,11 +125,17 @@ def fit_dp_ngram_lm(
     clip: float = 1.0,
     sigma: float = 0.3,
     test_seed: int | None = None,
+    whole: bool = False,
 ) -> LanguageModel:
     """A language model over clipped, noised counts of the grams in a public
-    ``domain``; negatives become zero."""
-    # what is never released must not use up a unit's norm
-    own = grams(df, order, [unit]).join(domain.select(*GRAM_KEY), GRAM_KEY, "left_semi")
+    ``domain``; negatives become zero.
+
+    With ``whole`` all grams of a unit count for its norm, those outside the domain too.
+    """
+    own = grams(df, order, [unit])
+    if not whole:
+        # what is never released must not use up a unit's norm
+        own = own.join(domain.select(*GRAM_KEY), GRAM_KEY, "left_semi")
     clipped = clip_contributions(own, unit, GRAM_KEY, F.lit(1), clip)
     noisy = noisy_sum(clipped, GRAM_KEY, domain, sigma, clip, test_seed)
     counts = noisy.select(*GRAM_KEY, F.greatest("noisy", F.lit(0.0)).alias("n"))

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from seepage.catalog import language_model as lm_queries
 from seepage.operators import language_model as lm
 from seepage.operators import private
 
@@ -205,6 +206,22 @@ def test_grams_outside_the_domain_use_up_no_norm(spark):
     assert [(r["token"], r["n"]) for r in model.counts.collect()] == [("a", 2.0)]
 
 
+def test_whole_contributions_count_for_the_norm(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("u", "a " * 3 + "b " * 4)], "u string, text string")
+    domain = spark.createDataFrame([(1, "", "a")], "ord int, context string, token string")
+    model = private.fit_dp_ngram_lm(df, "u", domain, 1, clip=2.0, sigma=0.0, test_seed=1, whole=True)
+    assert [(r["token"], r["n"]) for r in model.counts.collect()] == [("a", pytest.approx(2.0 * 3 / 5))]
+    # so do those of the registered models
+    spark.createDataFrame([(1, "s", "a " * 30 + "b " * 40)], "doc_id int, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(lm_queries, "SIGMA", 0.0)
+    counts = lm_queries._dp_model(spark, str(tmp_path), domain, 1, 1).counts
+    assert [r["n"] for r in counts.collect()] == [pytest.approx(30.0)]
+    monkeypatch.setattr(lm_queries, "CLIP", 5.0)
+    counts = lm_queries._dp_model(spark, str(tmp_path), domain, 1, 1).counts
+    assert [r["n"] for r in counts.collect()] == [pytest.approx(3.0)]
+    assert "SEMI JOIN" not in lm_queries.CONTRIB
+
+
 def test_scoring_moves_no_model(spark, data, monkeypatch):
     """Joins of the sample's grams with the stored tables shuffle the sample's side only."""
     corpus, samples = data
