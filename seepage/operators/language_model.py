@@ -241,27 +241,33 @@ def _interpolated(name: str, lm: LanguageModel, k: int) -> Column:
     return (F.coalesce(f"n_{name}", F.lit(0.0)) + F.lit(lm.mu) * low) / (F.coalesce(f"total_{name}", F.lit(0.0)) + F.lit(lm.mu))
 
 
-def _losses(df: DataFrame, models: Mapping[str, LanguageModel], key: str, lower: str | None = None) -> DataFrame:
+def _losses(
+    df: DataFrame, models: Mapping[str, LanguageModel], key: str, lower: str | None = None, weight: str | None = None
+) -> DataFrame:
     """(key, nll_<model>..., predicted): summed loss over all words but the first.
 
     Every word counts with the longest gram that some model knows of, once per text
     and gram; grams that very many texts hold are broadcast instead of shuffled. With
     ``lower`` the lower-cased texts go along, and nll_lower and predicted_lower are
-    theirs under that model.
+    theirs under that model. A text counts ``weight`` times.
     """
     top = max(m.order for m in models.values())
-    texts = df.select(key, F.lit(0).alias("_kind"), "text")
+    times = F.col(weight) if weight else F.lit(1)
+    texts = df.select(key, F.lit(0).alias("_kind"), times.alias("_times"), "text")
     if lower:
-        texts = texts.unionByName(df.select(key, F.lit(1).alias("_kind"), F.lower("text").alias("text")))
+        texts = texts.unionByName(df.select(key, F.lit(1).alias("_kind"), times.alias("_times"), F.lower("text").alias("text")))
     context = F.coalesce(*[_before(k) for k in range(top, 0, -1)])
-    spots = _placed(texts, [key, "_kind"], "text").filter(F.col("at") > 1)
+    spots = _placed(texts, [key, "_kind", "_times"], "text").filter(F.col("at") > 1)
     gram = F.struct(F.least(F.col("at"), F.lit(top)).alias("ord"), context.alias("context"), F.col("token").alias("token"))
-    own = materialise(spots.groupBy(key, "_kind", gram.alias("_gram")).agg(F.count("*").alias("_c")), "sample-grams")
+    own = materialise(spots.groupBy(key, "_kind", gram.alias("_gram")).agg(F.sum("_times").alias("_c")), "sample-grams")
     few = fits_broadcast(own.select("_gram.*"))
     scores = gram_scores(own.select("_gram.*"), models, few)
     scores = materialise(scores.select(F.struct(*GRAM_KEY).alias("_g"), *[f"p_{n}" for n in models]), "gram-probabilities")
     if few:
         scored = own.join(F.broadcast(scores), F.col("_gram") == F.col("_g"))
+    elif weight:
+        # keys that stand for many texts are few, and so are the rows of a gram
+        scored = own.join(scores, F.col("_gram") == F.col("_g"))
     else:
         weights = own.groupBy("_gram").agg(F.count("*").alias("_n"))
         table = materialise(weights.join(scores, F.col("_gram") == F.col("_g")).drop("_g"), "weighted-probabilities")
@@ -371,13 +377,11 @@ def rank_by_ratio(
 
 def heldout_loss(df: DataFrame, lm: LanguageModel, key: str, split: str = "split") -> DataFrame:
     """Mean loss per predicted word in each split."""
-    loss = _losses(df.select(key, "text"), {"lm": lm}, key)
-    return (
-        df.select(key, split)
-        .join(loss, key)
-        .groupBy(split)
-        .agg((F.sum("nll_lm") / F.sum("predicted")).alias("loss"), F.sum("predicted").alias("predicted"))
-    )
+    # a key that repeats counts in each of its splits as often as it is there
+    times = df.groupBy(key, split).agg(F.count("*").alias("_times"))
+    own = df.select(key, "text").join(times, key).select(split, "_times", "text")
+    loss = _losses(own, {"lm": lm}, split, weight="_times")
+    return loss.groupBy(split).agg((F.sum("nll_lm") / F.sum("predicted")).alias("loss"), F.sum("predicted").alias("predicted"))
 
 
 def next_token_topk(lm: LanguageModel, k: int = 40, temperature: float = 1.0) -> DataFrame:

@@ -206,6 +206,25 @@ def test_grams_outside_the_domain_use_up_no_norm(spark):
     assert [(r["token"], r["n"]) for r in model.counts.collect()] == [("a", 2.0)]
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_heldout_loss_counts_grams_by_split(spark, data, monkeypatch, few):
+    """No text is counted by itself; a key that repeats counts in each of its splits as often as it is there."""
+    corpus, _ = data
+    rows = [(i, "val" if i % 3 else "train", "a b a") for i in range(30)] + [(1, "train", "b zz a c"), (None, "val", "c c c c")]
+    split = spark.createDataFrame(rows, "k int, split string, text string")
+    kept, keep = {}, lm.materialise
+    monkeypatch.setattr(lm, "materialise", lambda df, label: kept.setdefault(label, keep(df, label)))
+    model = lm.fit_ngram_lm(corpus, 2)
+    monkeypatch.setattr(lm, "fits_broadcast", lambda *a: few)
+    got = {r["split"]: (r["loss"], r["predicted"]) for r in lm.heldout_loss(split, model, "k").collect()}
+    assert kept["sample-grams"].count() == 2 * 2 + 2 * 3
+    mean = brute_loss(2)
+    short, long = 2 * mean("a b a"), 3 * mean("b zz a c")
+    # key 1 is twice there, once in each split, with five words in all
+    for name, texts in (("train", 10), ("val", 19)):
+        assert got[name] == (pytest.approx((texts * short + short + long) / (2 * texts + 5)), 2 * texts + 5)
+
+
 def test_whole_contributions_count_for_the_norm(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([("u", "a " * 3 + "b " * 4)], "u string, text string")
     domain = spark.createDataFrame([(1, "", "a")], "ord int, context string, token string")
