@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from seepage.operators.position import with_position
-from seepage.operators.skew import lookup, top_per_group
+from seepage.operators.skew import heavy_floor, lookup, top_per_group
 from seepage.operators.tokens import END, token_words
 from seepage.session import bucketed, fits_broadcast, materialise
 
@@ -35,8 +35,10 @@ CONTEXT_KEY = ["ord", "context"]
 def _placed(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """(keys, _ws, at, token): every word with its place, counted from 1."""
     listed = df.select(*keys, token_words(F.col(column)).alias("_ws"))
-    # places come from the array itself: a filter on its size would tokenise again
-    return listed.select(*keys, "_ws", F.posexplode("_ws").alias("_i", "token")).withColumn("at", F.col("_i") + 1)
+    # places come from the array itself, and the rows of no word go afterwards: an inner
+    # explode makes Spark filter on the array's size, which tokenises each text twice more
+    every = listed.select(*keys, "_ws", F.posexplode_outer("_ws").alias("_i", "token"))
+    return every.filter(F.col("_i").isNotNull()).withColumn("at", F.col("_i") + 1)
 
 
 def _before(k: int) -> Column:
@@ -261,7 +263,10 @@ def _losses(
     gram = F.struct(F.least(F.col("at"), F.lit(top)).alias("ord"), context.alias("context"), F.col("token").alias("token"))
     own = materialise(spots.groupBy(key, "_kind", gram.alias("_gram")).agg(F.sum("_times").alias("_c")), "sample-grams")
     few = fits_broadcast(own.select("_gram.*"))
-    scores = gram_scores(own.select("_gram.*"), models, few)
+    wanted = own
+    if not few and not weight:
+        wanted = materialise(own.groupBy("_gram").agg(F.count("*").alias("_n")), "wanted-grams")
+    scores = gram_scores(wanted.select("_gram.*"), models, few)
     scores = materialise(scores.select(F.struct(*GRAM_KEY).alias("_g"), *[f"p_{n}" for n in models]), "gram-probabilities")
     if few:
         scored = own.join(F.broadcast(scores), F.col("_gram") == F.col("_g"))
@@ -269,9 +274,12 @@ def _losses(
         # keys that stand for many texts are few, and so are the rows of a gram
         scored = own.join(scores, F.col("_gram") == F.col("_g"))
     else:
-        weights = own.groupBy("_gram").agg(F.count("*").alias("_n"))
-        table = materialise(weights.join(scores, F.col("_gram") == F.col("_g")).drop("_g"), "weighted-probabilities")
-        total = table.agg(F.sum("_n")).first()[0] or 0
+        total = wanted.agg(F.sum("_n")).first()[0] or 0
+        # the lookup asks only which grams are heavy
+        heavy = F.broadcast(wanted.filter(F.col("_n") > heavy_floor(total)))
+        table = scores.join(heavy, F.col("_g") == F.col("_gram"), "left").select(
+            F.col("_g").alias("_gram"), F.coalesce("_n", F.lit(0)).alias("_n"), *[f"p_{n}" for n in models]
+        )
         scored = lookup(own, table, "_gram", "_n", [f"p_{n}" for n in models], total, "inner")
     plain, low = F.col("_kind") == 0, F.col("_kind") == 1
     sums = [F.sum(F.when(plain, -F.log(f"p_{n}") * F.col("_c"))).alias(f"nll_{n}") for n in models]

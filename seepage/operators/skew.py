@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 2_000  # a key is heavy above 1/2000 of all rows: at most 2000 such keys
 
 
+def heavy_floor(total: int) -> int:
+    """The number of rows above which a key is heavy."""
+    return max(1, total // HEAVY_SHARE)
+
+
 def lookup(
     facts: DataFrame,
     table: DataFrame,
@@ -26,7 +31,7 @@ def lookup(
     they are broadcast and the rows that hold them never enter the shuffle; nor
     do rows without a key. Only the light keys are joined by shuffle.
     """
-    floor = max(1, total // HEAVY_SHARE)
+    floor = heavy_floor(total)
     payload = F.struct(*values).alias("_v")
     heavy = F.broadcast(table.filter(F.col(weight) > floor).select(F.col(key).alias("_k"), payload))
     light = table.filter(F.col(weight) <= floor).select(F.col(key).alias("_k"), payload)

@@ -274,3 +274,26 @@ def test_scoring_moves_no_model(spark, data, monkeypatch):
                 assert "Exchange" not in line
                 if "Join" in line:
                     break
+
+
+def test_texts_are_tokenised_once(spark, tmp_path):
+    spark.createDataFrame([("a b",)], "text string").write.parquet(f"{tmp_path}/texts")
+    df = spark.read.parquet(f"{tmp_path}/texts")
+    for found in (lm._longest(df, 2, "text"), lm.grams(df, 2)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+@pytest.mark.parametrize("share", [2_000, 2])
+def test_grams_of_many_samples_are_looked_up_once(spark, data, monkeypatch, share):
+    corpus, _ = data
+    samples = spark.createDataFrame([(f"s{i}", "a b a" if i % 2 else f"b zz{i} a c") for i in range(20)], "sample_id string, text string")
+    monkeypatch.setattr("seepage.operators.skew.HEAVY_SHARE", share)
+    monkeypatch.setattr(lm, "fits_broadcast", lambda *a: False)
+    kept, keep = {}, lm.materialise
+    monkeypatch.setattr(lm, "materialise", lambda df, label: kept.setdefault(label, keep(df, label)))
+    got = {r["sample_id"]: r["perplexity"] for r in lm.perplexity(samples, lm.fit_ngram_lm(corpus, 2)).collect()}
+    mean = brute_loss(2)
+    assert got == {r["sample_id"]: pytest.approx(math.exp(mean(r["text"]))) for r in samples.collect()}
+    # (a, b), (b, a), (a, c) and two of each zz
+    assert kept["wanted-grams"].count() == 3 + 2 * 10
+    assert kept["wanted-grams"].agg(F.sum("_n")).first()[0] == 10 * 2 + 10 * 3
