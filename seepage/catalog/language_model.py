@@ -10,6 +10,7 @@ from seepage.functions.text import SPACE
 from seepage.operators import language_model as lm
 from seepage.operators import private, sample, tokens
 from seepage.operators.language_model import GRAM_KEY
+from seepage.session import materialise
 
 CLIP, SIGMA, SEED, SMALL_SEED = 50.0, 0.01, 7, 8
 
@@ -60,9 +61,9 @@ def _models(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    samples = turns(spark, sf_dir)
+    samples = turns(spark, sf_dir).withColumn("zlib", lm.zlib_size(F.col("text")))
     models = _models(spark, sf_dir)
-    return lm.score_matrix(samples, models, lower="gpt2_dp").withColumn("zlib", lm.zlib_size(F.col("text")))
+    return lm.score_matrix(samples, models, lower="gpt2_dp").drop("text")
 
 
 def _matrix(spark, sf_dir):
@@ -100,7 +101,8 @@ def _by_ratio(spark, sf_dir):
 
 def _six_rankings(spark, sf_dir):
     """The whole report: perplexity and five ratios, zlib among them."""
-    filled = lm.fill_scores(_scores(spark, sf_dir), ["nano", "nano_dp", "gpt2", "gpt2_dp", "lower"])
+    # stored, as two rankings read it
+    filled = materialise(lm.fill_scores(_scores(spark, sf_dir), ["nano", "nano_dp", "gpt2", "gpt2_dp", "lower"]), "scores")
     best = lm.rank_by_perplexity(filled, "gpt2_dp")
     ratios = lm.rank_by_ratio(filled, "gpt2_dp", ["nano", "nano_dp", "gpt2", "lower", "zlib"])
     return best.unionByName(ratios)
@@ -112,7 +114,7 @@ def _five_rankings(spark, sf_dir):
     samples, models = turns(spark, sf_dir), _models(spark, sf_dir)
     scored = lm.score_matrix(samples, models, lower="gpt2_dp").drop("text")
     # rounded before they rank, so that engines agree on ties
-    filled = _rounded(lm.fill_scores(scored, names), *names, digits=4)
+    filled = materialise(_rounded(lm.fill_scores(scored, names), *names, digits=4), "scores")
     best = lm.rank_by_perplexity(filled, "gpt2_dp")
     ratios = lm.rank_by_ratio(filled, "gpt2_dp", [n for n in names if n != "gpt2_dp"])
     out = best.unionByName(ratios).withColumn("rank", F.col("rank").cast("bigint"))

@@ -24,7 +24,8 @@ def extraction_ranking(
     ratio of every other score to it, with their texts."""
     scored = lm.score_matrix(samples, models, lower=generator)
     filled = lm.fill_scores(scored, [*models, "lower"]).withColumn("zlib", lm.zlib_size(F.col("text")))
-    scores = filled.drop("text")
+    # stored, as two rankings read it
+    scores = materialise(filled.drop("text"), "scores")
     others = [m for m in models if m != generator] + ["lower", "zlib"]
     ranked = lm.rank_by_perplexity(scores, generator, n).unionByName(
         lm.rank_by_ratio(scores, generator, others, n)

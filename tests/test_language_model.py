@@ -297,3 +297,22 @@ def test_grams_of_many_samples_are_looked_up_once(spark, data, monkeypatch, shar
     # (a, b), (b, a), (a, c) and two of each zz
     assert kept["wanted-grams"].count() == 3 + 2 * 10
     assert kept["wanted-grams"].agg(F.sum("_n")).first()[0] == 10 * 2 + 10 * 3
+
+
+def test_rankings_score_once(spark, tmp_path):
+    spark.createDataFrame([(1, "s", "a b a c")], "doc_id int, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a b")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, "a b"), (1, 2, "b c a"), (2, 1, None)], "conv_id int, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("l8_five_rankings", "l8_six_rankings"):
+        out = lm_queries.QUERIES[name](spark, str(tmp_path))
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert out.count() == 3 * (5 if "five" in name else 6)
+
+
+def test_keys_outside_a_domain_count_for_the_norm_only(spark):
+    df = spark.createDataFrame([("u", "a", 3.0), ("u", "b", 4.0), (None, "a", 1.0)], "unit string, k string, x double")
+    domain = spark.createDataFrame([("a",), ("a",), ("z",)], "k string")
+    got = private.clip_contributions(df, "unit", ["k"], F.col("x"), 1.0, domain).collect()
+    whole = private.clip_contributions(df, "unit", ["k"], F.col("x"), 1.0).filter("k = 'a'").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, whole), key=str)
+    assert {r["unit"]: r["value"] for r in got}["u"] == pytest.approx(0.6)
