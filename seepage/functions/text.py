@@ -60,7 +60,7 @@ def squeeze(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words separated by white space; no empty ones."""
-    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
 def lines(text: Column) -> Column:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seepage.functions.text import words
 from seepage.operators import tokens
 
 
@@ -77,6 +78,14 @@ def test_only_rare_words_of_a_large_vocabulary_move(spark, monkeypatch):
     vocab.unpersist()
 
 
+def test_words_leave_no_empty_ones(spark):
+    """Nor is a function interpreted for each word."""
+    df = spark.createDataFrame([(0, " a  b\t"), (1, ""), (2, None), (3, "   "), (4, "\u00a0a\u2003")], "k int, text string")
+    plan = df.select(words(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    assert {r["k"]: r["w"] for r in df.select("k", words(F.col("text")).alias("w")).collect()} == {0: ["a", "b"], 1: [], 2: None, 3: [], 4: ["a"]}
+
+
 def test_reserved_words_stay_out_of_the_shuffle(spark, monkeypatch):
     """Nine tenths of all words are the end mark, and no shuffle partition gets them by key."""
     monkeypatch.setattr(tokens, "VOCAB_BYTES", -1)
