@@ -218,10 +218,11 @@ def _translated(df: DataFrame, vocab: DataFrame, key: str, items: Column, size:
 
 
 def _by_lookup(df: DataFrame, vocab: DataFrame, key: str, value: str, reserved: list) -> DataFrame:
-    """Left-join a large vocabulary; reserved values, which it lacks, stay out of the shuffle."""
+    """Left-join a large vocabulary; reserved values, which it lacks, stay out of the shuffle, and others enter it once a row."""
     total = vocab.agg(F.sum("n")).first()[0] or 0
-    looked = F.when(~F.col(key).isin(reserved), F.col(key))
-    return lookup(df.withColumn("_look", looked), vocab.withColumnRenamed(key, "_look"), "_look", "n", [value], total).drop("_look")
+    lacking = F.col(key).isNull() | F.col(key).isin(reserved)
+    looked = lookup(df.filter(~lacking), vocab, key, "n", [value], total)
+    return looked.unionByName(df.filter(lacking).withColumn(value, F.lit(None).cast(vocab.schema[value].dataType)))
 
 
 def encode(df: DataFrame, vocab: DataFrame, key: str, column: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,25 @@ def test_reserved_words_stay_out_of_the_shuffle(spark, monkeypatch):
     assert coded.count() == 5_000 and coded.filter("token_id IS NULL").count() == 4_500
 
 
+def test_a_rare_word_enters_the_shuffle_once_a_row(spark, monkeypatch):
+    """No second copy of the word goes along, and words without a place in the vocabulary, or null, stay rows."""
+    monkeypatch.setattr(tokens, "VOCAB_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, w) for i, w in enumerate([f"w{j % 5}" for j in range(20)] + ["zz", None, tokens.END, tokens.UNKNOWN])]
+        df = spark.createDataFrame(rows, "_chunk long, token string")
+        vocab = tokens.build_vocab(df.select(F.col("token").alias("text")).filter("text <> 'zz'")).cache()
+        coded = tokens._by_lookup(df, vocab, "token", "token_id", [tokens.END, tokens.UNKNOWN])
+        plan = coded._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = [x.split(", ") for x in re.findall(r"Exchange\nInput \[\d+\]: \[(_chunk[^\]]*)\]", plan)]
+        assert moved and all(len(columns) == 2 for columns in moved)
+        ids = {r["token"]: r["token_id"] for r in vocab.collect()}
+        assert sorted(((r["_chunk"], r["token"], r["token_id"]) for r in coded.collect()), key=lambda r: r[0]) == [(i, w, ids.get(w)) for i, w in rows]
+        vocab.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_padding_sides_and_masks(spark):
     df = spark.createDataFrame([(1, [7, 8]), (2, [1, 2, 3, 4, 5])], "k int, ids array<int>")
     right = {r["k"]: (r["input_ids"], r["attention_mask"]) for r in tokens.pad_fixed(df, 4, 0).collect()}
