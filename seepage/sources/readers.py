@@ -6,6 +6,7 @@ Text is read split by split, so the order of lines is the order of
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -39,14 +40,80 @@ def _ordered_text(spark: SparkSession, path: str | list[str], separator: str | N
     )
 
 
+FILE_BYTES = 4 << 20  # of files that a task hands over at a time
+LISTED_NAMES = 10_000
+
+
+def _files_below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, local): the files right in each folder, without those that Spark's readers skip."""
+
+    def told(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in rows], pa.string()), "local": pa.array([x for _, x in rows], pa.binary())})
+
+    rows: list[tuple[str, bytes]] = []
+    for batch in batches:
+        for folder in batch.column("folder").to_pylist():
+            with os.scandir(re.sub(r"^file:/*", "/", folder)) as found:
+                for x in found:
+                    hidden = x.name.startswith(".") or x.name.startswith("_") and "=" not in x.name or x.name.endswith("._COPYING_")
+                    if not hidden and x.is_file():
+                        rows.append((f"{folder}/{x.name}".encode(errors="replace").decode(), os.fsencode(x.path)))
+                    if len(rows) == LISTED_NAMES:
+                        yield told(rows)
+                        rows = []
+    yield told(rows)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, content) of the files that are not empty."""
+    paths: list[str] = []
+    held: list[bytes] = []
+    size = 0
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(held, pa.binary())})
+
+    for batch in batches:
+        for path, local in zip(*(batch.column(c).to_pylist() for c in ("path", "local")), strict=True):
+            with open(local, "rb") as file:
+                content = file.read()
+            if content:
+                paths.append(path)
+                held.append(content)
+                size += len(content)
+            if size >= FILE_BYTES:
+                yield told()
+                paths, held, size = [], [], 0
+    yield told()
+
+
+def _mail_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, content) of the files in the folders of a pattern, perhaps with those further below.
+
+    On a file system that executors mount, tasks list the folders and read the files, so
+    that the driver knows folders only; elsewhere Spark's reader lists every file there.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(store.globStatus(place) or ()) if store.getUri().getScheme() == "file" else ()
+    if not found:
+        # of no folder, Spark's reader says so
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
+    folders = [(x.getPath().toString(),) for x in found if x.isDirectory()]
+    cores = spark.sparkContext.defaultParallelism
+    listed = spark.createDataFrame(folders, "folder string").repartition(min(len(folders), 4 * cores) or 1)
+    # a folder may hold most files, so they are dealt out before they are read
+    files = listed.mapInArrow(_files_below, "path string, local binary").repartition(4 * cores, "path")
+    return files.mapInArrow(_contents, "path string, content binary")
+
+
 def read_maildir(spark: SparkSession, path: str) -> DataFrame:
     """(path, user, folder, raw) for files at exactly user/folder/file, latin-1."""
-    # folders are listed as a whole, each in a task; a pattern of files would name every file as a path of its own
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path.rstrip('/')}/*/*")
+    files = _mail_files(spark, f"{path.rstrip('/')}/*/*")
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     root = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
     depth = root.rstrip("/").count("/") + 1
-    # folders are listed with all below them
+    # folders may be listed with all below them
     parts = F.split("path", "/")
     return (
         files.filter(F.size(parts) == depth + 3)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from seepage.operators import clean
@@ -54,6 +55,29 @@ def test_maildir_lists_folders_not_files(spark, tmp_path):
     assert {(r["user"], r["folder"]) for r in rows.collect()} == {("_a", "_sent")}
 
 
+def test_the_driver_knows_no_mail_file(spark, tmp_path):
+    root = tmp_path / "o x%20#a"
+    for name in ("1", "é #%20 b", "_x=1", ".hidden", "_hidden", "x._COPYING_"):
+        write(root / "a" / "inbox" / name, f"hi {name}")
+    write(root / "a" / "inbox" / "empty", "")
+    write(root / ".b" / "sent" / "1", "x" * 3)
+    write(root / "a" / "inbox" / "sub" / "deep", "no")
+    (root / "a" / "inbox" / "lost").symlink_to(tmp_path / "nowhere")
+    (root / "a" / "link").symlink_to(root / "a" / "inbox")
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/*/*")
+    rows = readers.read_maildir(spark, f"{root}/")
+    assert "binaryFile" in plain._jdf.queryExecution().optimizedPlan().toString()
+    told = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in told and not rows.inputFiles()
+    want = sorted(r["path"] for r in plain.select("path").collect() if not r["path"].endswith("/deep"))
+    assert sorted(r["path"] for r in rows.collect()) == want and len(want) == 3 + 3 + 1
+    (root / "c").mkdir()
+    (root / "c" / "file").touch()
+    assert readers.read_maildir(spark, str(root)).count() == 7
+    with pytest.raises(AnalysisException):
+        readers.read_maildir(spark, str(tmp_path / "none"))
+
+
 def test_numbering_moves_no_text(spark, tmp_path, monkeypatch):
     write(tmp_path / "1.txt", "b\n\n a \n")
     write(tmp_path / "2.txt", "c\n")
