@@ -118,6 +118,18 @@ def bucketed(df: DataFrame, keys: Sequence[str], label: str, grouped: bool = Fal
     return spark.table(table)
 
 
+@contextlib.contextmanager
+def joined_by_bucket(spark: SparkSession) -> Iterator[None]:
+    """What is written in the block may join buckets by some of the join's keys, not all of them alone."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _bytes_of(field: StructField) -> Column:
     """About the bytes that a value takes; nested values count by their elements."""
     column = F.col(f"`{field.name}`")

@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,3 +318,99 @@ def test_keys_outside_a_domain_count_for_the_norm_only(spark):
     whole = private.clip_contributions(df, "unit", ["k"], F.col("x"), 1.0).filter("k = 'a'").collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, whole), key=str)
     assert {r["unit"]: r["value"] for r in got}["u"] == pytest.approx(0.6)
+
+
+ODD = ["a b a c", "b\u2003a\x1cb", None, "", "c", "x<|endoftext|>y x", "\u00e9 \u180e z \u00e9 \u180e z", "a b a c"]
+
+
+def _plain_grams(rows, order):
+    """Grams by unit from the definition, each text as often as it counts."""
+    found, totals = Counter(), Counter()
+    for unit, text, times in rows:
+        ws = (text or "").replace("<|endoftext|>", " <|endoftext|> ").split()
+        for k in range(1, order + 1):
+            for i in range(k - 1, len(ws)):
+                found[unit, k, " ".join(ws[i - k + 1 : i]), ws[i]] += times
+                totals[unit, k, " ".join(ws[i - k + 1 : i])] += times
+    return found, totals
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_keyed_grams_equal_the_definition(spark, order):
+    rows = [(["u", "v", None][i % 3], text, 1 + i % 2) for i, text in enumerate(ODD * 3)]
+    df = spark.createDataFrame(rows, "unit string, text string, times int").repartition(3)
+    found, totals = _plain_grams(rows, order)
+    told = lm.keyed_grams(df, order, by="unit", times=F.col("times"))
+    got = {tuple(r)[:4]: r["n"] for r in lm.unkeyed(told, "_by").collect()}
+    assert got == dict(found) and told.count() == len(found)
+    held = told.filter("total IS NOT NULL").collect()
+    assert {(r["_by"], r["ord"], r["key"]): r["total"] for r in held} == {k: n for k, n in totals.items() if k[1] > 1}
+    assert len(held) == len({k for k in totals if k[1] > 1})
+    # the part is what scoring computes of the key
+    assert told.filter(F.col("part") != lm._part(F.col("key"))).count() == 0
+    # words are split as everywhere else
+    plain = lm.grams(df.select("text"), order).groupBy(*lm.GRAM_KEY).count()
+    assert sorted(map(tuple, lm.unkeyed(lm.keyed_grams(df, order)).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_groups_without_room_in_one_number():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, 4, 500), rng.integers(0, 3, 500), rng.integers(0, 5, 500)]
+    weights = rng.integers(1, 9, 500)
+    for use in (None, weights):
+        short = lm._grouped([(c, 5) for c in columns], use)
+        long = lm._grouped([(c, 1 << 40) for c in columns], use)
+        want = Counter()
+        for i, row in enumerate(zip(*(c.tolist() for c in columns))):
+            want[row] += 1 if use is None else int(weights[i])
+        for found, n in (short, long):
+            assert dict(zip(zip(*(c.tolist() for c in found)), n.tolist())) == dict(want)
+
+
+def test_grams_counted_in_several_goes_add_up():
+    texts = [("u", t, 1) for t in ODD * 2]
+    blobs = {}
+    for at in range(0, len(texts), 3):
+        part = texts[at : at + 3]
+        table = pa.table({"_by": pa.array([u for u, _, _ in part]), "text": pa.array([t for _, t, _ in part], pa.string())})
+        for batch in lm._packed(table, 2, 1):
+            for p, b in zip(batch.column("part").to_pylist(), batch.column("grams").to_pylist()):
+                blobs.setdefault(p, []).append(b)
+    got = Counter()
+    for p, held in blobs.items():
+        for r in lm._merged(p, held).to_pylist():
+            got[r["_by"], r["ord"], r["key"] if r["ord"] > 1 else "", r["token"] if r["ord"] > 1 else r["key"]] += r["n"]
+    assert got == _plain_grams(texts, 2)[0]
+
+
+def test_heldout_loss_moves_no_gram_to_its_probability(spark, data, monkeypatch):
+    corpus, samples = data
+    model = lm.fit_ngram_lm(corpus, 2)
+    plans, keep = {}, lm.materialise
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, label)
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(lm, "materialise", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        row = lm.heldout_loss(samples.withColumn("split", F.lit("val")), model, "sample_id").first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    mean = brute_loss(2)
+    assert row["loss"] == pytest.approx((2 * mean("a b a") + 3 * mean("b zz a c")) / 5)
+    for label in ("sample-grams", "context-losses"):
+        plan = plans[label]
+        assert plan.count("Bucketed: true") == 2 and plan.index("Exchange") < plan.index("Join"), plan
+        assert "Exchange" not in plan[plan.index("Join") :]
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_texts_of_a_key_that_is_there_once_stay(spark):
+    rows = [(1, "a", "x"), (2, "a", "y"), (2, "b", "z"), (2, "b", "z"), (None, "a", "w")]
+    df = spark.createDataFrame(rows, "k int, split string, text string")
+    got = Counter({(r["split"], r["text"], r["_times"]): 0 for r in lm._weighed(df, "k", "split").collect()})
+    got.update((r["split"], r["text"], r["_times"]) for r in lm._weighed(df, "k", "split").collect())
+    assert got == Counter({("a", "x", 1): 1, ("a", "y", 1): 1, ("b", "y", 2): 1, ("a", "z", 1): 2, ("b", "z", 2): 2})
