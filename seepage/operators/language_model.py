@@ -533,7 +533,8 @@ def _losses(
         table = scores.join(heavy, F.col("_g") == F.col("_gram"), "left").select(
             F.col("_g").alias("_gram"), F.coalesce("_n", F.lit(0)).alias("_n"), *[f"p_{n}" for n in models]
         )
-        scored = lookup(own, table, "_gram", "_n", [f"p_{n}" for n in models], total, "inner")
+        # the probabilities are the smaller side, so that the samples' grams need not be sorted
+        scored = lookup(own, table.hint("shuffle_hash"), "_gram", "_n", [f"p_{n}" for n in models], total, "inner")
     plain, low = F.col("_kind") == 0, F.col("_kind") == 1
     sums = [F.sum(F.when(plain, -F.log(f"p_{n}") * F.col("_c"))).alias(f"nll_{n}") for n in models]
     sums.append(F.sum(F.when(plain, F.col("_c"))).alias("predicted"))

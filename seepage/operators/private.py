@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seepage.operators.language_model import GRAM_KEY, LanguageModel, grams, stored_model
+from seepage.operators.language_model import GRAM_KEY, LanguageModel, grams, keyed_grams, stored_model, unkeyed
 from seepage.operators.position import order_hash, running_totals
 from seepage.operators.skew import lookup, top_per_group
 from seepage.session import fits_broadcast, materialise
@@ -17,25 +17,30 @@ DELTA = 1e-5
 
 
 def clip_contributions(
-    df: DataFrame, unit: str, keys: list[str], value: Column, clip: float = 1.0, domain: DataFrame | None = None
+    df: DataFrame,
+    unit: str,
+    keys: list[str],
+    value: Column,
+    clip: float = 1.0,
+    domain: DataFrame | None = None,
+    summed: bool = False,
 ) -> DataFrame:
     """(unit, keys, value): each unit's vector scaled to L2 norm at most ``clip``.
 
-    Values are summed per unit and key first. A unit with a large share of the
+    Values are summed per unit and key first, unless ``summed`` tells that they are. A unit with a large share of the
     rows meets its norm by broadcast, not in one task. Keys outside a ``domain``
     count for the norm, but their rows are left out.
     """
-    summed = materialise(
-        df.groupBy(unit, *keys).agg(F.sum(value).cast("double").alias("value")), "contributions"
-    )
-    norms = summed.groupBy(unit).agg(
+    whole = df.select(unit, *keys, value.alias("value")) if summed else df.groupBy(unit, *keys).agg(F.sum(value).alias("value"))
+    whole = materialise(whole.withColumn("value", F.col("value").cast("double")), "contributions")
+    norms = whole.groupBy(unit).agg(
         F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"), F.count("*").alias("_n")
     )
-    kept = summed
+    kept = whole
     if domain is not None:
         listed = domain.select(*keys)
-        kept = summed.join(F.broadcast(listed) if fits_broadcast(listed) else listed, keys, "left_semi")
-    scaled = lookup(kept.select(unit, *keys, "value"), norms, unit, "_n", ["_norm"], summed.count())
+        kept = whole.join(F.broadcast(listed) if fits_broadcast(listed) else listed, keys, "left_semi")
+    scaled = lookup(kept.select(unit, *keys, "value"), norms, unit, "_n", ["_norm"], whole.count())
     factor = F.when(F.col("_norm") > clip, F.lit(clip) / F.col("_norm")).otherwise(F.lit(1.0))
     return scaled.select(unit, *keys, (F.col("value") * factor).alias("value"))
 
@@ -138,11 +143,13 @@ def fit_dp_ngram_lm(
     With ``whole`` all grams of a unit count for its norm, those outside the domain too.
     """
     domain = materialise(domain.select(*GRAM_KEY), "domain")
-    own = grams(df, order, [unit])
-    if not whole:
+    if whole:
+        own = unkeyed(keyed_grams(df, order, by=unit).withColumnRenamed("_by", unit), unit)
+        clipped = clip_contributions(own, unit, GRAM_KEY, F.col("n"), clip, domain, summed=True)
+    else:
         # what is never released must not use up a unit's norm
-        own = own.join(domain.select(*GRAM_KEY), GRAM_KEY, "left_semi")
-    clipped = clip_contributions(own, unit, GRAM_KEY, F.lit(1), clip, domain if whole else None)
+        own = grams(df, order, [unit]).join(domain.select(*GRAM_KEY), GRAM_KEY, "left_semi")
+        clipped = clip_contributions(own, unit, GRAM_KEY, F.lit(1), clip)
     noisy = noisy_sum(clipped, GRAM_KEY, domain, sigma, clip, test_seed)
     counts = noisy.select(*GRAM_KEY, F.greatest("noisy", F.lit(0.0)).alias("n"))
     return stored_model(counts, order, mu)

@@ -414,3 +414,25 @@ def test_texts_of_a_key_that_is_there_once_stay(spark):
     got = Counter({(r["split"], r["text"], r["_times"]): 0 for r in lm._weighed(df, "k", "split").collect()})
     got.update((r["split"], r["text"], r["_times"]) for r in lm._weighed(df, "k", "split").collect())
     assert got == Counter({("a", "x", 1): 1, ("a", "y", 1): 1, ("b", "y", 2): 1, ("a", "z", 1): 2, ("b", "z", 2): 2})
+
+
+def test_whole_contributions_move_as_counted(spark, monkeypatch):
+    """They equal those that are summed from the grams, also of no unit, and no single gram is shuffled."""
+    rows = [("u", "a b a b c"), ("v", "a " * 9), (None, "b c"), ("u", None)]
+    df = spark.createDataFrame(rows, "unit string, text string")
+    domain = lm.grams(spark.createDataFrame([("a b c d",)], "text string"), 2).select(*lm.GRAM_KEY).distinct()
+    plans, keep = {}, private.materialise
+
+    def noted(frame, label):
+        plans[label] = frame._jdf.queryExecution().executedPlan().toString()
+        return keep(frame, label)
+
+    monkeypatch.setattr(private, "materialise", noted)
+    got = private.fit_dp_ngram_lm(df, "unit", domain, 2, clip=2.0, sigma=0.0, test_seed=1, whole=True)
+    assert "Aggregate" not in plans["contributions"] and plans["contributions"].count("Exchange") == 1
+    clipped = private.clip_contributions(lm.grams(df, 2, ["unit"]), "unit", lm.GRAM_KEY, F.lit(1), 2.0, domain)
+    sums = clipped.groupBy(*lm.GRAM_KEY).agg(F.sum("value").alias("v"))
+    want = {tuple(r)[:3]: r["v"] for r in domain.join(sums, lm.GRAM_KEY, "left").fillna(0.0).collect()}
+    assert {tuple(r)[:3]: r["n"] for r in got.counts.collect()} == pytest.approx(want)
+    # the stored model scores as the plain one does
+    assert {r["token"]: r["n"] for r in got.of_order(1).collect()} == pytest.approx({k[2]: v for k, v in want.items() if k[0] == 1})
